@@ -14,6 +14,7 @@ from dealscope.llm.exact import DigestIndex, deduplicate
 from dealscope.llm.minhash import near_duplicates
 from dealscope.llm.mix import mixed_rows
 from dealscope.llm.shared import written
+from dealscope.llm.toxicity import toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,6 +26,12 @@ def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi").select(COLUMNS)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine, fitted on the labels of ``sf_dir``, predicts toxic go."""
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _kept(docs, scored.withColumn("kept", F.col("predicted") == 0))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of identical texts stays: the one with the largest doc_id."""
     decided = deduplicate(docs, DigestIndex(spark, f"corpus_digests_{uuid.uuid4().hex}"))
@@ -47,6 +54,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
     ("exact dedup", exact_stage),
     ("minhash near-dedup", near_stage),
     ("mix sources", mix_stage),

@@ -9,10 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dealscope.llm.boilerplate import without_boilerplate
 from dealscope.llm.bpe import encode_decode
+from dealscope.llm.chat import read_digests, windows
+from dealscope.llm.chunks import repeated_passages
 from dealscope.llm.exact import DigestIndex, deduplicate
+from dealscope.llm.gif import media_features, texts_as_media
+from dealscope.llm.html_main import extract_main
 from dealscope.llm.minhash import near_duplicates
 from dealscope.llm.mix import mix
+from dealscope.llm.toxicity import toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,15 +40,49 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, digests_only=True)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    return read_digests(windows(turns.unionByName(extra)))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(_table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(texts_as_media(_table(spark, sf_dir, "documents")))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = without_boilerplate(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_mix_sources": op6_mix_sources,
+    "op7_html_main_text": op7_html_main_text,
+    "op8_toxicity": op8_toxicity,
+    "op9_gif_media": op9_gif_media,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -55,4 +95,21 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op10_line_dedup": """
+        WITH lines AS (
+            SELECT row_id, doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM (SELECT *, row_number() OVER () AS row_id FROM documents WHERE text IS NOT NULL)
+        ), spread AS (
+            SELECT line FROM lines WHERE trim(line, ' ') <> ''
+            GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 5
+        ), per_doc AS (
+            SELECT row_id, any_value(doc_id) AS doc_id, count(*) AS n_lines,
+                   count(*) FILTER (spread.line IS NOT NULL) AS n_removed,
+                   coalesce(string_agg(lines.line, chr(10) ORDER BY pos) FILTER (spread.line IS NULL), '') AS text
+            FROM lines LEFT JOIN spread ON lines.line = spread.line GROUP BY row_id
+        )
+        SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM per_doc
+        UNION ALL SELECT doc_id, 0, 0, sha256('') FROM documents WHERE text IS NULL
+    """,
 }
