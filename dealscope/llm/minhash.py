@@ -17,7 +17,9 @@ Confirmation is exact and does not form all pairs of a bucket:
   rule out most pairs that cannot reach the threshold;
 * a bucket is first a star around its member with the smallest private share;
 * only members outside the bucket's largest component are then compared with
-  the bucket's members of other components.
+  the bucket's members of other components.  For those pairs the private shingles
+  are counted anew: now all that occur in the node's own component alone.  A pair
+  is formed in the first table that it shares, not in each.
 """
 
 from __future__ import annotations
@@ -72,8 +74,8 @@ def near_duplicates(
     first = written(_confirmed(_possible(star, percent), sets, percent), "links")
     labels = components(first)
 
-    labelled = written(live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    crossing = written(_confirmed(_possible(_across(labelled), percent), sets, percent), "links")
+    labelled = written(live.select("table", "node", "i", "j").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    crossing = written(_confirmed(_possible(_across(labelled, nodes, sets, side), percent), sets, percent), "links")
     if not crossing.isEmpty():
         labels = components(first.unionByName(crossing))
 
@@ -111,18 +113,18 @@ def _slices(pdf: pd.DataFrame, most_chars: int = 8_000_000) -> Iterator[pd.DataF
 
 
 def _tables(nodes: DataFrame, side: int) -> DataFrame:
-    """(table, node): the tables in which a node may meet another, as one hash each."""
+    """(table, node, i, j): the tables in which a node may meet another, as one hash each, and their halves."""
     halves = nodes.select("node", F.posexplode("halves").alias("pos", "half"))
     shared = halves.groupBy("pos", "half").agg(F.count("*").alias("size")).filter("size > 1")
     keyed = halves.withColumn("key", F.xxhash64("pos", "half"))
     both = look_up(keyed, shared.select(F.xxhash64("pos", "half").alias("key"), "size").groupBy("key").agg(F.sum("size").alias("size")), "key", "size", nodes.count() * 2 * side)
     sides = both.groupBy("node").agg(
-        F.collect_list(F.when(F.col("pos") < side, F.col("key"))).alias("left"), F.collect_list(F.when(F.col("pos") >= side, F.col("key"))).alias("right")
+        F.collect_list(F.when(F.col("pos") < side, F.struct("pos", "key"))).alias("left"), F.collect_list(F.when(F.col("pos") >= side, F.struct("pos", "key"))).alias("right")
     )
     product = sides.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r"))
-    tables = product.select(F.xxhash64("l", "r").alias("table"), "node")
+    tables = product.select(F.xxhash64("l.key", "r.key").alias("table"), "node", F.col("l.pos").cast("tinyint").alias("i"), F.col("r.pos").cast("tinyint").alias("j"))
     full = tables.groupBy("table").agg(F.count("*").alias("size")).filter("size > 1")
-    return look_up(tables, full, "table", "size", nodes.count() * side * side).select("table", "node")
+    return look_up(tables, full, "table", "size", nodes.count() * side * side).select("table", "node", "i", "j")
 
 
 def _candidate_sets(source: DataFrame, signed: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
@@ -169,11 +171,30 @@ def linked(inter: Column, na: Column, nb: Column, percent: int) -> Column:
     return 100 * inter >= percent * (na + nb - inter)
 
 
-def _across(labelled: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components, one end outside its largest component."""
+def _across(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, side: int) -> DataFrame:
+    """Pairs of a bucket in different components, one end outside its largest component; each in its first bucket."""
     parts = labelled.groupBy("table", "label").agg(F.count("*").alias("size"))
     main = parts.groupBy("table").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = labelled.join(main, "table")
-    minor = open_.filter("label <> main").select("table", F.col("node").alias("a"), F.col("n").alias("na"), F.col("private").alias("pa"), F.col("label").alias("la"))
-    any_ = open_.select("table", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("private").alias("pb"), F.col("label").alias("lb"))
-    return minor.join(any_, "table").filter("la <> lb")
+    open_ = written(labelled.join(main, "table"), "open")
+    who = open_.select("node", "label").distinct()
+    counted = _own_counts(sets.join(who, "node")).join(nodes.select("node", "halves"), "node")
+    open_ = open_.join(counted, "node")
+    minor = open_.filter("label <> main").select("table", "i", "j", *[F.col(c).alias(f"{k}a") for k, c in _SIDE.items()]).withColumnRenamed("ida", "a")
+    any_ = open_.select("table", *[F.col(c).alias(f"{k}b") for k, c in _SIDE.items()]).withColumnRenamed("idb", "b")
+    first = F.lit(True)
+    for k in range(2 * side):
+        before = (F.col("i") > k) if k < side else (F.col("j") > k)
+        first = first & ~(before & (F.col("ha")[k] == F.col("hb")[k]))
+    return minor.join(any_, "table").filter((F.col("la") != F.col("lb")) & first)
+
+
+#: What a pair holds of each end.
+_SIDE = {"id": "node", "n": "n", "p": "private", "l": "label", "h": "halves"}
+
+
+def _own_counts(labelled_sets: DataFrame) -> DataFrame:
+    """(node, n, private): sizes, and how many shingles no node of another label has."""
+    spread = written(labelled_sets.select("node", F.xxhash64("label").alias("l"), F.explode("shingles").alias("s")), "spread")
+    own = spread.groupBy("s").agg(F.min("l").alias("low"), F.max("l").alias("high"), F.count("*").alias("times")).filter("low = high")
+    private = look_up(spread.select("node", "s"), own.select("s", "times"), "s", "times", spread.count()).groupBy("node").agg(F.count("*").alias("private"))
+    return labelled_sets.select("node", F.size("shingles").cast("long").alias("n")).join(private, "node", "left").fillna(0, ["private"])
