@@ -36,7 +36,8 @@ def haversine_km(lat1: Column | str | float, lon1: Column | str | float, lat2: C
     """Great-circle distance; null where any coordinate is null."""
     a, b, c, d = (F.radians(_lit(x)) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((c - a) / 2), F.lit(2.0)) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), F.lit(2.0))
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # not least(): it would skip a null
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def grid_cell(lat: Column | str, lon: Column | str, metres: float = 500.0, latitude: float = GRID_LATITUDE) -> Column:

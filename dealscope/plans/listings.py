@@ -14,7 +14,7 @@ from dealscope.operators.dedup import keep_first, without_relists
 from dealscope.operators.design import fold_unseen, hedonic_inputs, levels, spline, spline_knots, treatment
 from dealscope.operators.effects import building_key
 from dealscope.operators.groups import with_group_median
-from dealscope.operators.hierarchical import Settings, composite_score, fit_reason, hierarchical_fit
+from dealscope.operators.hierarchical import Settings, checkpointed, composite_score, fit_reason, hierarchical_fit
 from dealscope.operators.quality import require_categories
 from dealscope.operators.radius import radius_stats_blocked
 from dealscope.operators.ranking import percentile_rank
@@ -102,10 +102,12 @@ def featured(parsed_rows: DataFrame, raw: DataFrame, order: str = "source_row",
         "grid_cell_id": grid_cell("lat", "lon"),
         **landmark_columns("lat", "lon"),
     })
+    # each neighbour join reads the rows twice: cut the plan before and after
+    df = checkpointed(df)
     for km in (3, 1):
         s = radius_stats_blocked(df, float(km), "row_id", "price_m2").select("row_id", F.col("mean").alias(f"avg_price_m2_within_{km}km_mean"), F.col("median").alias(f"avg_price_m2_within_{km}km_median"), F.col("n").alias(f"n_neighbors_{km}km"))
         df = df.join(s, "row_id", "left")
-    df = df.withColumn("low_confidence_spatial", F.col("n_neighbors_3km") < 3)
+    df = checkpointed(df.withColumn("low_confidence_spatial", F.col("n_neighbors_3km") < 3))
     for key in ("complex_name", "district"):
         prefix = key.split("_")[0] + "_"
         df = with_group_median(df, key, "price_m2", min_n, prefix).withColumnsRenamed({f"{prefix}median": f"{prefix}median_price_m2", f"{prefix}count": f"{prefix}listing_count"})
@@ -117,23 +119,24 @@ def ranked(features: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
     df = features.withColumns(relative_columns("price_m2", "avg_price_m2_within_3km_mean", "n_neighbors_3km"))
     df = df.withColumns(relative_columns("price_m2", "avg_price_m2_within_1km_mean", "n_neighbors_1km", "_1km"))
     df = percentile_rank(df, "district", "price_m2", "percentile_rank_in_district")
+    df = checkpointed(df)
     df = percentile_rank(df, "complex_name", "price_m2", "percentile_rank_in_complex")
-    df = df.withColumn("fit_excl_reason", fit_reason()).withColumn("building", building_key())
+    df = checkpointed(df.withColumn("fit_excl_reason", fit_reason()).withColumn("building", building_key()))
     design, x = listing_design(df)
     fit, info = hierarchical_fit(design, "row_id", "ln_price_m2", x, "__fit", settings)
-    return composite_score(df.join(fit, "row_id", "left")), info
+    return composite_score(checkpointed(df.join(fit, "row_id", "left"))), info
 
 
 def listing_design(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Numeric model columns of every row, and their names."""
     rows = hedonic_inputs(df).withColumn("__fit", F.col("fit_excl_reason") == "")
     groups = ["building_type", "apartment_condition", "rooms_bucket"]
-    rows = fold_unseen(rows, groups, F.col("__fit"))
+    rows = checkpointed(fold_unseen(rows, groups, F.col("__fit")))
     extra = spline("ln_area", spline_knots(rows, "ln_area"))
     for c in groups:
         extra |= treatment(c, levels(rows, c))
     plain = ["building_age", "ceiling_height_m", "ceiling_miss", "floor_is_first", "floor_is_last", "former_dormitory", "exchange_possible", "is_under_construction", "price_is_installment", "floor_rel", "floor_miss"]
-    spread = rows.withColumns(extra)
+    spread = checkpointed(rows.withColumns(extra))
     counts = spread.filter("__fit").agg(*[F.count_distinct(c).alias(c) for c in [*extra, *plain]]).first()
     return spread, [c for c in [*extra, *plain] if counts[c] > 1]
 
