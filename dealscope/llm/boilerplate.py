@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.shared import look_up, written
+from dealscope.llm.shared import given_id, held_id, look_up, written
 
 #: Up to so many boilerplate lines (16 bytes each) go to every task; more are joined by shuffle.
 BROADCAST_LINES = 200_000
@@ -86,4 +86,5 @@ def _with_set(source: DataFrame, gone: set[bytes], id_col: str) -> DataFrame:
                 rows.append((i, len(lines), len(lines) - len(keep), "\n".join(keep)))
             yield pd.DataFrame(rows, columns=["id", "n_lines", "n_removed", "text"])
 
-    return source.mapInPandas(run, f"id {kind}, n_lines long, n_removed long, text string").withColumnRenamed("id", id_col)
+    out = source.withColumn("id", held_id(source, "id")).mapInPandas(run, f"id {kind}, n_lines long, n_removed long, text string")
+    return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dealscope.llm.shared import given_id, held_id
+
 _MAX_REMEMBERED = 1 << 18
 _LONGEST_REMEMBERED = 64
 
@@ -147,7 +149,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     Whole texts are encoded, of any length.  Repeated rows give repeated results;
     null ids stay null; other columns are ignored; an empty table gives no rows.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(held_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     more = "" if digests_only else ", ids binary, decoded binary"
 
@@ -162,4 +164,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
             yield pd.DataFrame(rows, columns=["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ([] if digests_only else ["ids", "decoded"]))
 
     out = source.mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)

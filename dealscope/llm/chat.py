@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealscope.llm.shared import words
+from dealscope.llm.shared import given_id, held_id, words
 
 OPEN, BODY, CLOSE = "<turn ", ">", "</turn>\n"
 
@@ -108,8 +108,8 @@ def read_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     turns are skipped; the text under the loss mask is cut out by the spans and unescaped.
     """
     kind = formatted.schema[id_col].dataType.simpleString()
-    source = formatted.select(F.col(id_col).alias("conv"), "window_no", "text", F.transform("turns", lambda x: x["repeated"]).alias("repeated"), F.transform("loss_spans", lambda x: F.array(x["start"], x["end"])).alias("spans"))
-    source = source.repartition("conv").sortWithinPartitions(F.col("conv").isNull(), "conv", "window_no")
+    source = formatted.select(held_id(formatted, id_col).alias("conv"), "window_no", "text", F.transform("turns", lambda x: x["repeated"]).alias("repeated"), F.transform("loss_spans", lambda x: F.array(x["start"], x["end"])).alias("spans"))
+    source = source.repartition("conv").sortWithinPartitions("conv", "window_no")
     names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,4 +138,4 @@ def read_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
             yield pd.DataFrame([(conv, n, turns.hexdigest(), chars, loss.hexdigest(), size)], columns=names)
 
     out = source.mapInPandas(run, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return out.withColumnRenamed("conv", id_col)
+    return out.withColumn("conv", given_id(out, "conv")).withColumnRenamed("conv", id_col)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from dealscope.llm import shingles as S
 from dealscope.llm.minhash import _slices
-from dealscope.llm.shared import look_up, written
+from dealscope.llm.shared import given_id, held_id, look_up, no_clash, written
 
 _WINDOW = 16
 
@@ -83,7 +83,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, b
 
     Null and empty texts have no chunks.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(held_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +95,8 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, b
                 seq = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
                 yield pd.DataFrame({"id": part["id"].to_numpy()[doc], "seq": seq, **c}).astype({"seq": "int32", "start": "int32", "end": "int32", "n_words": "int32"})
 
-    return source.mapInPandas(run, f"id {kind}, seq int, start int, end int, n_words int, d1 long, d2 long")
+    out = source.mapInPandas(run, f"id {kind}, seq int, start int, end int, n_words int, d1 long, d2 long")
+    return out.withColumn("id", given_id(out))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least_words: int = 30, bits: int = 5, shortest: int = 16) -> DataFrame:
@@ -128,15 +129,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null ids and null texts are returned as they are.
     """
+    own, spans_col = no_clash(docs, "own_id"), no_clash(docs, "spans")
     gone = repeated_passages(docs, id_col, text_col, **options).filter("removed")
-    spans = gone.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("__spans"))
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
+    spans = gone.groupBy(F.col(id_col).alias(own)).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias(spans_col))
+    joined = docs.join(spans, docs[id_col] == spans[own], "left")
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     cut = F.aggregate(
-        "__spans",
+        spans_col,
         start,
         lambda acc, s: F.struct(F.concat(acc["kept"], F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), (s["span_start"] - acc["at"])).cast("int"))).alias("kept"), F.greatest(acc["at"], s["span_end"]).alias("at")),
         lambda acc: F.concat(acc["kept"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), cut).otherwise(text)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(spans_col).isNotNull(), cut).otherwise(text)).select(*docs.columns)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dealscope.llm.shared import given_id, held_id
+
 WIDTH = 64
 #: Samples between clears: the decoder's table must not reach 512 entries.
 _RUN = 250
@@ -239,7 +241,7 @@ def decode_frames(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
     are no GIF, have no frames.  Repeated rows give repeated frames; other columns
     are ignored; an empty table gives no rows.
     """
-    source = media.select(F.col(id_col).alias("id"), F.col(bytes_col).alias("data"))
+    source = media.select(held_id(media, id_col).alias("id"), F.col(bytes_col).alias("data"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +254,7 @@ def decode_frames(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
                     yield pd.DataFrame([(i, k, start, delay, gif.width, gif.height, canvas.tobytes(), histogram(canvas))], columns=["id", "frame", "start", "delay", "width", "height", "rgba", "histogram"])
 
     out = source.mapInPandas(run, f"id {kind}, frame int, start int, delay int, width int, height int, rgba binary, histogram array<long>")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)
 
 
 def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +263,7 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts are empty; the bytes are filled up with 0 to a positive multiple of
     WIDTH.  Repeated rows give repeated results; other columns are ignored.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(held_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +272,8 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             media = [payload_to_gif(r + b"\0" * (-len(r) % WIDTH or (0 if r else WIDTH))) for r in raws]
             yield pd.DataFrame({"id": pdf["id"], "n_bytes": [len(r) for r in raws], "media": media})
 
-    return source.mapInPandas(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    out = source.mapInPandas(run, f"id {kind}, n_bytes long, media binary")
+    return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -281,7 +284,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     cells, which on grey levels are four.
     """
     kind = media.schema[id_col].dataType.simpleString()
-    source = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
+    source = media.select(held_id(media, id_col).alias("id"), "n_bytes", "media")
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,4 +297,5 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return source.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    out = source.mapInPandas(run, schema)
+    return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)

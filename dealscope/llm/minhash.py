@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from dealscope.llm import shingles as S
 from dealscope.llm.components import components
-from dealscope.llm.shared import look_up, written
+from dealscope.llm.shared import given_id, held_id, look_up, written
 
 
 def near_duplicates(
@@ -102,7 +102,8 @@ def _signatures(source: DataFrame, shingle: int, rows: int, side: int, seed: int
                 nodes = [hashlib.blake2b(raw[e - 8 * c : e], digest_size=16).digest() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pd.DataFrame({"id": part["id"], "n_shingles": counts.astype(np.int64), "node": nodes, "halves": list(halves)})
 
-    return source.mapInPandas(run, f"id {kind}, n_shingles long, node binary, halves array<long>")
+    out = source.withColumn("id", held_id(source, "id")).mapInPandas(run, f"id {kind}, n_shingles long, node binary, halves array<long>")
+    return out.withColumn("id", given_id(out))
 
 
 def _slices(pdf: pd.DataFrame, most_chars: int = 8_000_000) -> Iterator[pd.DataFrame]:

@@ -140,7 +140,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Ids are taken to name one document; of rows that share an id the largest
     number of copies holds.
     """
-    copies = no_clash(docs, "copies")
-    chosen = mix(docs, id_col, **options).groupBy(F.col(id_col).alias("__mixed_id")).agg(F.max("copies").alias(copies))
-    joined = docs.join(chosen, docs[id_col].eqNullSafe(chosen["__mixed_id"])).drop("__mixed_id")
+    copies, own = no_clash(docs, "copies"), no_clash(docs, "mixed_id")
+    chosen = mix(docs, id_col, **options).groupBy(F.col(id_col).alias(own)).agg(F.max("copies").alias(copies))
+    joined = docs.join(chosen, docs[id_col].eqNullSafe(chosen[own])).drop(own)
     return joined.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).drop(copies)

@@ -29,6 +29,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: In Arrow batches a column of whole numbers with nulls would turn to floats; their least value stands for null there.
+_LEAST = {"tinyint": -(1 << 7), "smallint": -(1 << 15), "int": -(1 << 31), "bigint": -(1 << 63)}
+
+
+def held_id(df: DataFrame, c: str) -> Column:
+    """Column ``c`` for a trip through Arrow, null written as its type's least value."""
+    kind = df.schema[c].dataType.simpleString()
+    return F.coalesce(F.col(c), F.lit(_LEAST[kind]).cast(kind)) if kind in _LEAST else F.col(c)
+
+
+def given_id(df: DataFrame, c: str = "id") -> Column:
+    """The id after the trip, null again."""
+    kind = df.schema[c].dataType.simpleString()
+    return F.nullif(F.col(c), F.lit(_LEAST[kind]).cast(kind)) if kind in _LEAST else F.col(c)
+
+
 def no_clash(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
