@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealscope.llm.shared import given_id, held_id, written
+
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6, 7)
 _MAX_REMEMBERED = 1 << 18
@@ -99,59 +101,86 @@ def _association(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return np.sign(a / na - b / nb) * np.sqrt(np.maximum(g, 0))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, kept: int = 4096, rank: int = 4, epochs: int = 30, rate: float = 0.1, ridge: float = 1e-3, seed: int = 11) -> Machine:
-    """A machine fitted by Adagrad; ``rows`` are sorted bucket lists, ``labels`` 0 or 1."""
+#: Buckets below this association, or in fewer rows, may go with the label by chance.
+_CHANCE, _FEWEST = 3.3, 3
+#: From this association on a bucket goes with label 1 beyond doubt.
+_TELLING = 6.0
+
+
+@dataclass
+class Counts:
+    """Rows of each label; buckets, and how many rows of each label hold them."""
+
+    positive: int
+    negative: int
+    bucket: np.ndarray
+    with_positive: np.ndarray
+    with_negative: np.ndarray
+
+    def standing_out(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted buckets that stand out from chance, and their association."""
+        a = _association(self.with_positive, self.with_negative, max(1, self.positive), max(1, self.negative))
+        keep = (np.abs(a) > _CHANCE) & (self.with_positive + self.with_negative >= _FEWEST)
+        order = np.argsort(self.bucket[keep])
+        return self.bucket[keep][order], a[keep][order]
+
+
+def counts_of(rows: list[np.ndarray], labels: np.ndarray) -> Counts:
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    flat = np.concatenate([*rows, np.empty(0, np.int32)])
+    used, at = np.unique(flat, return_inverse=True)
+    of_one = np.repeat(labels == 1, sizes)
+    return Counts(int((labels == 1).sum()), int((labels != 1).sum()), used, np.bincount(at[of_one], minlength=len(used)), np.bincount(at[~of_one], minlength=len(used)))
+
+
+def telling(counts: Counts) -> np.ndarray:
+    bucket, a = counts.standing_out()
+    return bucket[a > _TELLING]
+
+
+def holding(rows: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Which rows hold any of the (sorted) wanted buckets."""
+    return np.array([bool(np.isin(r, wanted, assume_unique=True).any()) for r in rows], dtype=bool)
+
+
+def choose(everything: Counts, near: Counts, kept: int) -> np.ndarray:
+    """Sorted buckets to keep: those that go with the label, among all rows or among rows with a telling bucket.
+
+    Only what stands out from chance is kept, the strongest ``kept`` of it.
+    """
+    bucket, alone = everything.standing_out()
+    strength = dict(zip(bucket.tolist(), np.where(alone > 0, alone, 0.7 * -alone).tolist(), strict=True))
+    if near.positive > 20 and near.negative > 20:
+        for b, a in zip(*(x.tolist() for x in near.standing_out()), strict=True):
+            strength[b] = max(strength.get(b, 0.0), abs(a))
+    strong = sorted((b for b, v in strength.items() if v > _CHANCE), key=lambda b: (-strength[b], b))[:kept]
+    return np.array(sorted(strong), dtype=np.int32)
+
+
+def descend(rows: list[np.ndarray], labels: np.ndarray, strong: np.ndarray, *, bits: int, rank: int = 4, epochs: int = 30, rate: float = 0.1, ridge: float = 1e-3, seed: int = 11) -> Machine:
+    """Weights and vectors by Adagrad; ``rows`` hold buckets of ``strong`` only."""
     pos = int(labels.sum())
     neg = len(labels) - pos
     if not pos or not neg:
         return Machine(bits, 8.0 if pos else -8.0, {}, {})
     sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    n_rows = len(rows)
-    del rows
-    doc_of = np.repeat(np.arange(n_rows, dtype=np.int32), sizes)
-    y_flat = np.repeat(labels, sizes).astype(bool)
-    n1 = np.bincount(flat[y_flat], minlength=1 << bits)
-    n0 = np.bincount(flat[~y_flat], minlength=1 << bits)
-    alone = _association(n1, n0, pos, neg)
-    # among texts with a telling term, what tells the label there
-    telling = alone > 6
-    with_it = np.zeros(len(labels), bool)
-    with_it[doc_of[telling[flat]]] = True
-    strength = np.where(alone > 0, alone, 0.7 * -alone)
-    p2, q2 = int((with_it & (labels == 1)).sum()), int((with_it & (labels == 0)).sum())
-    if p2 > 20 and q2 > 20:
-        sub = np.repeat(with_it, sizes)
-        together = _association(np.bincount(flat[sub & y_flat], minlength=1 << bits), np.bincount(flat[sub & ~y_flat], minlength=1 << bits), p2, q2)
-        strength = np.maximum(strength, np.abs(together))
-    # two rows may agree by chance; a bucket must stand out from that
-    strong = np.flatnonzero((strength > 3.3) & (n1 + n0 >= 3))
-    strong = strong[np.argsort(-strength[strong], kind="stable")][:kept]
-    place = np.full(1 << bits, -1, np.int32)
-    place[strong] = np.arange(len(strong))
-    local = place[flat]
-    doc = doc_of[local >= 0]
-    local = local[local >= 0]
-    starts = np.searchsorted(doc, np.arange(n_rows + 1))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    local = np.searchsorted(strong, np.concatenate([*rows, np.empty(0, np.int32)]))
     rng = np.random.default_rng(seed)
     k = len(strong)
     w, v = np.zeros(k), rng.normal(0, 0.01, (k, rank))
     gw, gv, b, gb = np.full(k, 1e-6), np.full((k, rank), 1e-6), float(np.log(pos / neg)), 1e-6
     batch = 256
     for _ in range(epochs):
-        order = rng.permutation(n_rows)
+        order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            counts = starts[own + 1] - starts[own]
-            idx = np.concatenate([local[starts[i] : starts[i + 1]] for i in own]) if counts.any() else np.empty(0, np.int32)
+            counts = sizes[own]
+            idx = np.concatenate([local[starts[i] : starts[i + 1]] for i in own])
             seg = np.repeat(np.arange(len(own)), counts)
-            s = np.zeros((len(own), rank))
-            lin = np.bincount(seg, w[idx], len(own))
             vi = v[idx]
-            for f in range(rank):
-                s[:, f] = np.bincount(seg, vi[:, f], len(own))
-            sq = np.bincount(seg, (vi * vi).sum(axis=1), len(own))
-            z = b + lin + 0.5 * ((s * s).sum(axis=1) - sq)
+            s = np.stack([np.bincount(seg, vi[:, f], len(own)) for f in range(rank)], axis=1)
+            z = b + np.bincount(seg, w[idx], len(own)) + 0.5 * ((s * s).sum(axis=1) - np.bincount(seg, (vi * vi).sum(axis=1), len(own)))
             err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[own]
             gbias = err.mean()
             gb += gbias * gbias
@@ -168,12 +197,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, kept: int = 40
     return Machine(bits, b, dict(zip(strong.tolist(), w.tolist(), strict=True)), dict(zip(strong.tolist(), v, strict=True)))
 
 
+def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int, kept: int = 4096, **options) -> Machine:
+    """A machine from rows (sorted bucket lists) in memory; :func:`train` does the same on tables."""
+    everything = counts_of(rows, labels)
+    near = holding(rows, telling(everything))
+    strong = choose(everything, counts_of([r for r, n in zip(rows, near, strict=True) if n], labels[near]), kept)
+    return descend([r[np.isin(r, strong, assume_unique=True)] for r in rows], labels, strong, bits=bits, **options)
+
+
 def held_out(id_col: str | Column) -> Column:
     """Rows whose label is never learnt: crc32 of the id as text is a multiple of 5."""
-    return F.crc32(F.coalesce(F.col(id_col) if isinstance(id_col, str) else id_col, F.lit("")).cast("string").cast("binary")) % 5 == 0
+    own = (F.col(id_col) if isinstance(id_col, str) else id_col).cast("string")
+    return F.crc32(F.coalesce(own, F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 16_000, bits: int = 20) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 30_000, bits: int = 20, kept: int = 4096) -> Machine:
     """Fit on at most ``sample`` labelled rows, chosen by a hash of their ids, not held out.
 
     Null labels, null ids and labels without a document are left out; an id that is
@@ -188,11 +226,50 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["y"], "terms": [terms(t, bits, memory).tobytes() for t in pdf["text"]]})
 
-    found = texts.mapInPandas(run, "y int, terms binary").orderBy("terms", "y").collect()
-    return fit([np.frombuffer(r[1], np.int32) for r in found], np.array([r[0] for r in found], int), bits=bits)
+    held = written(texts.mapInPandas(run, "y int, terms binary"), "terms")
+    everything = _table_counts(held, None)
+    strong = choose(everything, _table_counts(held, telling(everything)), kept)
+
+    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = (np.frombuffer(t, np.int32) for t in pdf["terms"])
+            yield pd.DataFrame({"y": pdf["y"], "terms": [r[np.isin(r, strong, assume_unique=True)].tobytes() for r in rows]})
+
+    # at most `sample` rows of at most `kept` buckets; sorted, so that fits agree
+    found = sorted((bytes(r[1]), r[0]) for r in held.mapInPandas(only, "y int, terms binary").collect())
+    return descend([np.frombuffer(t, np.int32) for t, _ in found], np.array([y for _, y in found], int), strong, bits=bits)
+
+
+def _table_counts(held: DataFrame, wanted: np.ndarray | None) -> Counts:
+    """Counts over the rows, or over those that hold a wanted bucket; summed per batch, then by bucket.
+
+    Only buckets that stand out from chance come to the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows, y = [np.frombuffer(t, np.int32) for t in pdf["terms"]], pdf["y"].to_numpy()
+            if wanted is not None:
+                near = holding(rows, wanted)
+                rows, y = [r for r, n in zip(rows, near, strict=True) if n], y[near]
+            c = counts_of(rows, y)
+            yield pd.DataFrame({"bucket": np.append(c.bucket, -1), "p": np.append(c.with_positive, c.positive), "n": np.append(c.with_negative, c.negative)})
+
+    sums = written(held.mapInPandas(run, "bucket long, p long, n long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "counts")
+    pos, neg = next(((int(r[1]), int(r[2])) for r in sums.filter("bucket < 0").collect()), (0, 0))
+
+    def part(k: str, of: int, share: Column) -> Column:
+        inside, outside = F.col(k), F.lit(of) - F.col(k)
+        return F.when(inside > 0, inside * F.log(inside / (of * share))).otherwise(0.0) + F.when(outside > 0, outside * F.log(outside / (of * (1 - share)))).otherwise(0.0)
+
+    share = (F.col("p") + F.col("n")) / F.lit(float(max(1, pos + neg)))
+    ratio = 2 * (part("p", max(1, pos), share) + part("n", max(1, neg), share))
+    strong = sums.filter((F.col("bucket") >= 0) & (F.col("p") + F.col("n") >= _FEWEST) & (F.coalesce(ratio, F.lit(0.0)) > (_CHANCE - 0.1) ** 2)).collect()
+    bucket, p, n = (np.array([r[k] for r in strong], dtype=np.int64) for k in range(3))
+    return Counts(pos, neg, bucket.astype(np.int32), p, n)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 16_000, bits: int = 20, machine: Machine | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 30_000, bits: int = 20, machine: Machine | None = None) -> DataFrame:
     """One row a document: id, held_out, score in 0 to 1, predicted (1 from 0.5 on).
 
     Whole texts are scored, and by their text alone; null and empty texts have
@@ -201,7 +278,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     gives no rows.
     """
     machine = machine or train(docs, labels, id_col, text_col, label_col, sample=sample, bits=bits)
-    source = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    source = docs.select(held_id(docs, id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -211,4 +288,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             s = np.array([score(t) for t in pdf["text"]], dtype=float)
             yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    return source.mapInPandas(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    out = source.mapInPandas(run, f"id {kind}, held_out boolean, score double, predicted int")
+    return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)
