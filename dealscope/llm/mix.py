@@ -36,8 +36,8 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, mos
     after = by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy()) * share
     s = s.withColumn("level", F.try_divide(total - F.coalesce(F.sum("limit").over(before), F.lit(0.0)), F.sum("weight").over(after)))
-    s = s.withColumn("open", F.col("level") * F.col("weight") <= F.col("limit"))
-    level = F.min(F.when(F.col("open"), F.struct(F.col("limit") / F.col("weight"), F.col("level")))).over(Window.partitionBy())["level"]
+    s = s.withColumn("open", F.col("level") * F.col("weight") <= F.col("limit")).withColumn("place", F.row_number().over(by_room))
+    level = F.min(F.when(F.col("open"), F.struct("place", "level"))).over(Window.partitionBy())["level"]
     return s.select("source", "source_size", F.least(F.col("limit"), F.coalesce(level * F.col("weight"), F.col("limit"))).cast("double").alias("target"))
 
 
