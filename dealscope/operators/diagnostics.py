@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.operators.ols import _matrix, products
+from dealscope.operators.profile import pearson
 from dealscope.operators.ranking import smallest
 from dealscope.operators.sets import overlap
 
@@ -62,6 +63,6 @@ def normal_quantiles(df: DataFrame, residual: str, points: int = 19) -> DataFram
 
 def agreement(df: DataFrame, a: str, b: str, a_ok: str, b_ok: str, row_id: str, k: int = 300) -> DataFrame:
     """One row: correlation over rows reliable in both, and the share common to both lists of k lowest."""
-    both = df.filter(F.col(a_ok) & F.col(b_ok)).agg(F.corr(a, b).alias("correlation"))
+    both = df.filter(F.col(a_ok) & F.col(b_ok)).agg(pearson(a, b).alias("correlation"))
     common = overlap(smallest(df.filter(a_ok), a, k, [row_id]), smallest(df.filter(b_ok), b, k, [row_id]), row_id, k)
     return both.crossJoin(common)

@@ -49,15 +49,23 @@ def population_z(df: DataFrame, c: str, name: str, negate: bool = False) -> Data
     return df.crossJoin(F.broadcast(stats)).withColumn(name, -z if negate else z).drop("__m", "__s")
 
 
+def pearson(a: Column | str, b: Column | str) -> Column:
+    """Aggregate correlation over the rows that have both; null where one of them does not vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation(df: DataFrame, a: str, b: str, where: Column | None = None) -> DataFrame:
     rows = df.filter(where) if where is not None else df
-    return rows.agg(F.corr(a, b).alias("correlation"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"))
+    return rows.agg(pearson(a, b).alias("correlation"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, correlation) of each unordered pair, over the rows that have both."""
     pairs = list(combinations_with_replacement(columns, 2))
-    cells = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("correlation")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    cells = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(a, b).alias("correlation")).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     return cells.select(F.explode(F.array(*[F.col(f"c{k}") for k in range(len(pairs))])).alias("c")).select("c.*")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dealscope.operators.did import near_sample
 from dealscope.operators.quality import CheckFailed
-from dealscope.plans import listings, models
+from dealscope.plans import listings, models, reports
 
 RAW = "source_row int, url string, status string, http_status int, advert_info string, parameters string, lat double, lon double, fetched_at string, error string"
 
@@ -55,6 +55,9 @@ def test_pipeline_from_scrape_to_map(raw):
     assert ranked.count() == 160 and info["n_fit"] == ranked.filter("fit_excl_reason = ''").count()
     assert ranked.filter("percentile_rank_in_district not between 0 and 1").count() == 0
     assert ranked.filter("good_deal_score is not null").count() > 100
+    tables = reports.parse_report(listings.parsed(raw, 2026)) | reports.feature_report(features) | reports.ranking_report(ranked, 20) | reports.profile_report(ranked)
+    assert len(reports.as_lines(tables)) > 80 and tables["duplicates"].first()["extra"] == 0
+    assert sum(r["n"] for r in tables["waterfall"].collect()) == info["n_fit"]
     types = sorted({r[0] for r in ranked.select("rooms_bucket_estimated").distinct().collect()})
     shown = listings.map_rows(ranked, {"rooms_bucket_estimated": types})
     assert shown.count() == 160 and shown.filter("rooms_bucket_estimated < 0").count() == 0
@@ -79,3 +82,12 @@ def test_distance_models(spark):
         models.between_stations(df, ["c", "grid_cell_id"])
     with pytest.raises(CheckFailed):
         near_sample(df, "station_distance_m", (("a", 0.0, 500.0), ("b", 400.0, 1500.0)))
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([("Есиль", 10, 2.0, 3.0), ("Нура", 3, 2.0, 3.0), (None, None, 2.0, 3.0)], "d string, complex_listing_count int, e double, m double").withColumns({"complex_median_price_m2": F.lit(4.0), "district_median_price_m2": F.lit(2.0)})
+    names = spark.createDataFrame([("Есиль", "Есильский")], "name string, standard string")
+    assert sorted(str(r["d"]) for r in reports.normalised(df, "d", names).collect()) == ["None", "Есильский", "Нура"]
+    assert [r["expected"] for r in reports.complex_or_district(df, "e", "m").collect()] == [2.0, 6.0, 6.0]
+    assert spark.range(1).select(reports.rooms_of_title(F.lit("2-комнатная квартира"))).first()[0] == 2
+    assert reports.stacked([df, names]).count() == 4
