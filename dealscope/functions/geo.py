@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import col, flag
 
-#: Mean earth radius, and places of the reference city.
+#: Mean earth radius, and places of the city.
 EARTH_KM = 6371.0088
 CENTRE = (51.1282, 71.4306)
 PARK = (51.1300, 71.4460)
