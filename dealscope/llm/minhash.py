@@ -106,7 +106,7 @@ def _signatures(source: DataFrame, shingle: int, rows: int, side: int, seed: int
     return out.withColumn("id", given_id(out))
 
 
-def _slices(pdf: pd.DataFrame, most_chars: int = 8_000_000) -> Iterator[pd.DataFrame]:
+def _slices(pdf: pd.DataFrame, most_chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Runs of rows of bounded total length, so that long texts do not pile up; no row is cut."""
     run = (pdf["text"].str.len().fillna(0).cumsum() // most_chars).to_numpy()
     for a in np.unique(run):
