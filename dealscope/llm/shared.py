@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.002
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where unset."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one of this process only where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='llm-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='llm-')}")
+        found = _OWN[0]
     return found.rstrip("/")
 
 
