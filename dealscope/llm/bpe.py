@@ -16,6 +16,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -44,6 +45,7 @@ class Bpe:
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             self.token[i] = t
+        self.size = [len(t) for t in self.token]
         self.automaton = ahocorasick.Automaton()
         for t, i in ranks.items():
             self.automaton.add_word(t.decode("latin-1"), (len(t), i))
@@ -66,30 +68,33 @@ class Bpe:
         if (known := self.ranks.get(piece)) is not None:
             return [known]
         n = len(piece)
+        # matches come by their ends, so the last one of a start is its longest
         longest: list[int] = [-1] * n
-        length = [0] * n
-        for end, (size, token) in self.automaton.iter(piece.decode("latin-1")):
-            at = end - size + 1
-            if size > length[at]:
-                length[at], longest[at] = size, token
+        for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - length + 1] = token
+        size, adjacent, whole = self.size, self.adjacent, self.whole
         dead = bytearray(n + 1)
         out: list[int] = []
-        pos, token = 0, longest[0]
+        pos, token, before = 0, longest[0], -1
         while pos < n:
-            before = out[-1] if out else -1
             while token >= 0:
-                end = pos + len(self.token[token])
-                if not dead[end] and self._stands(token) and (before < 0 or self._may_follow(before, token)):
-                    break
+                end = pos + size[token]
+                if not dead[end]:
+                    fits = whole.get(token) if before < 0 else adjacent.get((before, token))
+                    if fits is None:
+                        fits = self._stands(token) if before < 0 else self._stands(token) and self._may_follow(before, token)
+                    if fits:
+                        break
                 token = self._next_shorter(token)
             if token >= 0:
                 out.append(token)
-                pos = end
+                pos, before = end, token
                 token = longest[pos] if pos < n else -1
             else:
                 dead[pos] = 1
                 token = out.pop()
-                pos -= len(self.token[token])
+                pos -= size[token]
+                before = out[-1] if out else -1
         return out
 
     def _next_shorter(self, token: int) -> int:
@@ -125,21 +130,31 @@ class Bpe:
 
 
 class _Pieces(dict):
-    """Encoded pieces; forgets all when full, and never holds long ones."""
+    """Encoded pieces, in two generations: when the young one is full it replaces the old. Long ones are never held."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
         self.bpe = bpe
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = array("I", self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        out = self.old.get(piece)
+        if out is None:
+            out = array("I", self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= _LONGEST_REMEMBERED:
             if len(self) >= _MAX_REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out
 
 
+@lru_cache(maxsize=2)
+def loaded(vocabulary: str, pattern: str) -> Bpe:
+    """The encoder of a rank file, kept by a worker from task to task."""
+    return Bpe(read_ranks(vocabulary), pattern)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
     """One row a document: id, n_tokens, ids_sha256, decoded_sha256, and ids and decoded unless ``digests_only``.
 
@@ -154,7 +169,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     more = "" if digests_only else ", ids binary, decoded binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = Bpe(read_ranks(vocabulary), pattern)
+        bpe = loaded(vocabulary, pattern)
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
