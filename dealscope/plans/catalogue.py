@@ -254,7 +254,7 @@ def hierarchical_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir).join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey")
     c = c.withColumns({"y": F.ln(F.abs("c_acctbal") + 1000), "district": F.col("n_regionkey").cast("string"), "grid_cell_id": geo.grid_cell("lat", "lon", 5000.0), "complex_name": F.when(F.col("c_custkey") % 7 != 0, F.concat("c_mktsegment", F.col("c_nationkey").cast("string"))), "fit": F.col("c_custkey") % 50 != 0, "x1": (F.col("c_custkey") % 13).cast("double"), "x2": (F.col("c_custkey") % 5).cast("double")})
     c = c.withColumn("building", F.concat_ws("|", F.coalesce("complex_name", F.lit("none")), (F.col("c_custkey") % 11).cast("string")))
-    out, _ = hierarchical.hierarchical_fit(c, "c_custkey", "y", ["x1", "x2"], "fit", hierarchical.Settings(width_km=1.0, cutoff_km=3.0))
+    out, _ = hierarchical.hierarchical_fit(c, "c_custkey", "y", ["x1", "x2"], "fit")
     return out
 
 
