@@ -110,10 +110,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row a repeated passage of a document: id, span_start, span_end, n_words, keeper_id, removed.
 
     A chunk repeats when its digest occurs twice or more in the table.  Runs of
-    repeated chunks that follow each other in a document are one passage; runs of
-    fewer than ``least_words`` words are left alone.  A passage is ``removed`` unless
-    all of it is the first place it occurs, by (id, position); keeper_id is the
-    smallest id that keeps a part of it.  Documents without repeated passages have no rows.  Null and
+    repeated chunks that follow each other in a document count from ``least_words``
+    words on; shorter ones are left alone.  A run is dealt into passages where the
+    document that keeps its chunks changes, or whether they are there for the first time, by
+    (id, position).  A passage is ``removed`` unless it is the first place of its chunks, so
+    every chunk stays at its first place; keeper_id is the id that keeps it there, and
+    n_words are those of the passage.  Documents without repeated passages have no rows.  Null and
     empty texts have none; null ids come last as keepers; rows that share an id are read
     as further occurrences; other columns are ignored; an empty table gives no rows.
     """
@@ -122,11 +124,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stats = all_chunks.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("keeper")).filter("times > 1")
     found = look_up(all_chunks, stats, "digest", "times", all_chunks.count())
     here = found.select("id", "seq", "start", "end", "n_words", F.col("keeper.id").alias("keeper_id"), (~(F.struct(F.col("id").isNull().alias("none"), "id", "seq").eqNullSafe(F.col("keeper")))).alias("again"))
-    run = F.col("seq") - F.row_number().over(Window.partitionBy("id").orderBy("seq", "start"))
-    spans = here.withColumn("run", run).groupBy("id", "run").agg(
-        F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.sum("n_words").cast("long").alias("n_words"), F.min("keeper_id").alias("keeper_id"), F.max("again").alias("removed")
+    inside = Window.partitionBy("id").orderBy("seq", "start")
+    goes_on = (F.lag("seq").over(inside) + 1).eqNullSafe(F.col("seq")) & F.lag("again").over(inside).eqNullSafe(F.col("again")) & F.lag("keeper_id").over(inside).eqNullSafe(F.col("keeper_id"))
+    dealt = here.withColumn("run", F.col("seq") - F.row_number().over(inside)).withColumn("begins", (~goes_on).cast("int"))
+    dealt = dealt.withColumn("part", F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = dealt.groupBy("id", "run", "part").agg(
+        F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.sum("n_words").cast("long").alias("n_words"), F.first("keeper_id").alias("keeper_id"), F.first("again").alias("removed")
     )
-    return spans.filter(F.col("n_words") >= least_words).select(F.col("id").alias(id_col), F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "n_words", "keeper_id", "removed")
+    spans = spans.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("id", "run")))
+    return spans.filter(F.col("run_words") >= least_words).select(F.col("id").alias(id_col), F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "n_words", "keeper_id", "removed")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -192,6 +192,27 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark):
         assert left[k] == expected
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+def test_copies_that_hold_an_earlier_passage_stay_once(spark):
+    rng = random.Random(6)
+    passage, body, more = prose(rng, 60), prose(rng, 150), prose(rng, 60)
+    copy = f"{body} {passage} {more}"
+    data = [(0, f"{prose(rng, 80)} {passage} {prose(rng, 80)}"), (5, copy), (6, copy)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = repeated_passages(df).orderBy("doc_id", "span_start").collect()
+    by_doc = {k: [r for r in got if r["doc_id"] == k] for k in (0, 5, 6)}
+    assert [(r["keeper_id"], r["removed"]) for r in by_doc[0]] == [(0, False)]
+    assert [(r["keeper_id"], r["removed"]) for r in by_doc[5]] == [(5, False), (0, True), (5, False)]
+    assert [(r["keeper_id"], r["removed"]) for r in by_doc[6]] == [(5, True), (0, True), (5, True)]
+    assert [r["span_end"] for r in by_doc[6]] == [*[r["span_start"] for r in by_doc[6][1:]], len(copy)]
+    left = dict(without_repeats(df).collect())
+    assert left[0] == data[0][1] and left[6] == ""
+    assert left[5].startswith(body[:-60]) and left[5].endswith(more[60:]) and passage[60:-60] not in left[5]
+
+
 def test_repeated_passages_on_edge_rows(edge_docs, no_docs):
     got = repeated_passages(edge_docs).collect()
     assert {r["doc_id"] for r in got} == {9007199254740993, 9007199254740994}
