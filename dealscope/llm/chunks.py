@@ -86,11 +86,12 @@ def cut_texts(texts: list[str | None], *, bits: int = 4, shortest: int = 16, see
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits: int = 4, shortest: int = 16) -> DataFrame:
-    """(id, seq, start, end, n_words, digest) of every chunk; start and end are characters of the text.
+    """(id, row, seq, start, end, n_words, digest) of every chunk; start and end are characters of the text.
 
-    Null and empty texts have no chunks.
+    ``row`` is a hash of the text and tells rows apart that share an id.  Null and empty
+    texts have no chunks.
     """
-    source = docs.select(held_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(held_id(docs, id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,9 +101,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, b
                 doc = c.pop("doc")
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
                 seq = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
-                yield pd.DataFrame({"id": part["id"].to_numpy()[doc], "seq": seq, **c}).astype({"seq": "int32", "start": "int32", "end": "int32", "n_words": "int32"})
+                yield pd.DataFrame({"id": part["id"].to_numpy()[doc], "row": part["row"].to_numpy()[doc], "seq": seq, **c}).astype({"seq": "int32", "start": "int32", "end": "int32", "n_words": "int32"})
 
-    out = source.mapInPandas(run, f"id {kind}, seq int, start int, end int, n_words int, digest long")
+    out = source.mapInPandas(run, f"id {kind}, row long, seq int, start int, end int, n_words int, digest long")
     return out.withColumn("id", given_id(out))
 
 
@@ -116,34 +117,61 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     (id, position).  A passage is ``removed`` unless it is the first place of its chunks, so
     every chunk stays at its first place; keeper_id is the id that keeps it there, and
     n_words are those of the passage.  Documents without repeated passages have no rows.  Null and
-    empty texts have none; null ids come last as keepers; rows that share an id are read
-    as further occurrences; other columns are ignored; an empty table gives no rows.
+    empty texts have none; null ids come last as keepers; rows that share an id are rows of their
+    own, in the order of a hash of their texts, and equal rows are further occurrences, all but one of them
+    removed whole; other columns are ignored; an empty table gives no rows.
     """
-    all_chunks = written(chunks(docs, id_col, text_col, bits=bits, shortest=shortest), "chunks")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "seq")
-    stats = all_chunks.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("keeper")).filter("times > 1")
-    found = look_up(all_chunks, stats, "digest", "times", all_chunks.count())
-    here = found.select("id", "seq", "start", "end", "n_words", F.col("keeper.id").alias("keeper_id"), (~(F.struct(F.col("id").isNull().alias("none"), "id", "seq").eqNullSafe(F.col("keeper")))).alias("again"))
-    inside = Window.partitionBy("id").orderBy("seq", "start")
+    spans = _passages(docs, id_col, text_col, least_words=least_words, bits=bits, shortest=shortest)
+    copies = F.when(F.col("rest"), F.sequence(F.lit(2).cast("long"), F.col("copies"))).otherwise(F.array(F.lit(1).cast("long")))
+    every = spans.withColumn("copy", F.explode(copies))
+    return every.select(F.col("id").alias(id_col), F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "n_words", "keeper_id", "removed")
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str, *, least_words: int = 20, bits: int = 4, shortest: int = 16) -> DataFrame:
+    """(id, row, copies, rest, span_start, span_end, n_words, keeper_id, removed) of each passage.
+
+    Equal rows (same id, same text) count once, with their number as ``copies``; ``rest`` are
+    the passages of all of them but the first.
+    """
+    all_chunks = written(chunks(docs, id_col, text_col, bits=bits, shortest=shortest), "chunks").withColumn("copies", F.lit(1).cast("long"))
+    equal_rows = not all_chunks.filter("seq = 0").groupBy("id", "row").count().filter("count > 1").isEmpty()
+    if equal_rows:
+        values = [F.first(c).alias(c) for c in ("start", "end", "n_words", "digest")]
+        all_chunks = written(all_chunks.groupBy("id", "row", "seq").agg(*values, F.sum("copies").alias("copies")), "chunks")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "seq")
+    stats = all_chunks.groupBy("digest").agg(F.sum("copies").alias("times"), F.count("*").alias("places"), F.min(place).alias("keeper")).filter("times > 1").drop("times")
+    found = look_up(all_chunks, stats, "digest", "places", all_chunks.count())
+    here = found.select("id", "row", "copies", F.lit(False).alias("rest"), "seq", "start", "end", "n_words", F.col("keeper.id").alias("keeper_id"), (~place.eqNullSafe(F.col("keeper"))).alias("again"))
+    if equal_rows:
+        here = here.unionByName(here.filter("copies > 1").withColumn("rest", F.lit(True)).withColumn("again", F.lit(True)))
+    each = ("id", "row", "copies", "rest")
+    inside = Window.partitionBy(*each).orderBy("seq")
     goes_on = (F.lag("seq").over(inside) + 1).eqNullSafe(F.col("seq")) & F.lag("again").over(inside).eqNullSafe(F.col("again")) & F.lag("keeper_id").over(inside).eqNullSafe(F.col("keeper_id"))
     dealt = here.withColumn("run", F.col("seq") - F.row_number().over(inside)).withColumn("begins", (~goes_on).cast("int"))
     dealt = dealt.withColumn("part", F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = dealt.groupBy("id", "run", "part").agg(
+    spans = dealt.groupBy(*each, "run", "part").agg(
         F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.sum("n_words").cast("long").alias("n_words"), F.first("keeper_id").alias("keeper_id"), F.first("again").alias("removed")
     )
-    spans = spans.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("id", "run")))
-    return spans.filter(F.col("run_words") >= least_words).select(F.col("id").alias(id_col), F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "n_words", "keeper_id", "removed")
+    return spans.withColumn("run_words", F.sum("n_words").over(Window.partitionBy(*each, "run"))).filter(F.col("run_words") >= least_words)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the removed passages cut out of their texts; rows and columns stay.
 
-    Null ids and null texts are returned as they are.
+    Every row has its own passages cut, null and shared ids included; of equal rows (same id,
+    same text) one stays whole but for passages of earlier places.  Null texts are returned as they are.
     """
-    own, spans_col = no_clash(docs, "own_id"), no_clash(docs, "spans")
-    gone = repeated_passages(docs, id_col, text_col, **options).filter("removed")
-    spans = gone.groupBy(F.col(id_col).alias(own)).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias(spans_col))
-    joined = docs.join(spans, docs[id_col] == spans[own], "left")
+    own, row, rest, spans_col = no_clash(docs, "own_id"), no_clash(docs, "own_row"), no_clash(docs, "own_rest"), no_clash(docs, "spans")
+    gone = _passages(docs, id_col, text_col, **options).filter("removed")
+    spans = gone.groupBy(F.col("id").alias(own), F.col("row").alias(row), F.col("rest").alias(rest)).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias(spans_col))
+    spans = written(spans, "spans")
+    key, later = no_clash(docs, "row_key"), no_clash(docs, "later")
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    if spans.filter(rest).isEmpty():
+        keyed = keyed.withColumn(later, F.lit(False))
+    else:
+        keyed = keyed.withColumn(later, F.row_number().over(Window.partitionBy(id_col, key).orderBy(key)) > 1)
+    joined = keyed.join(spans, keyed[id_col].eqNullSafe(spans[own]) & (keyed[key] == spans[row]) & (keyed[later] == spans[rest]), "left")
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     cut = F.aggregate(

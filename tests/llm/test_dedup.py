@@ -213,6 +213,26 @@ def test_copies_that_hold_an_earlier_passage_stay_once(spark):
     assert left[5].startswith(body[:-60]) and left[5].endswith(more[60:]) and passage[60:-60] not in left[5]
 
 
+def test_rows_that_share_an_id_have_passages_of_their_own(spark):
+    rng = random.Random(7)
+    passage, first, second, third = prose(rng, 60), prose(rng, 40), prose(rng, 90), prose(rng, 60)
+    data = [(1, passage), (1, passage), (2, f"{first} {third}"), (2, third), (None, f"{second} {passage}"), (None, f"{passage} {first}"), (None, prose(rng, 70))]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = collections.defaultdict(list)
+    for r in repeated_passages(df).collect():
+        got[r["doc_id"]].append((r["keeper_id"], r["removed"]))
+    assert sorted(got[1]) == [(1, False), (1, True)]
+    assert sorted(x[1] for x in got[2] if x[0] == 2)[-2:] == [False, True]
+    assert got[None].count((1, True)) == 2
+    left = collections.defaultdict(list)
+    for i, t in without_repeats(df).collect():
+        left[i].append(t)
+    assert sorted(left[1]) == ["", passage]
+    assert sum(third[60:-60] in t for t in left[2]) == 1
+    assert len(left[None]) == 3 and data[-1][1] in left[None] and not any(passage[60:-60] in t for t in left[None])
+    assert any(t.startswith(second[:-60]) for t in left[None])
+
+
 def test_repeated_passages_on_edge_rows(edge_docs, no_docs):
     got = repeated_passages(edge_docs).collect()
     assert {r["doc_id"] for r in got} == {9007199254740993, 9007199254740994}
