@@ -4,7 +4,7 @@ A gear rolling hash over the last 16 bytes marks cut points, so where a text is
 cut depends on the bytes nearby alone: insertions elsewhere do not move the
 chunks.  All of it is numpy on whole batches: the gear sum of 16 bytes is built
 by doubling (1, 2, 4, 8, 16), equal bit for bit to the rolling form.  A cut with
-another within ``shortest`` bytes before it is dropped, again a local rule.  Chunks
+another within ``shortest`` bytes before it in the same text is dropped, again a local rule.  Chunks
 have no greatest length; nothing of a text is left out.
 
 A digest has 64 bits.  Two different chunks may share one in a corpus of many
@@ -54,13 +54,15 @@ def cut_texts(texts: list[str | None], *, bits: int = 4, shortest: int = 16, see
     lead = np.flatnonzero((buf & 0xC0) != 0x80)
     at = lead[np.minimum(np.searchsorted(lead, at), len(lead) - 1)]
     at = np.unique(at)
-    keep = np.ones(len(at), bool)
-    keep[1:] = np.diff(at) >= shortest
-    at = at[keep]
     doc = np.searchsorted(begin, at, side="right") - 1
     inside = (doc >= 0) & (at > begin[np.maximum(doc, 0)]) & (at < (begin + sizes)[np.maximum(doc, 0)])
+    at, doc = at[inside], doc[inside]
+    # marks of the padding, whose windows hold the text before, are gone by now
+    keep = np.ones(len(at), bool)
+    keep[1:] = (np.diff(at) >= shortest) | (np.diff(doc) != 0)
+    at = at[keep]
     full = np.flatnonzero(sizes)
-    starts = np.sort(np.concatenate((at[inside], begin[full])))
+    starts = np.sort(np.concatenate((at, begin[full])))
     doc = np.searchsorted(begin, starts, side="right") - 1
     ends = np.empty_like(starts)
     if len(starts):

@@ -163,6 +163,15 @@ def test_cuts_equal_the_rolling_hash():
         assert c["end"].tolist() == [*c["start"].tolist()[1:], len(text)] and c["n_words"].sum() == len(text.split())
 
 
+def test_a_text_is_cut_alike_after_any_other():
+    rng = random.Random(8)
+    for _ in range(300):
+        before, text = ("".join(rng.choice("abcdefgé中 ") for _ in range(n)) for n in (30, 120))
+        alone, after = cut_texts([text]), cut_texts([before, text])
+        own = after["doc"] == 1
+        assert all(after[c][own].tolist() == alone[c].tolist() for c in ("start", "end", "n_words", "digest"))
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(2)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400))
