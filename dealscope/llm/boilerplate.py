@@ -26,9 +26,9 @@ def _hash(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, pos, site, h, blank) of every line; null texts have none, blank lines are not counted."""
-    lines = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    return lines.filter(F.trim("line") != "").select("id", "pos", "site", _hash(F.col("line")).alias("h"))
+    """(id, row, pos, site, h) of every line, row a digest of the text; null texts have none, blank lines are not counted."""
+    lines = docs.select(F.col(id_col).alias("id"), _hash(F.col(text_col)).alias("row"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
+    return lines.filter(F.trim("line") != "").select("id", "row", "pos", "site", _hash(F.col("line")).alias("h"))
 
 
 def spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, least_sites: int = 5, log_k: int = 12) -> DataFrame:
@@ -61,8 +61,9 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if spread.count() <= BROADCAST_LINES:
         return _with_set(source, {bytes(r[0]) for r in spread.collect()}, id_col)
-    places = lines_of(docs, id_col, text_col, site_col).join(spread, "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("gone"))
-    joined = source.join(places.withColumnRenamed("id", "gone_id"), F.col("id") == F.col("gone_id"), "left").withColumn("lines", F.split("text", "\n", -1))
+    # a row is known by its id and its text, as ids may be null or shared
+    places = lines_of(docs, id_col, text_col, site_col).join(spread, "h", "left_semi").groupBy(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.collect_set("pos").alias("gone"))
+    joined = source.withColumn("row", _hash(F.col("text"))).join(places, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left").withColumn("lines", F.split("text", "\n", -1))
     keep = F.filter("lines", lambda x, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False)))
     out = joined.select("id", "lines", keep.alias("keep"))
     n = F.coalesce(F.size("lines"), F.lit(0))

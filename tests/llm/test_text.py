@@ -314,6 +314,18 @@ def test_boilerplate_equals_plain_counting(spark, monkeypatch, shuffled):
         assert all(r["n_lines"] - r["n_removed"] == (0 if r["text"] is None else len(r["text"].split("\n")) if r["n_lines"] > r["n_removed"] else 0) for r in got.values())
 
 
+def test_boilerplate_of_null_and_shared_ids_by_either_way(spark, monkeypatch):
+    from dealscope.llm import boilerplate
+
+    rows = [(None, "own 1\ncommon", "a"), (None, "common\nown 2", "b"), (1, "common\nown 3", "c"), (1, "own 4\ncommon\nown 5", "a"), (1, "own 4\ncommon\nown 5", "a"), (None, None, "a"), (2, "common", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    expected = sorted((str(i), *((0, 0, "None") if t is None else (len(t.split("\n")), 1, "\n".join(x for x in t.split("\n") if x != "common")))) for i, t, _ in rows)
+    for most in (200_000, 0):
+        monkeypatch.setattr(boilerplate, "BROADCAST_LINES", most)
+        got = without_boilerplate(df, least_sites=3).collect()
+        assert sorted((str(r["doc_id"]), r["n_lines"], r["n_removed"], str(r["text"])) for r in got) == expected
+
+
 def test_boilerplate_edges(edge_docs, no_docs):
     got = without_boilerplate(edge_docs, least_sites=2).collect()
     assert len(got) == 10 and sum(r["n_removed"] for r in got) == 3
