@@ -13,7 +13,7 @@ from dealscope.llm.bpe import encode_decode
 from dealscope.llm.exact import DigestIndex, deduplicate
 from dealscope.llm.minhash import near_duplicates
 from dealscope.llm.mix import mixed_rows
-from dealscope.llm.shared import written
+from dealscope.llm.shared import text_sha256, written
 from dealscope.llm.toxicity import toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,26 +21,30 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id ``decisions`` keeps."""
-    ids = decisions.filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi").select(COLUMNS)
+    """The rows of ``docs`` whose id and text ``decisions`` (doc_id, text_sha256, kept) keeps; ids may be null or shared."""
+    rows = decisions.filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
+    keyed = docs.withColumn("__own", F.unhex(text_sha256("text")))
+    return keyed.join(rows, keyed["doc_id"].eqNullSafe(rows["__id"]) & (keyed["__own"] == rows["__digest"]), "left_semi").select(*COLUMNS, "__own")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine, fitted on the labels of ``sf_dir``, predicts toxic go."""
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, scored.withColumn("kept", F.col("predicted") == 0))
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_digest=True)
+    return _kept(docs, scored.withColumn("kept", F.col("predicted") == 0)).select(COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of identical texts stays: the one with the largest doc_id."""
     decided = deduplicate(docs, DigestIndex(spark, f"corpus_digests_{uuid.uuid4().hex}"))
-    return _kept(docs, decided).dropDuplicates(["doc_id", "text"])
+    return _kept(docs, decided).dropDuplicates(["doc_id", "__own"]).select(COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
-    return _kept(docs, near_duplicates(docs, percent=80))
+    decided = near_duplicates(docs, percent=80, with_digest=True).filter("kept")
+    # rows that share the kept id, or have none, can meet in one group
+    first = decided.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_sha256")).alias("one")).select("one.*", F.lit(True).alias("kept"))
+    return _kept(docs, first.unionByName(decided.filter("component is null").select("doc_id", "text_sha256", "kept"))).select(COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

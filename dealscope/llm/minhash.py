@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from dealscope.llm import shingles as S
 from dealscope.llm.components import components
-from dealscope.llm.shared import given_id, held_id, look_up, written
+from dealscope.llm.shared import given_id, held_id, look_up, text_sha256, written
 
 
 def near_duplicates(
@@ -47,9 +47,13 @@ def near_duplicates(
     rows: int = 3,
     side: int = 10,
     seed: int = 1,
+    with_digest: bool = False,
 ) -> DataFrame:
     """One row a document: id, n_shingles, component_id, kept.
 
+    With ``with_digest`` also text_sha256, and component: a key of the component that is
+    there for null and shared ids too, and null for an empty set.
+
     Two documents are linked when 100 * |intersection| >= percent * |union| of
     their sets of distinct shingles.  Null and empty texts and texts without
     words have an empty set and no links.  Ties: component_id is the smallest id
@@ -58,7 +62,8 @@ def near_duplicates(
     stays alone.  Other columns are ignored.  An empty table gives no rows.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = written(_signatures(source, shingle, rows, side, seed), "signed")
+    carried = ["text_sha256"] if with_digest else []
+    signed = written(_signatures(source.withColumn("text_sha256", text_sha256("text")) if with_digest else source, shingle, rows, side, seed), "signed")
     nodes = written(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("copies")), "nodes")
     members = written(_tables(nodes, side), "members")
     candidates = members.select("node").distinct()
@@ -81,14 +86,17 @@ def near_duplicates(
 
     node_label = nodes.join(labels, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
     lowest = node_label.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
-    by_node = look_up(node_label, lowest, "label", "size", nodes.count()).select("node", "component_id", "copies")
-    full = look_up(signed.filter("n_shingles > 0").select("id", "n_shingles", "node"), by_node, "node", "copies", signed.count())
-    out = full.select("id", "n_shingles", "component_id").unionByName(signed.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    by_node = look_up(node_label, lowest, "label", "size", nodes.count()).select("node", "component_id", "copies", *(["label"] if with_digest else []))
+    full = look_up(signed.filter("n_shingles > 0").select("id", "n_shingles", "node", *carried), by_node, "node", "copies", signed.count())
+    component = [F.col("label").alias("component")] if with_digest else []
+    no_component = [F.lit(None).cast("binary").alias("component")] if with_digest else []
+    out = full.select("id", "n_shingles", "component_id", *carried, *component).unionByName(signed.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), *carried, *no_component))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *carried, *(["component"] if with_digest else []))
 
 
 def _signatures(source: DataFrame, shingle: int, rows: int, side: int, seed: int) -> DataFrame:
     kind = source.schema["id"].dataType.simpleString()
+    carried = [c for c in source.columns if c == "text_sha256"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         muls = S.multipliers(2 * side * rows, seed)
@@ -100,9 +108,9 @@ def _signatures(source: DataFrame, shingle: int, rows: int, side: int, seed: int
                 halves = S.mix64((low * fold).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 raw, ends = values.tobytes(), np.cumsum(counts) * 8
                 nodes = [hashlib.blake2b(raw[e - 8 * c : e], digest_size=16).digest() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pd.DataFrame({"id": part["id"], "n_shingles": counts.astype(np.int64), "node": nodes, "halves": list(halves)})
+                yield pd.DataFrame({"id": part["id"], "n_shingles": counts.astype(np.int64), "node": nodes, "halves": list(halves), **{c: part[c] for c in carried}})
 
-    out = source.withColumn("id", held_id(source, "id")).mapInPandas(run, f"id {kind}, n_shingles long, node binary, halves array<long>")
+    out = source.withColumn("id", held_id(source, "id")).mapInPandas(run, f"id {kind}, n_shingles long, node binary, halves array<long>" + "".join(f", {c} string" for c in carried))
     return out.withColumn("id", given_id(out))
 
 

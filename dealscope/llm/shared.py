@@ -68,6 +68,11 @@ def given_id(df: DataFrame, c: str = "id") -> Column:
     return F.nullif(F.col(c), F.lit(_LEAST[kind]).cast(kind)) if kind in _LEAST else F.col(c)
 
 
+def text_sha256(text: str) -> Column:
+    """The SHA-256 of a text column in hex digits; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def no_clash(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.shared import given_id, held_id, written
+from dealscope.llm.shared import given_id, held_id, text_sha256, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6, 7)
@@ -269,8 +269,8 @@ def _table_counts(held: DataFrame, wanted: np.ndarray | None) -> Counts:
     return Counts(pos, neg, bucket.astype(np.int32), p, n)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 30_000, bits: int = 20, machine: Machine | None = None) -> DataFrame:
-    """One row a document: id, held_out, score in 0 to 1, predicted (1 from 0.5 on).
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 30_000, bits: int = 20, machine: Machine | None = None, with_digest: bool = False) -> DataFrame:
+    """One row a document: id, held_out, score in 0 to 1, predicted (1 from 0.5 on); text_sha256 with ``with_digest``.
 
     Whole texts are scored, and by their text alone; null and empty texts have
     the score of a text without terms.  Repeated rows give repeated results; a null
@@ -278,7 +278,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     gives no rows.
     """
     machine = machine or train(docs, labels, id_col, text_col, label_col, sample=sample, bits=bits)
-    source = docs.select(held_id(docs, id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    digest = [text_sha256(text_col).alias("text_sha256")] if with_digest else []
+    source = docs.select(held_id(docs, id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *digest)
     kind = source.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -286,7 +287,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         score = shared.value.scorer()
         for pdf in batches:
             s = np.array([score(t) for t in pdf["text"]], dtype=float)
-            yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            carried = {"text_sha256": pdf["text_sha256"]} if with_digest else {}
+            yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32), **carried})
 
-    out = source.mapInPandas(run, f"id {kind}, held_out boolean, score double, predicted int")
+    out = source.mapInPandas(run, f"id {kind}, held_out boolean, score double, predicted int" + (", text_sha256 string" if with_digest else ""))
     return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)
