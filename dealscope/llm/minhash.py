@@ -17,14 +17,17 @@ Confirmation is exact and does not form all pairs of a bucket:
   rule out most pairs that cannot reach the threshold;
 * a bucket is first a star around its member with the smallest private share;
 * only members outside the bucket's largest component are then compared with
-  the bucket's members of other components.  For those pairs the private shingles
-  are counted anew: now all that occur in the node's own component alone.  A pair
-  is formed in the first table that it shares, not in each.
+  its members of other components.  For those the private shingles are counted
+  anew: now all that occur in the node's own component alone, and a node that keeps
+  too few others meets nobody.  Members meet by size bands as wide as the threshold
+  allows, large buckets in salted parts, and a pair is formed in the first table
+  that it shares, not in each.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,9 @@ from dealscope.llm import shingles as S
 from dealscope.llm.components import components
 from dealscope.llm.shared import given_id, held_id, look_up, text_sha256, written
 
+#: Members of a bucket, or pairs of a node, that one task meets at most.
+PART = 2048
+
 
 def near_duplicates(
     docs: DataFrame,
@@ -57,41 +63,53 @@ def near_duplicates(
     Two documents are linked when 100 * |intersection| >= percent * |union| of
     their sets of distinct shingles.  Null and empty texts and texts without
     words have an empty set and no links.  Ties: component_id is the smallest id
-    reachable.  Repeated rows give repeated results.  A row whose id is null joins
-    the component of rows with an equal set, if any of those has an id; else it
-    stays alone.  Other columns are ignored.  An empty table gives no rows.
+    reachable.  Repeated rows give repeated results.  A row whose id is null links its
+    neighbours like any other; its component_id is the smallest id of the others,
+    or null where none of them has an id.  Other columns are ignored.  An empty
+    table gives no rows.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
     carried = ["text_sha256"] if with_digest else []
     signed = written(_signatures(source.withColumn("text_sha256", text_sha256("text")) if with_digest else source, shingle, rows, side, seed), "signed")
-    nodes = written(signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("copies")), "nodes")
-    members = written(_tables(nodes, side), "members")
-    candidates = members.select("node").distinct()
-    sets = written(_candidate_sets(source, signed, candidates, shingle), "sets")
-    counted = written(_private_counts(sets), "counted")
-    live = written(members.join(counted.filter(100 * F.col("private") <= (100 - percent) * F.col("n")), "node"), "live")
-
-    centres = live.groupBy("table").agg(F.min(F.struct((F.col("private") / F.col("n")).alias("share"), "node", "n", "private")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    total = live.count()
-    star = look_up(live, centres, "table", "size", total).select(
+    nodes = written(
+        signed.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.max(F.struct("id", "text_key")).alias("one"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"), F.count("*").alias("copies")),
+        "nodes",
+    )
+    n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    sides = written(_shared_halves(nodes, side, n_nodes), "sides")
+    sets = written(_candidate_sets(source, nodes.join(sides.select("node"), "node", "left_semi"), shingle), "sets")
+    live = written(_private_counts(sets).filter(100 * F.col("private") <= (100 - percent) * F.col("n")), "live")
+    tables = written(_tables(sides.join(live, "node")), "tables")
+
+    centres = written(tables.groupBy("table").agg(F.min(F.struct((F.col("private") / F.col("n")).alias("share"), "node", "n", "private")).alias("c"), F.count("*").alias("size")).filter("size > 1"), "centres")
+    star = look_up(tables, centres, "table", "size", tables.count()).select(
         F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"), F.col("c.private").alias("pa"), F.col("private").alias("pb")
     )
-    first = written(_confirmed(_possible(star, percent), sets, percent), "links")
-    labels = components(first)
-
-    labelled = written(live.select("table", "node", "i", "j").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    crossing = written(_confirmed(_possible(_across(labelled, nodes, sets, side), percent), sets, percent), "links")
-    if not crossing.isEmpty():
-        labels = components(first.unionByName(crossing))
-
-    node_label = nodes.join(labels, "node", "left").select("node", "id", "copies", F.coalesce("label", "node").alias("label"))
-    lowest = node_label.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
-    by_node = look_up(node_label, lowest, "label", "size", nodes.count()).select("node", "component_id", "copies", *(["label"] if with_digest else []))
-    full = look_up(signed.filter("n_shingles > 0").select("id", "n_shingles", "node", *carried), by_node, "node", "copies", signed.count())
-    component = [F.col("label").alias("component")] if with_digest else []
-    no_component = [F.lit(None).cast("binary").alias("component")] if with_digest else []
-    out = full.select("id", "n_shingles", "component_id", *carried, *component).unionByName(signed.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), *carried, *no_component))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *carried, *(["component"] if with_digest else []))
+    labels = components(_confirmed(_possible(star, percent), sets, percent))
+
+    labelled = written(tables.join(labels, "node", "left").select("table", "node", "n", "i", "j", F.coalesce("label", "node").alias("label")), "labelled")
+    several = labelled.groupBy("table").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("table")
+    open_ = written(labelled.join(several, "table", "left_semi"), "open")
+    if not open_.isEmpty():
+        met = _possible(_across(open_, nodes, sets, side, percent), percent, "la", "lb")
+        crossing = written(_confirmed(met, sets, percent, "la", "lb"), "links")
+        over = written(components(crossing.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("top")), "over")
+        alone = over.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
+        labels = labels.unionByName(alone).join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+
+    linked = written(labels.join(nodes.select("node", "id"), "node"), "linked")
+    lowest = written(linked.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("size")), "lowest")
+    of_node = look_up(linked.drop("id"), lowest, "label", "size", linked.count()).select("node", "label", "component_id")
+    # nodes of one document that nothing links are their own component and need no look-up
+    several_rows = nodes.join(of_node, "node", "left").filter("copies > 1 or label is not null")
+    known = written(several_rows.select("node", "copies", F.coalesce("component_id", F.when(F.col("label").isNull(), F.col("id"))).alias("component_id"), F.coalesce("label", "node").alias("component")), "known")
+    full = signed.filter("n_shingles > 0").select("id", "n_shingles", "node", *carried)
+    found = look_up(full, known, "node", "copies", n_rows, "left")
+    component_id = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    out = found.select("id", "n_shingles", component_id, *carried, F.coalesce("component", "node").alias("component"))
+    none = signed.filter("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"), *carried, F.lit(None).cast("binary").alias("component"))
+    kept = F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    return out.unionByName(none).select(F.col("id").alias(id_col), "n_shingles", "component_id", kept, *carried, *(["component"] if with_digest else []))
 
 
 def _signatures(source: DataFrame, shingle: int, rows: int, side: int, seed: int) -> DataFrame:
@@ -108,9 +126,9 @@ def _signatures(source: DataFrame, shingle: int, rows: int, side: int, seed: int
                 halves = S.mix64((low * fold).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 raw, ends = values.tobytes(), np.cumsum(counts) * 8
                 nodes = [hashlib.blake2b(raw[e - 8 * c : e], digest_size=16).digest() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pd.DataFrame({"id": part["id"], "n_shingles": counts.astype(np.int64), "node": nodes, "halves": list(halves), **{c: part[c] for c in carried}})
+                yield pd.DataFrame({"id": part["id"], "text_key": part["text_key"], "n_shingles": counts.astype(np.int64), "node": nodes, "halves": list(halves), **{c: part[c] for c in carried}})
 
-    out = source.withColumn("id", held_id(source, "id")).mapInPandas(run, f"id {kind}, n_shingles long, node binary, halves array<long>" + "".join(f", {c} string" for c in carried))
+    out = source.withColumn("id", held_id(source, "id")).mapInPandas(run, f"id {kind}, text_key long, n_shingles long, node binary, halves array<long>" + "".join(f", {c} string" for c in carried))
     return out.withColumn("id", given_id(out))
 
 
@@ -121,25 +139,27 @@ def _slices(pdf: pd.DataFrame, most_chars: int = 2_000_000) -> Iterator[pd.DataF
         yield pdf[run == a]
 
 
-def _tables(nodes: DataFrame, side: int) -> DataFrame:
-    """(table, node, i, j): the tables in which a node may meet another, as one hash each, and their halves."""
-    halves = nodes.select("node", F.posexplode("halves").alias("pos", "half"))
-    shared = halves.groupBy("pos", "half").agg(F.count("*").alias("size")).filter("size > 1")
-    keyed = halves.withColumn("key", F.xxhash64("pos", "half"))
-    both = look_up(keyed, shared.select(F.xxhash64("pos", "half").alias("key"), "size").groupBy("key").agg(F.sum("size").alias("size")), "key", "size", nodes.count() * 2 * side)
+def _shared_halves(nodes: DataFrame, side: int, n_nodes: int) -> DataFrame:
+    """(node, left, right): the half-bands (pos, key) that a node shares with others, where it shares some of either collection."""
+    halves = nodes.select("node", F.posexplode("halves").alias("pos", "half")).select("node", "pos", F.xxhash64("pos", "half").alias("key"))
+    shared = written(halves.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
+    both = look_up(halves, shared, "key", "size", n_nodes * 2 * side)
     sides = both.groupBy("node").agg(
         F.collect_list(F.when(F.col("pos") < side, F.struct("pos", "key"))).alias("left"), F.collect_list(F.when(F.col("pos") >= side, F.struct("pos", "key"))).alias("right")
     )
-    product = sides.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r"))
-    tables = product.select(F.xxhash64("l.key", "r.key").alias("table"), "node", F.col("l.pos").cast("tinyint").alias("i"), F.col("r.pos").cast("tinyint").alias("j"))
-    full = tables.groupBy("table").agg(F.count("*").alias("size")).filter("size > 1")
-    return look_up(tables, full, "table", "size", nodes.count() * side * side).select("table", "node", "i", "j")
+    return sides.filter((F.size("left") > 0) & (F.size("right") > 0))
+
 
+def _tables(sides: DataFrame) -> DataFrame:
+    """(table, node, n, private, i, j): every product of a node's halves, as one hash each."""
+    product = sides.select("node", "n", "private", F.explode("left").alias("l"), "right").select("node", "n", "private", "l", F.explode("right").alias("r"))
+    return product.select(F.xxhash64("l.key", "r.key").alias("table"), "node", "n", "private", F.col("l.pos").cast("tinyint").alias("i"), F.col("r.pos").cast("tinyint").alias("j"))
 
-def _candidate_sets(source: DataFrame, signed: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the candidates, from one text each."""
-    one = signed.join(candidates, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"))
-    texts = source.join(one.select("id").distinct(), "id", "left_semi")
+
+def _candidate_sets(source: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the candidates, each from one of its texts, null ids too."""
+    one = candidates.select(F.col("one.id").alias("one_id"), F.col("one.text_key").alias("one_key"))
+    texts = source.join(one, (F.col("text_key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id")), "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,7 +171,8 @@ def _candidate_sets(source: DataFrame, signed: DataFrame, candidates: DataFrame,
                 yield pd.DataFrame({"node": nodes, "shingles": [v.view(np.int64) for v in sets]})
 
     found = texts.select("text").mapInPandas(run, "node binary, shingles array<long>")
-    return found.join(one.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    # rows that share an id and a text are one node still
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _private_counts(sets: DataFrame) -> DataFrame:
@@ -161,49 +182,64 @@ def _private_counts(sets: DataFrame) -> DataFrame:
     return sets.select("node", F.size("shingles").cast("long").alias("n")).join(private, "node", "left").fillna(0, ["private"])
 
 
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct ordered pairs that sizes and private counts do not rule out."""
+def _possible(pairs: DataFrame, percent: int, *carried: str) -> DataFrame:
+    """Distinct pairs that sizes and private counts do not rule out."""
     inter = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     union = F.greatest(F.col("na") + F.col("pb"), F.col("nb") + F.col("pa"))
-    return pairs.filter((F.col("a") != F.col("b")) & (100 * inter >= percent * union)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.filter((F.col("a") != F.col("b")) & (100 * inter >= percent * union)).select("a", "b", *carried).distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, *carried: str) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.withColumn("i", F.size(F.array_intersect("sa", "sb"))).filter(linked(F.col("i"), F.size("sa"), F.size("sb"), percent)).select("a", "b")
+    pairs = written(pairs, "pairs")
+    for end in "ab":
+        # a node of many pairs, like the centre of a large bucket, is dealt into parts that each get its set
+        parts = pairs.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        held = sets.join(parts, "node").select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+        most = parts.agg(F.max("parts")).first()[0] or 1
+        if most == 1:
+            joined = (pairs if end == "a" else joined).join(held.drop("part", "parts"), end)
+        else:
+            dealt = (pairs if end == "a" else joined).join(written(parts.filter("parts > 1").withColumnRenamed("node", end), "dealt"), end, "left")
+            dealt = dealt.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+            joined = dealt.join(held.drop("parts"), [end, "part"]).drop("part")
+    return joined.withColumn("i", F.size(F.array_intersect("sa", "sb"))).filter(linked(F.col("i"), F.size("sa"), F.size("sb"), percent)).select("a", "b", *carried)
 
 
 def linked(inter: Column, na: Column, nb: Column, percent: int) -> Column:
     return 100 * inter >= percent * (na + nb - inter)
 
 
-def _across(labelled: DataFrame, nodes: DataFrame, sets: DataFrame, side: int) -> DataFrame:
-    """Pairs of a bucket in different components, one end outside its largest component; each in its first bucket."""
-    parts = labelled.groupBy("table", "label").agg(F.count("*").alias("size"))
-    main = parts.groupBy("table").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = written(labelled.join(main, "table"), "open")
+def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, side: int, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components, one end outside its largest component; each in its first bucket.
+
+    ``open_`` has the members (table, node, n, i, j, label) of buckets with several components.
+    """
     who = open_.select("node", "label").distinct()
-    counted = _own_counts(sets.join(who, "node")).join(nodes.select("node", "halves"), "node")
-    open_ = open_.join(counted, "node")
-    minor = open_.filter("label <> main").select("table", "i", "j", *[F.col(c).alias(f"{k}a") for k, c in _SIDE.items()]).withColumnRenamed("ida", "a")
-    any_ = open_.select("table", *[F.col(c).alias(f"{k}b") for k, c in _SIDE.items()]).withColumnRenamed("idb", "b")
+    # linked across, a node has percent of its own shingles in other components
+    able = _own_counts(sets.join(who, "node")).filter(100 * (F.col("n") - F.col("private")) >= percent * F.col("n")).select("node", "private")
+    able = written(able.join(nodes.select("node", "halves"), "node"), "able")
+    members = written(open_.join(able, "node"), "members")
+    parts = members.groupBy("table", "label").agg(F.count("*").alias("size"))
+    main = parts.groupBy("table").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("members"), F.count("*").alias("labels")).filter("labels > 1")
+    main = written(main.select("table", "main", F.ceil(F.col("members") / PART).cast("int").alias("parts")), "main")
+    # sizes of a linked pair differ by percent at most: by one band
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    held = members.join(main, "table").withColumn("band", F.floor(F.log("n") / F.lit(width)))
+    columns = {"id": "node", "n": "n", "p": "private", "l": "label", "h": "halves"}
+    minor = held.filter("label <> main").select("table", "i", "j", *[F.col(c).alias(f"{k}a") for k, c in columns.items()], F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "parts").withColumnRenamed("ida", "a")
+    minor = minor.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    any_ = held.select("table", "band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{k}b") for k, c in columns.items()]).withColumnRenamed("idb", "b")
     first = F.lit(True)
     for k in range(2 * side):
         before = (F.col("i") > k) if k < side else (F.col("j") > k)
         first = first & ~(before & (F.col("ha")[k] == F.col("hb")[k]))
-    return minor.join(any_, "table").filter((F.col("la") != F.col("lb")) & first)
-
-
-#: What a pair holds of each end.
-_SIDE = {"id": "node", "n": "n", "p": "private", "l": "label", "h": "halves"}
+    return minor.join(any_, ["table", "band", "part"]).filter((F.col("la") != F.col("lb")) & first)
 
 
 def _own_counts(labelled_sets: DataFrame) -> DataFrame:
     """(node, n, private): sizes, and how many shingles no node of another label has."""
     spread = written(labelled_sets.select("node", F.xxhash64("label").alias("l"), F.explode("shingles").alias("s")), "spread")
-    own = spread.groupBy("s").agg(F.min("l").alias("low"), F.max("l").alias("high"), F.count("*").alias("times")).filter("low = high")
-    private = look_up(spread.select("node", "s"), own.select("s", "times"), "s", "times", spread.count()).groupBy("node").agg(F.count("*").alias("private"))
+    own = written(spread.groupBy("s").agg(F.min("l").alias("low"), F.max("l").alias("high"), F.count("*").alias("times")).filter("low = high").select("s", "times"), "own")
+    private = look_up(spread.select("node", "s"), own, "s", "times", spread.count()).groupBy("node").agg(F.count("*").alias("private"))
     return labelled_sets.select("node", F.size("shingles").cast("long").alias("n")).join(private, "node", "left").fillna(0, ["private"])

@@ -88,6 +88,41 @@ def test_near_duplicates_on_edge_rows(edge_docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_rows_without_an_id_link_their_neighbours(spark):
+    w = [f"w{k}" for k in range(120)]
+    chain = [" ".join(w), " ".join([*w[:-3], "a1", "a2", "a3"]), " ".join(["b1", "b2", *w[2:-3], "a1", "a2", "a3"])]
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(5, chain[0]), (None, chain[1]), (9, chain[2]), (None, other), (None, other + " more"), (None, " "), (3, None)]
+    sets = [shingle_set(t) for t in chain]
+    assert 100 * len(sets[0] & sets[2]) < 93 * len(sets[0] | sets[2])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df, percent=93).collect())
+    assert got == {(5, 5, True): 1, (9, 5, False): 1, (None, 5, False): 1, (None, None, True): 3, (3, 3, True): 1}
+    # without ids the components still tell rows apart
+    parts = collections.Counter(r["component"] and bytes(r["component"]) for r in near_duplicates(df, percent=93, with_digest=True).collect())
+    assert sorted(parts.values()) == [2, 2, 3]
+
+
+@pytest.mark.parametrize("part", [1, 3])
+def test_large_buckets_in_parts_lose_no_link(spark, monkeypatch, part):
+    from dealscope.llm import minhash
+
+    monkeypatch.setattr(minhash, "PART", part)
+    rows = near_corpus(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, percent=80).collect()}
+    assert got == brute_components(rows, 80)
+
+
+def test_a_family_of_one_template_is_told_apart(spark):
+    rng = random.Random(12)
+    template = [f"t{k}" for k in range(100)]
+    rows = [(k, " ".join([*template, *(f"u{k}x{j}" for j in range(rng.choice([9, 10, 11, 12, 13])))])) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, percent=80).collect()}
+    assert got == brute_components(rows, 80)
+
+
 def test_release_drops_what_was_written(spark):
     import os
 
