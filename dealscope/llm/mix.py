@@ -7,6 +7,9 @@ random direction whose chances keep every expectation, until one of them is
 wholly in or wholly out.  A fold over a block of documents leaves one open
 document; those are folded again, level by level, until a source has one, which
 is drawn.  So a source's words end within one document of its target.
+
+Equal rows (same id, source and text) are first counted: of m such rows with
+fraction f, floor(m * f) are taken once more for certain and one is open for the rest.
 """
 
 from __future__ import annotations
@@ -16,29 +19,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealscope.llm.shared import no_clash, words, written
+from dealscope.llm.shared import look_up, no_clash, words, written
+
+
+def _key(source: Column) -> Column:
+    """A key of a source that is there for null too; null sorts last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """(source, source_size, target) of the sources in ``sized`` (source, size).
+    """(source, source_size, target, rows) of the sources in ``sized`` (source, size).
 
     Sources in code point order, null last, weigh ``weights`` in turn and share
     ``share`` times all sizes; no target is above ``most`` times its source's size,
-    and what is over goes to the others by weight.  The level at which all sums up
-    is found in closed form: sources sorted by their limit in units of weight, the
-    ones before the first that is not limited are full.
+    and what is over goes to the others by weight.  Places in the order come from a
+    range partitioning and its partitions' counts.  The level, words a unit of weight,
+    rises until no more sources are above their limit; each step is one aggregation.
     """
-    sums = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    turn = (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1) % len(weights) + 1
-    s = sums.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int"))).withColumn("limit", most * F.col("source_size"))
-    by_room = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").isNull(), "source")
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_room.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy()) * share
-    s = s.withColumn("level", F.try_divide(total - F.coalesce(F.sum("limit").over(before), F.lit(0.0)), F.sum("weight").over(after)))
-    s = s.withColumn("open", F.col("level") * F.col("weight") <= F.col("limit")).withColumn("place", F.row_number().over(by_room))
-    level = F.min(F.when(F.col("open"), F.struct("place", "level"))).over(Window.partitionBy())["level"]
-    return s.select("source", "source_size", F.least(F.col("limit"), F.coalesce(level * F.col("weight"), F.col("limit"))).cast("double").alias("target"))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).withColumn("key", _key(F.col("source")).cast("binary"))
+    parted = written(sums.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "sources")
+    # a row a partition
+    before = parted.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1 + F.col("before")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    s = written(parted.join(F.broadcast(before), "part").select("source", "source_size", "rows", weight.alias("weight"), (most * F.col("source_size")).cast("double").alias("limit")), "weighted")
+    total = share * float(s.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    level, full = 0.0, -1
+    while True:
+        over = F.col("limit") < level * F.col("weight")
+        n, gone, open_ = s.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("limit"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if not open_:
+            level = float("inf")
+            break
+        if n == full:
+            break
+        level, full = (total - gone) / open_, n
+    return s.select("source", "source_size", F.least(F.col("limit"), F.lit(level) * F.col("weight")).alias("target"), "rows")
 
 
 def mix(
@@ -58,53 +74,63 @@ def mix(
     Size is the number of words; taken = size * copies, repeats counted, at most
     ``most`` (a whole number) times the size.  Documents without words are taken
     once.  Null texts have no words; null sources are a source of their own, the
-    last.  Repeated rows are documents of their own.  Draws depend on ids, sizes
-    and ``seed`` alone, so reruns agree.  Other columns are ignored.  An empty
-    table gives no rows.
+    last.  Repeated rows are documents of their own; which of them is taken once more
+    cannot be told.  Draws depend on ids, texts and ``seed`` alone, so reruns agree.
+    Other columns are ignored.  An empty table gives no rows.
     """
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "sized")
-    targets = written(source_targets(sized, weights, share, most), "targets")
-    # the sources' table is looked up by broadcast within its checked size, else by shuffle
-    small = targets.count() <= 100_000
-    joined = sized.join(F.broadcast(targets) if small else targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    groups = _copies(docs, id_col, text_col, source_col, weights, share, most, block, seed)
+    # equal rows are dealt out in two steps, so that no array grows with their number
+    step = 1 << 16
+    dealt = groups.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / step))))
+    rows = dealt.withColumn("k", F.explode(F.sequence(F.col("b") * step + 1, F.least(F.col("rows"), (F.col("b") + 1) * step))))
+    copies = (F.col("whole") + (F.col("k") <= F.col("extra")).cast("long")).alias("copies")
+    return rows.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("size"), "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def _copies(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, most: float, block: int, seed: int) -> DataFrame:
+    """(id, source, text_key, size, rows, source_size, target, whole, extra): of the rows of a group, ``extra`` are taken whole + 1 times, the others ``whole`` times."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("text_key"), words(F.col(text_col)).alias("size"))
+    sized = written(sized.groupBy("id", "source", "text_key", "size").agg(F.count("*").alias("rows")), "sized")
+    targets = written(source_targets(sized.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share, most).withColumn("key", _key(F.col("source"))).withColumnRenamed("rows", "groups").drop("source"), "targets")
+    joined = look_up(sized.withColumn("key", _key(F.col("source"))), targets, "key", "groups", sized.count())
     q = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    d = joined.withColumn("whole", F.floor(q + 1e-12)).withColumn("open", F.greatest(F.lit(0.0), (q - F.floor(q + 1e-12)) * F.col("size")))
-    unit = F.struct("id", "source", "size", "source_size", "target", "whole", F.col("open").alias("mass"))
-    closed = d.filter("size = 0 or open <= 0")
-    level = d.filter("size > 0 and open > 0").select(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("key"), F.xxhash64(F.lit(seed), "id", "size").alias("r"), unit.alias("unit"))
+    whole = F.floor(q + 1e-12)
+    more = F.greatest(F.lit(0.0), (q - whole) * F.col("rows"))
+    d = joined.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(1)).withColumn("sure", F.when(F.col("size") > 0, F.floor(more + 1e-12)).otherwise(0))
+    d = d.withColumn("open", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), more - F.col("sure")) * F.col("size")).otherwise(0.0))
+    unit = F.struct("id", "source", "text_key", "size", "rows", "source_size", "target", "whole", "sure", F.col("open").alias("mass"))
+    d = written(d.select("key", unit.alias("unit")), "units")
+    level = d.filter("unit.mass > 0").select("key", F.xxhash64(F.lit(seed), "unit.id", "unit.size", "unit.text_key").alias("r"), "unit")
     done: list[DataFrame] = []
     depth = 0
     while True:
         counts = written(level.groupBy("key").agg(F.count("*").alias("units_here")), "counts")
-        largest = counts.agg(F.max("units_here")).first()[0] or 0
-        folded = written(_fold(level, counts, block, seed + depth), "folded")
-        done.append(folded.select(F.explode("closed").alias("u")))
-        if largest <= block:
-            last = folded.select("open.*").withColumn("in", _uniform(F.lit(seed), F.lit("last"), "id", "size") * F.col("size") < F.col("mass"))
+        largest, total = counts.agg(F.max("units_here"), F.sum("units_here")).first()
+        folded = written(_fold(look_up(level, counts, "key", "units_here", total or 0), block, seed + depth), "folded")
+        done.append(folded.select(F.explode("closed").alias("u")).select("u.*", (F.col("u.mass") > 0).alias("in")))
+        if (largest or 0) <= block:
+            done.append(folded.select("open.*").withColumn("in", _uniform(F.lit(seed), F.lit("last"), "id", "size", "text_key") * F.col("size") < F.col("mass")))
             break
-        level = folded.select("key", F.xxhash64(F.lit(seed + depth + 1), "open.id", "open.size").alias("r"), F.col("open").alias("unit"))
+        level = folded.select("key", F.xxhash64(F.lit(seed + depth + 1), "open.id", "open.size", "open.text_key").alias("r"), F.col("open").alias("unit"))
         depth += 1
-    drawn = last.select("id", "size", "source_size", "target", (F.col("whole") + F.col("in").cast("long")).alias("copies"))
+    out = d.filter("unit.mass <= 0").select("unit.*", F.lit(False).alias("in"))
     for part in done:
-        drawn = drawn.unionByName(part.select("u.id", "u.size", "u.source_size", "u.target", (F.col("u.whole") + (F.col("u.mass") > 0).cast("long")).alias("copies")))
-    plain = closed.select("id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole")).otherwise(1).cast("long").alias("copies"))
-    out = drawn.unionByName(plain)
-    return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("size"), "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+        out = out.unionByName(part)
+    return out.select("id", "source", "text_key", "size", "rows", "source_size", "target", F.col("whole").cast("long").alias("whole"), (F.col("sure") + F.col("in").cast("long")).alias("extra"))
 
 
 def _uniform(*cols: Column | str) -> Column:
     return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).cast("double")
 
 
-def _fold(level: DataFrame, counts: DataFrame, block: int, seed: int) -> DataFrame:
+def _fold(level: DataFrame, block: int, seed: int) -> DataFrame:
     """Per block of units: the units now in (mass = size) or out (mass = 0), and the open one.
 
-    Small documents come last in a block, so that the open one is small.
+    ``level`` has the units of each key and their number, units_here.  Small documents come
+    last in a block, so that the open one is small.
     """
-    # one row a source; looked up by broadcast within its checked size, else by shuffle
-    small = counts.count() <= 100_000
     parts = F.ceil(F.col("units_here") / block)
-    blocks = level.join(F.broadcast(counts) if small else counts, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "r"), parts)).groupBy("key", "part")
+    blocks = level.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "r"), parts)).groupBy("key", "part")
     units = blocks.agg(F.array_sort(F.collect_list(F.struct((-F.col("unit.size")).alias("smaller"), "r", "unit"))).alias("units"))
 
     def step(acc: Column, item: Column) -> Column:
@@ -134,13 +160,21 @@ def _fold(level: DataFrame, counts: DataFrame, block: int, seed: int) -> DataFra
     return folded.select("key", "f.closed", "f.open")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 7) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as :func:`mix` takes it, same columns.
 
-    Ids are taken to name one document; of rows that share an id the largest
-    number of copies holds.
+    A row is known by id, source and text, null and shared ids included.
     """
-    copies, own = no_clash(docs, "copies"), no_clash(docs, "mixed_id")
-    chosen = mix(docs, id_col, **options).groupBy(F.col(id_col).alias(own)).agg(F.max("copies").alias(copies))
-    joined = docs.join(chosen, docs[id_col].eqNullSafe(chosen[own])).drop(own)
-    return joined.filter(F.col(copies) > 0).withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).drop(copies)
+    key, own, due = no_clash(docs, "mixed_key"), no_clash(docs, "mixed_own"), no_clash(docs, "mixed_due")
+
+    def of(i: Column, source: Column, text: Column) -> Column:
+        return F.concat_ws("/", F.hex(text), _key(i.cast("string")), _key(source))
+
+    chosen = _copies(docs, id_col, text_col, source_col, weights, share, most, block, seed)
+    chosen = chosen.select(of(F.col("id"), F.col("source"), F.col("text_key")).alias(own), "whole", "extra")
+    picked = chosen.select(own, F.struct("whole", "extra").alias(due))
+    joined = docs.withColumn(key, of(F.col(id_col), F.col(source_col), F.xxhash64(F.col(text_col)))).join(picked, F.col(key) == F.col(own))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    copies = F.col(due)["whole"] + (place <= F.col(due)["extra"]).cast("long")
+    taken = joined.withColumn(own, copies).filter(F.col(own) > 0)
+    return taken.withColumn(own, F.explode(F.array_repeat(F.lit(1), F.col(own).cast("int")))).select(*docs.columns)

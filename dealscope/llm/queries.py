@@ -33,7 +33,9 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"text_digests_{uuid.uuid4().hex}")
-    return deduplicate(_table(spark, sf_dir, "documents"), index)
+    decided = deduplicate(_table(spark, sf_dir, "documents"), index)
+    index.drop()
+    return decided
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,16 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the intermediate tables that this process has written; their number.
+def release(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Deletes the intermediate tables that this process has written, but for those that ``keep`` reads; their number.
 
-    Call it once the operators' results are stored elsewhere.
+    Call it once the operators' results are stored elsewhere, or in ``keep``.
     """
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    held = {f.rsplit("/", 1)[0] for f in keep.inputFiles()} if keep is not None else set()
+    stay = [p for p in _WRITTEN if any(h.endswith(p.split(":", 1)[-1].lstrip("/")) for h in held)]
+    gone = [p for p in _WRITTEN if p not in stay]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    _WRITTEN[:] = stay
+    return len(gone)
 
 
 #: In Arrow batches a column of whole numbers with nulls would turn to floats; their least value stands for null there.
@@ -73,6 +76,11 @@ def text_sha256(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
 
 
+def row_key(i: Column, sha256: Column) -> Column:
+    """A key of the rows with this id, null or not, and the text of this hexadecimal digest."""
+    return F.concat(F.unhex(sha256), F.when(i.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), i.cast("string"))).cast("binary"))
+
+
 def no_clash(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

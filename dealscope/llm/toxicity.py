@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.shared import given_id, held_id, text_sha256, written
+from dealscope.llm.shared import given_id, held_id, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6, 7)
@@ -218,7 +219,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled twice takes its larger label.  Without any label the machine scores 0.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
-    known = known.filter(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = written(known.filter(~held_out("id")).withColumn("draw", F.xxhash64("id")), "known")
+    # a draw below this leaves `sample` rows or a few more, so that not every task sends its lowest `sample` to the driver
+    share = (sample + 8 * sample**0.5 + 64) / max(1, known.count())
+    low = known.filter(F.col("draw") < F.lit(int(min(1.0, share) * 2.0**64 - 2.0**63 - 2048))) if share < 1 else known
+    known = low.orderBy("draw", "id").limit(sample).select("id", "y")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("y", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,9 +240,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = (np.frombuffer(t, np.int32) for t in pdf["terms"])
             yield pd.DataFrame({"y": pdf["y"], "terms": [r[np.isin(r, strong, assume_unique=True)].tobytes() for r in rows]})
 
-    # at most `sample` rows of at most `kept` buckets; sorted, so that fits agree
-    found = sorted((bytes(r[1]), r[0]) for r in held.mapInPandas(only, "y int, terms binary").collect())
-    return descend([np.frombuffer(t, np.int32) for t, _ in found], np.array([y for _, y in found], int), strong, bits=bits)
+    # at most `sample` rows of at most `kept` buckets, as Arrow; sorted, so that fits agree
+    found = held.mapInPandas(only, "y int, terms binary").toArrow().sort_by([("terms", "ascending"), ("y", "ascending")])
+    rows = [np.frombuffer(t, np.int32) for t in found["terms"].to_pylist()]
+    return descend(rows, found["y"].to_numpy().astype(int), strong, bits=bits)
 
 
 def _table_counts(held: DataFrame, wanted: np.ndarray | None) -> Counts:
@@ -260,17 +266,18 @@ def _table_counts(held: DataFrame, wanted: np.ndarray | None) -> Counts:
 
     def part(k: str, of: int, share: Column) -> Column:
         inside, outside = F.col(k), F.lit(of) - F.col(k)
-        return F.when(inside > 0, inside * F.log(inside / (of * share))).otherwise(0.0) + F.when(outside > 0, outside * F.log(outside / (of * (1 - share)))).otherwise(0.0)
+        # null, and so not standing out, where one of the labels has no rows
+        return F.when(inside > 0, inside * F.log(F.try_divide(inside, of * share))).otherwise(0.0) + F.when(outside > 0, outside * F.log(F.try_divide(outside, of * (1 - share)))).otherwise(0.0)
 
     share = (F.col("p") + F.col("n")) / F.lit(float(max(1, pos + neg)))
     ratio = 2 * (part("p", max(1, pos), share) + part("n", max(1, neg), share))
-    strong = sums.filter((F.col("bucket") >= 0) & (F.col("p") + F.col("n") >= _FEWEST) & (F.coalesce(ratio, F.lit(0.0)) > (_CHANCE - 0.1) ** 2)).collect()
-    bucket, p, n = (np.array([r[k] for r in strong], dtype=np.int64) for k in range(3))
+    strong = sums.filter((F.col("bucket") >= 0) & (F.col("p") + F.col("n") >= _FEWEST) & (F.coalesce(ratio, F.lit(0.0)) > (_CHANCE - 0.1) ** 2)).toArrow()
+    bucket, p, n = (strong[c].to_numpy() for c in ("bucket", "p", "n"))
     return Counts(pos, neg, bucket.astype(np.int32), p, n)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 30_000, bits: int = 20, machine: Machine | None = None, with_digest: bool = False) -> DataFrame:
-    """One row a document: id, held_out, score in 0 to 1, predicted (1 from 0.5 on); text_sha256 with ``with_digest``.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 30_000, bits: int = 20, machine: Machine | None = None) -> DataFrame:
+    """One row a document: id, held_out, score in 0 to 1, predicted (1 from 0.5 on).
 
     Whole texts are scored, and by their text alone; null and empty texts have
     the score of a text without terms.  Repeated rows give repeated results; a null
@@ -278,8 +285,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     gives no rows.
     """
     machine = machine or train(docs, labels, id_col, text_col, label_col, sample=sample, bits=bits)
-    digest = [text_sha256(text_col).alias("text_sha256")] if with_digest else []
-    source = docs.select(held_id(docs, id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), *digest)
+    source = docs.select(held_id(docs, id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -287,8 +293,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         score = shared.value.scorer()
         for pdf in batches:
             s = np.array([score(t) for t in pdf["text"]], dtype=float)
-            carried = {"text_sha256": pdf["text_sha256"]} if with_digest else {}
-            yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32), **carried})
+            yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    out = source.mapInPandas(run, f"id {kind}, held_out boolean, score double, predicted int" + (", text_sha256 string" if with_digest else ""))
+    out = source.mapInPandas(run, f"id {kind}, held_out boolean, score double, predicted int")
     return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 30_000, bits: int = 20, machine: Machine | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text the machine does not predict toxic; all columns stay, and nothing is shuffled.
+
+    Each row is decided by its own text, so null, shared and repeated ids make no difference.
+    """
+    machine = machine or train(docs, labels, id_col, text_col, label_col, sample=sample, bits=bits)
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = shared.value.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -166,6 +166,37 @@ def test_digest_index_keeps_what_came_first(spark):
     assert spark.sql(f"DESCRIBE EXTENDED {held.table}").filter("col_name = 'Num Buckets'").first()[1] == "4"
 
 
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_batches_go_through_the_anti_join_and_append(spark, monkeypatch, batches):
+    rng = random.Random(batches)
+    rows = [(rng.choice([None, rng.randrange(-50, 50)]), rng.choice([None, "", *"abcdefgh"])) for _ in range(300)]
+    plans, added = [], []
+    plain = DigestIndex.not_held
+
+    def seen(self, digests):
+        out = plain(self, digests)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        added.append(out.count())
+        return out
+
+    monkeypatch.setattr(DigestIndex, "not_held", seen)
+    held = index(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter(map(tuple, deduplicate(df, held, batches=batches).collect()))
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    keep = {t: max((i for i in own if i is not None), default=None) for t, own in groups.items()}
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in groups}
+    assert got == collections.Counter((i, keep[t or ""], len(groups[t or ""]), i == keep[t or ""], digest[t or ""]) for i, t in rows)
+    # the first batch founds the index; each later one is anti-joined by sort-merge, without a shuffle of the index
+    assert len(plans) == batches and sum(added) == len(groups) == held.read().count()
+    for p in plans[1:]:
+        assert "SortMergeJoin" in p and "LeftAnti" in p and p.count("Exchange") == p.split("LeftAnti")[1].count("Exchange") <= 2
+    held.drop()
+    assert not held.exists()
+
+
 def plain_cuts(text, bits=4, shortest=16, seed=3):
     """Byte offsets of cuts by the rolling form of the gear hash."""
     from dealscope.llm.chunks import _gear

@@ -331,46 +331,3 @@ def test_boilerplate_edges(edge_docs, no_docs):
     got = without_boilerplate(edge_docs, least_sites=2).collect()
     assert len(got) == 10 and sum(r["n_removed"] for r in got) == 3
     assert without_boilerplate(no_docs).count() == 0
-
-
-def test_pipeline_decides_on_rows_of_null_and_shared_ids(spark, monkeypatch):
-    import corpus_pipeline
-
-    w = [f"w{k}" for k in range(80)]
-    other = " ".join(f"v{k}" for k in range(80))
-    text, near = " ".join(w), " ".join([*w[:-1], "end"])
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-
-    def rows(*pairs):
-        return spark.createDataFrame([(i, t, "en", "a", 1) for i, t in pairs], schema)
-
-    def left(df):
-        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
-
-    def scored(docs, labels, with_digest):
-        bad = F.when(F.col("text").contains("w1"), 1).otherwise(0)
-        return docs.select("doc_id", bad.alias("predicted"), F.sha2("text", 256).alias("text_sha256"))
-
-    monkeypatch.setattr(corpus_pipeline, "toxicity", scored)
-    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.mode("overwrite").parquet(f"{(at := tempfile.mkdtemp())}/labels.parquet")
-    assert left(corpus_pipeline.toxicity_stage(spark, rows((None, other), (None, text), (3, other), (3, text)), at)) == sorted([(None, other), (3, other)], key=str)
-    assert left(corpus_pipeline.exact_stage(spark, rows((None, other), (None, text), (3, text), (None, text)), at)) == sorted([(None, other), (3, text)], key=str)
-    assert left(corpus_pipeline.exact_stage(spark, rows((4, None), (4, "")), at)) in ([(4, None)], [(4, "")])
-    assert left(corpus_pipeline.near_stage(spark, rows((None, other), (None, text.upper()), (3, text)), at)) == sorted([(None, other), (3, text)], key=str)
-    assert len(left(corpus_pipeline.near_stage(spark, rows((5, text), (5, near), (6, other)), at))) == 2
-
-
-def test_pipeline_stages(spark, sf):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = {r[0] for r in docs.select("doc_id").collect()}
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "minhash near-dedup", "mix sources", "byte-level bpe"]
-    out = corpus_pipeline.run(spark, sf).collect()
-    assert out and {r["doc_id"] for r in out} <= before
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    for r in out:
-        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
-    kept = corpus_pipeline.exact_stage(spark, docs, sf)
-    assert kept.columns == corpus_pipeline.COLUMNS and kept.count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
-    assert json.dumps(sorted(before))
