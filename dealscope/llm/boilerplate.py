@@ -1,24 +1,16 @@
-"""Cross-site boilerplate lines by distinct-site spread.
+"""Cross-site boilerplate lines by distinct-site spread, in DataFrame operations.
 
-Each line hash gets a HyperLogLog sketch of the sites it is on; sketches merge by
-aggregation.  Lines whose estimate is near the threshold get an exact distinct
-count.  Lines seen fewer times than the threshold cannot reach it and
-need no sketch.
+Each line hash gets a HyperLogLog sketch of the sites it is on; sketches are built
+where the lines are read and merge by aggregation.  Lines whose estimate is near the
+threshold get an exact distinct count.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.shared import given_id, held_id, look_up, written
-
-#: Up to so many boilerplate lines (16 bytes each) go to every task; more are joined by shuffle.
-BROADCAST_LINES = 200_000
+from dealscope.llm.shared import look_up, written
 
 
 def _hash(line: Column) -> Column:
@@ -32,60 +24,50 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
 
 
 def spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, least_sites: int = 5, log_k: int = 12) -> DataFrame:
-    """(h, sites): hashes of the lines on ``least_sites`` sites or more.
+    """(h, sites, times): hashes of the lines on ``least_sites`` sites or more, and how often they occur.
 
-    ``sites`` is exact below twice the threshold, else estimated.
+    ``sites`` is exact below twice the threshold, else estimated.  At such small counts a
+    sketch is off only where sites share one of its 2^26 values, so that a
+    line on ``least_sites`` sites is never estimated at half of them.
     """
     lines = lines_of(docs, id_col, text_col, site_col).select("h", "site")
-    pairs = written(lines.groupBy("h", "site").agg(F.count("*").alias("times")), "lines")
-    often = pairs.groupBy("h").agg(F.count("*").alias("parts")).filter(F.col("parts") >= max(2, least_sites // 2))
-    held = look_up(pairs, often, "h", "parts", pairs.count())
-    sketched = held.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", log_k)).alias("estimate"), F.count("*").alias("parts"))
+    # sketches take no notice of empty strings
+    site = F.concat(F.lit("="), F.col("site"))
+    sketched = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg(site, log_k)).alias("estimate"), F.count("*").alias("times"))
     sketched = written(sketched.filter(2 * F.col("estimate") >= least_sites), "sketched")
-    near = look_up(pairs, sketched.filter(F.col("estimate") < 2 * least_sites).select("h", "parts"), "h", "parts", pairs.count())
-    exact = near.groupBy("h").agg(F.count_distinct("site").alias("sites"))
-    far = sketched.filter(F.col("estimate") >= 2 * least_sites).select("h", F.col("estimate").cast("long").alias("sites"))
+    near = sketched.filter(F.col("estimate") < 2 * least_sites).select("h", "times")
+    met = look_up(lines, near, "h", "times", _sum(near))
+    exact = met.groupBy("h").agg(F.count_distinct("site").alias("sites"), F.count("*").alias("times"))
+    far = sketched.filter(F.col("estimate") >= 2 * least_sites).select("h", F.col("estimate").cast("long").alias("sites"), "times")
     return exact.filter(F.col("sites") >= least_sites).unionByName(far)
 
 
+def _sum(lines: DataFrame) -> int:
+    return lines.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+
+
 def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, least_sites: int = 5, log_k: int = 12) -> DataFrame:
     """One row a document: id, n_lines, n_removed, text.
 
     Lines that are on ``least_sites`` distinct sites or more are taken out; ``text`` is the
     other lines, in order, joined as they were.  Lines end at newlines and are compared whole; blank
     lines stay.  A null site is one site, the empty string.  Null texts stay null with no
-    lines; an empty text has one line, a blank one.  Repeated rows give repeated results and count as one site.  Other
+    lines; an empty text has one line, a blank one.  A row is known by its id and its text, so null
+    and shared ids are no matter; repeated rows give repeated results and count as one site.  Other
     columns are ignored; an empty table gives no rows.
     """
-    spread = written(spread_lines(docs, id_col, text_col, site_col, least_sites=least_sites, log_k=log_k).select("h"), "spread")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if spread.count() <= BROADCAST_LINES:
-        return _with_set(source, {bytes(r[0]) for r in spread.collect()}, id_col)
-    # a row is known by its id and its text, as ids may be null or shared
-    places = lines_of(docs, id_col, text_col, site_col).join(spread, "h", "left_semi").groupBy(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.collect_set("pos").alias("gone"))
-    joined = source.withColumn("row", _hash(F.col("text"))).join(places, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left").withColumn("lines", F.split("text", "\n", -1))
-    keep = F.filter("lines", lambda x, k: ~F.coalesce(F.array_contains("gone", k), F.lit(False)))
-    out = joined.select("id", "lines", keep.alias("keep"))
-    n = F.coalesce(F.size("lines"), F.lit(0))
-    return out.select(F.col("id").alias(id_col), F.when(F.col("lines").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col("lines").isNull(), 0).otherwise(n - F.size("keep")).cast("long").alias("n_removed"), F.array_join("keep", "\n").alias("text"))
-
-
-def _with_set(source: DataFrame, gone: set[bytes], id_col: str) -> DataFrame:
-    held = source.sparkSession.sparkContext.broadcast(gone)
-    kind = source.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gone, md5 = held.value, hashlib.md5
-        for pdf in batches:
-            rows = []
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                if text is None:
-                    rows.append((i, 0, 0, None))
-                    continue
-                lines = text.split("\n")
-                keep = [x for x in lines if md5(x.encode("utf-8", "surrogatepass")).digest() not in gone]
-                rows.append((i, len(lines), len(lines) - len(keep), "\n".join(keep)))
-            yield pd.DataFrame(rows, columns=["id", "n_lines", "n_removed", "text"])
-
-    out = source.withColumn("id", held_id(source, "id")).mapInPandas(run, f"id {kind}, n_lines long, n_removed long, text string")
-    return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)
+    spread = written(spread_lines(docs, id_col, text_col, site_col, least_sites=least_sites, log_k=log_k).select("h", "times"), "spread")
+    met = look_up(lines_of(docs, id_col, text_col, site_col).select("id", "row", "pos", "h"), spread, "h", "times", _sum(spread))
+    places = met.groupBy(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", _hash(F.col("text")))
+    joined = source.join(places, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left").withColumn("lines", F.split("text", "\n", -1))
+    # the lines between one place and the next, from before the first to behind the last
+    before, behind = F.concat(F.array(F.lit(-1)), F.col("gone")), F.concat(F.col("gone"), F.array(F.size("lines")))
+    left = F.flatten(F.zip_with(before, behind, lambda a, b: F.slice("lines", a + 2, b - a - 1)))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
+    return joined.select(
+        F.col("id").alias(id_col),
+        n.cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+    )

@@ -32,12 +32,11 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 4, rate:
     """Newton boosting on the logistic loss; splits at quantile bins of each feature."""
     n, p = x.shape
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(p)]
-    binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
+    binned = [np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)]
     base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     score = np.full(n, base)
     inner = (1 << depth) - 1
     features, thresholds, values = [], [], []
-    cols = np.arange(p) * bins
     for _ in range(trees):
         prob = 1 / (1 + np.exp(-score))
         g, h = y - prob, prob * (1 - prob)
@@ -46,9 +45,13 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 40, depth: int = 4, rate:
         for d in range(depth):
             first = (1 << d) - 1
             width = 1 << d
-            key = ((at - first)[:, None] * p * bins + cols + binned).ravel()
-            gs = np.bincount(key, np.repeat(g, p), width * p * bins).reshape(width, p, bins).cumsum(axis=2)
-            hs = np.bincount(key, np.repeat(h, p), width * p * bins).reshape(width, p, bins).cumsum(axis=2)
+            held = (at - first) * bins
+            gs, hs = np.empty((width, p, bins)), np.empty((width, p, bins))
+            for j in range(p):
+                key = held + binned[j]
+                gs[:, j] = np.bincount(key, g, width * bins).reshape(width, bins)
+                hs[:, j] = np.bincount(key, h, width * bins).reshape(width, bins)
+            gs, hs = gs.cumsum(axis=2), hs.cumsum(axis=2)
             gt, ht = gs[:, :, -1:], hs[:, :, -1:]
             gain = gs**2 / (hs + ridge) + (gt - gs) ** 2 / (ht - hs + ridge) - gt**2 / (ht + ridge)
             best = gain.reshape(width, -1).argmax(axis=1)

@@ -20,9 +20,11 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from dealscope.llm.shared import given_id, held_id
 
@@ -155,6 +157,19 @@ def loaded(vocabulary: str, pattern: str) -> Bpe:
     return Bpe(read_ranks(vocabulary), pattern)
 
 
+def with_token_counts(df: DataFrame, vocabulary: str, pattern: str, text_col: str, name: str) -> DataFrame:
+    """``df`` with the number of tokens of a text column in ``name``; null and empty texts have none. All columns stay as they are."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(vocabulary, pattern)
+        for batch in batches:
+            counts = pa.array([len(bpe.encode(t or "")) // 4 for t in batch.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
     """One row a document: id, n_tokens, ids_sha256, decoded_sha256, and ids and decoded unless ``digests_only``.
 

@@ -1,11 +1,13 @@
-"""Chat formatting in budgeted, turn-aligned windows, by DataFrame operations.
+"""Chat formatting in budgeted, turn-aligned windows.
 
-Prefix sums of turn tokens choose the windows: a turn belongs to the window in
-whose stride it starts.  The sums are built in two steps, over segments of turns
-and then inside a segment, so that one long conversation is not summed in a
-single task.  A window repeats the turns that started less than ``history`` tokens
-before it, and the last system turn before it; what is repeated is not under the
-loss mask, so each assistant text is a target once.
+Prefix sums of turn tokens choose the windows: each takes as many whole turns as fit
+beside the retained system turn and the history, then as much of the history as is
+left room for.  What is repeated is not under the loss mask, so each assistant text is a
+target once.
+
+Conversations are packed in segments of turns, so that a long one is no single task;
+a segment begins a new window, and is handed the last turns and the last system turn
+before it.
 
 A formatted turn is ``<turn role>text</turn>`` and a newline.  Backslash, ``<``, ``>`` in
 roles and texts are written as backslash and b, l, g, so that no text can
@@ -15,81 +17,141 @@ hold a mark, and every text can be read back.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealscope.llm.shared import given_id, held_id, words
+from dealscope.llm.shared import given_id, held_id, words, written
 
 OPEN, BODY, CLOSE = "<turn ", ">", "</turn>\n"
+#: Tokens that a turn costs besides its text.
+MARKS = 4
+
 
+class Turn(NamedTuple):
+    pos: int
+    role: str
+    text: str
+    tokens: int
 
-def escaped(text: Column) -> Column:
-    out = F.coalesce(text, F.lit(""))
-    for plain, mark in (("\\", "\\b"), ("<", "\\l"), (">", "\\g")):
-        out = F.replace(out, F.lit(plain), F.lit(mark))
-    return out
+
+def escaped(text: str) -> str:
+    return text.replace("\\", "\\b").replace("<", "\\l").replace(">", "\\g")
 
 
 def unescaped(text: str) -> str:
     return text.replace("\\g", ">").replace("\\l", "<").replace("\\b", "\\")
 
 
-def windows(conversations: DataFrame, id_col: str = "conv_id", *, budget: int = 2048, history: int = 256, segment: int = 64) -> DataFrame:
-    """One row a window: id, window_no, text, turns, loss_spans.
+def packed(turns: list[Turn], tail: list[Turn], system: Turn | None, budget: int, history: int) -> Iterator[list[tuple[Turn, bool]]]:
+    """Windows of a segment: its turns in order, each with whether it is repeated.
+
+    ``tail`` are the turns right before the segment, ``system`` is the last system turn before it.
+    A window has its system turn, turns right before its own of ``history`` tokens at most,
+    and turns of its own; all together keep to ``budget``, unless the system turn and a single
+    turn of its own exceed it, and then it has no history.
+    """
+    ends = list(accumulate(t.tokens for t in turns))
+    before = tail + turns
+    a = 0
+    while a < len(turns):
+        held = system.tokens if system else 0
+        start = ends[a - 1] if a else 0
+        b = max(a + 1, bisect_right(ends, start + budget - history - held))
+        left = min(history, budget - held - (ends[b - 1] - start))
+        h = a + len(tail)
+        while h > 0 and before[h - 1].tokens <= left:
+            h -= 1
+            left -= before[h].tokens
+        repeated = before[h : a + len(tail)]
+        if system and all(t.pos != system.pos for t in repeated):
+            repeated = [system, *repeated]
+        yield [*((t, True) for t in repeated), *((t, False) for t in turns[a:b])]
+        system = next((t for t in reversed(turns[a:b]) if t.role == "system"), system)
+        a = b
+
+
+def formatted(window: list[tuple[Turn, bool]]) -> tuple[str, list[dict]]:
+    """The text of a window, and the spans of its targets: assistant texts that are not repeated."""
+    parts, at, spans = [], 0, []
+    for t, repeated in window:
+        head, body = f"{OPEN}{escaped(t.role)}{BODY}", escaped(t.text)
+        if t.role == "assistant" and not repeated:
+            spans.append({"start": at + len(head), "end": at + len(head) + len(body)})
+        parts += [head, body, CLOSE]
+        at += len(head) + len(body) + len(CLOSE)
+    return "".join(parts), spans
+
+
+def windows(conversations: DataFrame, id_col: str = "conv_id", *, budget: int = 2048, history: int = 256, segment: int = 64, tokens_col: str | None = None) -> DataFrame:
+    """One row a window: id, window_no, tokens, text, turns, loss_spans.
 
     ``turns`` lists (pos, repeated) of the turns in the window in order, ``loss_spans``
     the (start, end) characters of the window's text that are targets: the texts of
-    assistant turns that are not repeated.  Turns are in order of turn, then role,
-    then text, and are never cut: a window exceeds ``budget`` only by the turn that
-    starts last in it.  Null texts and roles are empty; null turns come first; rows of
-    a null conversation are one conversation; repeated rows are turns of their own.
-    Other columns are ignored.  An empty table gives no windows.
+    assistant turns that are not repeated.  window_no is the position of the first turn that
+    is not.  A turn has the tokens of ``tokens_col``, or else as many as words, and MARKS more.
+    Windows keep to ``budget`` as :func:`packed` says; the system turn counts.  Turns are in order
+    of turn, then role, then text, and are never cut; turn // ``segment`` is a turn's segment, and
+    the history reaches back one segment at most.  Null texts and roles are empty; null turns come
+    first; rows of a null conversation are one conversation; repeated rows are turns of their
+    own.  Other columns are ignored.  An empty table gives no windows.
     """
-    stride = max(1, budget - history)
-    t = conversations.select(F.col(id_col).alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("tokens", words(F.col("text")) + 4).withColumn("seg", F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / segment))
-    per_seg = t.groupBy("conv", "seg").agg(F.sum("tokens").alias("seg_tokens"), F.count("*").alias("seg_rows"))
-    earlier = Window.partitionBy("conv").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    per_seg = per_seg.select(F.col("conv").alias("c"), F.col("seg").alias("s"), F.coalesce(F.sum("seg_tokens").over(earlier), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum("seg_rows").over(earlier), F.lit(0)).alias("rows_before"))
-    inside = Window.partitionBy("conv", "seg").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    local = t.withColumn("start", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")).withColumn("row", F.row_number().over(inside) - 1)
-    placed = local.join(per_seg, local["conv"].eqNullSafe(per_seg["c"]) & (local["seg"] == per_seg["s"])).select(
-        "conv", "role", "text", (F.col("rows_before") + F.col("row")).alias("pos"), (F.col("tokens_before") + F.col("start")).alias("start")
-    )
-    placed = placed.withColumn("own", F.floor(F.col("start") / stride))
-    # a turn is shown in its own window, and in the next one if that starts within the history
-    near = F.floor((F.col("start") + history) / stride)
-    shown = placed.withColumn("window_no", F.explode(F.when(near > F.col("own"), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
-    in_window = Window.partitionBy("conv", "window_no")
-    shown = shown.withColumn("lives", F.max((F.col("own") == F.col("window_no")).cast("int")).over(in_window)).filter("lives = 1")
-    turn = F.struct(F.col("pos"), (F.col("own") < F.col("window_no")).alias("repeated"), "role", "text")
-    packed = shown.groupBy("conv", "window_no").agg(
-        F.array_sort(F.collect_list(turn)).alias("shown"), F.max(F.when((F.col("role") == "system") & (F.col("own") == F.col("window_no")), turn)).alias("system")
-    )
-    before = Window.partitionBy("conv").orderBy("window_no").rowsBetween(Window.unboundedPreceding, -1)
-    packed = packed.withColumn("held", F.last("system", ignorenulls=True).over(before))
-    held = F.when(F.col("held").isNotNull() & ~F.exists("shown", lambda x: x["pos"] == F.col("held")["pos"]), F.array(F.col("held").withField("repeated", F.lit(True)))).otherwise(F.array().cast(packed.schema["shown"].dataType))
-    packed = packed.select("conv", "window_no", F.concat(held, "shown").alias("shown"))
-    parts = F.transform("shown", lambda x: F.struct(x["pos"].alias("pos"), x["repeated"].alias("repeated"), x["role"].alias("role"), F.concat(F.lit(OPEN), escaped(x["role"]), F.lit(BODY)).alias("head"), escaped(x["text"]).alias("body")))
-    packed = packed.select("conv", "window_no", parts.alias("parts"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def walk(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["head"])
-        end = begin + F.length(x["body"])
-        target = (x["role"] == "assistant") & ~x["repeated"]
-        return F.struct((end + len(CLOSE)).alias("at"), F.when(target, F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
-
-    return packed.select(
-        F.col("conv").alias(id_col),
-        "window_no",
-        F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "").alias("text"),
-        F.transform("parts", lambda x: F.struct(x["pos"].alias("pos"), x["repeated"].alias("repeated"))).alias("turns"),
-        F.aggregate("parts", zero, walk, lambda acc: acc["spans"]).alias("loss_spans"),
+    tokens = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else words(F.col("text"))
+    t = conversations.select(F.col(id_col).alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (tokens + MARKS).alias("tokens"))
+    t = t.withColumn("seg", F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / segment))
+    held = written(t.groupBy("conv", "seg").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("turns")), "turns")
+
+    # what a segment hands on: at most `history` tokens of turns, and one system turn
+    none = F.filter("turns", lambda x: F.lit(False))
+    nearest = F.aggregate(
+        F.reverse(F.slice("turns", -F.least(F.size("turns"), F.lit(history // MARKS + 1)), F.lit(history // MARKS + 1))),
+        F.struct(F.lit(0).cast("long").alias("sum"), none.alias("turns")),
+        lambda acc, x: F.struct((acc["sum"] + x["tokens"]).alias("sum"), F.when(acc["sum"] + x["tokens"] <= history, F.concat(F.array(x), acc["turns"])).otherwise(acc["turns"]).alias("turns")),
+        lambda acc: acc["turns"],
     )
+    last = F.transform("turns", lambda x, k: F.struct(k.cast("long").alias("pos"), x.alias("turn")))
+    handed = held.select("conv", "seg", F.size("turns").cast("long").alias("n"), nearest.alias("tail"), F.try_element_at(F.filter(last, lambda x: x["turn"]["role"] == "system"), F.lit(-1)).alias("system"))
+    by_seg = Window.partitionBy("conv").orderBy("seg")
+    earlier = by_seg.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = handed.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    numbered = numbered.withColumn("system", F.when(F.col("system").isNotNull(), F.struct((F.col("system.pos") + F.col("first")).alias("pos"), F.col("system.turn").alias("turn"))))
+    placed = numbered.select(F.col("conv").alias("c"), F.col("seg").alias("s"), "first", F.lag("tail").over(by_seg).alias("tail"), F.last("system", ignorenulls=True).over(earlier).alias("system"))
+    joined = held.join(placed, held["conv"].eqNullSafe(placed["c"]) & (held["seg"] == placed["s"])).select("conv", "turns", "first", "tail", "system")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([batch.schema.field("conv"), *_WINDOW])
+            for k in range(0, batch.num_rows, 256):
+                out = []
+                for row in batch.slice(k, 256).to_pylist():
+                    tail = row["tail"] or []
+                    turns = [Turn(row["first"] + i, x["role"], x["text"], x["tokens"]) for i, x in enumerate(row["turns"])]
+                    near = [Turn(row["first"] - len(tail) + i, x["role"], x["text"], x["tokens"]) for i, x in enumerate(tail)]
+                    s = row["system"]
+                    system = Turn(s["pos"], s["turn"]["role"], s["turn"]["text"], s["turn"]["tokens"]) if s else None
+                    for window in packed(turns, near, system, budget, history):
+                        text, spans = formatted(window)
+                        out.append({"conv": row["conv"], "window_no": next(t.pos for t, repeated in window if not repeated), "tokens": sum(t.tokens for t, _ in window), "text": text, "turns": [{"pos": t.pos, "repeated": repeated} for t, repeated in window], "loss_spans": spans})
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    kind = held.schema["conv"].dataType.simpleString()
+    out = joined.mapInArrow(run, f"conv {kind}, window_no long, tokens long, text string, turns array<struct<pos:bigint,repeated:boolean>>, loss_spans array<struct<start:bigint,end:bigint>>")
+    return out.withColumnRenamed("conv", id_col)
+
+
+_WINDOW = [
+    pa.field("window_no", pa.int64()),
+    pa.field("tokens", pa.int64()),
+    pa.field("text", pa.string()),
+    pa.field("turns", pa.list_(pa.struct([("pos", pa.int64()), ("repeated", pa.bool_())]))),
+    pa.field("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+]
 
 
 def read_back(text: str) -> list[tuple[str, str]]:
@@ -101,14 +163,14 @@ def read_back(text: str) -> list[tuple[str, str]]:
     return found
 
 
-def read_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
+def read_digests(chats: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """One row a conversation, read from its windows: turns, loss text and sizes.
 
     Windows are streamed in order, so no conversation is held as a whole.  Repeated
     turns are skipped; the text under the loss mask is cut out by the spans and unescaped.
     """
-    kind = formatted.schema[id_col].dataType.simpleString()
-    source = formatted.select(held_id(formatted, id_col).alias("conv"), "window_no", "text", F.transform("turns", lambda x: x["repeated"]).alias("repeated"), F.transform("loss_spans", lambda x: F.array(x["start"], x["end"])).alias("spans"))
+    kind = chats.schema[id_col].dataType.simpleString()
+    source = chats.select(held_id(chats, id_col).alias("conv"), "window_no", "text", F.transform("turns", lambda x: x["repeated"]).alias("repeated"), F.transform("loss_spans", lambda x: F.array(x["start"], x["end"])).alias("spans"))
     source = source.repartition("conv").sortWithinPartitions("conv", "window_no")
     names = ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 

@@ -35,8 +35,12 @@ class DigestIndex:
         return dealt.hint("merge").join(self.read().select("digest"), "digest", "left_anti") if self.exists() else dealt
 
     def add(self, digests: DataFrame) -> None:
-        """Append the digests not yet held; ``digests`` has one row (digest, keep_id) a digest."""
-        self.not_held(digests).select("digest", "keep_id").write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+        """Append the digests not yet held; ``digests`` has one row (digest, keep_id) a digest.
+
+        Rows are dealt by their bucket, so that an append adds one file a bucket, however many partitions there are.
+        """
+        new = self.not_held(digests).select("digest", "keep_id").repartition(F.pmod(F.hash("digest"), F.lit(self.buckets)))
+        new.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")

@@ -1,11 +1,10 @@
 """GIF: writing samples losslessly, and reading files back as timed frames.
 
-The writer stores 8-bit samples as palette indices.  Its code stream clears the
-string table before codes grow past nine bits, so that every code is a literal; such
-a stream is valid LZW, costs 9 bits a sample, and is packed by numpy.  The reader
-takes any LZW stream: stretches of literals between two clears are unpacked at
-once, other stretches code by code.  Frames are composed on the canvas with
-palettes, transparency and disposal.
+The writer stores 8-bit samples as palette indices, compressed by LZW with growing
+codes and a clear when the table is full.  How wide a code is follows from its place
+after the last clear alone, so codes are packed and unpacked by numpy, and only the
+string table is kept code by code.  Frames are composed on the canvas with palettes,
+transparency and disposal, one at a time.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,8 +23,10 @@ from pyspark.sql import functions as F
 from dealscope.llm.shared import given_id, held_id
 
 WIDTH = 64
-#: Samples between clears: the decoder's table must not reach 512 entries.
-_RUN = 250
+#: Fixed values of the format: entries of a full string table, and bits of its codes.
+FULL, WIDEST = 4096, 12
+#: Pixels of a canvas or a picture block; files that claim more are read as cut off there.
+MOST_PIXELS = 1 << 24
 
 
 @dataclass
@@ -52,16 +53,59 @@ def grey() -> np.ndarray:
     return np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
 
-def packed_literals(samples: np.ndarray) -> bytes:
-    """The LZW stream of 8-bit samples with a clear before every run, in 9-bit codes."""
-    n = len(samples)
-    runs = -(-n // _RUN)
-    codes = np.full(n + runs + 1, 256, np.uint16)
-    at = np.arange(n)
-    codes[at + at // _RUN + 1] = samples
-    codes[-1] = 257
-    bits = ((codes[:, None] >> np.arange(9, dtype=np.uint16)) & 1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+def _regions(least: int) -> Iterator[tuple[int, int]]:
+    """(width, number) of the codes after a clear, in turn; the last width goes on for ever."""
+    yield least + 1, (1 << least) - 1
+    for width in range(least + 2, WIDEST):
+        yield width, 1 << (width - 1)
+    while True:
+        yield WIDEST, FULL
+
+
+def _widths(n: int, least: int) -> np.ndarray:
+    found, left = [], n
+    for width, number in _regions(least):
+        found.append(np.full(min(number, left), width, np.int64))
+        left -= len(found[-1])
+        if not left:
+            return np.concatenate(found)
+    raise AssertionError
+
+
+def compressed(samples: bytes) -> bytes:
+    """The LZW stream of 8-bit samples."""
+    clear, stop, first = 256, 257, 258
+    codes, begins = [clear], [1]
+    add, n, table = codes.append, first, {}
+    get = table.get
+    rest = iter(samples)
+    run = next(rest, None)
+    for s in rest:
+        longer = run << 8 | s
+        code = get(longer)
+        if code is not None:
+            run = code
+            continue
+        add(run)
+        table[longer] = n
+        n += 1
+        run = s
+        if n == FULL:
+            add(clear)
+            begins.append(len(codes))
+            table.clear()
+            n = first
+    if run is not None:
+        add(run)
+    add(stop)
+    held = np.array(codes, np.int64)
+    widths = np.concatenate([[9], *(_widths(b - a, 8) for a, b in zip(begins, [*begins[1:], len(codes)], strict=True))])
+    at = np.cumsum(widths) - widths
+    bits = np.zeros(int(widths.sum()), np.uint8)
+    for k in range(WIDEST):
+        wide = widths > k
+        bits[at[wide] + k] = held[wide] >> k & 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def write(frames: list[Frame], width: int, height: int) -> bytes:
@@ -75,7 +119,7 @@ def write(frames: list[Frame], width: int, height: int) -> bytes:
         out.append(struct.pack("<BHHHHB", 0x2C, f.left, f.top, w, h, 0x87 if own else 0))
         if own:
             out.append(f.palette.tobytes())
-        data = packed_literals(f.samples.ravel())
+        data = compressed(f.samples.tobytes())
         out.append(b"\x08")
         out += [bytes([len(data[k : k + 255])]) + data[k : k + 255] for k in range(0, len(data), 255)]
         out.append(b"\0")
@@ -84,123 +128,141 @@ def write(frames: list[Frame], width: int, height: int) -> bytes:
 
 
 def unpacked(data: bytes, least: int, n: int) -> np.ndarray:
-    """Up to ``n`` samples of a whole LZW stream; ``least`` is its smallest code size in bits."""
+    """``n`` samples of an LZW stream, 0 where it gives fewer; ``least`` is its smallest code size in bits."""
     clear, stop = 1 << least, (1 << least) + 1
     bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    out = np.zeros(n, np.uint8)
+    parts: list[bytes] = []
     done, at, total = 0, 0, len(bits)
-    start_width = least + 1
-    weights = (1 << np.arange(start_width)).astype(np.uint16)
-    # codes of the first width after a clear: one enters the table from the second on
-    room = (1 << start_width) - clear - 1
-    while done < n and at + start_width <= total:
-        span = min(room, (total - at) // start_width)
-        codes = bits[at : at + span * start_width].reshape(span, start_width) @ weights
-        other = np.flatnonzero(codes >= clear)
-        k = int(other[0]) if len(other) else span
-        if k < span and codes[k] in (clear, stop):
-            take = min(k, n - done)
-            out[done : done + take] = codes[:take]
-            done += take
-            at += (k + 1) * start_width
-            if codes[k] == stop:
+    single = [bytes([k]) for k in range(clear)] + [b"", b""]
+    table, size, before, ended = single.copy(), clear + 2, b"", False
+    while not ended:
+        # from a clear to the next one, region by region
+        for width, number in _regions(least):
+            span = min(number, (total - at) // width)
+            codes = bits[at : at + span * width].reshape(span, width) @ (1 << np.arange(width))
+            marks = np.flatnonzero((codes == clear) | (codes == stop))
+            k = int(marks[0]) if len(marks) else span
+            for code in codes[:k].tolist():
+                if code < size:
+                    entry = table[code]
+                elif before and code == size:
+                    entry = before + before[:1]
+                else:
+                    ended = True
+                    break
+                parts.append(entry)
+                done += len(entry)
+                if done >= n:
+                    ended = True
+                    break
+                if before and size < FULL:
+                    table.append(before + entry[:1])
+                    size += 1
+                before = entry
+            at += (k + bool(len(marks))) * width
+            if ended or len(marks) or span < number:
+                ended = ended or not len(marks) or codes[k] == stop
                 break
-            continue
-        done, at, ended = _by_code(bits, at, out, done, least)
-        if ended:
-            break
+        table, size, before = single.copy(), clear + 2, b""
+    out = np.zeros(n, np.uint8)
+    found = np.frombuffer(b"".join(parts), np.uint8)[:n]
+    out[: len(found)] = found
     return out
 
 
-def _by_code(bits: np.ndarray, at: int, out: np.ndarray, done: int, least: int) -> tuple[int, int, bool]:
-    """Codes one at a time, up to the next clear or the end."""
-    clear, stop = 1 << least, (1 << least) + 1
-    table: list[bytes] = [bytes([k]) for k in range(clear)] + [b"", b""]
-    width, before, n, total = least + 1, b"", len(out), len(bits)
-    while at + width <= total:
-        code = int(bits[at : at + width] @ (1 << np.arange(width)))
-        at += width
-        if code == clear:
-            return done, at, False
-        if code == stop:
-            return done, at, True
-        if code < len(table):
-            entry = table[code]
-        elif before and code == len(table):
-            entry = before + before[:1]
-        else:
-            return done, at, True
-        take = min(len(entry), n - done)
-        out[done : done + take] = np.frombuffer(entry[:take], np.uint8)
-        done += take
-        if before and len(table) < 4096:
-            table.append(before + entry[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        before = entry
-    return done, at, True
-
-
-def read(data: bytes) -> Gif:
-    """The picture blocks of a GIF file; a file that breaks off gives the frames before the break."""
+class _CutOff(Exception):
+    """The file ends, or goes wrong, here."""
+
+
+@dataclass
+class _Bytes:
+    data: bytes
+    at: int = 0
+
+    def take(self, n: int) -> bytes:
+        if self.at + n > len(self.data):
+            raise _CutOff
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+    def fields(self, form: str) -> tuple[int, ...]:
+        return struct.unpack(form, self.take(struct.calcsize(form)))
+
+    def palette(self, flags: int) -> np.ndarray:
+        return np.frombuffer(self.take(6 << (flags & 7)), np.uint8).reshape(-1, 3)
+
+    def blocks(self) -> bytes:
+        parts = []
+        while n := self.take(1)[0]:
+            parts.append(self.take(n))
+        return b"".join(parts)
+
+
+def opened(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, Iterator[Frame]]:
+    """Width and height of the canvas of a GIF file, and its picture blocks, read as they are asked for.
+
+    A file that breaks off or goes wrong gives the frames before that; one that is cut off
+    before its canvas is known has size 0 and no frames.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
-    width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, common = 13, grey()
-    if flags & 0x80:
-        size = 2 << (flags & 7)
-        common = np.frombuffer(data, np.uint8, 3 * size, at).reshape(size, 3)
-        at += 3 * size
-    gif, delay, disposal, transparent = Gif(width, height), 0, 0, None
-    while at < len(data) and data[at] != 0x3B:
-        if data[at] == 0x21:
-            if data[at + 1] == 0xF9:
-                control, delay, index = struct.unpack_from("<BHB", data, at + 3)
-                disposal, transparent = control >> 2 & 7, index if control & 1 else None
-            at, _ = _blocks(data, at + 2, False)
-        elif data[at] == 0x2C:
-            left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
-            at, palette = at + 10, common
-            if flags & 0x80:
-                size = 2 << (flags & 7)
-                palette = np.frombuffer(data, np.uint8, 3 * size, at).reshape(size, 3)
-                at += 3 * size
-            least = data[at]
-            at, stream = _blocks(data, at + 1, True)
+    b = _Bytes(data, 6)
+    try:
+        width, height, flags, _, _ = b.fields("<HHBBB")
+        common = b.palette(flags) if flags & 0x80 else grey()
+    except _CutOff:
+        return 0, 0, iter(())
+    if width * height > most_pixels:
+        return width, height, iter(())
+    return width, height, _frames(b, common, most_pixels)
+
+
+def _frames(b: _Bytes, common: np.ndarray, most_pixels: int) -> Iterator[Frame]:
+    delay, disposal, transparent = 0, 0, None
+    try:
+        while (kind := b.take(1)[0]) in (0x21, 0x2C):
+            if kind == 0x21:
+                label, body = b.take(1)[0], b.blocks()
+                if label == 0xF9 and len(body) >= 4:
+                    control, delay, index = struct.unpack_from("<BHB", body)
+                    disposal, transparent = control >> 2 & 7, index if control & 1 else None
+                continue
+            left, top, w, h, flags = b.fields("<HHHHB")
+            palette = b.palette(flags) if flags & 0x80 else common
+            least, stream = b.take(1)[0], b.blocks()
+            if not 1 <= least <= 8 or w * h > most_pixels:
+                return
             samples = unpacked(stream, least, w * h).reshape(h, w)
             if flags & 0x40:
                 order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)]
                 samples = samples[np.argsort(order)]
-            gif.frames.append(Frame(left, top, samples, palette, delay, disposal, transparent))
+            yield Frame(left, top, samples, palette, delay, disposal, transparent)
             delay, disposal, transparent = 0, 0, None
-        else:
-            break
-    return gif
+    except _CutOff:
+        return
 
 
-def _blocks(data: bytes, at: int, wanted: bool) -> tuple[int, bytes]:
-    parts = []
-    while at < len(data) and data[at]:
-        if wanted:
-            parts.append(data[at + 1 : at + 1 + data[at]])
-        at += data[at] + 1
-    return at + 1, b"".join(parts)
+def read(data: bytes, most_pixels: int = MOST_PIXELS) -> Gif:
+    """All picture blocks of a GIF file, as :func:`opened` gives them."""
+    width, height, frames = opened(data, most_pixels)
+    return Gif(width, height, list(frames))
 
 
-def shown(gif: Gif) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, delay, RGBA canvas) of every frame in turn, in hundredths of a second."""
-    canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
+def shown(width: int, height: int, frames: Iterable[Frame]) -> Iterator[tuple[Frame, int, np.ndarray]]:
+    """(frame, start, RGBA canvas) of every frame in turn; start is in hundredths of a second."""
+    canvas = np.zeros((height, width, 4), np.uint8)
     clock = 0
-    for f in gif.frames:
+    for f in frames:
         h, w = f.samples.shape
-        area = (slice(f.top, min(f.top + h, gif.height)), slice(f.left, min(f.left + w, gif.width)))
+        area = (slice(f.top, max(f.top, min(f.top + h, height))), slice(f.left, max(f.left, min(f.left + w, width))))
         samples = f.samples[: area[0].stop - f.top, : area[1].stop - f.left]
         before = canvas[area].copy()
+        samples = samples[: before.shape[0], : before.shape[1]]
         colour = np.full((*samples.shape, 4), 255, np.uint8)
         colour[..., :3] = f.palette[np.minimum(samples, len(f.palette) - 1)]
         seen = np.ones(samples.shape, bool) if f.transparent is None else samples != f.transparent
         canvas[area] = np.where(seen[..., None], colour, before)
-        yield clock, f.delay, canvas.copy()
+        yield f, clock, canvas.copy()
         clock += f.delay
         if f.disposal == 2:
             canvas[area] = 0
@@ -221,16 +283,15 @@ def payload_to_gif(payload: bytes, rows: int = 1024, delay: int = 4) -> bytes:
     return write(frames, WIDTH, min(rows, len(samples)))
 
 
-def gif_to_payload(data: bytes) -> tuple[bytes, np.ndarray]:
-    """The samples of all frames as they are shown, and their summed colour histogram."""
-    gif = read(data)
+def gif_to_payload(data: bytes) -> tuple[bytes, int, np.ndarray]:
+    """The samples of all frames as they are shown, the number of frames, and their summed colour histogram."""
     parts, counts = [], np.zeros(64, np.int64)
-    for f, (_, _, canvas) in zip(gif.frames, shown(gif), strict=True):
+    for f, _, canvas in shown(*opened(data)):
         h, w = f.samples.shape
         seen = canvas[f.top : f.top + h, f.left : f.left + w]
         parts.append(seen[..., 0].tobytes())
         counts += histogram(seen)
-    return b"".join(parts), counts
+    return b"".join(parts), len(parts), counts
 
 
 def decode_frames(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
@@ -238,7 +299,8 @@ def decode_frames(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
 
     ``start`` and ``delay`` are hundredths of a second; ``rgba`` is the composed canvas
     and ``histogram`` its 64 colour counts.  Null and empty bytes, and bytes that
-    are no GIF, have no frames.  Repeated rows give repeated frames; other columns
+    are no GIF, have no frames; a file that is cut off or goes wrong has the frames before
+    that, as has one that claims more than MOST_PIXELS.  Repeated rows give repeated frames; other columns
     are ignored; an empty table gives no rows.
     """
     source = media.select(held_id(media, id_col).alias("id"), F.col(bytes_col).alias("data"))
@@ -249,9 +311,9 @@ def decode_frames(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
             for i, data in zip(pdf["id"], pdf["data"], strict=True):
                 if not data or bytes(data[:6]) not in (b"GIF87a", b"GIF89a"):
                     continue
-                gif = read(bytes(data))
-                for k, (start, delay, canvas) in enumerate(shown(gif)):
-                    yield pd.DataFrame([(i, k, start, delay, gif.width, gif.height, canvas.tobytes(), histogram(canvas))], columns=["id", "frame", "start", "delay", "width", "height", "rgba", "histogram"])
+                width, height, frames = opened(bytes(data))
+                for k, (f, start, canvas) in enumerate(shown(width, height, frames)):
+                    yield pd.DataFrame([(i, k, start, f.delay, width, height, canvas.tobytes(), histogram(canvas))], columns=["id", "frame", "start", "delay", "width", "height", "rgba", "histogram"])
 
     out = source.mapInPandas(run, f"id {kind}, frame int, start int, delay int, width int, height int, rgba binary, histogram array<long>")
     return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)
@@ -280,21 +342,26 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a stored text, from its bytes: sizes, digests and the feature string.
 
     The samples are read back through the decoder and the shown frames; the feature is the number
-    of frames and the share of samples in each of the colour histogram's used
-    cells, which on grey levels are four.
+    of decoded frames and the number of samples in each of the colour histogram's used
+    cells, which on grey levels are four.  Bytes that are no GIF, and null, hold no
+    samples; null has no media_bytes and no media_sha256, and a null n_bytes is 0.  Repeated rows
+    give repeated results; other columns are ignored; an empty table gives no rows.
     """
     kind = media.schema[id_col].dataType.simpleString()
-    source = media.select(held_id(media, id_col).alias("id"), "n_bytes", "media")
+    source = media.select(held_id(media, id_col).alias("id"), F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"), "media")
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, n, data in zip(pdf["id"], pdf["n_bytes"], pdf["media"], strict=True):
-                payload, counts = gif_to_payload(bytes(data))
+                data = None if data is None else bytes(data)
+                is_gif = data is not None and data[:6] in (b"GIF87a", b"GIF89a")
+                payload, frames, counts = gif_to_payload(data) if is_gif else (b"", 0, np.zeros(64, np.int64))
                 cells = ",".join(f"{k}:{c}" for k, c in enumerate(counts.tolist()) if c)
-                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={-(-len(payload) // (1024 * WIDTH))};hist={cells}"))
-            yield pd.DataFrame(rows, columns=names)
+                own = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), *own, f"frames={frames};hist={cells}"))
+            yield pd.DataFrame(rows, columns=names).astype({"media_bytes": "Int64"})
 
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     out = source.mapInPandas(run, schema)

@@ -58,7 +58,7 @@ def main_texts(pages: list[str | None], model: Boosted) -> list[str]:
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 1500, seed: int = 5) -> Boosted:
+def trained(pages: int = 1600, seed: int = 5) -> Boosted:
     """The model, fitted on ``pages`` made pages."""
     rng = random.Random(seed)
     x, y = [], []
@@ -126,18 +126,47 @@ def _other(rng: random.Random) -> str:
     return f"<{tag}{attr or f' class=\"{rng.choice(TOKENS[kind].split())}\"'}>{inner if tag == 'p' else body}</{tag}>"
 
 
+def _plain_other(rng: random.Random) -> str:
+    """A part beside the main text that no tag or name tells: links with a heading, short lines, a copyright line."""
+    kind = rng.random()
+    head = rng.choice(["", f"<h3>{_words(rng, rng.randint(1, 3))}</h3>", f"<h4>{_words(rng, rng.randint(1, 2))}</h4>", f"<p><b>{_words(rng, rng.randint(1, 2))}</b></p>", f"<b>{_words(rng, 1)}</b>"])
+    if kind < 0.5:
+        body = head + _links(rng, 12)
+    elif kind < 0.65:
+        body = head + "".join(f'<p><a href="/y">{_words(rng, rng.randint(1, 6))}</a></p>' for _ in range(rng.randint(1, 6)))
+    elif kind < 0.75:
+        body = head + "".join(f'<div><a href="/z"><img src=i.png></a><a href="/z">{_words(rng, rng.randint(2, 8))}</a></div>' for _ in range(rng.randint(2, 6)))
+    elif kind < 0.9:
+        body = f"&copy; {_words(rng, rng.randint(1, 6))}" + (f' | <a href="/t">{_words(rng, 1)}</a>' if rng.random() < 0.6 else "")
+    else:
+        body = f"<form action=/s><input name=q><button>{_words(rng, 1)}</button></form>"
+    return rng.choice([f"<div>{body}</div>", f"<div>{body}</div>", f"<section>{body}</section>", body if body.startswith("<ul>") else f"<div>{body}</div>"])
+
+
+def _broken(rng: random.Random, page: str) -> str:
+    """The page as careless authors write it: ends of elements left out, capitals, unquoted values."""
+    for end in ("</p>", "</li>", "</td>", "</tr>"):
+        if rng.random() < 0.5:
+            page = page.replace(end, "")
+    if rng.random() < 0.3:
+        page = page.replace("<p>", rng.choice(["<P>", "<p align=left>", "<p data-a=it's>", "<p style='x: y'>"]))
+    return page
+
+
 def _page(rng: random.Random) -> str:
     """A made page; pieces of main text begin with the mark."""
-    main = [f"<h1>{_words(rng, rng.randint(2, 12), _MAIN)}</h1>"] if rng.random() < 0.8 else []
-    for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 8, 14])):
-        n = rng.choice([1, 2, 3, 6, 10, 30, 60, 120])
+    plain = rng.random() < 0.35  # no part is told by a tag or a name
+    main = [f"<h{rng.choice([1, 1, 1, 2])}>{_words(rng, rng.randint(2, 12), _MAIN)}</h1>"] if rng.random() < 0.8 else []
+    sizes = [6, 10, 30, 60, 120] if plain else [1, 2, 3, 6, 10, 30, 60, 120]
+    for _ in range(rng.choice([2, 2, 3, 5, 8] if plain else [1, 1, 1, 2, 3, 5, 8, 14])):
+        n = rng.choice(sizes)
         kind = rng.random()
         if kind < 0.75:
             open_b = "<b>" if rng.random() < 0.15 else ""
             close = "</p>" if rng.random() < 0.85 else "<br>"
             main.append(f"<p>{open_b}{_words(rng, n, _MAIN)}{close}")
         elif kind < 0.83:
-            main.append(f"<h{rng.randint(2, 4)}>{_words(rng, rng.randint(1, 8), _MAIN)}</h2>".replace("</h2>", ""))
+            main.append(f"<h{rng.randint(2, 4)}>{_words(rng, rng.randint(1, 8), _MAIN)}")
             main[-1] += f"</{main[-1][1:3]}>"
         elif kind < 0.9:
             main.append("<ul>" + "".join(f"<li>{_words(rng, rng.randint(1, 15), _MAIN)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
@@ -145,17 +174,45 @@ def _page(rng: random.Random) -> str:
             main.append(f"<blockquote>{_words(rng, n, _MAIN)}</blockquote>")
         else:
             main.append(f"<table><tr><td>{_words(rng, 3, _MAIN)}</td><td>{_words(rng, 2, _MAIN)}</td></tr></table>")
-        if rng.random() < 0.07:
+        if not plain and rng.random() < 0.07:
             main.append(_other(rng))
     body = "".join(main)
-    wrap = rng.choice(["article", "article", "article", "main", "div", "section"])
-    body = f"<{wrap}{_attr(rng, 'content') or (' class=\"content\"' if wrap == 'div' and rng.random() < 0.7 else '')}>{body}</{wrap}>"
-    before = "".join(_other(rng) for _ in range(rng.randint(0, 4)))
-    after = "".join(_other(rng) for _ in range(rng.randint(0, 4)))
-    body = before + body + after
-    if rng.random() < 0.3:
-        body = f'<div{rng.choice(["", " id=page", " class=wrapper", " class=container"])}>{body}</div>'
-    return f"<html><head><title>{_words(rng, 4)}</title><style>p{{}}</style></head><body>{body}</body></html>"
+    if plain and rng.random() < 0.15:
+        body = f"<div>{'<br><br>'.join(_words(rng, rng.choice([20, 40, 80]), _MAIN) for _ in range(rng.randint(2, 5)))}</div>"
+    if plain:
+        body = _plain_page(rng, body)
+    else:
+        wrap = rng.choice(["article", "article", "article", "main", "div", "section"])
+        body = f"<{wrap}{_attr(rng, 'content') or (' class=\"content\"' if wrap == 'div' and rng.random() < 0.7 else '')}>{body}</{wrap}>"
+        if rng.random() < 0.12:
+            side = "".join(_other(rng) for _ in range(rng.randint(1, 3)))
+            cells = [f"<td>{side}</td>", f"<td>{body}</td>"]
+            body = f"<table><tr>{''.join(cells if rng.random() < 0.6 else cells[::-1])}</tr></table>"
+        before = "".join(_other(rng) for _ in range(rng.randint(0, 4)))
+        after = "".join(_other(rng) for _ in range(rng.randint(0, 4)))
+        body = before + body + after
+        if rng.random() < 0.3:
+            body = f'<div{rng.choice(["", " id=page", " class=wrapper", " class=container"])}>{body}</div>'
+    page = f"<html><head><title>{_words(rng, 4)}</title><style>p{{}}</style></head><body>{body}</body></html>"
+    return _broken(rng, page) if rng.random() < 0.2 else page
+
+
+def _plain_page(rng: random.Random, main: str) -> str:
+    """Main text between parts that only their contents tell: a table of columns, bare divisions, or one flow."""
+    before = "".join(_plain_other(rng) for _ in range(rng.randint(0, 3)))
+    after = "".join(_plain_other(rng) for _ in range(rng.randint(0, 3)))
+    side = "".join(_plain_other(rng) for _ in range(rng.randint(1, 2)))
+    kind = rng.random()
+    if kind < 0.35:
+        cells = [f"<td>{side}</td>", f"<td>{main}</td>"]
+        rows = f"<tr>{''.join(cells if rng.random() < 0.6 else cells[::-1])}</tr>"
+        if rng.random() < 0.4:
+            rows = f"<tr><td colspan=2>{_plain_other(rng)}</td></tr>" + rows
+        return f"{before}<table>{rows}</table>{after}"
+    if kind < 0.75:
+        columns = [f"<div>{side}</div>", f"<div>{main}</div>"]
+        return f"{before}<div>{''.join(columns if rng.random() < 0.5 else columns[::-1])}</div>{after}"
+    return f"{before}<div>{main}</div>{after}" if rng.random() < 0.6 else before + main + after
 
 
 def extract_main(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), model: Boosted | None = None) -> DataFrame:

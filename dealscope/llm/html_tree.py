@@ -8,13 +8,11 @@ import re
 
 #: Tag sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title select object canvas video audio".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
-)
+RAW = frozenset("script style noscript template iframe svg textarea title select object canvas video audio annotation annotation-xml".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+BLOCKS = CLOSES_P | frozenset("li dt dd tr td th caption thead tbody tfoot summary legend option body html search button".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 SCOPE = frozenset("html body table ul ol dl div article section main aside nav header footer form td th blockquote".split())
 
@@ -40,13 +38,16 @@ _TAG_OF = {t: t for t in TAGS} | {f"h{k}": "heading" for k in range(1, 7)} | {"u
 _TAG_OF |= {t: "table" for t in ("table", "tbody", "thead", "tfoot", "tr", "td", "th")} | {"blockquote": "quote", "pre": "quote", "figcaption": "figure", "fieldset": "form", "button": "form", "option": "form"}
 _TAG_NO = {t: k for k, t in enumerate(TAGS)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTR = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# a quote counts only at the beginning of an attribute's value; elsewhere it is a plain character
+_VALUE = r"""=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?"""
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|{_VALUE})*)(?:>|\Z)|[^<]+|<", re.S)
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_TELLING = frozenset(("class", "id", "role", "aria-label", "itemprop"))
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "groups", "kids", "parts", "y", "chars", "links", "words", "marks", "paras", "nodes", "at", "above", "inside")
+    __slots__ = ("tag", "parent", "depth", "groups", "kids", "parts", "y", "chars", "links", "words", "marks", "paras", "nodes", "at", "above", "inside", "place")
 
     def __init__(self, tag: str, parent: Node | None, groups: int):
         self.tag, self.parent, self.groups = tag, parent, groups
@@ -56,14 +57,16 @@ class Node:
         self.kids: list[Node] = []
         self.parts: list[str | Node] = []  # own text and child nodes in page order
         self.y = 0
-        self.chars = self.links = self.words = self.marks = self.paras = self.nodes = self.at = 0
+        self.chars = self.links = self.words = self.marks = self.paras = self.nodes = self.at = self.place = 0
 
 
 def _groups(attrs: str) -> int:
     found = 0
     if "=" in attrs:
         for m in _ATTR.finditer(attrs):
-            for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()):
+            if m[1].lower() not in _TELLING:
+                continue
+            for w in _SPLIT.split((m[2] or m[3] or m[4] or "").lower()):
                 for k in _GROUP_OF.get(w, ()):
                     found |= 1 << k
     return found
@@ -72,8 +75,9 @@ def _groups(attrs: str) -> int:
 def parse(page: str) -> list[Node]:
     """The page's block nodes in page order, the root first.
 
-    Raw elements (scripts, styles and the like) are left out.  Inline elements
-    are part of their block unless their attributes name a page part.
+    Raw elements (scripts, styles and the like) are left out.  Other elements than
+    blocks are part of their block unless their attributes name a page part.  Character
+    references are decoded in each piece of text, before pieces are joined.
     """
     root = Node("body", None, 0)
     nodes, here, link = [root], root, 0
@@ -85,6 +89,7 @@ def parse(page: str) -> list[Node]:
         if tag is None:
             raw = m[0]
             if raw[0] != "<" or raw == "<":
+                raw = html.unescape(raw) if "&" in raw else raw
                 here.parts.append(raw)
                 n = len(raw.strip())
                 if n:
@@ -102,28 +107,28 @@ def parse(page: str) -> list[Node]:
                 continue
             up = here
             while up is not None and up.tag != tag:
-                if tag in INLINE and up.tag not in INLINE:
+                if tag not in BLOCKS and up.tag in BLOCKS:
                     up = None
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                here, link = up.parent, link if tag in INLINE else 0
+                here, link = up.parent, 0 if tag in BLOCKS else link
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, m.end())
-            if end and not m[3].rstrip().endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, m.end())
+            if end and not (m[3].rstrip().endswith("/") and tag in ("svg", "annotation")):
                 skip_until = end.end()
             elif not end and tag in ("script", "style"):
                 break
-            here.parts.append(" ")
             continue
         if tag in ("html", "head", "body"):
             continue
         if tag in VOID:
-            here.parts.append(" ")
+            if tag in ("br", "hr"):
+                here.parts.append(" ")
             continue
         groups = _groups(m[3])
-        if tag in INLINE and not groups & ~1:
+        if tag not in BLOCKS and not groups & ~1:
             if tag == "a":
                 link += 1
             continue
@@ -140,6 +145,7 @@ def parse(page: str) -> list[Node]:
             if up is not None and up.tag == mate and up.parent is not None:
                 here, link = up.parent, 0
         node = Node(tag, here, groups)
+        node.place = len(here.kids)
         here.kids.append(node)
         here.parts.append(node)
         nodes.append(node)
@@ -149,7 +155,7 @@ def parse(page: str) -> list[Node]:
 
 
 #: Features of a node, in order.
-N_FEATURES = 2 * len(TAGS) + 2 * len(TOKENS) + 14
+N_FEATURES = 2 * len(TAGS) + 2 * len(TOKENS) + 22
 
 
 def features(nodes: list[Node]) -> list[list[float]]:
@@ -168,6 +174,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
             p.paras += v.paras
             p.nodes += v.nodes
     total = max(1, nodes[0].chars)
+    largest = [max((s.chars for s in v.kids), default=0) for v in nodes]
     n_groups, out, seen = len(TOKENS), [], 0
     for v, (chars, _) in zip(nodes, own, strict=True):
         row = [0.0] * N_FEATURES
@@ -183,9 +190,12 @@ def features(nodes: list[Node]) -> list[list[float]]:
             if v.above >> g & 1:
                 row[k + n_groups + g] = 1.0
         k += 2 * n_groups
-        sib = v.parent.kids if v.parent else [v]
+        p = v.parent or v
+        sib = p.kids if v.parent else [v]
+        before = sib[v.place - 1] if v.parent and v.place else None
+        after = sib[v.place + 1] if v.parent and v.place + 1 < len(sib) else None
         size = max(1, v.chars)
-        row[k : k + 14] = [
+        row[k : k + 22] = [
             v.depth,
             math.log1p(v.chars),
             v.chars / total,
@@ -196,10 +206,18 @@ def features(nodes: list[Node]) -> list[list[float]]:
             math.log1p(v.paras),
             len(sib),
             seen / total,
-            (v.parent.chars if v.parent else v.chars) / total,
-            max(s.chars for s in sib) / size if len(sib) < 200 else 1.0,
+            p.chars / total,
+            (largest[p.at] if v.parent else v.chars) / size,
             chars / size,
             v.at / len(nodes),
+            p.links / max(1, p.chars),
+            math.log1p(p.chars),
+            math.log1p(p.paras),
+            p.marks / max(1, p.words),
+            before.links / max(1, before.chars) if before else -1.0,
+            math.log1p(before.chars) if before else -1.0,
+            after.links / max(1, after.chars) if after else -1.0,
+            math.log1p(after.chars) if after else -1.0,
         ]
         seen += chars
         out.append(row)
@@ -212,14 +230,14 @@ def text_of(nodes: list[Node], keep: list[bool]) -> str:
     run: list[str] = []
 
     def flush() -> None:
-        if run and (s := " ".join(html.unescape("".join(run)).split())):
+        if run and (s := " ".join("".join(run).split())):
             blocks.append(s)
         run.clear()
 
     stack: list[tuple[Node, int]] = [(nodes[0], 0)]
     while stack:
         v, k = stack.pop()
-        block = v.tag not in INLINE
+        block = v.tag in BLOCKS
         if k == 0 and block:
             flush()
         while k < len(v.parts):

@@ -92,7 +92,7 @@ def near_duplicates(
     open_ = written(labelled.join(several, "table", "left_semi"), "open")
     if not open_.isEmpty():
         met = _possible(_across(open_, nodes, sets, side, percent), percent, "la", "lb")
-        crossing = written(_confirmed(met, sets, percent, "la", "lb"), "links")
+        crossing = written(_confirmed(met, sets, percent, "la", "lb", crowded="ab"), "links")
         over = written(components(crossing.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("top")), "over")
         alone = over.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
         labels = labels.unionByName(alone).join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
@@ -189,20 +189,24 @@ def _possible(pairs: DataFrame, percent: int, *carried: str) -> DataFrame:
     return pairs.filter((F.col("a") != F.col("b")) & (100 * inter >= percent * union)).select("a", "b", *carried).distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, *carried: str) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    pairs = written(pairs, "pairs")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, *carried: str, crowded: str = "a") -> DataFrame:
+    """The pairs whose full sets reach the threshold.
+
+    An end named in ``crowded`` may have many pairs, like the centre of a large bucket; then it is
+    dealt into parts that each get its set.
+    """
+    joined = pairs = written(pairs, "pairs")
     for end in "ab":
-        # a node of many pairs, like the centre of a large bucket, is dealt into parts that each get its set
-        parts = pairs.groupBy(F.col(end).alias("node")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-        held = sets.join(parts, "node").select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
-        most = parts.agg(F.max("parts")).first()[0] or 1
-        if most == 1:
-            joined = (pairs if end == "a" else joined).join(held.drop("part", "parts"), end)
-        else:
-            dealt = (pairs if end == "a" else joined).join(written(parts.filter("parts > 1").withColumnRenamed("node", end), "dealt"), end, "left")
-            dealt = dealt.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-            joined = dealt.join(held.drop("parts"), [end, "part"]).drop("part")
+        held = sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}"))
+        on = [end]
+        if end in crowded:
+            parts = written(pairs.groupBy(end).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1"), "parts")
+            if not parts.isEmpty():
+                on = [end, "part"]
+                dealt = F.coalesce("parts", F.lit(1))
+                held = held.join(parts, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("parts")
+                joined = joined.join(parts, end, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), dealt).cast("int")).drop("parts")
+        joined = joined.join(held, on).drop("part")
     return joined.withColumn("i", F.size(F.array_intersect("sa", "sb"))).filter(linked(F.col("i"), F.size("sa"), F.size("sb"), percent)).select("a", "b", *carried)
 
 

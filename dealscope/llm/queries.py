@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealscope.llm.boilerplate import without_boilerplate
-from dealscope.llm.bpe import encode_decode
+from dealscope.llm.bpe import encode_decode, with_token_counts
 from dealscope.llm.chat import read_digests, windows
 from dealscope.llm.chunks import repeated_passages
 from dealscope.llm.exact import DigestIndex, deduplicate
@@ -50,7 +50,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
-    return read_digests(windows(turns.unionByName(extra)))
+    counted = with_token_counts(turns.unionByName(extra), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, "text", "n_tokens")
+    return read_digests(windows(counted, tokens_col="n_tokens"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,6 +308,63 @@ def test_rows_that_share_an_id_have_passages_of_their_own(spark):
     assert any(t.startswith(second[:-60]) for t in left[None])
 
 
+def plain_passages(rows, least=20):
+    """Spans by plain dictionaries over the chunks of each distinct (id, text), in the order of ids and row hashes."""
+    cut = {}
+    for i, t, h in rows:
+        c = cut_texts([t])
+        cut[i is None, i, h] = list(zip(c["start"].tolist(), c["end"].tolist(), c["n_words"].tolist(), c["digest"].tolist(), strict=True))
+    order = sorted(cut, key=lambda k: (k[0], k[1] if k[1] is not None else 0, k[2]))
+    first, times = {}, collections.Counter()
+    copies = collections.Counter((i is None, i, h) for i, _, h in rows)
+    for k in order:
+        for seq, (_, _, _, d) in enumerate(cut[k]):
+            first.setdefault(d, (k, seq))
+            times[d] += copies[k]
+    found = collections.Counter()
+    for k in order:
+        for copy in range(copies[k]):
+            runs, run = [], []
+            for seq, c in enumerate(cut[k]):
+                if times[c[3]] > 1:
+                    run.append((seq, c, first[c[3]][0][1], copy > 0 or first[c[3]] != (k, seq)))
+                elif run:
+                    runs.append(run)
+                    run = []
+            for run in [*runs, run]:
+                if sum(c[2] for _, c, _, _ in run) < least:
+                    continue
+                part = []
+                for x in [*run, None]:
+                    if part and (x is None or x[2:] != part[-1][2:]):
+                        found[k[1], part[0][1][0], part[-1][1][1], sum(c[2] for _, c, _, _ in part), part[0][2], part[0][3]] += 1
+                        part = []
+                    part.append(x)
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_equal_plain_search(spark, seed):
+    rng = random.Random(seed)
+    pieces = [prose(rng, rng.choice([25, 60, 120])) for _ in range(6)]
+    texts = [" ".join(rng.choice(pieces) if rng.random() < 0.6 else prose(rng, rng.randint(1, 40)) for _ in range(rng.randint(1, 5))) for _ in range(30)]
+    rows = [(rng.choice([None, 1, 2, *range(3, 40)]), t) for t in texts]
+    rows += [rows[3], rows[3], (50, rows[4][1]), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = [tuple(r) for r in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()]
+    got = collections.Counter(map(tuple, repeated_passages(df).collect()))
+    assert got == plain_passages(hashed) and len(got) > 20
+
+
+def test_no_word_of_overlapping_quotes_is_lost(spark):
+    rng = random.Random(14)
+    words = prose(rng, 260).split(" ")
+    data = [(1, " ".join(words[:120])), (2, " ".join(words[:200])), (3, " ".join(words[80:200])), (4, " ".join(words[100:]))]
+    left = dict(without_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert sum(w in " ".join(left.values()) for w in words) == len(words)
+    assert len(" ".join(left.values())) < 1.2 * len(" ".join(words))
+
+
 def test_repeated_passages_on_edge_rows(edge_docs, no_docs):
     got = repeated_passages(edge_docs).collect()
     assert {r["doc_id"] for r in got} == {9007199254740993, 9007199254740994}
