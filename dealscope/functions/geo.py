@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import col, flag
@@ -88,3 +88,20 @@ def tile_lon(x: Column | str, zoom: int) -> Column:
 
 def tile_lat(y: Column | str, zoom: int) -> Column:
     return F.degrees(F.atan(F.sinh(math.pi * (1 - 2 * col(y) / float(1 << zoom)))))
+
+
+def box_tiles(lat: Sequence[float], lon: Sequence[float], zoom: int) -> tuple[Column, Column]:
+    """(first, last) tile numbers of a box: structs of x and y; y grows southwards."""
+    west, east = (tile_x(F.lit(float(v)), zoom) for v in lon)
+    south, north = (tile_y(F.lit(float(v)), zoom) for v in lat)
+    first = F.struct(F.least(west, east).alias("x"), F.least(south, north).alias("y"))
+    return first, F.struct(F.greatest(west, east).alias("x"), F.greatest(south, north).alias("y"))
+
+
+def tile_grid(spark: SparkSession, lat: Sequence[float], lon: Sequence[float], zoom: int) -> DataFrame:
+    """(x, y, west, north) of every tile that covers the box."""
+    first, last = box_tiles(lat, lon, zoom)
+    ends = spark.range(1).select(first.alias("a"), last.alias("b"))
+    rows = ends.select("a", "b", F.explode(F.sequence("a.y", "b.y")).alias("y"))
+    tiles = rows.select(F.explode(F.sequence("a.x", "b.x")).alias("x"), "y")
+    return tiles.withColumns({"west": tile_lon("x", zoom), "north": tile_lat("y", zoom)})

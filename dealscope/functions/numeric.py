@@ -37,10 +37,6 @@ def first_failing(rules: Sequence[tuple[str, Column]], ok: str = "") -> Column:
     return chain.otherwise(ok)
 
 
-def only_if(c: Column | str, condition: Column) -> Column:
-    return F.when(condition, col(c))
-
-
 def clip(c: Column | str, low: float | None = None, high: float | None = None) -> Column:
     """Limited to [low, high]; null stays null."""
     out = col(c)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from dealscope.functions.numeric import col, flag
 
@@ -33,6 +36,7 @@ LABELS = (
     "Бывшее общежитие",
     "Возможен обмен",
 )
+#: City, and patterns of a district, a price and an instalment.
 CITY = "Астана"
 DISTRICT = r"(?U)Астана,\s*(?:([А-Яа-яёЁ\-\s]+?)\s*р-н|р-н\s+([А-Яа-яёЁ\-]+))\s*показать на карте"
 PRICE = r"(?U)(\d[\d\s]*)\s*₸"
@@ -129,9 +133,19 @@ def mentions(list_col: Column | str, part: str) -> Column:
     return F.exists(col(list_col), lambda x: x.contains(part))
 
 
+def decoded(text: Column | str) -> Column:
+    """Character references of HTML decoded; null stays null."""
+
+    @pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
+    return run(col(text))
+
+
 def clean(text: Column | str) -> Column:
-    """White space, the no-break kind too, to single spaces; trimmed."""
-    return F.trim(F.regexp_replace(col(text), r"(?U)[\s ]+", " "))
+    """Character references decoded, white space, the no-break kind too, to single spaces; trimmed; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(decoded(text), F.lit("")), r"(?U)[\s\u00a0]+", " "))
 
 
 def first_match(text: Column | str, patterns: Sequence[str], group: int = 1) -> Column:
@@ -154,12 +168,12 @@ LON_PATTERNS = (
 )
 
 
-def latitude(html: Column | str) -> Column:
-    return first_match(html, LAT_PATTERNS)
+def latitude(page: Column | str) -> Column:
+    return first_match(page, LAT_PATTERNS)
 
 
-def longitude(html: Column | str) -> Column:
-    return first_match(html, LON_PATTERNS)
+def longitude(page: Column | str) -> Column:
+    return first_match(page, LON_PATTERNS)
 
 
 def show_id(url: Column | str, end: bool = False) -> Column:

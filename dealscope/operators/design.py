@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,15 +36,17 @@ def hedonic_inputs(df: DataFrame, area: tuple[float, float] = (15, 400), age_mos
 
 
 def _ln(x: float) -> float:
-    import math
-
     return math.log(x)
 
 
 def fold_unseen(df: DataFrame, columns: Sequence[str], fit: Column) -> DataFrame:
-    """Levels that occur only outside the fit rows become the fit rows' mode, the smallest on ties."""
-    seen = df.filter(fit).agg(*[F.collect_set(c).alias(f"s_{c}") for c in columns], *[F.mode(c, True).alias(f"m_{c}") for c in columns]).first()
-    return df.withColumns({c: F.when(F.col(c).isin(*seen[f"s_{c}"]), F.col(c)).otherwise(F.lit(seen[f"m_{c}"])) for c in columns})
+    """Levels that occur only outside the fit rows become the fit rows' mode, the smallest on ties.
+
+    Columns of more levels than :func:`levels` takes are refused.
+    """
+    rows = df.filter(fit)
+    mode = rows.agg(*[F.mode(c, True).alias(c) for c in columns]).first()
+    return df.withColumns({c: F.when(F.col(c).isin(*levels(rows, c)), F.col(c)).otherwise(F.lit(mode[c])) for c in columns})
 
 
 def levels(df: DataFrame, c: str, most: int = 1000) -> list[str]:

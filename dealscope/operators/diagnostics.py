@@ -23,13 +23,15 @@ def variance_inflation(df: DataFrame, columns: Sequence[str], limit: float = 10.
     return df.sparkSession.createDataFrame([(c, float(v), bool(v > limit)) for c, v in zip(columns, vif, strict=True)], "column_name string, vif double, high boolean")
 
 
-def cross_validated(df: DataFrame, y: str, x: Sequence[str], folds: int, key: str | Column) -> DataFrame:
+def cross_validated(df: DataFrame, y: str, x: Sequence[str], folds: int, key: str | Column, hashed: bool = True) -> DataFrame:
     """(fold, n, rmse, r2) of least squares fitted without the fold; rows of one key share a fold.
 
+    The fold is a hash of the key, or with ``hashed`` false the whole number ``key``, modulo ``folds``.
+
     Products are summed a fold at a time; a fold's training sums are the whole less its own.
     """
     k = F.col(key) if isinstance(key, str) else key
-    rows = df.dropna(subset=[y, *x]).withColumn("__fold", F.pmod(F.crc32(k.cast("string").cast("binary")), F.lit(folds)).cast("int"))
+    rows = df.dropna(subset=[y, *x]).withColumn("__fold", F.pmod(F.crc32(k.cast("string").cast("binary")) if hashed else k, F.lit(folds)).cast("int"))
     pr = products(rows, x)
     parts = [(_matrix(rows.filter(F.col("__fold") == f), x, pr.mean, pr.scale, []), _matrix(rows.filter(F.col("__fold") == f), x, pr.mean, pr.scale, [y])[:, 0]) for f in range(folds)]
     g, v = sum(p[0] for p in parts), sum(p[1] for p in parts)

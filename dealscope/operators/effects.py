@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import key_of
+from dealscope.operators.groups import left_by_key
 
 
 def loo_effect(df: DataFrame, group: str, value: str, shrink: float, effect: str, others: str) -> DataFrame:
@@ -19,7 +20,7 @@ def loo_effect(df: DataFrame, group: str, value: str, shrink: float, effect: str
     summed in parts.
     """
     sums = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.sum(value).alias("__s"), F.count(value).alias("__c"))
-    joined = df.join(sums, group, "left")
+    joined = left_by_key(df, sums, group)
     fitted = F.col(value).isNotNull().cast("int")
     n = F.coalesce(F.col("__c"), F.lit(0)) - fitted
     total = F.coalesce(F.col("__s"), F.lit(0.0)) - F.coalesce(F.col(value), F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,9 +13,15 @@ def group_median(df: DataFrame, key: str, value: str, min_n: int = 5, prefix: st
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.median(value).alias(f"{prefix}median"), F.count(value).alias(f"{prefix}count"), (F.count(value) < min_n).alias(f"{prefix}insufficient_n"))
 
 
+def left_by_key(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """Rows with their key's row of ``stats``; null keys match nothing, and are dealt out so that they do not meet in one task."""
+    spread = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(200)).cast("int")).otherwise(F.lit(0))
+    return df.withColumn("__spread", spread).join(stats.withColumn("__spread", F.lit(0)), [key, "__spread"], "left").drop("__spread")
+
+
 def with_group_median(df: DataFrame, key: str, value: str, min_n: int = 5, prefix: str = "") -> DataFrame:
     """Rows with their group's median, count and flag; null keys match nothing."""
-    return df.join(group_median(df, key, value, min_n, prefix), key, "left")
+    return left_by_key(df, group_median(df, key, value, min_n, prefix), key)
 
 
 def value_counts(df: DataFrame, c: str, with_null: bool = True, name: str = "n") -> DataFrame:
@@ -57,6 +63,5 @@ def constant_of_group(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def group_total(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rows with the sum and count of their group, 0 where the key is null."""
-    w = Window.partitionBy(key)
-    known = F.col(key).isNotNull()
-    return df.withColumns({"group_sum": F.when(known, F.coalesce(F.sum(value).over(w), F.lit(0.0))).otherwise(0.0), "group_count": F.when(known, F.count(value).over(w)).otherwise(0)})
+    sums = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("group_sum"), F.count(value).alias("group_count"))
+    return left_by_key(df, sums, key).fillna(0, ["group_sum", "group_count"])

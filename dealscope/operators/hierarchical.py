@@ -1,13 +1,12 @@
 """The hierarchical price model: attributes by least squares, location by nested leave-one-out effects and a kernel.
 
-The cross-products of the attributes do not change between rounds and are
-summed once; a round sums one vector, and writes its rows to the shared
-checkpoint folder, so plans stay short and lost executors cost no earlier round.
+The cross-products of the attributes and the kernel's weights do not change between
+rounds and are summed once; a round sums one vector, and writes its rows to the shared
+folder once, so plans stay short and lost executors cost no earlier round.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import first_failing, row_mean, standard_error, within
-from dealscope.operators.effects import kernel_means, nested_effects, shrunk
-from dealscope.operators.ols import products, solve
+from dealscope.operators.effects import nested_effects, shrunk
+from dealscope.operators.ols import Products, cluster_covariance, fitted, products, solve
 from dealscope.operators.profile import robust_z
 from dealscope.operators.radius import kernel_edges
+from dealscope.session import stored
 
 
 @dataclass(frozen=True)
@@ -48,39 +48,32 @@ def fit_reason(lat_box: tuple[float, float] = (50.95, 51.30), lon_box: tuple[flo
     ])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dealscope-"))
-    return df.checkpoint()
-
-
 def hierarchical_fit(df: DataFrame, row_id: str, y: str, x: Sequence[str], fit: str, settings: Settings = Settings(), lat: str = "lat", lon: str = "lon", complex_level: str = "complex_name", building_level: str = "building") -> tuple[DataFrame, dict]:
     """Rows with residual columns, and figures of the fit.
 
     ``fit`` is a boolean column; other rows get group effects but no residual.
-    ``x`` are numeric columns without nulls.  Rows are known by ``row_id``, unique.
+    ``x`` are numeric columns without nulls, ``y`` has none on fitted rows.  Rows are known by ``row_id``, unique.
     """
     levels = [k for k, _ in settings.levels]
-    base = checkpointed(df.select(row_id, F.col(fit).alias("__fit"), F.col(y).cast("double").alias("__y"), *x, *levels, lat, lon))
-    fitted = base.filter("__fit")
-    pr = products(fitted, list(x))
-    edges = checkpointed(kernel_edges(fitted, settings.width_km, settings.cutoff_km, row_id, lat, lon))
+    base = stored(df.select(row_id, F.col(fit).alias("__fit"), F.col(y).cast("double").alias("__y"), *x, *levels, lat, lon), "base")
+    rows = base.filter("__fit")
+    pr = products(rows, list(x))
+    edges = stored(kernel_edges(rows, settings.width_km, settings.cutoff_km, row_id, lat, lon), "edges")
+    # the weights around a row stay what they are; only the weighted values change
+    around = edges.groupBy(F.col("i").alias(row_id)).agg(F.sum("w").alias("__sw"), F.sum(F.col("w") * F.col("w")).alias("__sw2"))
+    n_eff = F.when(F.col("__sw2") > 0, F.col("__sw") * F.col("__sw") / F.col("__sw2")).otherwise(0.0)
+    base = stored(base.join(around.select(row_id, "__sw", n_eff.alias("__kn")), row_id, "left").fillna(0.0, ["__kn"]), "base")
     state = base.withColumn("__loc", F.lit(0.0))
-    beta, names = None, ["const", *x]
     for _ in range(settings.rounds):
-        target = state.filter("__fit").withColumn("__t", F.col("__y") - F.col("__loc"))
-        beta = solve(pr, target, "__t")
-        attr = F.lit(float(beta[0]))
-        for c, b in zip(names[1:], beta[1:], strict=True):
-            attr = attr + F.lit(float(b)) * F.col(c).cast("double")
-        rows = base.withColumn("__attr", attr).withColumn("__r", F.when(F.col("__fit"), F.col("__y") - F.col("__attr")))
-        nested = checkpointed(nested_effects(rows, "__r", settings.levels, "__loc"))
-        left = nested.select(row_id, (F.col("__r") - F.col("__loc")).alias("__d"))
-        smooth = kernel_means(edges, left, row_id, "__d")
-        joined = nested.join(smooth, row_id, "left")
-        term = F.coalesce(shrunk("smooth", "sum_w", settings.kernel_shrink), F.lit(0.0))
-        state = checkpointed(joined.withColumn("__loc", F.col("__loc") + term).withColumn("__kn", F.coalesce("n_eff", F.lit(0.0))).drop("smooth", "sum_w", "n_eff"))
+        beta = solve(pr, state.filter("__fit"), F.col("__y") - F.col("__loc"))
+        attr = fitted(pr, beta).predict()
+        attributes = base.withColumn("__attr", attr).withColumn("__r", F.when(F.col("__fit"), F.col("__y") - F.col("__attr")))
+        nested = nested_effects(attributes, "__r", settings.levels, "__loc")
+        left = nested.filter("__fit").select(F.col(row_id).alias("j"), (F.col("__r") - F.col("__loc")).alias("v"))
+        sums = edges.join(left, "j").groupBy(F.col("i").alias(row_id)).agg(F.sum(F.col("w") * F.col("v")).alias("__wv"))
+        smooth = F.when(F.col("__sw") > 1e-12, F.col("__wv") / F.col("__sw")).otherwise(0.0)
+        term = F.coalesce(shrunk(smooth, "__sw", settings.kernel_shrink), F.lit(0.0))
+        state = stored(nested.join(sums, row_id, "left").withColumn("__loc", F.col("__loc") + term).drop("__wv"), "state")
     predicted = F.col("__attr") + F.col("__loc")
     ok = F.col("__fit")
     out = state.select(
@@ -94,16 +87,29 @@ def hierarchical_fit(df: DataFrame, row_id: str, y: str, x: Sequence[str], fit:
         F.col("__kn").alias("__kn"),
     )
     reliable = F.col("fit_ok") & ((F.col("building_n_others") >= settings.building_n) | (F.col("complex_n_others") >= settings.complex_n) | (F.col("__kn") >= settings.kernel_n))
-    out = checkpointed(out.withColumn("residual_reliable", reliable).withColumn("residual_pct", F.exp("hier_residual_ln") - 1))
+    out = stored(out.withColumn("residual_reliable", reliable).withColumn("residual_pct", F.exp("hier_residual_ln") - 1), "residuals")
     stats = out.agg(F.stddev_pop(F.when(F.col("residual_reliable"), F.col("hier_residual_ln"))), F.sum(F.col("hier_residual_ln") * F.col("hier_residual_ln"))).first()
-    sst = fitted.agg(F.var_pop("__y")).first()[0] * pr.n
+    sst = rows.agg(F.var_pop("__y")).first()[0] * pr.n
     n_eff = F.col("building_n_others") + 0.5 * F.col("complex_n_others") + 0.5 * F.col("__kn")
     z = F.col("hier_residual_ln") / standard_error(float(stats[0] or 0.0), n_eff)
     out = out.withColumn("residual_n_eff", F.when(F.col("fit_ok"), n_eff)).withColumn("residual_z", z).withColumn("kernel_eff_n", F.bround("__kn", 2)).drop("__kn")
-    info = {"n_fit": pr.n, "sigma_reliable": stats[0], "r2_loo": 1 - stats[1] / sst, "beta": dict(zip(names, beta.tolist(), strict=True)), "location": state.select(row_id, F.col("__loc").alias("location"))}
+    info = {"n_fit": pr.n, "sigma_reliable": stats[0], "r2_loo": 1 - stats[1] / sst, "beta": dict(zip(pr.names, beta.tolist(), strict=True)), "location": state.select(row_id, F.col("__loc").alias("location")), "state": state, "products": pr}
     return out, info
 
 
+def coefficients(info: dict, cluster: str = "grid_cell_id") -> DataFrame:
+    """(name, coefficient, error, statistic, p) of the attributes at the converged location terms.
+
+    Least squares of y less location on the attributes, with errors clustered by ``cluster`` (null is one
+    cluster) and normal p-values; ``info`` is that of :func:`hierarchical_fit`.
+    """
+    pr: Products = info["products"]
+    rows = info["state"].filter("__fit").withColumn("__t", F.col("__y") - F.col("__loc"))
+    fit = fitted(pr, solve(pr, rows, "__t"))
+    cov, _ = cluster_covariance(rows, fit, "__t", cluster)
+    return rows.sparkSession.createDataFrame(fit.table(cov, normal=True), "name string, coefficient double, error double, statistic double, p double")
+
+
 def composite_score(df: DataFrame, spatial: str = "spatial_price_pct_vs_avg", spatial_ok: str = "spatial_rank_reliable", residual: str = "residual_pct", residual_ok: str = "residual_reliable", name: str = "good_deal_score") -> DataFrame:
     """Mean of the robust scores of -spatial and -residual, each where its own flag holds; higher is better."""
     scored = robust_z(df, spatial, "__zs", F.col(spatial_ok), negate=True)

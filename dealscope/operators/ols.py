@@ -102,14 +102,20 @@ def _matrix(df: DataFrame, x: Sequence[str], mean: np.ndarray, scale: np.ndarray
     return out.reshape(p, q or p)
 
 
-def solve(pr: Products, df: DataFrame, y: str) -> np.ndarray:
-    """Coefficients on the original scale, with one pass for X'y."""
-    xy = _matrix(df, pr.names[1:], pr.mean, pr.scale, [y])[:, 0]
-    b = np.linalg.solve(pr.gram, xy) / pr.scale
+def solve(pr: Products, df: DataFrame, y: str | Column) -> np.ndarray:
+    """Coefficients on the original scale, with one pass of plain sums for X'y."""
+    value = (F.col(y) if isinstance(y, str) else y).cast("double")
+    sums = [F.sum((F.col(c).cast("double") - float(m)) / float(k) * value) for c, m, k in zip(pr.names[1:], pr.mean[1:], pr.scale[1:], strict=True)]
+    b = np.linalg.solve(pr.gram, np.array(df.agg(F.sum(value), *sums).first(), float)) / pr.scale
     b[0] -= (b[1:] * pr.mean[1:]).sum()
     return b
 
 
+def fitted(pr: Products, beta: np.ndarray) -> Fit:
+    """A fit of given coefficients, without figures of its residuals."""
+    return Fit(pr.names, beta, pr.n, math.nan, math.nan, math.nan, _inverse(pr))
+
+
 def _inverse(pr: Products) -> np.ndarray:
     t = np.diag(1 / pr.scale)
     t[0, 1:] = -pr.mean[1:] / pr.scale[1:]
@@ -121,7 +127,7 @@ def ols(df: DataFrame, y: str, x: Sequence[str], missing: str = "drop") -> Fit:
     rows = _checked(df, x, [y], missing)
     pr = products(rows, x)
     beta = solve(pr, rows, y)
-    fit = Fit(pr.names, beta, pr.n, math.nan, math.nan, math.nan, _inverse(pr))
+    fit = fitted(pr, beta)
     ss = rows.select((F.col(y) - fit.predict()).alias("e"), F.col(y).cast("double").alias("y")).agg(F.sum(F.col("e") * F.col("e")), F.var_pop("y")).first()
     ssr, sst = ss[0], ss[1] * pr.n
     k = len(x) + 1

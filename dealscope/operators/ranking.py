@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealscope.session import stored
+
 
 def percentile_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
     """(smallest rank - 1) / (n - 1) among the group's values; 0 for a single one; null where key or value is null.
@@ -23,28 +25,29 @@ def smallest(df: DataFrame, value: str, k: int, tie: Sequence[str]) -> DataFrame
     return df.filter(F.col(value).isNotNull()).orderBy(value, *tie).limit(k)
 
 
-def next_ids(new: DataFrame, key: str | Column, known: DataFrame, known_id: str, name: str = "row_id", partitions: int = 64) -> DataFrame:
-    """New rows numbered on from the largest known id, in order of key.
+def numbered(df: DataFrame, key: str | Column, name: str, partitions: int = 64) -> DataFrame:
+    """Rows with their place from 0 in order of key; equal keys follow each other in any order.
 
-    Numbers come from a range partitioning and the partitions' counts, so that no
-    single task sorts everything.
+    Places come from a range partitioning, written once, and its partitions' counts, so that
+    no single task sorts everything and no row is counted in one place and numbered in another.
     """
-    last = known.agg(F.coalesce(F.max(known_id), F.lit(0)).cast("bigint").alias("__last"))
     k = F.col(key) if isinstance(key, str) else key
-    parted = new.withColumn("__key", k).repartitionByRange(partitions, "__key").withColumn("__part", F.spark_partition_id()).persist()
-    try:
-        counts = parted.groupBy("__part").agg(F.count("*").alias("__n"))
-        before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-        # at most `partitions` rows and a single row
-        numbered = parted.join(F.broadcast(before), "__part").crossJoin(F.broadcast(last))
-        place = F.row_number().over(Window.partitionBy("__part").orderBy("__key"))
-        return numbered.withColumn(name, (F.col("__last") + F.col("__before") + place).cast("bigint")).drop("__part", "__before", "__last", "__key")
-    finally:
-        parted.unpersist()
-
-
-def default_row_numbers(links: DataFrame, position: str, url: str = "url", given: str = "source_row") -> DataFrame:
+    parted = stored(df.withColumn("__key", k).repartitionByRange(partitions, "__key").withColumn("__part", F.spark_partition_id()), "parted")
+    counts = parted.groupBy("__part").agg(F.count("*").alias("__n"))
+    # at most `partitions` rows
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("__key")) - 1
+    return parted.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + place).cast("bigint")).drop("__part", "__before", "__key")
+
+
+def next_ids(new: DataFrame, key: str | Column, known: DataFrame, known_id: str, name: str = "row_id", partitions: int = 64) -> DataFrame:
+    """New rows numbered on from the largest known id, in order of key."""
+    last = known.agg(F.coalesce(F.max(known_id), F.lit(0)).cast("bigint")).first()[0]
+    return numbered(new, key, name, partitions).withColumn(name, F.col(name) + F.lit(last + 1))
+
+
+def default_row_numbers(links: DataFrame, position: str, url: str = "url", given: str = "source_row", partitions: int = 64) -> DataFrame:
     """Links with a url; a missing row number is the number of links before it, plus 2."""
     kept = links.filter(F.trim(F.coalesce(F.col(url), F.lit(""))) != "")
-    before = F.row_number().over(Window.orderBy(position)) - 1
-    return kept.withColumn(given, F.coalesce(F.col(given), (before + 2).cast("int")))
+    placed = numbered(kept, position, "__place", partitions)
+    return placed.withColumn(given, F.coalesce(F.col(given), (F.col("__place") + 2).cast("int"))).drop("__place")

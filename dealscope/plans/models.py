@@ -12,6 +12,8 @@ from dealscope.operators.quality import CheckFailed, require_count
 #: Line distance bands in metres, and the control.
 BETWEEN_BANDS: tuple[Band, ...] = tuple((f"line_{k}_{k + 100}", float(k), float(k + 100)) for k in range(0, 1000, 100))
 BETWEEN_CONTROL = (1000.0, 1500.0)
+#: Parts of the names of location groups.
+FORBIDDEN = ("nearest_segment", "segment", "grid_cell", "cell_id")
 
 
 def near_stations(df: DataFrame, controls: Sequence[str], cluster: str = "grid_cell_id", y: str = "ln_price_m2", period: str = "year2026", distance: str = "station_distance_m", expected: int | None = None) -> tuple[DataFrame, dict]:
@@ -21,9 +23,9 @@ def near_stations(df: DataFrame, controls: Sequence[str], cluster: str = "grid_c
     return did(rows, y, period, NEAR_BANDS, controls, cluster)
 
 
-def between_stations(df: DataFrame, controls: Sequence[str], cluster: str = "grid_cell_id", y: str = "ln_price_m2", period: str = "year2026", line: str = "line_distance_m", station: str = "station_distance_m", bands: Sequence[Band] = BETWEEN_BANDS, control: tuple[float, float] = BETWEEN_CONTROL, forbidden: Sequence[str] = ("grid_cell_id", "segment"), expected: tuple[int, int] | None = None) -> tuple[DataFrame, dict]:
-    """Location groups may not also be controls; ``expected`` is (observations, clusters)."""
-    if bad := [c for c in controls if c in forbidden]:
+def between_stations(df: DataFrame, controls: Sequence[str], cluster: str = "grid_cell_id", y: str = "ln_price_m2", period: str = "year2026", line: str = "line_distance_m", station: str = "station_distance_m", bands: Sequence[Band] = BETWEEN_BANDS, control: tuple[float, float] = BETWEEN_CONTROL, forbidden: Sequence[str] = FORBIDDEN, expected: tuple[int, int] | None = None) -> tuple[DataFrame, dict]:
+    """Location groups may not also be controls, by any part of their names; ``expected`` is (observations, clusters)."""
+    if bad := [c for c in controls if any(f in c for f in forbidden)]:
         raise CheckFailed(f"location groups among the controls: {bad}")
     rows = between_sample(df, line, station, bands, control)
     table, info = did(rows, y, period, bands, controls, cluster)

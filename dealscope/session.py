@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +27,39 @@ def session(name: str = "dealscope", **settings: str) -> SparkSession:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in double and float columns becomes null, so that no comparison sees it."""
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
+
+
+_OWN: list[str] = []
+_STORED: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            warnings.warn("spark.checkpoint.dir is unset: intermediate tables go to a folder of this machine", stacklevel=3)
+        if not _OWN:
+            _OWN.append(f"file://{tempfile.mkdtemp(prefix='dealscope-')}")
+        found = _OWN[0]
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the plan, survives lost executors, and has known sizes.
+
+    Results may read it until they are written; then :func:`drop_stored` removes it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Removes the tables that this process has stored; their number."""
+    n = len(_STORED)
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

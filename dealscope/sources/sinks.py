@@ -9,7 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.functions.text import script_safe
 from dealscope.operators.sets import pending
 
 
@@ -39,11 +38,6 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
         new.unpersist()
 
 
-def report_lines(metrics: DataFrame) -> list[str]:
-    """Lines ``metric: value`` of a small (metric, value) table, in its order."""
-    return [f"{r[0]}: {r[1]}" for r in metrics.collect()]
-
-
 def json_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(row_json): each row as a compact JSON array of its columns; nulls stay null."""
     parts = [F.coalesce(F.get_json_object(F.to_json(F.struct(F.col(c).alias("v"))), "$.v"), F.lit("null")) if t not in ("string",) else F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":(.*)\}$', 1), F.lit("")) for c, t in df.select(*columns).dtypes]
@@ -51,7 +45,7 @@ def json_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.concat(F.lit("["), F.concat_ws(",", *fixed), F.lit("]")).alias("row_json"))
 
 
-def json_payload(meta: dict, lookups: dict[str, list[str]], rows: DataFrame, most: int = 2_000_000) -> str:
+def json_payload(meta: dict, lookups: dict, rows: DataFrame, most: int = 2_000_000) -> str:
     """One document of meta, lookup lists and rows, without spaces; for map-sized tables of ``most`` rows or fewer."""
     found = [r[0] for r in rows.limit(most + 1).collect()]
     if len(found) > most:
@@ -69,7 +63,3 @@ def merged_template(template: str, payload: str, image: bytes, bounds: Sequence[
     for m, v in zip(marks, values, strict=True):
         template = template.replace(m, v)
     return template
-
-
-def script_safe_rows(df: DataFrame, c: str) -> DataFrame:
-    return df.withColumn(c, script_safe(c))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from dealscope.functions.geo import CENTRE, EMBANKMENT, MALLS, PARK
 from dealscope.operators.ranking import default_row_numbers
@@ -68,7 +66,3 @@ def landmarks(spark: SparkSession) -> DataFrame:
     """(name, lat, lon) of the known places."""
     places = {"center": CENTRE, "park": PARK, "embankment": EMBANKMENT, **MALLS}
     return spark.createDataFrame([(k, *v) for k, v in places.items()], "name string, lat double, lon double")
-
-
-def text_schema(columns: Sequence[str]) -> StructType:
-    return StructType([StructField(c, StringType()) for c in columns])

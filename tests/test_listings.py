@@ -1,8 +1,11 @@
+import json
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from dealscope.operators import hierarchical
 from dealscope.operators.did import near_sample
 from dealscope.operators.quality import CheckFailed
 from dealscope.plans import listings, models, reports
@@ -58,11 +61,45 @@ def test_pipeline_from_scrape_to_map(raw):
     tables = reports.parse_report(listings.parsed(raw, 2026)) | reports.feature_report(features) | reports.ranking_report(ranked, 20) | reports.profile_report(ranked)
     assert len(reports.as_lines(tables)) > 80 and tables["duplicates"].first()["extra"] == 0
     assert sum(r["n"] for r in tables["waterfall"].collect()) == info["n_fit"]
-    types = sorted({r[0] for r in ranked.select("rooms_bucket_estimated").distinct().collect()})
-    shown = listings.map_rows(ranked, {"rooms_bucket_estimated": types})
-    assert shown.count() == 160 and shown.filter("rooms_bucket_estimated < 0").count() == 0
+    categories = {c: sorted({r[0] for r in ranked.select(c).dropna().distinct().collect()}) for c in listings.CATEGORIES}
+    box = ((51.095, 51.3), (71.0, 71.8))
+    shown = listings.map_rows(ranked, categories, box)
+    assert len(shown.columns) == 24
+    own = {r["source_row"]: r for r in ranked.collect() if box[0][0] <= r["lat"] <= box[0][1]}
+    names = sorted({r["complex_name"] for r in own.values() if r["complex_name"]})
+    got = {r["id"]: r for r in shown.collect()}
+    assert set(got) == set(own) and 0 < len(got) < 160
+
+    def times(v, k):
+        return None if v is None else round(v * k)
+
+    for k, r in own.items():
+        c = categories
+        assert tuple(got[k]) == (
+            k, round(r["lat"], 6), round(r["lon"], 6), times(r["price_tenge"], 0.001), r["area_total_m2"], r["build_year"], r["floor"], r["floor_total"],
+            *[c[x].index(r[x]) if r[x] is not None else -1 for x in c], names.index(r["complex_name"]) if r["complex_name"] else -1,
+            times(r["spatial_price_pct_vs_avg"], 1000), int(r["spatial_rank_reliable"]), r["n_neighbors_3km"], times(r["spatial_price_pct_vs_avg_1km"], 1000), int(r["spatial_rank_reliable_1km"]), r["n_neighbors_1km"],
+            times(r["residual_pct"], 1000), int(r["residual_reliable"]), times(r["residual_z"], 100), times(r["predicted_price_m2"], 1), times(r["good_deal_score"], 1000),
+        )
+    figures = listings.map_figures(ranked, box).first()
+    assert figures["rows_shown"] == len(got) and figures["rows_excluded_bbox"] == 160 - len(got) and figures["rows_excluded_no_coords"] == 0
+    assert figures["strong_deals"] == sum(r["residual_reliable"] and r["residual_z"] <= -1.5 for r in own.values())
+    payload = json.loads(listings.map_payload(ranked, "now", categories, box))
+    assert len(payload["rows"]) == len(got) and [x[0] for x in payload["complexes"]] == names and payload["meta"]["rows_shown"] == len(got)
+    assert {tuple(x) for x in payload["rows"]} == {tuple(r) for r in got.values()}
+    assert payload["meta"]["city_median_price_m2"] == int(statistics.median(r["price_m2"] for r in own.values()))
     with pytest.raises(CheckFailed):
-        listings.map_rows(ranked, {"rooms_bucket_estimated": types[:1]})
+        listings.map_rows(ranked, categories | {"rooms_bucket_estimated": categories["rooms_bucket_estimated"][:1]})
+    table = {r["name"]: r for r in hierarchical.coefficients(info).collect()}
+    assert set(table) == set(info["beta"]) and all(r["error"] > 0 and 0 <= r["p"] <= 1 for r in table.values())
+
+
+def test_repeated_error_rows_stay_what_they_are(spark):
+    rows = [(7, "u/a/show/7", "error", 404, None, None, None, None, None, "gone")] * 2 + [(8, f"u/a/show/{k}", "ok", 200, advert(str(40_000_000 + k * 1_000_000), area=str(40 + k)), "", 51.1 + k / 1000, 71.4, "2026-07-13", "") for k in range(6)]
+    raw = spark.createDataFrame(rows, RAW)
+    features = listings.featured(listings.parsed(raw, 2026), raw)
+    assert features.count() == len(rows) and features.filter("source_row = 7").count() == 2
+    assert features.select("row_id").distinct().count() == len(rows)
 
 
 def test_distance_models(spark):
@@ -80,6 +117,8 @@ def test_distance_models(spark):
     assert models.between_stations(df, ["c"])[0].count() == 10
     with pytest.raises(CheckFailed):
         models.between_stations(df, ["c", "grid_cell_id"])
+    with pytest.raises(CheckFailed):
+        models.between_stations(df.withColumn("nearest_segment_id", F.lit(1)), ["c", "nearest_segment_id"])
     with pytest.raises(CheckFailed):
         near_sample(df, "station_distance_m", (("a", 0.0, 500.0), ("b", 400.0, 1500.0)))
 
