@@ -1,8 +1,10 @@
 """The hierarchical price model: attributes by least squares, location by nested leave-one-out effects and a kernel.
 
-The cross-products of the attributes and the kernel's weights do not change between
-rounds and are summed once; a round sums one vector, and writes its rows to the shared
-folder once, so plans stay short and lost executors cost no earlier round.
+The cross-products of the attributes, the kernel's weights, and the sums of each cell (the
+rows that share all location keys) do not change between rounds and are summed once.  A
+round sums one vector over the rows, works the levels out on one row a cell, and writes
+its rows to the shared folder once, so plans stay short and lost executors cost no
+earlier round.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import first_failing, row_mean, standard_error, within
-from dealscope.operators.effects import nested_effects, shrunk
+from dealscope.operators.effects import cell_effects, shrunk
 from dealscope.operators.ols import Products, cluster_covariance, fitted, products, solve
 from dealscope.operators.profile import robust_z
 from dealscope.operators.radius import kernel_edges
@@ -62,20 +64,29 @@ def hierarchical_fit(df: DataFrame, row_id: str, y: str, x: Sequence[str], fit:
     # the weights around a row stay what they are; only the weighted values change
     around = edges.groupBy(F.col("i").alias(row_id)).agg(F.sum("w").alias("__sw"), F.sum(F.col("w") * F.col("w")).alias("__sw2"))
     n_eff = F.when(F.col("__sw2") > 0, F.col("__sw") * F.col("__sw") / F.col("__sw2")).otherwise(0.0)
-    base = stored(base.join(around.select(row_id, "__sw", n_eff.alias("__kn")), row_id, "left").fillna(0.0, ["__kn"]), "base")
+    base = base.join(around.select(row_id, "__sw", n_eff.alias("__kn")), row_id, "left").fillna(0.0, ["__kn"])
+    # the keys as one text; null keys are left out of it, so that no two cells have the same
+    base = stored(base.withColumn("__cell", F.to_json(F.struct(*levels))), "base")
+    ok = F.col("__fit")
+    sums = {c: F.coalesce(F.sum(F.when(ok, F.col(c).cast("double"))), F.lit(0.0)) for c in ["__y", *x]}
+    cells = stored(base.groupBy("__cell", *levels).agg(F.count_if(ok).alias("n"), *[v.alias(f"__sum{k}") for k, v in enumerate(sums.values())]), "cells")
     state = base.withColumn("__loc", F.lit(0.0))
     for _ in range(settings.rounds):
         beta = solve(pr, state.filter("__fit"), F.col("__y") - F.col("__loc"))
         attr = fitted(pr, beta).predict()
-        attributes = base.withColumn("__attr", attr).withColumn("__r", F.when(F.col("__fit"), F.col("__y") - F.col("__attr")))
-        nested = nested_effects(attributes, "__r", settings.levels, "__loc")
-        left = nested.filter("__fit").select(F.col(row_id).alias("j"), (F.col("__r") - F.col("__loc")).alias("v"))
-        sums = edges.join(left, "j").groupBy(F.col("i").alias(row_id)).agg(F.sum(F.col("w") * F.col("v")).alias("__wv"))
+        rest = F.col("__sum0") - F.lit(float(beta[0])) * F.col("n")
+        for k, b in enumerate(beta[1:], 1):
+            rest = rest - F.lit(float(b)) * F.col(f"__sum{k}")
+        effects = cell_effects(cells.select("__cell", *levels, "n", rest.alias("s")), settings.levels).drop(*levels, "n", "s")
+        rows_now = base.withColumn("__attr", attr).withColumn("__r", F.when(ok, F.col("__y") - F.col("__attr"))).join(effects, "__cell")
+        left = F.col("left_of_value") * F.col("__r") - F.col("left_off")
+        rows_now = rows_now.withColumn("__loc", F.when(ok, F.col("__r") - left).otherwise(F.col("location")))
+        rows_now = rows_now.withColumns({f"{k}_n_others": F.col(f"{k}_n") - ok.cast("int") for k in levels}).drop("left_of_value", "left_off", "location", *[f"{k}_n" for k in levels])
+        around_now = edges.join(rows_now.filter(ok).select(F.col(row_id).alias("j"), (F.col("__r") - F.col("__loc")).alias("v")), "j").groupBy(F.col("i").alias(row_id)).agg(F.sum(F.col("w") * F.col("v")).alias("__wv"))
         smooth = F.when(F.col("__sw") > 1e-12, F.col("__wv") / F.col("__sw")).otherwise(0.0)
         term = F.coalesce(shrunk(smooth, "__sw", settings.kernel_shrink), F.lit(0.0))
-        state = stored(nested.join(sums, row_id, "left").withColumn("__loc", F.col("__loc") + term).drop("__wv"), "state")
+        state = stored(rows_now.join(around_now, row_id, "left").withColumn("__loc", F.col("__loc") + term).drop("__wv"), "state")
     predicted = F.col("__attr") + F.col("__loc")
-    ok = F.col("__fit")
     out = state.select(
         row_id,
         ok.alias("fit_ok"),

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealscope.functions import geo, numeric, text
-from dealscope.operators import dedup, design, did, effects, groups, hierarchical, ols, profile, radius, ranking, sets
-from dealscope.sources.html import div_text_column
+from dealscope.operators import dedup, design, diagnostics, did, effects, groups, hierarchical, ols, profile, quality, radius, ranking, sets
+from dealscope.plans import listings, reports
+from dealscope.sources.html import div_text_column, listing_rows
 from dealscope.sources.sinks import json_rows
+from dealscope.streaming.ingest import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -246,16 +248,27 @@ def did_two_by_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 def did_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = did.near_sample(_banded(spark, sf_dir), "d_m", DID_BANDS, (15000.0, 40000.0))
     t, _ = did.did(b, "ln_price", "late", DID_BANDS, ["o_day"], "c_nationkey")
-    return t
+    return t.select("band", "n_before", "n_after", "n", r("coefficient").alias("coefficient"), r("error").alias("error"), r("p", 7).alias("p"), *[r(c, 5).alias(c) for c in ("effect_pct", "low_pct", "high_pct")])
 
 
-@query
-def hierarchical_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hierarchical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
     c = customers(spark, sf_dir).join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), "c_nationkey")
     c = c.withColumns({"y": F.ln(F.abs("c_acctbal") + 1000), "district": F.col("n_regionkey").cast("string"), "grid_cell_id": geo.grid_cell("lat", "lon", 5000.0), "complex_name": F.when(F.col("c_custkey") % 7 != 0, F.concat("c_mktsegment", F.col("c_nationkey").cast("string"))), "fit": F.col("c_custkey") % 50 != 0, "x1": (F.col("c_custkey") % 13).cast("double"), "x2": (F.col("c_custkey") % 5).cast("double")})
     c = c.withColumn("building", F.concat_ws("|", F.coalesce("complex_name", F.lit("none")), (F.col("c_custkey") % 11).cast("string")))
-    out, _ = hierarchical.hierarchical_fit(c, "c_custkey", "y", ["x1", "x2"], "fit")
-    return out
+    return hierarchical.hierarchical_fit(c, "c_custkey", "y", ["x1", "x2"], "fit")
+
+
+@query
+def hierarchical_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _hierarchical(spark, sf_dir)
+    exact = ["predicted_ln_price_m2", "hier_residual_ln", "residual_pct", "residual_n_eff", "residual_z"]
+    return out.select("c_custkey", "fit_ok", "building_n_others", "complex_n_others", "kernel_eff_n", "residual_reliable", r("predicted_price_m2", 3).alias("predicted_price_m2"), *[r(c, 7).alias(c) for c in exact])
+
+
+@query
+def hierarchical_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, info = _hierarchical(spark, sf_dir)
+    return hierarchical.coefficients(info).select("name", *[r(c, 7).alias(c) for c in ("coefficient", "error", "statistic")])
 
 
 @query
@@ -441,3 +454,150 @@ def name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = groups.distinct_sorted(table(spark, sf_dir, "nation"), "n_name")
     indexed = ranking.next_ids(n, "n_name", n.limit(0).select(F.lit(0).alias("z")), "z", "i", 4)
     return table(spark, sf_dir, "nation").join(indexed, "n_name").select("n_nationkey", (F.col("i") - 1).alias("name_index"))
+
+
+DISTRICTS = listings.CATEGORIES["district"]
+
+
+def _raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped rows made from the parts' keys, with every form that the parser knows."""
+    k = F.col("p_partkey").cast("bigint")
+    name = F.element_at(F.array(*[F.lit(d) for d in DISTRICTS]), (k % 6 + 1).cast("int"))
+    place = F.when(k % 7 == 3, F.concat(F.lit(" Астана, р-н "), name, F.lit(" показать на карте"))).when(k % 7 == 5, F.lit("")).otherwise(F.concat(F.lit(" Астана, "), name, F.lit(" р-н показать на карте")))
+    price = F.when(k % 11 == 0, F.lit("цена по запросу")).otherwise(F.concat(F.regexp_replace(F.format_number(k * 12345 + 5000000, 0), ",", " "), F.lit(" ₸")))
+    advert = F.concat(
+        price, place, F.lit(" Тип дома "), F.lower("p_brand"), F.lit(" и др, "),
+        F.when(k % 3 != 0, F.concat(F.lit("Жилой комплекс "), F.col("p_name"))).otherwise(F.lit("")),
+        F.lit(" Год постройки "), (k % 40 + 1990).cast("string"),
+        F.when(k % 5 != 0, F.concat(F.lit(" Этаж "), (k % 9 + 1).cast("string"), F.lit(" из 9"))).otherwise(F.lit("")),
+        F.lit(" Площадь "), (k % 90 + 20).cast("string"), F.lit(",5 м², Площадь кухни — "), (k % 9 + 6).cast("string"), F.lit(" м²"),
+        F.when(k % 4 == 1, F.lit(" Рассрочка")).otherwise(F.lit("")),
+    )
+    state = F.when(k % 4 == 1, F.lit("Состояние квартиры Черновая отделка ")).when(k % 4 == 2, F.lit("Состояние квартиры свежий ремонт ")).when(k % 4 == 3, F.lit("Состояние квартиры требует ремонта ")).otherwise(F.lit(""))
+    amenities = F.concat(state, F.when(k % 2 == 0, F.lit("Балкон остеклён Да, ")).otherwise(F.lit("Балкон остеклён нет ")), F.lit("Безопасность решетки, видео ,охрана Бывшее общежитие нет"))
+    params = F.when(k % 13 == 0, F.concat(F.lit("Астана, "), name, F.lit(" р-н показать на карте | Площадь 30 м² | Санузел раздельный"))).otherwise(amenities)
+    failed = k % 17 == 0
+    return table(spark, sf_dir, "part").select(
+        k.alias("source_row"), F.concat(F.lit("https://example/a/show/"), k.cast("string")).alias("url"), F.when(failed, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+        F.when(~failed, advert).alias("advert_info"), F.when(~failed, params).alias("parameters"), F.when(k % 19 == 0, F.lit("bad")).otherwise(F.lit("2026-07-13T10:00")).alias("fetched_at"),
+    )
+
+
+@query
+def listing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields of scraped rows: prices, districts in either word order, floors, years, states, lists, warnings, errors."""
+    p = listings.parsed(_raw_listings(spark, sf_dir), 2025)
+    plain = ["source_row", "city", "district", "building_type", "complex_name", "area_total_m2", "kitchen_area_m2", "apartment_condition", "bathroom", "rooms_bucket_estimated"]
+    flags = ["price_is_installment", "is_under_construction", "floor_is_first", "floor_is_last", "balcony_glazed", "former_dormitory", "rooms_estimate_is_heuristic"]
+    numbers = ["price_tenge", "build_year", "floor", "floor_total"]
+    return p.select(*plain, *[F.col(c).cast("string").alias(c) for c in flags], *[F.col(c).cast("double").alias(c) for c in numbers], F.concat_ws("|", "security_features").alias("security"), F.concat_ws("|", "parse_warnings").alias("warnings"))
+
+
+@query
+def parse_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parse report's counts and coverage, and rows left after a required column."""
+    p = listings.parsed(_raw_listings(spark, sf_dir), 2025)
+    tables = reports.parse_report(p)
+    coverage = tables["coverage"].select(F.concat(F.lit("present_"), "column_name").alias("metric"), F.col("present").cast("double").alias("value"))
+    priced_rows = p.dropna(subset=["price_tenge", "district"]).agg(F.count("*").cast("double").alias("value")).select(F.lit("priced_and_placed").alias("metric"), "value")
+    return tables["counts"].unionByName(coverage).unionByName(priced_rows)
+
+
+@query
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and coordinates of fetched pages; the fallback class where the first has no text."""
+    k = F.col("p_partkey").cast("bigint").cast("string")
+    params = F.when(F.col("p_partkey") % 3 == 0, F.lit('<div class="params"></div><div class="short">few</div>')).otherwise(F.concat(F.lit('<div id=x class="wide params">size '), F.col("p_size").cast("string"), F.lit("<p>and</p>more</div>")))
+    page = F.concat(F.lit('<html><body><div class="offer">'), F.col("p_name"), F.lit(" &amp; <b>"), F.col("p_brand"), F.lit("</b><div>inner<br>text</div></div>"), params, F.lit('<script>{"lat":"51.'), k, F.lit('","lon":71.'), k, F.lit("}</script>"))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("url"), page.alias("html"))
+    return listing_rows(pages, ["offer"], ["params"], ["short"])
+
+
+@query
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts with spaces, cleaned text with references, script-safe text, rooms in a title."""
+    k = F.col("p_partkey").cast("bigint")
+    found = F.concat(F.lit("Найдено "), F.regexp_replace(F.format_number(k * 1001, 0), ",", " "), F.lit(" объявлений"))
+    messy = F.concat(F.lit("\u00a0 "), F.col("p_name"), F.lit(" &amp;&nbsp; \n &#1072;&lt;"), F.col("p_brand"), F.lit(" \t"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.spaced_count(found, r"(?U)Найдено\s+(\d[\d\s]*)").alias("found"), text.clean(messy).alias("cleaned"), text.script_safe(F.concat(F.lit("</b>"), "p_name")).alias("safe"),
+        reports.rooms_of_title(F.concat((k % 5 + 1).cast("string"), F.lit("-комнатная квартира"))).alias("rooms"),
+    )
+
+
+@query
+def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type and hour, by the function that also runs on streams."""
+    c = windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type")
+    return c.select(*[F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x) for x in ("start", "end")], "event_type", "n")
+
+
+@query
+def spline_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    columns = design.spline("p_retailprice", design.spline_knots(p, "p_retailprice"))
+    return p.select("p_partkey", *[r(v, 7).alias(k) for k, v in columns.items()])
+
+
+@query
+def design_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputed medians, levels folded into the mode, treatment coding."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("price"), F.col("o_orderpriority").alias("priority"))
+    o = design.fold_unseen(design.impute_median(o, ["price"]), ["priority"], F.col("priority") != "5-LOW")
+    coded = design.treatment("priority", design.levels(o, "priority"))
+    return o.select("o_orderkey", r("price", 7).alias("price"), "priority", *[v.cast("int").alias(k) for k, v in coded.items()])
+
+
+@query
+def variance_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = diagnostics.variance_inflation(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return v.select("column_name", r("vif", 6).alias("vif"), "high")
+
+
+@query
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = diagnostics.cross_validated(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"], 5, "l_orderkey", hashed=False)
+    return c.select("fold", "n", r("rmse", 4).alias("rmse"), r("r2", 8).alias("r2"))
+
+
+@query
+def residuals_by_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    out = diagnostics.residuals_by_fitted(ols.with_residuals(li, ols.ols(li, "l_extendedprice", ["l_quantity"]), "l_extendedprice"), "predicted", "residual")
+    return out.select("bin", "n", *[r(c, 3).alias(c) for c in ("mean_fitted", "mean_residual", "sd_residual")])
+
+
+@query
+def population_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.population_z(table(spark, sf_dir, "customer"), "c_acctbal", "z", negate=True).select("c_custkey", r("z", 7).alias("z"))
+
+
+@query
+def constant_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.when(F.col("l_linenumber") > 1, F.concat(F.lit("of "), F.col("l_returnflag"))).alias("label"))
+    return groups.constant_of_group(li, "l_returnflag", "label")
+
+
+@query
+def checked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that pass the checks: conditions on every row, known categories, one band each, no rows lost in a join."""
+    o = table(spark, sf_dir, "orders")
+    o = quality.require_categories(o, "o_orderpriority", design.levels(o, "o_orderpriority"))
+    banded = o.withColumns(numeric.bands("o_totalprice", [("low", 0, 150000), ("high", 150000, 1e12)]))
+    banded = quality.require(banded, {"priced": F.col("o_totalprice") > 0, "one band": quality.exactly_one("low", "high")})
+    named = banded.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
+    return quality.require_no_loss(banded, named).select("o_orderkey", "low", "high", "c_mktsegment")
+
+
+@query
+def standard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by a mapping, and the expected value of a complex or else of its district."""
+    names = spark.createDataFrame([("FRANCE", "France"), ("CHINA", "China")], "name string, standard string")
+    n = table(spark, sf_dir, "nation").withColumns({"complex_listing_count": F.col("n_nationkey"), "complex_median_price_m2": F.col("n_nationkey") * 2.0, "district_median_price_m2": F.col("n_regionkey") * 4.0, "effect": F.lit(5.0), "model": F.lit(3.0)})
+    return reports.complex_or_district(reports.normalised(n, "n_name", names), "effect", "model").select("n_nationkey", "n_name", r("expected").alias("expected"))
+
+
+@query
+def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map tiles that cover the box of the export."""
+    return geo.tile_grid(spark, *listings.BOX, 10).select("x", "y", r("west").alias("west"), r("north").alias("north"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dealscope.plans.catalogue import LINE
+from dealscope.plans.catalogue import DISTRICTS, LINE
+from dealscope.plans.listings import BOX
 
 _LINE = ", ".join(LINE)
 _SHOWN = _LINE.replace("l_shipdate", "strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate")
@@ -23,6 +24,7 @@ def _km(a: str, b: str, c: str, d: str) -> str:
     return f"(2 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin((radians({c}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin((radians({d}) - radians({b})) / 2), 2)))))"
 
 
+#: Places of the city.
 _PLACES = {
     "center": (51.1282, 71.4306),
     "park": (51.1300, 71.4460),
@@ -72,8 +74,6 @@ _LABELS = ("Kitchen area", "Area", "Type", "Floor", "Phone", "Tags")
 
 
 def _corr(a: str, b: str) -> str:
-    if a == b:
-        return f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS correlation FROM l"
     return f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS correlation FROM l"
 
 
@@ -89,6 +89,129 @@ _LOO = """CASE WHEN {k} IS NULL THEN 0e0 ELSE (coalesce(sum({v}) OVER (PARTITION
 
 _CELL = "floor(lat / (500e0 / 111000e0))::bigint || '_' || floor(lon / (500e0 / (111000e0 * cos(radians(51.1e0)))))::bigint"
 
+def _arc(angle: str) -> str:
+    """The integral of cos(x) ** (df - 1) from 0 to the angle, by Simpson's rule; Student's t is its tail."""
+    weight = "CASE WHEN i % 1000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(list_sum(list_transform(range(0, 1001), lambda i: ({weight}) * pow(cos({angle} * i / 1000e0), df - 1))) * {angle} / 3000e0)"
+
+
+def _did_report() -> str:
+    """Cell means and one slope give the regression of saturated bands; each coefficient is a weighted sum of the rows."""
+    return f"""WITH RECURSIVE {_CUSTOMERS}, banded AS (
+            SELECT c_nationkey AS g, ln(o_totalprice + 1) AS y, (month(o_orderdate) >= 7)::int AS late, day(o_orderdate)::double AS d, 1000 * {_D['center']} AS d_m FROM orders JOIN c ON o_custkey = c_custkey),
+        x AS MATERIALIZED (SELECT *, CASE WHEN d_m < 5000 THEN 'd0' WHEN d_m < 10000 THEN 'd5' WHEN d_m < 15000 THEN 'd10' ELSE 'control' END AS cell FROM banded WHERE d_m <= 40000),
+        cells AS MATERIALIZED (SELECT cell, late, count(*)::double AS m, avg(y) AS my, avg(d) AS md FROM x GROUP BY 1, 2),
+        slope AS MATERIALIZED (SELECT sum((d - md) * (d - md)) AS s, sum((d - md) * (y - my)) / sum((d - md) * (d - md)) AS b, count(*)::double AS n, count(DISTINCT g) AS gg FROM x JOIN cells USING (cell, late)),
+        weights AS (SELECT band, cells.*, CASE WHEN cell = band THEN 2 * late - 1 WHEN cell = 'control' THEN 1 - 2 * late ELSE 0 END AS w FROM (VALUES ('d0'), ('d5'), ('d10')) AS v(band), cells),
+        sums AS MATERIALIZED (SELECT band, sum(w * md) AS wd, sum(w * (my - b * md)) AS coefficient, sum(m) FILTER (cell = band AND late = 0)::bigint AS n_before, sum(m) FILTER (cell = band AND late = 1)::bigint AS n_after FROM weights, slope GROUP BY 1),
+        scores AS (SELECT band, g, sum((w / m - wd * (d - md) / s) * (y - my - b * (d - md))) AS h FROM x JOIN weights USING (cell, late) JOIN sums USING (band), slope GROUP BY 1, 2),
+        errors AS (SELECT band, sqrt(any_value(gg / (gg - 1e0) * (n - 1) / (n - 9)) * sum(h * h)) AS error, any_value(gg - 1)::double AS df FROM scores, slope GROUP BY 1),
+        whole AS MATERIALIZED (SELECT gg - 1e0 AS df FROM slope), whole_arc AS MATERIALIZED (SELECT df, {_arc('(pi() / 2)')} AS half FROM whole),
+        search(low, high, k) AS (SELECT 0e0, pi() / 2, 0 UNION ALL
+            SELECT CASE WHEN {_arc('((low + high) / 2)')} < 0.95e0 * half THEN (low + high) / 2 ELSE low END, CASE WHEN {_arc('((low + high) / 2)')} < 0.95e0 * half THEN high ELSE (low + high) / 2 END, k + 1 FROM search, whole_arc WHERE k < 50),
+        quantile AS (SELECT sqrt(df) * tan(low) AS q FROM search, whole WHERE k = 50),
+        found AS (SELECT band, n_before, n_after, n_before + n_after AS n, coefficient, error, atan(abs(coefficient / error) / sqrt(df)) AS angle, df FROM sums JOIN errors USING (band))
+        SELECT band, n_before, n_after, n, round(coefficient, 9) AS coefficient, round(error, 9) AS error, round(1 - {_arc('angle')} / half, 7) AS p, round(100 * (exp(coefficient) - 1), 5) AS effect_pct,
+            round(100 * (exp(coefficient - q * error) - 1), 5) AS low_pct, round(100 * (exp(coefficient + q * error) - 1), 5) AS high_pct FROM found JOIN whole_arc USING (df), quantile"""
+
+
+def _hierarchical(rounds: int = 6) -> str:
+    """The rounds of the model written out, one after the other."""
+    cell = _CELL.replace("500e0", "5000e0")
+    parts = [
+        f"{_CUSTOMERS}",
+        f"""b AS MATERIALIZED (SELECT c_custkey AS id, c_custkey % 50 <> 0 AS fit, ln(abs(c_acctbal) + 1000) AS y, (c_custkey % 13)::double AS x1, (c_custkey % 5)::double AS x2, lat, lon, n_regionkey::varchar AS g1, {cell} AS g2,
+            CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment || c_nationkey END AS g3, coalesce(CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment || c_nationkey END, 'none') || '|' || (c_custkey % 11) AS g4
+            FROM c JOIN nation ON c_nationkey = n_nationkey)""",
+        f"""e AS MATERIALIZED (SELECT p.id AS i, q.id AS j, exp(-0.5e0 * pow({_km('p.lat', 'p.lon', 'q.lat', 'q.lon')} / 0.1e0, 2)) AS w FROM b p JOIN b q ON p.fit AND q.fit AND p.id <> q.id AND abs(p.lat - q.lat) < 0.005
+            AND {_km('p.lat', 'p.lon', 'q.lat', 'q.lon')} <= 0.5)""",
+        "near AS MATERIALIZED (SELECT i AS id, sum(w) AS sw, CASE WHEN sum(w * w) > 0 THEN sum(w) * sum(w) / sum(w * w) ELSE 0 END AS kn FROM e GROUP BY 1)",
+        "s0 AS MATERIALIZED (SELECT *, 0e0 AS loc FROM b)",
+    ]
+    for k in range(1, rounds + 1):
+        parts += [
+            f"""m{k} AS (SELECT var_pop(x1) AS aa, var_pop(x2) AS bb, covar_pop(x1, x2) AS ab, covar_pop(x1, y - loc) AS ay, covar_pop(x2, y - loc) AS by_, avg(x1) AS ma, avg(x2) AS mb, avg(y - loc) AS my FROM s{k - 1} WHERE fit)""",
+            f"""f{k} AS MATERIALIZED (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS p, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM m{k})""",
+            f"""r{k} AS MATERIALIZED (SELECT b.*, my - p * ma - q * mb + p * x1 + q * x2 AS attr, CASE WHEN fit THEN y - (my - p * ma - q * mb + p * x1 + q * x2) END AS v FROM b, f{k})""",
+        ]
+        before = f"r{k}"
+        for level, shrink in enumerate((2, 1, 2, 2), 1):
+            effect = _LOO.format(k=f"g{level}", v="v", s=shrink)
+            parts.append(f"l{k}_{level} AS MATERIALIZED (SELECT * REPLACE (v - {effect} AS v), count(v) OVER (PARTITION BY g{level}) - (v IS NOT NULL)::int AS n{level}, {effect} AS e{level} FROM {before})")
+            before = f"l{k}_{level}"
+        parts.append(f"w{k} AS MATERIALIZED (SELECT i AS id, sum(w * v) AS wv FROM e JOIN {before} ON j = id GROUP BY 1)")
+        parts.append(f"""s{k} AS MATERIALIZED (SELECT {before}.*, e1 + e2 + e3 + e4 + coalesce(CASE WHEN sw > 1e-12 THEN wv / sw ELSE 0 END * sw / (sw + 3), 0) AS loc, coalesce(kn, 0) AS kn FROM {before} LEFT JOIN near USING (id) LEFT JOIN w{k} USING (id))""")
+    return ",\n        ".join(parts)
+
+
+_HIERARCHICAL = _hierarchical()
+
+
+def _listing(k: str = "p_partkey") -> str:
+    """What the made listings hold, by their keys and not by parsing."""
+    names = "[" + ", ".join(f"'{d}'" for d in DISTRICTS) + "]"
+    return f"""k AS (SELECT *, {k} % 17 = 0 AS failed FROM part), l AS (SELECT {k} AS source_row,
+        CASE WHEN NOT failed AND {k} % 11 <> 0 THEN {k} * 12345 + 5000000 END AS price_tenge,
+        NOT failed AND {k} % 11 <> 0 AND {k} % 4 = 1 AS price_is_installment,
+        CASE WHEN NOT failed AND {k} % 7 <> 5 THEN 'Астана' END AS city,
+        CASE WHEN NOT failed AND {k} % 7 <> 5 THEN {names}[({k} % 6 + 1)::int] END AS district,
+        CASE WHEN NOT failed THEN split_part(lower(p_brand), ' ', 1) END AS building_type,
+        CASE WHEN NOT failed AND {k} % 3 <> 0 THEN p_name END AS complex_name,
+        CASE WHEN NOT failed THEN ({k} % 40 + 1990)::int END AS build_year,
+        CASE WHEN NOT failed THEN {k} % 40 + 1990 >= CASE WHEN {k} % 19 = 0 THEN 2025 ELSE 2026 END END AS is_under_construction,
+        CASE WHEN NOT failed AND {k} % 5 <> 0 THEN ({k} % 9 + 1)::int END AS floor,
+        CASE WHEN NOT failed AND {k} % 5 <> 0 THEN 9 END AS floor_total,
+        CASE WHEN NOT failed AND {k} % 5 <> 0 THEN {k} % 9 + 1 = 1 END AS floor_is_first,
+        CASE WHEN NOT failed AND {k} % 5 <> 0 THEN {k} % 9 + 1 = 9 END AS floor_is_last,
+        CASE WHEN NOT failed THEN {k} % 90 + 20.5e0 END AS area_total_m2,
+        CASE WHEN NOT failed THEN ({k} % 9 + 6)::double END AS kitchen_area_m2,
+        CASE WHEN failed OR {k} % 13 = 0 THEN 'unknown' WHEN {k} % 4 = 1 THEN 'rough' WHEN {k} % 4 = 2 THEN 'fresh_renovation' WHEN {k} % 4 = 3 THEN 'needs_renovation' ELSE 'unknown' END AS apartment_condition,
+        CASE WHEN NOT failed AND {k} % 13 = 0 THEN 'раздельный' END AS bathroom,
+        CASE WHEN NOT failed AND {k} % 13 <> 0 THEN {k} % 2 = 0 END AS balcony_glazed,
+        CASE WHEN NOT failed AND {k} % 13 <> 0 THEN false END AS former_dormitory,
+        CASE WHEN failed THEN NULL WHEN {k} % 90 + 20.5 <= 30 THEN 'studio' WHEN {k} % 90 + 20.5 <= 45 THEN '1-room' WHEN {k} % 90 + 20.5 <= 65 THEN '2-room' WHEN {k} % 90 + 20.5 <= 90 THEN '3-room' ELSE '4+room' END AS rooms_bucket_estimated,
+        NOT failed AS rooms_estimate_is_heuristic,
+        CASE WHEN NOT failed AND {k} % 13 <> 0 THEN 'решетки|видео|охрана' ELSE '' END AS security,
+        CASE WHEN failed THEN 'status=error, no advert_info/parameters to parse' ELSE concat_ws('|', CASE WHEN {k} % 13 = 0 THEN 'pipe-delimited parameters fallback detected' END,
+            CASE WHEN {k} % 11 = 0 THEN 'price not found in advert_info' END, CASE WHEN {k} % 7 = 5 THEN 'district prefix not found in advert_info' END) END AS warnings FROM k)"""
+
+
+_PARSED = (
+    "price_tenge", "district", "building_type", "complex_name", "build_year", "floor", "area_total_m2", "kitchen_area_m2",
+    "apartment_condition", "bathroom", "balcony", "door", "phone", "internet", "parking", "furnished", "flooring", "ceiling_height_m",
+)
+
+
+def _coverage() -> str:
+    rows = []
+    for c in _PARSED:
+        here = "apartment_condition <> 'unknown'" if c == "apartment_condition" else f"{c} IS NOT NULL" if c in ("price_tenge", "district", "building_type", "complex_name", "build_year", "floor", "area_total_m2", "kitchen_area_m2", "bathroom") else "false"
+        rows.append(f"SELECT 'present_{c}' AS metric, count(*) FILTER ({here})::double AS value FROM l")
+    return f"""WITH {_listing()} SELECT 'rows' AS metric, count(*)::double AS value FROM l UNION ALL SELECT 'errors', count(*) FILTER (warnings LIKE 'status=error%')::double FROM l
+        UNION ALL SELECT 'pipe_fallbacks', count(*) FILTER (warnings LIKE 'pipe%')::double FROM l UNION ALL {' UNION ALL '.join(rows)}
+        UNION ALL SELECT 'priced_and_placed', count(*) FILTER (price_tenge IS NOT NULL AND district IS NOT NULL)::double FROM l"""
+
+
+def _spline() -> str:
+    """Cubic B-splines on the knots a a a a u v b b b b; degree by degree, as columns."""
+    knots = ["a", "a", "a", "a", "u", "v", "b", "b", "b", "b"]
+    steps = [f"p AS (SELECT p_partkey, p_retailprice AS x FROM part), k AS (SELECT min(x) AS a, max(x) AS b, quantile_cont(x, 1/3e0) AS u, quantile_cont(x, 2/3e0) AS v FROM p)"]
+    spans = [f"(x >= {knots[i]} AND x {'<=' if knots[i + 1] == 'b' else '<'} {knots[i + 1]})::int::double AS n0_{i}" if knots[i] != knots[i + 1] else f"0e0 AS n0_{i}" for i in range(9)]
+    steps.append(f"d0 AS (SELECT *, {', '.join(spans)} FROM p, k)")
+    for d in (1, 2, 3):
+        terms = []
+        for i in range(9 - d):
+            lo, hi = (knots[i], knots[i + d]), (knots[i + 1], knots[i + d + 1])
+            t = [f"(x - {lo[0]}) / ({lo[1]} - {lo[0]}) * n{d - 1}_{i}"] if lo[0] != lo[1] else []
+            t += [f"({hi[1]} - x) / ({hi[1]} - {hi[0]}) * n{d - 1}_{i + 1}"] if hi[0] != hi[1] else []
+            terms.append(f"{' + '.join(t) or '0e0'} AS n{d}_{i}")
+        steps.append(f"d{d} AS (SELECT *, {', '.join(terms)} FROM d{d - 1})")
+    return f"WITH {', '.join(steps)} SELECT p_partkey, {', '.join(f'round(n3_{i}, 7) + 0 AS bs{i}' for i in range(1, 6))} FROM d3"
+
+
+_VIF = {"l_quantity": ("l_extendedprice", "l_discount"), "l_extendedprice": ("l_quantity", "l_discount"), "l_discount": ("l_quantity", "l_extendedprice")}
+
+
 ORACLE_SQL: dict[str, str] = {
     "price_signals": f"""WITH {_PRICED}, g AS (SELECT *, median(unit_price) OVER b AS brand_median, count(unit_price) OVER b AS brand_count,
             percent_rank() OVER (PARTITION BY p_brand ORDER BY unit_price) AS rank_in_brand FROM priced WINDOW b AS (PARTITION BY p_brand))
@@ -202,4 +325,50 @@ ORACLE_SQL: dict[str, str] = {
     "json_export_rows": """SELECT '[' || n_nationkey || ',"' || n_name || '",' || n_regionkey || ',null]' AS row_json FROM nation""",
     "modes_by_group": "SELECT p_brand, p_size AS mode_size FROM (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_size) AS k FROM part GROUP BY 1, 2) WHERE k = 1",
     "name_index": "SELECT n_nationkey, dense_rank() OVER (ORDER BY n_name) - 1 AS name_index FROM nation",
+    "did_report": _did_report(),
+    "hierarchical_residual": f"""WITH {_HIERARCHICAL},
+        z AS MATERIALIZED (SELECT *, CASE WHEN fit THEN attr + loc END AS predicted, CASE WHEN fit THEN y - (attr + loc) END AS resid, CASE WHEN fit THEN n4 ELSE 0 END AS building_n, CASE WHEN fit AND g3 IS NOT NULL THEN n3 ELSE 0 END AS complex_n FROM s6),
+        t AS MATERIALIZED (SELECT *, fit AND (building_n >= 2 OR complex_n >= 3 OR kn >= 10) AS reliable, building_n + 0.5e0 * complex_n + 0.5e0 * kn AS n_eff FROM z), g AS (SELECT stddev_pop(resid) FILTER (reliable) AS sigma FROM t)
+        SELECT id AS c_custkey, fit AS fit_ok, building_n AS building_n_others, complex_n AS complex_n_others, round_even(kn, 2) AS kernel_eff_n, reliable AS residual_reliable, round(exp(predicted), 3) AS predicted_price_m2,
+            round(predicted, 7) AS predicted_ln_price_m2, round(resid, 7) AS hier_residual_ln, round(exp(resid) - 1, 7) AS residual_pct, round(CASE WHEN fit THEN n_eff END, 7) AS residual_n_eff,
+            round(resid / (sigma * sqrt(1 + 1 / greatest(n_eff, 1))), 7) AS residual_z FROM t, g""",
+    "hierarchical_coefficients": f"""WITH {_HIERARCHICAL},
+        o AS MATERIALIZED (SELECT *, y - loc AS t FROM s6 WHERE fit),
+        a AS MATERIALIZED (SELECT count(*)::double AS n, sum(x1) AS p, sum(x2) AS q, sum(x1 * x1) AS pp, sum(x1 * x2) AS pq, sum(x2 * x2) AS qq, sum(t) AS t0, sum(x1 * t) AS t1, sum(x2 * t) AS t2, count(DISTINCT g2) AS gg FROM o),
+        d AS MATERIALIZED (SELECT *, n * (pp * qq - pq * pq) - p * (p * qq - pq * q) + q * (p * pq - pp * q) AS det FROM a),
+        h AS MATERIALIZED (SELECT *, (pp * qq - pq * pq) / det AS i00, (q * pq - p * qq) / det AS i01, (p * pq - q * pp) / det AS i02, (n * qq - q * q) / det AS i11, (p * q - n * pq) / det AS i12, (n * pp - p * p) / det AS i22 FROM d),
+        c3 AS MATERIALIZED (SELECT *, i00 * t0 + i01 * t1 + i02 * t2 AS c0, i01 * t0 + i11 * t1 + i12 * t2 AS c1, i02 * t0 + i12 * t1 + i22 * t2 AS c2 FROM h),
+        u AS (SELECT g2, sum(t - c0 - c1 * x1 - c2 * x2) AS u0, sum(x1 * (t - c0 - c1 * x1 - c2 * x2)) AS u1, sum(x2 * (t - c0 - c1 * x1 - c2 * x2)) AS u2 FROM o, c3 GROUP BY 1),
+        v AS (SELECT sqrt(sum(pow(i00 * u0 + i01 * u1 + i02 * u2, 2))) AS v0, sqrt(sum(pow(i01 * u0 + i11 * u1 + i12 * u2, 2))) AS v1, sqrt(sum(pow(i02 * u0 + i12 * u1 + i22 * u2, 2))) AS v2 FROM u, c3),
+        w AS (SELECT sqrt(gg / (gg - 1e0) * (n - 1) / (n - 3)) AS k, c0, c1, c2, v0, v1, v2 FROM c3, v)
+        SELECT unnest(['const', 'x1', 'x2']) AS name, round(unnest([c0, c1, c2]), 7) AS coefficient, round(unnest([k * v0, k * v1, k * v2]), 7) AS error, round(unnest([c0 / (k * v0), c1 / (k * v1), c2 / (k * v2)]), 7) AS statistic FROM w""",
+    "html_div_text": """SELECT page_id, trim(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '\\s+', ' ', 'g')) AS ad_text FROM pages""",
+    "listing_fields": f"WITH {_listing()} SELECT * REPLACE (price_is_installment::varchar AS price_is_installment, is_under_construction::varchar AS is_under_construction, floor_is_first::varchar AS floor_is_first, floor_is_last::varchar AS floor_is_last, balcony_glazed::varchar AS balcony_glazed, former_dormitory::varchar AS former_dormitory, rooms_estimate_is_heuristic::varchar AS rooms_estimate_is_heuristic, price_tenge::double AS price_tenge, build_year::double AS build_year, floor::double AS floor, floor_total::double AS floor_total) FROM l",
+    "parse_coverage": _coverage(),
+    "listing_pages": """SELECT p_partkey::varchar AS url, p_name || ' & ' || p_brand || ' inner text' AS advert_info, CASE WHEN p_partkey % 3 = 0 THEN 'few' ELSE 'size ' || p_size || ' and more' END AS parameters,
+        '51.' || p_partkey AS lat, '71.' || p_partkey AS lon FROM part""",
+    "page_texts": """SELECT p_partkey, (p_partkey * 1001)::int AS found, p_name || ' & а<' || p_brand AS cleaned, '<\\/b>' || p_name AS safe, (p_partkey % 5 + 1)::int AS rooms FROM part""",
+    "windowed_event_counts": """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", event_type, count(*) AS n FROM events GROUP BY ALL""",
+    "spline_basis": _spline(),
+    "design_columns": """WITH m AS (SELECT median(o_totalprice) AS med FROM orders WHERE o_orderkey % 4 <> 0), f AS (SELECT o_orderpriority AS mode FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+        o AS (SELECT o_orderkey, round(CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice ELSE med END, 7) AS price, CASE WHEN o_orderpriority = '5-LOW' THEN mode ELSE o_orderpriority END AS priority FROM orders, m, f)
+        SELECT *, (priority = '2-HIGH')::int AS priority_1, (priority = '3-MEDIUM')::int AS priority_2, (priority = '4-NOT SPECIFIED')::int AS priority_3 FROM o""",
+    "variance_inflation": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, round(v, 6) AS vif, v > 10 AS high FROM (SELECT (1 - pow(corr({a}, {b}), 2)) / (1 + 2 * corr({c}, {a}) * corr({c}, {b}) * corr({a}, {b}) - pow(corr({c}, {a}), 2) - pow(corr({c}, {b}), 2) - pow(corr({a}, {b}), 2)) AS v FROM lineitem)"
+        for c, (a, b) in _VIF.items()
+    ),
+    "cross_validation": """WITH l AS (SELECT (l_orderkey % 5)::int AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+        f AS (SELECT a.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM (SELECT DISTINCT fold FROM l) a JOIN l ON l.fold <> a.fold GROUP BY 1)
+        SELECT fold, count(*) AS n, round(sqrt(avg(pow(y - a - b * x, 2))), 4) AS rmse, round(1 - avg(pow(y - a - b * x, 2)) / var_pop(y), 8) AS r2 FROM l JOIN f USING (fold) GROUP BY 1""",
+    "residuals_by_fitted": """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), p AS (SELECT a + b * l_quantity AS fit, l_extendedprice - (a + b * l_quantity) AS e FROM lineitem, f),
+        m AS (SELECT min(fit) AS lo, max(fit) AS hi FROM p)
+        SELECT least(20, floor((fit - lo) / (hi - lo) * 20)::int + 1) AS bin, count(*) AS n, round(avg(fit), 3) AS mean_fitted, round(avg(e), 3) AS mean_residual, round(stddev_samp(e), 3) AS sd_residual FROM p, m GROUP BY 1""",
+    "population_z_scores": "SELECT c_custkey, round(-(c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 7) AS z FROM customer",
+    "constant_per_group": "SELECT l_returnflag, 'of ' || l_returnflag AS label FROM lineitem GROUP BY l_returnflag",
+    "checked_orders": "SELECT o_orderkey, (o_totalprice < 150000)::int AS low, (o_totalprice >= 150000)::int AS high, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+    "standard_names": """SELECT n_nationkey, CASE n_name WHEN 'FRANCE' THEN 'France' WHEN 'CHINA' THEN 'China' ELSE n_name END AS n_name,
+        round(CASE WHEN n_nationkey >= 8 THEN 5e0 ELSE 3e0 * coalesce(n_nationkey * 2e0 / nullif(n_regionkey * 4e0, 0), 1) END, 9) AS expected FROM nation""",
+    "tile_grid": f"""WITH e AS (SELECT floor(({BOX[1][0]}e0 + 180) / 360 * 1024)::int AS x0, floor(({BOX[1][1]}e0 + 180) / 360 * 1024)::int AS x1, floor((1 - asinh(tan(radians({BOX[0][1]}e0))) / pi()) / 2 * 1024)::int AS y0,
+            floor((1 - asinh(tan(radians({BOX[0][0]}e0))) / pi()) / 2 * 1024)::int AS y1), xs AS (SELECT unnest(range(x0, x1 + 1))::int AS x FROM e), ys AS (SELECT unnest(range(y0, y1 + 1))::int AS y FROM e)
+        SELECT x, y, round(x / 1024e0 * 360 - 180, 9) AS west, round(degrees(atan((exp(pi() * (1 - 2 * y / 1024e0)) - exp(-pi() * (1 - 2 * y / 1024e0))) / 2)), 9) AS north FROM xs, ys""",
 }
