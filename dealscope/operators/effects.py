@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import key_of
@@ -38,24 +38,27 @@ def nested_effects(df: DataFrame, value: str, levels: Sequence[tuple[str, float]
     return out
 
 
-def cell_effects(cells: DataFrame, levels: Sequence[tuple[str, float]]) -> DataFrame:
+def cell_effects(cells: DataFrame, cell: str, levels: Sequence[tuple[str, float]]) -> DataFrame:
     """The nested effects of all rows from one row a cell, a cell being the rows that share all level keys.
 
     ``cells`` has the level keys, ``n`` and ``s``: number and sum of the fitted values.  After all levels a fitted
     row of value r is left with left_of_value * r - left_off, which each level changes by the same factors throughout a cell;
     ``location`` is that of rows that are not fitted, and {level}_n the fitted rows of the level's group.
+    Rows are aggregated to cells before, so a window over a group's cells holds a row a building, not a listing;
+    cells without a key are dealt out.
     """
     out = cells.withColumns({"left_of_value": F.lit(1.0), "left_off": F.lit(0.0), "location": F.lit(0.0)})
     for group, shrink in levels:
+        known = F.col(group).isNotNull()
+        own = Window.partitionBy(group, F.when(known, 0).otherwise(F.pmod(F.xxhash64(cell), F.lit(200)).cast("int")))
         rest = F.col("left_of_value") * F.col("s") - F.col("left_off") * F.col("n")
-        sums = out.filter(F.col(group).isNotNull()).groupBy(group).agg(F.sum(rest).alias("__s"), F.sum("n").alias(f"{group}_n"))
-        out = left_by_key(out, sums, group).fillna(0, ["__s", f"{group}_n"])
+        out = out.withColumns({"__s": F.when(known, F.sum(rest).over(own)).otherwise(0.0), f"{group}_n": F.when(known, F.sum("n").over(own)).otherwise(0)})
         others, everyone = F.col(f"{group}_n") - 1 + F.lit(float(shrink)), F.col(f"{group}_n") + F.lit(float(shrink))
-        share = F.when(F.col(group).isNotNull() & (others > 0), 1 / others).otherwise(0.0)
+        share = F.when(known & (others > 0), 1 / others).otherwise(0.0)
         out = out.withColumns({
             "left_off": (1 + share) * F.col("left_off") + share * F.col("__s"),
             "left_of_value": (1 + share) * F.col("left_of_value"),
-            "location": F.col("location") + F.when(F.col(group).isNotNull() & (everyone > 0), F.col("__s") / everyone).otherwise(0.0),
+            "location": F.col("location") + F.when(known & (everyone > 0), F.col("__s") / everyone).otherwise(0.0),
         }).drop("__s")
     return out
 

@@ -77,7 +77,7 @@ def hierarchical_fit(df: DataFrame, row_id: str, y: str, x: Sequence[str], fit:
         rest = F.col("__sum0") - F.lit(float(beta[0])) * F.col("n")
         for k, b in enumerate(beta[1:], 1):
             rest = rest - F.lit(float(b)) * F.col(f"__sum{k}")
-        effects = cell_effects(cells.select("__cell", *levels, "n", rest.alias("s")), settings.levels).drop(*levels, "n", "s")
+        effects = cell_effects(cells.select("__cell", *levels, "n", rest.alias("s")), "__cell", settings.levels).drop(*levels, "n", "s")
         rows_now = base.withColumn("__attr", attr).withColumn("__r", F.when(ok, F.col("__y") - F.col("__attr"))).join(effects, "__cell")
         left = F.col("left_of_value") * F.col("__r") - F.col("left_off")
         rows_now = rows_now.withColumn("__loc", F.when(ok, F.col("__r") - left).otherwise(F.col("location")))
