@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import clip, missing, ratio, truth
+from dealscope.operators.profile import exact_quantiles
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls become the column's median over all rows."""
-    m = df.agg(*[F.median(c).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m[c])) for c in columns})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(exact_quantiles(df, c, [0.5])[0])) for c in columns})
 
 
 def hedonic_inputs(df: DataFrame, area: tuple[float, float] = (15, 400), age_most: float = 80, ceiling: tuple[float, float] = (2.2, 4.5)) -> DataFrame:
@@ -65,8 +65,8 @@ def treatment(c: str, found: Sequence[str]) -> dict[str, Column]:
 def spline_knots(df: DataFrame, c: str, df_spline: int = 5, degree: int = 3) -> list[float]:
     """Full knot sequence: inner knots at equal quantiles, the ends repeated."""
     inner = df_spline - degree
-    q = df.agg(F.percentile(c, F.array(*[F.lit((k + 1) / (inner + 1)) for k in range(inner)])), F.min(c), F.max(c)).first()
-    return [q[1]] * (degree + 1) + list(q[0]) + [q[2]] * (degree + 1)
+    low, high = df.agg(F.min(c), F.max(c)).first()
+    return [low] * (degree + 1) + exact_quantiles(df, c, [(k + 1) / (inner + 1) for k in range(inner)]) + [high] * (degree + 1)
 
 
 def spline(c: str, knots: Sequence[float], degree: int = 3, prefix: str = "bs") -> dict[str, Column]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.operators.ols import _matrix, products
-from dealscope.operators.profile import pearson
+from dealscope.operators.profile import exact_quantiles, pearson
 from dealscope.operators.ranking import smallest
 from dealscope.operators.sets import overlap
 
@@ -58,8 +58,8 @@ def residuals_by_fitted(df: DataFrame, fitted: str, residual: str, bins: int = 2
 def normal_quantiles(df: DataFrame, residual: str, points: int = 19) -> DataFrame:
     """(point, observed, normal): residual quantiles in units of their deviation against normal ones."""
     ps = [(k + 1) / (points + 1) for k in range(points)]
-    q = df.agg(F.percentile(residual, F.array(*[F.lit(p) for p in ps])), F.avg(residual), F.stddev_samp(residual)).first()
-    rows = [(p, (v - q[1]) / q[2] if q[2] else None, NormalDist().inv_cdf(p)) for p, v in zip(ps, q[0] or [], strict=False)]
+    mean, sd = df.agg(F.avg(residual), F.stddev_samp(residual)).first()
+    rows = [(p, (v - mean) / sd if sd else None, NormalDist().inv_cdf(p)) for p, v in zip(ps, exact_quantiles(df, residual, ps), strict=True) if v is not None]
     return df.sparkSession.createDataFrame(rows, "point double, observed double, normal double")
 
 

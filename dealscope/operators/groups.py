@@ -7,10 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def group_median(df: DataFrame, key: str, value: str, min_n: int = 5, prefix: str = "") -> DataFrame:
-    """(key, median, count of values, too few) of each non-null key; the median is given even where few."""
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.median(value).alias(f"{prefix}median"), F.count(value).alias(f"{prefix}count"), (F.count(value) < min_n).alias(f"{prefix}insufficient_n"))
+from dealscope.operators.ranking import MOST_IN_GROUP, largest_group, positions
+
+
+def group_median(df: DataFrame, key: str, value: str, min_n: int = 5, prefix: str = "", most: int = MOST_IN_GROUP) -> DataFrame:
+    """(key, median, count of values, too few) of each non-null key; the median is given even where few.
+
+    Groups of more than ``most`` rows are not held by one task: their middle values come from :func:`positions`.
+    """
+    rows = df.filter(F.col(key).isNotNull())
+    if largest_group(rows, key) <= most:
+        return rows.groupBy(key).agg(F.median(value).alias(f"{prefix}median"), F.count(value).alias(f"{prefix}count"), (F.count(value) < min_n).alias(f"{prefix}insufficient_n"))
+    place = positions(rows.filter(F.col(value).isNotNull()).select(key, value), key, value)
+    # the two middle places, the same one in an odd group
+    middle = [F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)]
+    has = [((F.col("before") <= m) & (m < F.col("before") + F.col("times"))).cast("int") for m in middle]
+    halves = place.withColumn("__has", has[0] + has[1]).filter("__has > 0").groupBy(key).agg((F.sum(F.col(value) * F.col("__has")) / 2).alias(f"{prefix}median"), F.first("n").alias(f"{prefix}count"))
+    found = rows.select(key).distinct().join(halves, key, "left").fillna(0, [f"{prefix}count"])
+    return found.withColumn(f"{prefix}insufficient_n", F.col(f"{prefix}count") < min_n)
 
 
 def left_by_key(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:

@@ -60,11 +60,17 @@ def hierarchical_fit(df: DataFrame, row_id: str, y: str, x: Sequence[str], fit:
     base = stored(df.select(row_id, F.col(fit).alias("__fit"), F.col(y).cast("double").alias("__y"), *x, *levels, lat, lon), "base")
     rows = base.filter("__fit")
     pr = products(rows, list(x))
-    edges = stored(kernel_edges(rows, settings.width_km, settings.cutoff_km, row_id, lat, lon), "edges")
-    # the weights around a row stay what they are; only the weighted values change
-    around = edges.groupBy(F.col("i").alias(row_id)).agg(F.sum("w").alias("__sw"), F.sum(F.col("w") * F.col("w")).alias("__sw2"))
+    # rows at one place have the same neighbours: weights are between places, and a place's own others weigh 1
+    place = F.concat_ws(",", F.col(lat).cast("double").cast("string"), F.col(lon).cast("double").cast("string"))
+    rows = rows.withColumn("__place", place)
+    places = stored(rows.groupBy("__place").agg(F.first(lat).alias(lat), F.first(lon).alias(lon), F.count("*").alias("__at")), "places")
+    edges = stored(kernel_edges(places, settings.width_km, settings.cutoff_km, "__place", lat, lon), "edges")
+    around = edges.join(places.select(F.col("__place").alias("j"), "__at"), "j").groupBy(F.col("i").alias("__place")).agg(F.sum(F.col("w") * F.col("__at")).alias("__sw"), F.sum(F.col("w") * F.col("w") * F.col("__at")).alias("__sw2"))
+    own = F.when(F.col("__fit"), F.col("__at") - 1)
+    weights = places.select("__place", "__at").join(around, "__place", "left").fillna(0.0, ["__sw", "__sw2"])
+    base = base.withColumn("__place", place).join(weights, "__place", "left").withColumns({"__sw": F.col("__sw") + own, "__sw2": F.col("__sw2") + own})
     n_eff = F.when(F.col("__sw2") > 0, F.col("__sw") * F.col("__sw") / F.col("__sw2")).otherwise(0.0)
-    base = base.join(around.select(row_id, "__sw", n_eff.alias("__kn")), row_id, "left").fillna(0.0, ["__kn"])
+    base = base.withColumn("__kn", F.coalesce(n_eff, F.lit(0.0))).drop("__at", "__sw2")
     # the keys as one text; null keys are left out of it, so that no two cells have the same
     base = stored(base.withColumn("__cell", F.to_json(F.struct(*levels))), "base")
     ok = F.col("__fit")
@@ -82,10 +88,14 @@ def hierarchical_fit(df: DataFrame, row_id: str, y: str, x: Sequence[str], fit:
         left = F.col("left_of_value") * F.col("__r") - F.col("left_off")
         rows_now = rows_now.withColumn("__loc", F.when(ok, F.col("__r") - left).otherwise(F.col("location")))
         rows_now = rows_now.withColumns({f"{k}_n_others": F.col(f"{k}_n") - ok.cast("int") for k in levels}).drop("left_of_value", "left_off", "location", *[f"{k}_n" for k in levels])
-        around_now = edges.join(rows_now.filter(ok).select(F.col(row_id).alias("j"), (F.col("__r") - F.col("__loc")).alias("v")), "j").groupBy(F.col("i").alias(row_id)).agg(F.sum(F.col("w") * F.col("v")).alias("__wv"))
-        smooth = F.when(F.col("__sw") > 1e-12, F.col("__wv") / F.col("__sw")).otherwise(0.0)
+        left = F.when(ok, F.col("__r") - F.col("__loc"))
+        here = rows_now.filter(ok).groupBy("__place").agg(F.sum(left).alias("__here"))
+        there = edges.join(here.withColumnRenamed("__place", "j"), "j").groupBy(F.col("i").alias("__place")).agg(F.sum(F.col("w") * F.col("__here")).alias("__there"))
+        value = F.coalesce("__there", F.lit(0.0)) + F.col("__here") - left
+        smooth = F.when(F.col("__sw") > 1e-12, value / F.col("__sw")).otherwise(0.0)
         term = F.coalesce(shrunk(smooth, "__sw", settings.kernel_shrink), F.lit(0.0))
-        state = stored(rows_now.join(around_now, row_id, "left").withColumn("__loc", F.col("__loc") + term).drop("__wv"), "state")
+        met = rows_now.join(here.join(there, "__place", "left"), "__place", "left")
+        state = stored(met.withColumn("__loc", F.col("__loc") + term).drop("__here", "__there"), "state")
     predicted = F.col("__attr") + F.col("__loc")
     out = state.select(
         row_id,

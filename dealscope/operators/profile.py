@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
@@ -9,10 +10,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Values that one task may hold to pick quantiles from; beyond that the range is narrowed first.
+MOST_VALUES = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, c: str | Column, points: Sequence[float], most: int = MOST_VALUES) -> list[float | None]:
+    """Quantiles of the non-null values, by linear interpolation; nulls where there are none.
+
+    Beyond ``most`` values each wanted place is narrowed to a range between approximate quantiles, counted
+    exactly, until the range holds few enough values or a single one.
+    """
+    x = df.select((F.col(c) if isinstance(c, str) else c).cast("double").alias("x")).filter("x is not null")
+    n = x.count()
+    if n <= most:
+        return list(x.agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in points]))).first()[0] or [None] * len(points))
+    at = {k: _value_at(x, k, n, most) for p in points for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+    out = []
+    for p in points:
+        place = p * (n - 1)
+        low, high = at[math.floor(place)], at[math.ceil(place)]
+        out.append(low + (place - math.floor(place)) * (high - low))
+    return out
+
+
+def _value_at(x: DataFrame, k: int, n: int, most: int) -> float:
+    """The value at place k from 0 of the n sorted values."""
+    margin = 0.001
+    while n > most:
+        ends = [max(0.0, k / n - margin), min(1.0, (k + 1) / n + margin)]
+        low, high = x.agg(F.percentile_approx("x", F.array(*[F.lit(e) for e in ends]), 10_000)).first()[0]
+        less, inside = x.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high))).first()
+        if not less <= k < less + inside or (inside == n and low < high):
+            margin *= 4  # the approximation was off, or nothing was gained
+            if margin > 1:
+                break
+            continue
+        if low == high:
+            return low
+        x, k, n = x.filter(F.col("x").between(low, high)), k - less, inside
+    return x.orderBy("x").offset(k).limit(1).first()[0] if n > most else x.agg(F.sort_array(F.collect_list("x")).alias("s")).select(F.element_at("s", k + 1)).first()[0]
+
+
 def quantiles(df: DataFrame, c: str, points: Sequence[float]) -> DataFrame:
     """(point, value), by linear interpolation."""
-    q = df.agg(F.percentile(c, F.array(*[F.lit(float(p)) for p in points])).alias("q"))
-    return q.select(F.posexplode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in points]).alias("point"), F.col("q").alias("value")))).select("col.point", "col.value")
+    return df.sparkSession.createDataFrame(list(zip(map(float, points), exact_quantiles(df, c, points), strict=True)), "point double, value double")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -35,12 +76,10 @@ def robust_z(df: DataFrame, c: str, name: str, where: Column | None = None, nega
     x = F.when(F.coalesce(where, F.lit(False)), F.col(c)) if where is not None else F.col(c)
     x = -x if negate else x
     with_x = df.withColumn("__x", x.cast("double"))
-    med = with_x.agg(F.median("__x").alias("__m"))
-    mad = with_x.crossJoin(F.broadcast(med)).agg(F.first("__m").alias("__m"), (F.median(F.abs(F.col("__x") - F.col("__m"))) * 1.4826).alias("__s"))
-    # a single row is broadcast
-    scored = with_x.crossJoin(F.broadcast(mad))
-    z = F.when(F.coalesce(F.col("__s"), F.lit(0.0)) == 0, F.lit(0.0)).otherwise((F.col("__x") - F.col("__m")) / F.col("__s"))
-    return scored.withColumn(name, z).drop("__x", "__m", "__s")
+    m = exact_quantiles(with_x, "__x", [0.5])[0]
+    s = None if m is None else exact_quantiles(with_x, F.abs(F.col("__x") - F.lit(m)), [0.5])[0]
+    z = (F.col("__x") - F.lit(m)) / F.lit(s * 1.4826) if s else F.lit(0.0)
+    return with_x.withColumn(name, z).drop("__x")
 
 
 def population_z(df: DataFrame, c: str, name: str, negate: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ eight around it.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealscope.functions.geo import EARTH_KM, gaussian, haversine_km
+from dealscope.session import stored
 
 _KM_PER_DEGREE = math.pi * EARTH_KM / 180
 
@@ -30,19 +32,46 @@ def _points(df: DataFrame, row_id: str, lat: str, lon: str, value: str | None) -
     return p.dropna()
 
 
-def neighbour_pairs(df: DataFrame, radius_km: float, row_id: str, lat: str = "lat", lon: str = "lon", value: str | None = None) -> DataFrame:
-    """(i, j, distance_km, v) for all ordered pairs within the radius, i not j; v is j's value.
+def _cells(p: DataFrame, radius_km: float) -> DataFrame:
+    dy, dx = _steps(p, radius_km)
+    return p.withColumns({"cy": F.floor(F.col("lat") / dy), "cx": F.floor(F.col("lon") / dx)})
+
+
+def _dealt(cell: DataFrame, block: int, near_block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each cell's own points, and the points in and around it, both with the cell's key (cy, cx) and blocks.
 
-    Rows with a null coordinate or value take no part.  Points at one place are neighbours.
+    Own points are dealt into parts b of about ``block``; the points around go to every part.  With ``near_block`` they
+    are dealt into value ranges g of about that many too, and own points go to every range.
     """
-    p = _points(df, row_id, lat, lon, value)
-    dy, dx = _steps(p, radius_km)
-    cell = p.withColumns({"cy": F.floor(F.col("lat") / dy), "cx": F.floor(F.col("lon") / dx)})
     around = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    halo = cell.withColumn("o", F.explode(F.array(*around))).select(F.col("id").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "v", (F.col("cy") + F.col("o.a")).alias("cy"), (F.col("cx") + F.col("o.b")).alias("cx"))
-    d = haversine_km("lat", "lon", "lat2", "lon2")
-    own = cell.select(F.col("id").alias("i"), "lat", "lon", "cy", "cx")
-    return own.join(halo, ["cy", "cx"]).filter(F.col("i") != F.col("j")).withColumn("distance_km", d).filter(F.col("distance_km") <= radius_km).select("i", "j", "distance_km", "v")
+    halo = cell.withColumn("o", F.explode(F.array(*around))).withColumns({"cy": F.col("cy") + F.col("o.a"), "cx": F.col("cx") + F.col("o.b")}).drop("o")
+    counts = cell.groupBy("cy", "cx").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    ranges: list[float] = []
+    if near_block is not None:
+        near = halo.groupBy("cy", "cx").agg(F.ceil(F.count("*") / near_block).cast("int").alias("ranges"))
+        counts = counts.join(near, ["cy", "cx"])
+        most = min(1000, counts.agg(F.max("ranges")).first()[0] or 1)
+        if most > 1:
+            ranges = sorted(set(cell.agg(F.percentile_approx("v", F.array(*[F.lit(k / most) for k in range(1, most)]), 10_000)).first()[0]))
+    counts = counts.withColumn("ranges", F.least(F.col("ranges"), F.lit(len(ranges) + 1)) if near_block is not None else F.lit(1))
+    # the range of a value among all, folded to as many as the cell needs
+    of_value = F.floor(F.size(F.filter(F.array(*[F.lit(x) for x in ranges]), lambda e: e <= F.col("v"))) * F.col("ranges") / (len(ranges) + 1)).cast("int") if ranges else F.lit(0)
+    own = cell.join(counts, ["cy", "cx"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
+    halo = halo.join(counts, ["cy", "cx"]).withColumn("g", of_value).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return tuple(d.select("cy", "cx", "b", "g", "id", "lat", "lon", "v") for d in (own, halo))
+
+
+def neighbour_pairs(df: DataFrame, radius_km: float, row_id: str, lat: str = "lat", lon: str = "lon", value: str | None = None, block: int = 2048) -> DataFrame:
+    """(i, j, distance_km, v) for all ordered pairs within the radius, i not j; v is j's value.
+
+    Rows with a null coordinate or value take no part.  Points at one place are neighbours.  A crowded cell's points meet
+    those around it in parts of about ``block``.
+    """
+    own, halo = _dealt(_cells(_points(df, row_id, lat, lon, value), radius_km), block)
+    own = own.select(F.col("id").alias("i"), "lat", "lon", "cy", "cx", "b")
+    halo = halo.select(F.col("id").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "v", "cy", "cx", "b")
+    near = own.join(halo, ["cy", "cx", "b"]).filter(F.col("i") != F.col("j")).withColumn("distance_km", haversine_km("lat", "lon", "lat2", "lon2"))
+    return near.filter(F.col("distance_km") <= radius_km).select("i", "j", "distance_km", "v")
 
 
 def radius_stats(df: DataFrame, radius_km: float, row_id: str, value: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -54,41 +83,63 @@ def radius_stats(df: DataFrame, radius_km: float, row_id: str, value: str, lat:
     return df.select(F.col(row_id).alias("i")).join(s, "i", "left").select(F.col("i").alias(row_id), F.coalesce("n", F.lit(0)).alias("n"), "mean", "median")
 
 
-def radius_stats_blocked(df: DataFrame, radius_km: float, row_id: str, value: str, lat: str = "lat", lon: str = "lon", block: int = 2048) -> DataFrame:
+def _within(mine: pd.DataFrame, near: pd.DataFrame, radius_km: float) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Stripes of own points, and which of the points around lie within the radius of each."""
+    near_id = near["id"].to_numpy()
+    lat2, lon2 = np.radians(near["lat"].to_numpy()), np.radians(near["lon"].to_numpy())
+    stripe = max(1, 4_000_000 // max(1, len(near)))
+    for k in range(0, len(mine), stripe):
+        part = mine[k : k + stripe]
+        a, b = np.radians(part["lat"].to_numpy())[:, None], np.radians(part["lon"].to_numpy())[:, None]
+        h = np.sin((lat2 - a) / 2) ** 2 + np.cos(a) * np.cos(lat2) * np.sin((lon2 - b) / 2) ** 2
+        yield part, (2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h))) <= radius_km) & (part["id"].to_numpy()[:, None] != near_id)
+
+
+def radius_stats_blocked(df: DataFrame, radius_km: float, row_id: str, value: str, lat: str = "lat", lon: str = "lon", block: int = 2048, near_block: int = 100_000) -> DataFrame:
     """The same figures without forming pairs as rows; for many neighbours a point.
 
-    Each cell's own points are dealt into blocks of about ``block``; a block meets the points
-    around its cell in one Arrow call, where distances are a numpy matrix taken in
-    stripes.  A crowded cell becomes many blocks, not one long task.
+    Parts of a cell's own points meet the points around in Arrow calls, where distances are a numpy matrix taken in
+    stripes.  Where more than ``near_block`` points are around a cell, those are dealt into ranges of their values: counts and
+    sums add up over the ranges, and the median is picked in a second pass from the one or two ranges that hold it.
     """
-    p = _points(df, row_id, lat, lon, value)
-    dy, dx = _steps(p, radius_km)
-    cell = p.withColumns({"cy": F.floor(F.col("lat") / dy), "cx": F.floor(F.col("lon") / dx)})
-    counts = cell.groupBy("cy", "cx").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = cell.join(counts, ["cy", "cx"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("own", F.lit(True))
-    around = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    halo = cell.withColumn("o", F.explode(F.array(*around))).withColumns({"cy": F.col("cy") + F.col("o.a"), "cx": F.col("cx") + F.col("o.b")}).drop("o")
-    halo = halo.join(counts, ["cy", "cx"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("own", F.lit(False))
-    both = own.select("cy", "cx", "b", "own", "id", "lat", "lon", "v").unionByName(halo.select("cy", "cx", "b", "own", "id", "lat", "lon", "v"))
-    kind = p.schema["id"].dataType.simpleString()
+    own, halo = _dealt(_cells(_points(df, row_id, lat, lon, value), radius_km), block, near_block)
+    both = stored(own.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False))), "around")
+    kind = own.schema["id"].dataType.simpleString()
+    several = not both.filter("g > 0").isEmpty()
 
     def stats(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine, near = pdf[pdf["own"]], pdf[~pdf["own"]]
-        near_id, v = near["id"].to_numpy(), near["v"].to_numpy()
-        lat2, lon2 = np.radians(near["lat"].to_numpy()), np.radians(near["lon"].to_numpy())
-        out = []
-        stripe = max(1, 4_000_000 // max(1, len(near)))
-        for k in range(0, len(mine), stripe):
-            part = mine[k : k + stripe]
-            a, b = np.radians(part["lat"].to_numpy())[:, None], np.radians(part["lon"].to_numpy())[:, None]
-            h = np.sin((lat2 - a) / 2) ** 2 + np.cos(a) * np.cos(lat2) * np.sin((lon2 - b) / 2) ** 2
-            inside = (2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h))) <= radius_km) & (part["id"].to_numpy()[:, None] != near_id)
-            for i, row in zip(part["id"], inside, strict=True):
-                x = v[row]
-                out.append((i, len(x), x.mean() if len(x) else None, np.median(x) if len(x) else None))
-        return pd.DataFrame(out, columns=["i", "n", "mean", "median"])
-
-    s = both.groupBy("cy", "cx", "b").applyInPandas(stats, f"i {kind}, n long, mean double, median double")
+        mine, near = pdf[pdf["own"]], pdf[~pdf["own"]].sort_values("v")
+        v, out = near["v"].to_numpy(), []
+        for part, inside in _within(mine, near, radius_km):
+            n = inside.sum(axis=1)
+            for i, row, k, total in zip(part["id"], inside, n, inside @ v, strict=True):
+                # values are sorted, so the middle ones are found by their places
+                middle = v[np.flatnonzero(row)[[(k - 1) // 2, k // 2]]].mean() if k else None
+                out.append((i, pdf["g"].iloc[0], k, total, middle))
+        return pd.DataFrame(out, columns=["i", "g", "n", "total", "median"])
+
+    found = both.groupBy("cy", "cx", "b", "g").applyInPandas(stats, f"i {kind}, g int, n long, total double, median double")
+    if not several:
+        s = found.filter("n > 0").select("i", "n", (F.col("total") / F.col("n")).alias("mean"), "median")
+    else:
+        found = stored(found.filter("n > 0"), "found")
+        sums = found.groupBy("i").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = found.select("i", "g", "n", before.alias("before")).join(sums.select("i", F.col("n").alias("all")), "i")
+        middle = F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2))
+        wanted = placed.select("i", "g", F.filter(F.transform(middle, lambda m: m - F.col("before")), lambda m: (m >= 0) & (m < F.col("n"))).alias("places")).filter(F.size("places") > 0)
+        picked = both.join(wanted.withColumnRenamed("i", "id"), ["id", "g"], "left").filter(~F.col("own") | F.col("places").isNotNull())
+
+        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+            mine, near = pdf[pdf["own"]], pdf[~pdf["own"]].sort_values("v")
+            v, out = near["v"].to_numpy(), []
+            for part, inside in _within(mine, near, radius_km):
+                for i, places, row in zip(part["id"], part["places"], inside, strict=True):
+                    out += [(i, x) for x in v[np.flatnonzero(row)[places]]]
+            return pd.DataFrame(out, columns=["i", "v"])
+
+        medians = picked.groupBy("cy", "cx", "b", "g").applyInPandas(pick, f"i {kind}, v double").groupBy("i").agg(F.avg("v").alias("median"))
+        s = sums.join(medians, "i")
     return df.select(F.col(row_id).alias("i")).join(s, "i", "left").select(F.col("i").alias(row_id), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "median")
 
 
@@ -105,5 +156,3 @@ def landmark_distances(df: DataFrame, row_id: str, lat: str, lon: str, landmarks
     far = df.select(F.col(row_id), F.col(lat).alias("__a"), F.col(lon).alias("__b")).crossJoin(F.broadcast(spots)).withColumn("distance_km", haversine_km("__a", "__b", "__lat", "__lon"))
     nearest = F.row_number().over(Window.partitionBy(row_id).orderBy("distance_km", "name")) == 1
     return far.select(row_id, "name", "distance_km", nearest.alias("nearest"))
-
-

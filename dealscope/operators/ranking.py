@@ -10,14 +10,45 @@ from pyspark.sql import functions as F
 from dealscope.session import stored
 
 
-def percentile_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+#: Rows of one group that a single task may rank; larger groups are placed by range partitioning.
+MOST_IN_GROUP = 5_000_000
+
+
+def largest_group(df: DataFrame, group: str) -> int:
+    return df.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def positions(known: DataFrame, group: str, value: str, partitions: int = 200) -> DataFrame:
+    """(group, value, times, before, n) of each distinct value of a group: how often it occurs, how many of the group are smaller, and the group's size.
+
+    Equal values are counted first, then range partitioned by group and value; what lies before a partition comes
+    from a row a partition and group, so that a large group is spread over many tasks.
+    """
+    counts = known.groupBy(group, value).agg(F.count("*").alias("times"))
+    parted = stored(counts.repartitionByRange(partitions, group, value).withColumn("__part", F.spark_partition_id()), "positions")
+    in_group = Window.partitionBy(group)
+    earlier = in_group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parted.groupBy(group, "__part").agg(F.sum("times").alias("__n"))
+    sums = sums.select(group, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(in_group).alias("n"))
+    inside = Window.partitionBy(group, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parted.withColumn("__own", F.coalesce(F.sum("times").over(inside), F.lit(0))).join(sums, [group, "__part"])
+    return placed.select(group, value, "times", (F.col("__before") + F.col("__own")).alias("before"), "n")
+
+
+def percentile_rank(df: DataFrame, group: str, value: str, name: str, most: int = MOST_IN_GROUP) -> DataFrame:
     """(smallest rank - 1) / (n - 1) among the group's values; 0 for a single one; null where key or value is null.
 
-    Rows without a key or value stay apart from the shuffle's groups.
+    Rows without a key or value stay apart from the shuffle's groups.  Groups of up to ``most`` rows are ranked by a
+    window, larger ones by :func:`positions`, to the same ranks.
     """
-    known = F.col(group).isNotNull() & F.col(value).isNotNull()
-    ranked = df.filter(known).withColumn(name, F.percent_rank().over(Window.partitionBy(group).orderBy(value)))
-    return ranked.unionByName(df.filter(~known).withColumn(name, F.lit(None).cast("double")))
+    is_known = F.col(group).isNotNull() & F.col(value).isNotNull()
+    known = df.filter(is_known)
+    if largest_group(known, group) <= most:
+        ranked = known.withColumn(name, F.percent_rank().over(Window.partitionBy(group).orderBy(value)))
+    else:
+        place = positions(known.select(group, value), group, value).select(group, value, F.when(F.col("n") > 1, F.col("before") / (F.col("n") - 1)).otherwise(0.0).alias(name))
+        ranked = known.join(place, [group, value]).select(*df.columns, name)
+    return ranked.unionByName(df.filter(~is_known).withColumn(name, F.lit(None).cast("double")))
 
 
 def smallest(df: DataFrame, value: str, k: int, tie: Sequence[str]) -> DataFrame:

@@ -46,6 +46,43 @@ def test_percentile_rank(spark):
     assert got == sorted([("a", 1.0, 0.0), ("a", 1.0, 0.0), ("a", 3.0, 1.0), ("a", None, None), ("b", 2.0, 0.0), (None, 4.0, None)], key=str)
 
 
+def test_large_groups_are_ranked_by_ranges_alike(spark):
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.5, rng.randrange(40) / 4, rng.random()])) for _ in range(900)] + [("c", 2.0), ("d", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    assert rows(ranking.percentile_rank(df, "g", "v", "p")) == rows(ranking.percentile_rank(df, "g", "v", "p", most=10))
+    assert rows(groups.group_median(df, "g", "v", 3)) == rows(groups.group_median(df, "g", "v", 3, most=10))
+
+
+def test_quantiles_by_narrowing_equal_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(0, 1, 5000), np.repeat([1.0, 2.0, 3.0], 1000), np.append(np.full(3000, 7.0), rng.random(50))):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        points = [0.0, 0.013, 0.25, 0.5, 0.501, 0.99, 1.0]
+        got = profile.exact_quantiles(df, "v", points, most=300)
+        assert got == pytest.approx(np.quantile(values, points).tolist(), abs=1e-12)
+    assert profile.exact_quantiles(df.filter("false"), "v", [0.5]) == [None]
+
+
+def test_rows_at_one_place_weigh_as_pairs_do(spark):
+    rng = random.Random(8)
+    spots = [(51.1 + rng.gauss(0, 0.002), 71.4 + rng.gauss(0, 0.002)) for _ in range(12)]
+    data = [(k, *rng.choice(spots), rng.uniform(1, 2), "d", "g", rng.choice([None, "x", "y"]), f"b{k % 9}", float(k % 3), k % 10 != 0) for k in range(120)]
+    df = spark.createDataFrame(data, "id int, lat double, lon double, y double, district string, grid_cell_id string, complex_name string, building string, x double, fit boolean")
+    out, _ = hierarchical.hierarchical_fit(df, "id", "y", ["x"], "fit")
+    got = {r["id"]: r["kernel_eff_n"] for r in out.collect()}
+    known = [d for d in data if d[9]]
+    for d in data:
+        w = [math.exp(-0.5 * (km / 0.1) ** 2) for e in known if e[0] != d[0] and (km := distance(d, e)) <= 0.5] if d[9] else []
+        assert got[d[0]] == pytest.approx(sum(w) ** 2 / sum(v * v for v in w) if w else 0.0, abs=0.006)
+
+
+def distance(a, b):
+    la, lb = math.radians(a[1]), math.radians(b[1])
+    h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+    return 2 * 6371.0088 * math.asin(min(1, math.sqrt(h)))
+
+
 def test_next_ids_follow_text_order(spark):
     new = spark.createDataFrame([(str(k),) for k in (3, 20, 1, 100)], "k string")
     known = spark.createDataFrame([(7,)], "n int")
@@ -100,7 +137,7 @@ def brute(data, km):
 def test_radius_joins_equal_brute_force(places, km):
     data, df = places
     expected = brute(data, km)
-    for f in (radius.radius_stats, lambda *a: radius.radius_stats_blocked(*a, block=20)):
+    for f in (radius.radius_stats, lambda *a: radius.radius_stats_blocked(*a, block=20), lambda *a: radius.radius_stats_blocked(*a, block=50, near_block=40)):
         got = {r["id"]: r for r in f(df, km, "id", "v").collect()}
         assert len(got) == len(data)
         for k, v in expected.items():
