@@ -37,11 +37,12 @@ def _cells(p: DataFrame, radius_km: float) -> DataFrame:
     return p.withColumns({"cy": F.floor(F.col("lat") / dy), "cx": F.floor(F.col("lon") / dx)})
 
 
-def _dealt(cell: DataFrame, block: int, near_block: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _dealt(cell: DataFrame, block: int, near_block: int | None = None) -> tuple[DataFrame, DataFrame, bool]:
     """Each cell's own points, and the points in and around it, both with the cell's key (cy, cx) and blocks.
 
     Own points are dealt into parts b of about ``block``; the points around go to every part.  With ``near_block`` they
-    are dealt into value ranges g of about that many too, and own points go to every range.
+    are dealt into value ranges g of about that many too, and own points go to every range; the last of
+    the three results says whether there are several.
     """
     around = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
     halo = cell.withColumn("o", F.explode(F.array(*around))).withColumns({"cy": F.col("cy") + F.col("o.a"), "cx": F.col("cx") + F.col("o.b")}).drop("o")
@@ -58,7 +59,8 @@ def _dealt(cell: DataFrame, block: int, near_block: int | None = None) -> tuple[
     of_value = F.floor(F.size(F.filter(F.array(*[F.lit(x) for x in ranges]), lambda e: e <= F.col("v"))) * F.col("ranges") / (len(ranges) + 1)).cast("int") if ranges else F.lit(0)
     own = cell.join(counts, ["cy", "cx"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
     halo = halo.join(counts, ["cy", "cx"]).withColumn("g", of_value).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return tuple(d.select("cy", "cx", "b", "g", "id", "lat", "lon", "v") for d in (own, halo))
+    columns = ["cy", "cx", "b", "g", "id", "lat", "lon", "v"]
+    return own.select(*columns), halo.select(*columns), bool(ranges)
 
 
 def neighbour_pairs(df: DataFrame, radius_km: float, row_id: str, lat: str = "lat", lon: str = "lon", value: str | None = None, block: int = 2048) -> DataFrame:
@@ -67,7 +69,7 @@ def neighbour_pairs(df: DataFrame, radius_km: float, row_id: str, lat: str = "la
     Rows with a null coordinate or value take no part.  Points at one place are neighbours.  A crowded cell's points meet
     those around it in parts of about ``block``.
     """
-    own, halo = _dealt(_cells(_points(df, row_id, lat, lon, value), radius_km), block)
+    own, halo, _ = _dealt(_cells(_points(df, row_id, lat, lon, value), radius_km), block)
     own = own.select(F.col("id").alias("i"), "lat", "lon", "cy", "cx", "b")
     halo = halo.select(F.col("id").alias("j"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "v", "cy", "cx", "b")
     near = own.join(halo, ["cy", "cx", "b"]).filter(F.col("i") != F.col("j")).withColumn("distance_km", haversine_km("lat", "lon", "lat2", "lon2"))
@@ -102,10 +104,10 @@ def radius_stats_blocked(df: DataFrame, radius_km: float, row_id: str, value: st
     stripes.  Where more than ``near_block`` points are around a cell, those are dealt into ranges of their values: counts and
     sums add up over the ranges, and the median is picked in a second pass from the one or two ranges that hold it.
     """
-    own, halo = _dealt(_cells(_points(df, row_id, lat, lon, value), radius_km), block, near_block)
-    both = stored(own.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False))), "around")
+    own, halo, several = _dealt(_cells(_points(df, row_id, lat, lon, value), radius_km), block, near_block)
+    both = own.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False)))
+    both = stored(both, "around") if several else both
     kind = own.schema["id"].dataType.simpleString()
-    several = not both.filter("g > 0").isEmpty()
 
     def stats(pdf: pd.DataFrame) -> pd.DataFrame:
         mine, near = pdf[pdf["own"]], pdf[~pdf["own"]].sort_values("v")
