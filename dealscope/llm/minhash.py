@@ -77,23 +77,24 @@ def near_duplicates(
     )
     n_nodes, n_rows = nodes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     sides = written(_shared_halves(nodes, side, n_nodes), "sides")
-    sets = written(_candidate_sets(source, nodes.join(sides.select("node"), "node", "left_semi"), shingle), "sets")
+    sets = written(_candidate_sets(source, nodes.join(sides.select("node"), "node", "left_semi").select("one.*"), shingle), "sets")
     live = written(_private_counts(sets).filter(100 * F.col("private") <= (100 - percent) * F.col("n")), "live")
     tables = written(_tables(sides.join(live, "node")), "tables")
 
     centres = written(tables.groupBy("table").agg(F.min(F.struct((F.col("private") / F.col("n")).alias("share"), "node", "n", "private")).alias("c"), F.count("*").alias("size")).filter("size > 1"), "centres")
-    star = look_up(tables, centres, "table", "size", tables.count()).select(
-        F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"), F.col("c.private").alias("pa"), F.col("private").alias("pb")
-    )
+    met = written(look_up(tables, centres, "table", "size", tables.count()).select("table", "node", "n", "private", "i", "j", "c"), "met")
+    star = met.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"), F.col("c.private").alias("pa"), F.col("private").alias("pb"))
     labels = components(_confirmed(_possible(star, percent), sets, percent))
 
-    labelled = written(tables.join(labels, "node", "left").select("table", "node", "n", "i", "j", F.coalesce("label", "node").alias("label")), "labelled")
+    # labels are told apart by a hash of 64 bits here
+    labelled = written(met.join(labels, "node", "left").select("table", "node", "n", "i", "j", F.xxhash64(F.coalesce("label", "node")).alias("label")), "labelled")
     several = labelled.groupBy("table").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("table")
     open_ = written(labelled.join(several, "table", "left_semi"), "open")
     if not open_.isEmpty():
-        met = _possible(_across(open_, nodes, sets, side, percent), percent, "la", "lb")
-        crossing = written(_confirmed(met, sets, percent, "la", "lb", crowded="ab"), "links")
-        over = written(components(crossing.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("top")), "over")
+        crossing = written(_confirmed(_possible(_across(open_, nodes, sets, side, percent), percent), sets, percent, crowded="ab"), "links")
+        of_a, of_b = (labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")) for end in "ab")
+        crossing = crossing.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        over = written(components(crossing).select(F.col("node").alias("label"), F.col("label").alias("top")), "over")
         alone = over.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti")
         labels = labels.unionByName(alone).join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
@@ -156,40 +157,60 @@ def _tables(sides: DataFrame) -> DataFrame:
     return product.select(F.xxhash64("l.key", "r.key").alias("table"), "node", "n", "private", F.col("l.pos").cast("tinyint").alias("i"), F.col("r.pos").cast("tinyint").alias("j"))
 
 
-def _candidate_sets(source: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the candidates, each from one of its texts, null ids too."""
-    one = candidates.select(F.col("one.id").alias("one_id"), F.col("one.text_key").alias("one_key"))
-    texts = source.join(one, (F.col("text_key") == F.col("one_key")) & F.col("id").eqNullSafe(F.col("one_id")), "left_semi")
+def _bitmap(keys: DataFrame, most_bits: int = 27) -> np.ndarray:
+    """A bit for each key modulo a power of two, set where ``keys`` (key) has it; at most 2 ** ``most_bits`` bits, whatever their number.
+
+    The words are put together on the executors.
+    """
+    bits = max(10, min(most_bits, (16 * keys.count()).bit_length()))
+    at = keys.select(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(cast(1 as bigint), cast(at & 63 as int)))").alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
+    return out
+
+
+def _candidate_sets(source: DataFrame, one: DataFrame, shingle: int) -> DataFrame:
+    """(node, k, shingles) of the candidates, each from one of its texts, null ids too; k numbers them.
+
+    ``one`` has the id and text_key of a row of each.  Rows are picked where they are read, by a bitmap of
+    bounded size, so no text is shuffled; rows that it lets through without need do no harm.
+    """
+    bitmap = source.sparkSession.sparkContext.broadcast(_bitmap(one.select(F.xxhash64("id", "text_key").alias("key"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = bitmap.value
+        last = np.uint64(64 * len(held) - 1)
         for pdf in batches:
-            for part in _slices(pdf):
+            at = pdf["key"].to_numpy().view(np.uint64) & last
+            picked = pdf[(held[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+            for part in _slices(picked):
                 values, counts = S.shingle_sets(part["text"].tolist(), shingle)
                 ends = np.cumsum(counts).tolist()
                 sets = [values[e - c : e] for e, c in zip(ends, counts.tolist(), strict=True)]
                 nodes = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in sets]
                 yield pd.DataFrame({"node": nodes, "shingles": [v.view(np.int64) for v in sets]})
 
-    found = texts.select("text").mapInPandas(run, "node binary, shingles array<long>")
+    found = source.select(F.xxhash64("id", "text_key").alias("key"), "text").mapInPandas(run, "node binary, shingles array<long>")
     # rows that share an id and a text are one node still
-    return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return found.filter(F.size("shingles") > 0).groupBy("node").agg(F.first("shingles").alias("shingles")).withColumn("k", F.monotonically_increasing_id())
 
 
 def _private_counts(sets: DataFrame) -> DataFrame:
     """(node, n, private): sizes, and how many shingles no other candidate has."""
-    alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
-    private = alone.groupBy("node").agg(F.count("*").alias("private"))
-    return sets.select("node", F.size("shingles").cast("long").alias("n")).join(private, "node", "left").fillna(0, ["private"])
+    alone = sets.select("k", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("k").alias("k")).filter("c = 1")
+    private = alone.groupBy("k").agg(F.count("*").alias("private"))
+    return sets.select("node", "k", F.size("shingles").cast("long").alias("n")).join(private, "k", "left").fillna(0, ["private"]).drop("k")
 
 
-def _possible(pairs: DataFrame, percent: int, *carried: str) -> DataFrame:
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs that sizes and private counts do not rule out."""
     inter = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     union = F.greatest(F.col("na") + F.col("pb"), F.col("nb") + F.col("pa"))
-    return pairs.filter((F.col("a") != F.col("b")) & (100 * inter >= percent * union)).select("a", "b", *carried).distinct()
+    return pairs.filter((F.col("a") != F.col("b")) & (100 * inter >= percent * union)).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, *carried: str, crowded: str = "a") -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, crowded: str = "a") -> DataFrame:
     """The pairs whose full sets reach the threshold.
 
     An end named in ``crowded`` may have many pairs, like the centre of a large bucket; then it is
@@ -207,7 +228,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, *carried: str, c
                 held = held.join(parts, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), dealt - 1))).drop("parts")
                 joined = joined.join(parts, end, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), dealt).cast("int")).drop("parts")
         joined = joined.join(held, on).drop("part")
-    return joined.withColumn("i", F.size(F.array_intersect("sa", "sb"))).filter(linked(F.col("i"), F.size("sa"), F.size("sb"), percent)).select("a", "b", *carried)
+    return joined.withColumn("i", F.size(F.array_intersect("sa", "sb"))).filter(linked(F.col("i"), F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
 def linked(inter: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -243,7 +264,7 @@ def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, side: int, perc
 
 def _own_counts(labelled_sets: DataFrame) -> DataFrame:
     """(node, n, private): sizes, and how many shingles no node of another label has."""
-    spread = written(labelled_sets.select("node", F.xxhash64("label").alias("l"), F.explode("shingles").alias("s")), "spread")
+    spread = written(labelled_sets.select("k", F.col("label").alias("l"), F.explode("shingles").alias("s")), "spread")
     own = written(spread.groupBy("s").agg(F.min("l").alias("low"), F.max("l").alias("high"), F.count("*").alias("times")).filter("low = high").select("s", "times"), "own")
-    private = look_up(spread.select("node", "s"), own, "s", "times", spread.count()).groupBy("node").agg(F.count("*").alias("private"))
-    return labelled_sets.select("node", F.size("shingles").cast("long").alias("n")).join(private, "node", "left").fillna(0, ["private"])
+    private = look_up(spread.select("k", "s"), own, "s", "times", spread.count()).groupBy("k").agg(F.count("*").alias("private"))
+    return labelled_sets.select("node", "k", F.size("shingles").cast("long").alias("n")).join(private, "k", "left").fillna(0, ["private"]).drop("k")
