@@ -7,7 +7,6 @@ import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -24,11 +23,6 @@ def session(name: str = "dealscope", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """NaN in double and float columns becomes null, so that no comparison sees it."""
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
-
-
 _OWN: list[str] = []
 _STORED: list[str] = []
 

@@ -100,3 +100,19 @@ def test_stream_takes_up_where_it_stopped(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
     batch = spark.createDataFrame([("2026-01-01 00:10:00", "x"), ("2026-01-01 00:20:00", "x")], "t string, k string").withColumn("t", F.to_timestamp("t"))
     assert ingest.windowed_counts(batch, "t", "k").first()["n"] == 2
+
+
+def test_tables_are_overwritten_in_the_order_of_columns(spark, tmp_path):
+    from dealscope.session import drop_stored, stored
+    from dealscope.sources.sinks import write_table
+
+    df = spark.createDataFrame([(1, ["a", "b"], "x,\"y\"")], "n int, items array<string>, t string")
+    for kind in ("parquet", "csv"):
+        for _ in range(2):
+            write_table(df, f"{tmp_path}/{kind}", ["t", "items", "n"], kind)
+    assert spark.read.parquet(f"{tmp_path}/parquet").columns == ["t", "items", "n"]
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/csv")
+    assert [tuple(r) for r in back.collect()] == [('x,"y"', '["a","b"]', "1")]
+    drop_stored(spark)
+    kept = stored(df, "some")
+    assert kept.count() == 1 and drop_stored(spark) == 1 and drop_stored(spark) == 0
