@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from dealscope.llm import shingles as S
 from dealscope.llm.components import components
-from dealscope.llm.shared import given_id, held_id, look_up, text_sha256, written
+from dealscope.llm.shared import given_id, held_id, lean, look_up, text_sha256, written
 
 #: Members of a bucket, or pairs of a node, that one task meets at most.
 PART = 2048
@@ -129,11 +129,11 @@ def _signatures(source: DataFrame, shingle: int, rows: int, side: int, seed: int
                 nodes = [hashlib.blake2b(raw[e - 8 * c : e], digest_size=16).digest() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pd.DataFrame({"id": part["id"], "text_key": part["text_key"], "n_shingles": counts.astype(np.int64), "node": nodes, "halves": list(halves), **{c: part[c] for c in carried}})
 
-    out = source.withColumn("id", held_id(source, "id")).mapInPandas(run, f"id {kind}, text_key long, n_shingles long, node binary, halves array<long>" + "".join(f", {c} string" for c in carried))
+    out = source.withColumn("id", held_id(source, "id")).mapInPandas(lean(run), f"id {kind}, text_key long, n_shingles long, node binary, halves array<long>" + "".join(f", {c} string" for c in carried))
     return out.withColumn("id", given_id(out))
 
 
-def _slices(pdf: pd.DataFrame, most_chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def _slices(pdf: pd.DataFrame, most_chars: int = 500_000) -> Iterator[pd.DataFrame]:
     """Runs of rows of bounded total length, so that long texts do not pile up; no row is cut."""
     run = (pdf["text"].str.len().fillna(0).cumsum() // most_chars).to_numpy()
     for a in np.unique(run):
@@ -191,7 +191,7 @@ def _candidate_sets(source: DataFrame, one: DataFrame, shingle: int) -> DataFram
                 nodes = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in sets]
                 yield pd.DataFrame({"node": nodes, "shingles": [v.view(np.int64) for v in sets]})
 
-    found = source.select(F.xxhash64("id", "text_key").alias("key"), "text").mapInPandas(run, "node binary, shingles array<long>")
+    found = source.select(F.xxhash64("id", "text_key").alias("key"), "text").mapInPandas(lean(run), "node binary, shingles array<long>")
     # rows that share an id and a text are one node still
     return found.filter(F.size("shingles") > 0).groupBy("node").agg(F.first("shingles").alias("shingles")).withColumn("k", F.monotonically_increasing_id())
 

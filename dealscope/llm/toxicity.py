@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.shared import given_id, held_id, written
+from dealscope.llm.shared import given_id, held_id, lean, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6, 7)
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["y"], "terms": [terms(t, bits, memory).tobytes() for t in pdf["text"]]})
 
-    held = written(texts.mapInPandas(run, "y int, terms binary"), "terms")
+    held = written(texts.mapInPandas(lean(run), "y int, terms binary"), "terms")
     everything = _table_counts(held, None)
     strong = choose(everything, _table_counts(held, telling(everything)), kept)
 
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"y": pdf["y"], "terms": [r[np.isin(r, strong, assume_unique=True)].tobytes() for r in rows]})
 
     # at most `sample` rows of at most `kept` buckets, as Arrow; sorted, so that fits agree
-    found = held.mapInPandas(only, "y int, terms binary").toArrow().sort_by([("terms", "ascending"), ("y", "ascending")])
+    found = held.mapInPandas(lean(only), "y int, terms binary").toArrow().sort_by([("terms", "ascending"), ("y", "ascending")])
     rows = [np.frombuffer(t, np.int32) for t in found["terms"].to_pylist()]
     return descend(rows, found["y"].to_numpy().astype(int), strong, bits=bits)
 
@@ -261,7 +261,7 @@ def _table_counts(held: DataFrame, wanted: np.ndarray | None) -> Counts:
             c = counts_of(rows, y)
             yield pd.DataFrame({"bucket": np.append(c.bucket, -1), "p": np.append(c.with_positive, c.positive), "n": np.append(c.with_negative, c.negative)})
 
-    sums = written(held.mapInPandas(run, "bucket long, p long, n long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "counts")
+    sums = written(held.mapInPandas(lean(run), "bucket long, p long, n long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "counts")
     pos, neg = next(((int(r[1]), int(r[2])) for r in sums.filter("bucket < 0").collect()), (0, 0))
 
     def part(k: str, of: int, share: Column) -> Column:
@@ -295,7 +295,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             s = np.array([score(t) for t in pdf["text"]], dtype=float)
             yield pd.DataFrame({"id": pdf["id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    out = source.mapInPandas(run, f"id {kind}, held_out boolean, score double, predicted int")
+    out = source.mapInPandas(lean(run), f"id {kind}, held_out boolean, score double, predicted int")
     return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)
 
 
@@ -313,4 +313,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             yield batch.filter(pa.array([score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
