@@ -8,7 +8,9 @@ is never shuffled, and of equal texts the largest id is the one that is held.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,16 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+@contextmanager
+def passing_index(spark: SparkSession, name: str) -> Iterator[DigestIndex]:
+    """An index of its own name for one run; its table goes at the end, also after a failure."""
+    index = DigestIndex(spark, f"{name}_{uuid.uuid4().hex}")
+    try:
+        yield index
+    finally:
+        index.drop()
+
+
 def _descending(seen: DataFrame, batches: int) -> Iterator[Column]:
     """Conditions that deal the rows into ranges of ids, the largest ids first and null ids last.
 

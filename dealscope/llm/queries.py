@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,7 +12,7 @@ from dealscope.llm.boilerplate import without_boilerplate
 from dealscope.llm.bpe import encode_decode, with_token_counts
 from dealscope.llm.chat import read_digests, windows
 from dealscope.llm.chunks import repeated_passages
-from dealscope.llm.exact import DigestIndex, deduplicate
+from dealscope.llm.exact import deduplicate, passing_index
 from dealscope.llm.gif import media_features, texts_as_media
 from dealscope.llm.html_main import extract_main
 from dealscope.llm.minhash import near_duplicates
@@ -32,10 +31,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, f"text_digests_{uuid.uuid4().hex}")
-    decided = deduplicate(_table(spark, sf_dir, "documents"), index)
-    index.drop()
-    return decided
+    with passing_index(spark, "text_digests") as index:
+        return deduplicate(_table(spark, sf_dir, "documents"), index)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

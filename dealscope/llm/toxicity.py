@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.shared import given_id, held_id, lean, written
+from dealscope.llm.shared import given_id, held_id, lean, text_sha256, written
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNINGS = (3, 4, 5, 6, 7)
@@ -213,10 +213,11 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = 30_000, bits: int = 20, kept: int = 4096) -> Machine:
-    """Fit on at most ``sample`` labelled rows, chosen by a hash of their ids, not held out.
+    """Fit on at most ``sample`` labelled rows, chosen by a hash of their ids and texts, not held out.
 
     Null labels, null ids and labels without a document are left out; an id that is
-    labelled twice takes its larger label.  Without any label the machine scores 0.
+    labelled twice takes its larger label; rows of equal id and text count once.
+    Without any label the machine scores 0.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     known = written(known.filter(~held_out("id")).withColumn("draw", F.xxhash64("id")), "known")
@@ -224,14 +225,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = (sample + 8 * sample**0.5 + 64) / max(1, known.count())
     low = known.filter(F.col("draw") < F.lit(int(min(1.0, share) * 2.0**64 - 2.0**63 - 2048))) if share < 1 else known
     known = low.orderBy("draw", "id").limit(sample).select("id", "y")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("y", "text")
+    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "id")
+    # an id may stand on many rows: equal rows count once, and the draw is made again among the rows
+    texts = written(found.groupBy(F.xxhash64("id", text_sha256("text")).alias("draw")).agg(F.first("y").alias("y"), F.first("text").alias("text")), "texts")
+    if texts.count() > sample:
+        beyond = texts.select("draw").orderBy("draw").limit(sample + 1).agg(F.max("draw")).first()[0]
+        texts = texts.filter(F.col("draw") < beyond)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory: dict[str, tuple[int, ...]] = {}
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["y"], "terms": [terms(t, bits, memory).tobytes() for t in pdf["text"]]})
 
-    held = written(texts.mapInPandas(lean(run), "y int, terms binary"), "terms")
+    held = written(texts.select("y", "text").mapInPandas(lean(run), "y int, terms binary"), "terms")
     everything = _table_counts(held, None)
     strong = choose(everything, _table_counts(held, telling(everything)), kept)
 

@@ -318,6 +318,19 @@ def test_tables_fit_the_machine_that_rows_in_memory_fit(spark):
     assert {r["doc_id"] for r in without_toxic(docs, labels, machine=got).collect()} == {k for k in range(400) if k % 4}
 
 
+def test_the_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    from dealscope.llm import toxicity as module
+
+    fitted = []
+    monkeypatch.setattr(module, "descend", lambda rows, *a, **b: fitted.append(len(rows)))
+    docs = spark.createDataFrame([(k % 2, f"text number {k // 4}") for k in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    learnt = sum(zlib.crc32(str(k).encode()) % 5 > 0 for k in range(2))
+    for sample in (30, 5000):
+        train(docs, labels, bits=12, sample=sample)
+    assert learnt and fitted == [30, 500 * learnt]
+
+
 def test_toxicity_edges(edge_docs, no_docs, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (3, None), (None, 1), (99, 0)], "doc_id long, toxic int")
     got = toxicity(edge_docs, labels).collect()
