@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealscope.llm.bpe import encode_decode
-from dealscope.llm.exact import DigestIndex, deduplicate
+from dealscope.llm.exact import deduplicate, passing_index
 from dealscope.llm.minhash import near_duplicates
 from dealscope.llm.mix import mixed_rows
 from dealscope.llm.shared import release, row_key, text_sha256, written
@@ -43,9 +42,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null counts as the empty text; of rows with equal id and text one stays.
     """
-    index = DigestIndex(spark, f"corpus_digests_{uuid.uuid4().hex}")
-    decided = deduplicate(docs, index)
-    index.drop()
+    with passing_index(spark, "corpus_digests") as index:
+        decided = deduplicate(docs, index)
     return _kept(docs, decided.filter("kept"))
 
 
