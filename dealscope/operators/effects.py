@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import key_of
 from dealscope.operators.groups import left_by_key
+from dealscope.operators.radius import kernel_sums
+from dealscope.session import stored
 
 
 def loo_effect(df: DataFrame, group: str, value: str, shrink: float, effect: str, others: str) -> DataFrame:
@@ -38,41 +40,47 @@ def nested_effects(df: DataFrame, value: str, levels: Sequence[tuple[str, float]
     return out
 
 
-def cell_effects(cells: DataFrame, cell: str, levels: Sequence[tuple[str, float]]) -> DataFrame:
+def cell_effects(cells: DataFrame, levels: Sequence[tuple[str, float]], n: str, columns: Sequence[str]) -> DataFrame:
     """The nested effects of all rows from one row a cell, a cell being the rows that share all level keys.
 
-    ``cells`` has the level keys, ``n`` and ``s``: number and sum of the fitted values.  After all levels a fitted
-    row of value r is left with left_of_value * r - left_off, which each level changes by the same factors throughout a cell;
-    ``location`` is that of rows that are not fitted, and {level}_n the fitted rows of the level's group.
-    Rows are aggregated to cells before, so a window over a group's cells holds a row a building, not a listing;
-    cells without a key are dealt out.
+    ``cells`` has the level keys, ``n`` fitted rows and the sums of some values over them, ``columns``.  All levels are linear in the
+    values, so each column is worked out by itself.  After all levels a fitted row of value v is left with left_of_value * v - off_{column},
+    which each level changes by the same factors throughout a cell; at_{column} is the location of rows that are not fitted, and
+    {level}_n the fitted rows of the level's group.  A group's sums are aggregated before they are joined back to its cells, and each
+    level is written, so that no group is in one task and plans stay short.
     """
-    out = cells.withColumns({"left_of_value": F.lit(1.0), "left_off": F.lit(0.0), "location": F.lit(0.0)})
+    out = cells.withColumn("left_of_value", F.lit(1.0)).withColumns({f"{p}_{c}": F.lit(0.0) for c in columns for p in ("off", "at")})
     for group, shrink in levels:
         known = F.col(group).isNotNull()
-        own = Window.partitionBy(group, F.when(known, 0).otherwise(F.pmod(F.xxhash64(cell), F.lit(200)).cast("int")))
-        rest = F.col("left_of_value") * F.col("s") - F.col("left_off") * F.col("n")
-        out = out.withColumns({"__s": F.when(known, F.sum(rest).over(own)).otherwise(0.0), f"{group}_n": F.when(known, F.sum("n").over(own)).otherwise(0)})
-        others, everyone = F.col(f"{group}_n") - 1 + F.lit(float(shrink)), F.col(f"{group}_n") + F.lit(float(shrink))
+        rest = {c: F.col("left_of_value") * F.col(c) - F.col(f"off_{c}") * F.col(n) for c in columns}
+        sums = out.filter(known).groupBy(group).agg(F.sum(n).alias("__n"), *[F.sum(v).alias(f"__s_{c}") for c, v in rest.items()])
+        out = left_by_key(out, sums, group)
+        others, everyone = F.col("__n") - 1 + F.lit(float(shrink)), F.col("__n") + F.lit(float(shrink))
         share = F.when(known & (others > 0), 1 / others).otherwise(0.0)
-        out = out.withColumns({
-            "left_off": (1 + share) * F.col("left_off") + share * F.col("__s"),
-            "left_of_value": (1 + share) * F.col("left_of_value"),
-            "location": F.col("location") + F.when(known & (everyone > 0), F.col("__s") / everyone).otherwise(0.0),
-        }).drop("__s")
+        at = F.when(known & (everyone > 0), 1 / everyone).otherwise(0.0)
+        total = {c: F.coalesce(F.col(f"__s_{c}"), F.lit(0.0)) for c in columns}
+        changed = {f"off_{c}": (1 + share) * F.col(f"off_{c}") + share * v for c, v in total.items()} | {f"at_{c}": F.col(f"at_{c}") + at * v for c, v in total.items()}
+        changed |= {"left_of_value": (1 + share) * F.col("left_of_value"), f"{group}_n": F.coalesce(F.col("__n"), F.lit(0.0)).cast("long")}
+        out = stored(out.withColumns(changed).drop("__n", *[f"__s_{c}" for c in columns]), "effects")
     return out
 
 
-def kernel_means(edges: DataFrame, values: DataFrame, row_id: str, value: str) -> DataFrame:
-    """(id, smooth, n_eff, sum_w): kernel means of the neighbours' values; null values are left out.
+def kernel_means(df: DataFrame, row_id: str, value: str, width_km: float, cutoff_km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(id, smooth, n_eff, sum_w): kernel means of the others' values within the cutoff; null values and places are left out.
 
-    n_eff is (sum w)^2 / sum w^2.  Rows without neighbours are absent.
+    n_eff is (sum w)^2 / sum w^2.  Rows without neighbours are absent.  Rows at one place are one place of the kernel, and
+    weigh 1 for each other.
     """
-    known = values.filter(F.col(value).isNotNull()).select(F.col(row_id).alias("j"), F.col(value).alias("v"))
-    s = edges.join(known, "j").groupBy("i").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
-    smooth = F.when(F.col("sum_w") > 1e-12, F.col("wv") / F.col("sum_w")).otherwise(0.0)
-    n_eff = F.when(F.col("w2") > 0, F.col("sum_w") * F.col("sum_w") / F.col("w2")).otherwise(0.0)
-    return s.select(F.col("i").alias(row_id), smooth.alias("smooth"), n_eff.alias("n_eff"), "sum_w")
+    rows = df.select(row_id, F.col(value).cast("double").alias("__v"), *[(F.col(c).cast("double") + F.lit(0.0)).alias(k) for c, k in ((lat, "lat"), (lon, "lon"))]).dropna(subset=["lat", "lon"])
+    places = stored(rows.groupBy("lat", "lon").agg(F.count("__v").cast("double").alias("times"), F.coalesce(F.sum("__v"), F.lit(0.0)).alias("total")), "places")
+    near = kernel_sums(places, ["total"], width_km, cutoff_km).withColumnRenamed("total", "far_total")
+    met = rows.join(places.join(near, ["lat", "lon"], "left").fillna(0.0, ["sum_w", "sum_w2", "far_total"]), ["lat", "lon"])
+    others = F.col("times") - F.col("__v").isNotNull().cast("int")
+    here = F.when(others > 0, F.col("total") - F.coalesce("__v", F.lit(0.0))).otherwise(0.0)
+    met = met.withColumns({"sum_w": F.col("sum_w") + others, "sum_w2": F.col("sum_w2") + others, "__wv": F.col("far_total") + here}).filter("sum_w > 0")
+    smooth = F.when(F.col("sum_w") > 1e-12, F.col("__wv") / F.col("sum_w")).otherwise(0.0)
+    n_eff = F.when(F.col("sum_w2") > 0, F.col("sum_w") * F.col("sum_w") / F.col("sum_w2")).otherwise(0.0)
+    return met.select(row_id, smooth.alias("smooth"), n_eff.alias("n_eff"), "sum_w")
 
 
 def shrunk(smooth: Column | str, sum_w: Column | str, shrink: float) -> Column:

@@ -1,25 +1,27 @@
 """The hierarchical price model: attributes by least squares, location by nested leave-one-out effects and a kernel.
 
-The cross-products of the attributes, the kernel's weights, and the sums of each cell (the
-rows that share all location keys) do not change between rounds and are summed once.  A
-round sums one vector over the rows, works the levels out on one row a cell, and writes
-its rows to the shared folder once, so plans stay short and lost executors cost no
-earlier round.
+A fitted row's location is (1 - alpha) * r + g, r being its residual of the attributes.  alpha depends on counts alone, and g is linear in
+the sums of residuals of each spot (the rows of one place that share all location keys).  So the levels and the kernel are
+worked out once, for the spots' sums of 1, of each attribute and of y; their g for any coefficients
+is a combination of those.  With the attributes' cross-products, plain and weighted by alpha, a round is then a product of small matrices on the
+driver, and rows are read to sum the spots, for the cross-products, and for the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import first_failing, row_mean, standard_error, within
-from dealscope.operators.effects import cell_effects, shrunk
-from dealscope.operators.ols import Products, cluster_covariance, fitted, products, solve
+from dealscope.operators.effects import cell_effects
+from dealscope.operators.ols import Products, checked, cluster_covariance, fitted, moments, original, solve
 from dealscope.operators.profile import robust_z
-from dealscope.operators.radius import kernel_edges
+from dealscope.operators.radius import kernel_sums
 from dealscope.session import stored
 
 
@@ -50,52 +52,67 @@ def fit_reason(lat_box: tuple[float, float] = (50.95, 51.30), lon_box: tuple[flo
     ])
 
 
+def _sums(rows: DataFrame, left: Sequence[str], right: Sequence[str], weight: str | None = None) -> np.ndarray:
+    """left' right over the rows, plain or with ``weight``: partial sums per task, then their sum."""
+    p, q = len(left), len(right)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, p, q))
+        for pdf in batches:
+            a, b = pdf[list(left)].to_numpy(float), pdf[list(right)].to_numpy(float)
+            total[0] += a.T @ b
+            if weight:
+                total[1] += (a * pdf[weight].to_numpy(float)[:, None]).T @ b
+        yield pd.DataFrame({"k": np.arange(total.size), "s": total.ravel()})
+
+    held = rows.select(*dict.fromkeys([*left, *right, *([weight] if weight else [])]))
+    out = np.zeros(2 * p * q)
+    for k, s in held.mapInPandas(part, "k long, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():
+        out[k] = s
+    return out.reshape(2, p, q)
+
+
 def hierarchical_fit(df: DataFrame, row_id: str, y: str, x: Sequence[str], fit: str, settings: Settings = Settings(), lat: str = "lat", lon: str = "lon", complex_level: str = "complex_name", building_level: str = "building") -> tuple[DataFrame, dict]:
     """Rows with residual columns, and figures of the fit.
 
     ``fit`` is a boolean column; other rows get group effects but no residual.
-    ``x`` are numeric columns without nulls, ``y`` has none on fitted rows.  Rows are known by ``row_id``, unique.
+    ``x`` are numeric columns without nulls, ``y`` has none on fitted rows.  Rows are known by ``row_id``, unique.  Rows without a
+    place have no kernel term.
     """
-    levels = [k for k, _ in settings.levels]
-    base = stored(df.select(row_id, F.col(fit).alias("__fit"), F.col(y).cast("double").alias("__y"), *x, *levels, lat, lon), "base")
-    rows = base.filter("__fit")
-    pr = products(rows, list(x))
-    # rows at one place have the same neighbours: weights are between places, and a place's own others weigh 1
-    place = F.concat_ws(",", F.col(lat).cast("double").cast("string"), F.col(lon).cast("double").cast("string"))
-    rows = rows.withColumn("__place", place)
-    places = stored(rows.groupBy("__place").agg(F.first(lat).alias(lat), F.first(lon).alias(lon), F.count("*").alias("__at")), "places")
-    edges = stored(kernel_edges(places, settings.width_km, settings.cutoff_km, "__place", lat, lon), "edges")
-    around = edges.join(places.select(F.col("__place").alias("j"), "__at"), "j").groupBy(F.col("i").alias("__place")).agg(F.sum(F.col("w") * F.col("__at")).alias("__sw"), F.sum(F.col("w") * F.col("w") * F.col("__at")).alias("__sw2"))
-    own = F.when(F.col("__fit"), F.col("__at") - 1)
-    weights = places.select("__place", "__at").join(around, "__place", "left").fillna(0.0, ["__sw", "__sw2"])
-    base = base.withColumn("__place", place).join(weights, "__place", "left").withColumns({"__sw": F.col("__sw") + own, "__sw2": F.col("__sw2") + own})
-    n_eff = F.when(F.col("__sw2") > 0, F.col("__sw") * F.col("__sw") / F.col("__sw2")).otherwise(0.0)
-    base = base.withColumn("__kn", F.coalesce(n_eff, F.lit(0.0))).drop("__at", "__sw2")
-    # the keys as one text; null keys are left out of it, so that no two cells have the same
-    base = stored(base.withColumn("__cell", F.to_json(F.struct(*levels))), "base")
+    x, levels = list(x), [k for k, _ in settings.levels]
+    place = {f"__{k}": F.col(c).cast("double") + F.lit(0.0) for k, c in (("lat", lat), ("lon", lon))}
+    base = df.select(row_id, F.col(fit).alias("__fit"), F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in x], *levels, *[c.alias(k) for k, c in place.items()])
+    # keys as texts; null keys are left out of them, so that no two cells or spots have the same
+    base = stored(base.withColumn("__cell", F.to_json(F.struct(*levels))).withColumn("__spot", F.to_json(F.struct("__lat", "__lon", "__cell"))), "base")
     ok = F.col("__fit")
-    sums = {c: F.coalesce(F.sum(F.when(ok, F.col(c).cast("double"))), F.lit(0.0)) for c in ["__y", *x]}
-    cells = stored(base.groupBy("__cell", *levels).agg(F.count_if(ok).alias("n"), *[v.alias(f"__sum{k}") for k, v in enumerate(sums.values())]), "cells")
-    state = base.withColumn("__loc", F.lit(0.0))
-    for _ in range(settings.rounds):
-        beta = solve(pr, state.filter("__fit"), F.col("__y") - F.col("__loc"))
-        attr = fitted(pr, beta).predict()
-        rest = F.col("__sum0") - F.lit(float(beta[0])) * F.col("n")
-        for k, b in enumerate(beta[1:], 1):
-            rest = rest - F.lit(float(b)) * F.col(f"__sum{k}")
-        effects = cell_effects(cells.select("__cell", *levels, "n", rest.alias("s")), "__cell", settings.levels).drop(*levels, "n", "s")
-        rows_now = base.withColumn("__attr", attr).withColumn("__r", F.when(ok, F.col("__y") - F.col("__attr"))).join(effects, "__cell")
-        left = F.col("left_of_value") * F.col("__r") - F.col("left_off")
-        rows_now = rows_now.withColumn("__loc", F.when(ok, F.col("__r") - left).otherwise(F.col("location")))
-        rows_now = rows_now.withColumns({f"{k}_n_others": F.col(f"{k}_n") - ok.cast("int") for k in levels}).drop("left_of_value", "left_off", "location", *[f"{k}_n" for k in levels])
-        left = F.when(ok, F.col("__r") - F.col("__loc"))
-        here = rows_now.filter(ok).groupBy("__place").agg(F.sum(left).alias("__here"))
-        there = edges.join(here.withColumnRenamed("__place", "j"), "j").groupBy(F.col("i").alias("__place")).agg(F.sum(F.col("w") * F.col("__here")).alias("__there"))
-        value = F.coalesce("__there", F.lit(0.0)) + F.col("__here") - left
-        smooth = F.when(F.col("__sw") > 1e-12, value / F.col("__sw")).otherwise(0.0)
-        term = F.coalesce(shrunk(smooth, "__sw", settings.kernel_shrink), F.lit(0.0))
-        met = rows_now.join(here.join(there, "__place", "left"), "__place", "left")
-        state = stored(met.withColumn("__loc", F.col("__loc") + term).drop("__here", "__there"), "state")
+    rows = base.filter(ok)
+    n, mean, scale, spread = moments(rows, x, "__y")
+    # columns c0 (ones), c1.. (attributes, standardised), cy
+    design = ["c0", *[f"c{k}" for k in range(1, len(x) + 1)]]
+    values = {"c0": F.lit(1.0)} | {f"c{k}": (F.col(c) - float(mean[k])) / float(scale[k]) for k, c in enumerate(x, 1)} | {"cy": F.col("__y")}
+    spots = base.groupBy("__spot").agg(*[F.first(c).alias(c) for c in ("__cell", "__lat", "__lon", *levels)], *[F.coalesce(F.sum(F.when(ok, v)), F.lit(0.0)).alias(c) for c, v in values.items()])
+    spots = stored(spots, "spots")
+    met = _met(spots, levels, list(values), settings)
+    g_of = [f"g_{c}" for c in values]
+    crossed = _sums(met, g_of, design)[0]
+    weighed = rows.join(met.select("__spot", "alpha"), "__spot").select("alpha", *[v.alias(c) for c, v in values.items()])
+    plain, by_alpha = _sums(weighed, design, [*design, "cy"], "alpha")
+    pr = checked(Products(["const", *x], n, mean, scale, plain[:, :-1]))
+    beta = np.linalg.solve(pr.gram, plain[:, -1])
+    for _ in range(settings.rounds - 1):
+        # the design times y less location, from the coefficients of the round before
+        rest = pr.gram @ beta + by_alpha[:, -1] - by_alpha[:, :-1] @ beta - crossed.T @ np.append(-beta, 1.0)
+        beta = np.linalg.solve(pr.gram, rest)
+    plainly = original(pr, beta)
+
+    def combined(prefix: str) -> Column:
+        return sum((F.lit(float(w)) * F.col(f"{prefix}_{c}") for c, w in zip(values, np.append(-beta, 1.0), strict=True)), F.lit(0.0))
+
+    at = met.select("__spot", "alpha", combined("g").alias("__g"), combined("at").alias("__at"), *[f"{k}_n" for k in levels], "__kn")
+    state = base.join(at, "__spot").withColumn("__attr", fitted(pr, plainly).predict())
+    state = state.withColumn("__loc", F.when(ok, (1 - F.col("alpha")) * (F.col("__y") - F.col("__attr")) + F.col("__g")).otherwise(F.col("__at")))
+    state = state.withColumns({f"{k}_n_others": F.col(f"{k}_n") - ok.cast("int") for k in levels}).withColumn("__kn", F.when(ok, F.col("__kn")).otherwise(0.0))
+    state = stored(state.drop("alpha", "__g", "__at", "__cell", "__spot", *[f"{k}_n" for k in levels]), "state")
     predicted = F.col("__attr") + F.col("__loc")
     out = state.select(
         row_id,
@@ -108,16 +125,39 @@ def hierarchical_fit(df: DataFrame, row_id: str, y: str, x: Sequence[str], fit:
         F.col("__kn").alias("__kn"),
     )
     reliable = F.col("fit_ok") & ((F.col("building_n_others") >= settings.building_n) | (F.col("complex_n_others") >= settings.complex_n) | (F.col("__kn") >= settings.kernel_n))
-    out = stored(out.withColumn("residual_reliable", reliable).withColumn("residual_pct", F.exp("hier_residual_ln") - 1), "residuals")
+    out = out.withColumn("residual_reliable", reliable).withColumn("residual_pct", F.exp("hier_residual_ln") - 1)
     stats = out.agg(F.stddev_pop(F.when(F.col("residual_reliable"), F.col("hier_residual_ln"))), F.sum(F.col("hier_residual_ln") * F.col("hier_residual_ln"))).first()
-    sst = rows.agg(F.var_pop("__y")).first()[0] * pr.n
     n_eff = F.col("building_n_others") + 0.5 * F.col("complex_n_others") + 0.5 * F.col("__kn")
     z = F.col("hier_residual_ln") / standard_error(float(stats[0] or 0.0), n_eff)
     out = out.withColumn("residual_n_eff", F.when(F.col("fit_ok"), n_eff)).withColumn("residual_z", z).withColumn("kernel_eff_n", F.bround("__kn", 2)).drop("__kn")
-    info = {"n_fit": pr.n, "sigma_reliable": stats[0], "r2_loo": 1 - stats[1] / sst, "beta": dict(zip(pr.names, beta.tolist(), strict=True)), "location": state.select(row_id, F.col("__loc").alias("location")), "state": state, "products": pr}
+    info = {"n_fit": n, "sigma_reliable": stats[0], "r2_loo": 1 - stats[1] / (spread * n), "beta": dict(zip(pr.names, plainly.tolist(), strict=True)), "location": state.select(row_id, F.col("__loc").alias("location")), "state": state, "products": pr}
     return out, info
 
 
+def _met(spots: DataFrame, levels: Sequence[str], columns: Sequence[str], settings: Settings) -> DataFrame:
+    """Each spot with alpha, and for each column g_{column} and at_{column}: what levels and kernel make of its sums; {level}_n and __kn.
+
+    g is the part of a fitted row's location that its own residual has no part in, at the location of other rows.
+    """
+    cells = spots.groupBy("__cell").agg(*[F.first(k).alias(k) for k in levels], *[F.sum(c).alias(c) for c in columns])
+    effects = cell_effects(cells, settings.levels, columns[0], columns)
+    spots = spots.drop(*levels).join(effects.drop(*levels, *columns), "__cell")
+    left = {f"h_{c}": F.col("left_of_value") * F.col(c) - F.col(f"off_{c}") * F.col(columns[0]) for c in columns}
+    placed = spots.filter(F.col("__lat").isNotNull() & F.col("__lon").isNotNull())
+    places = placed.groupBy(F.col("__lat").alias("lat"), F.col("__lon").alias("lon")).agg(F.sum(columns[0]).alias("times"), *[F.sum(v).alias(k) for k, v in left.items()])
+    places = stored(places.filter("times > 0"), "places")
+    near = kernel_sums(places, list(left), settings.width_km, settings.cutoff_km).withColumnsRenamed({k: f"far_{k}" for k in left})
+    # rows at one place are neighbours of weight 1
+    joined = places.join(near, ["lat", "lon"], "left").fillna(0.0, ["sum_w", "sum_w2", *[f"far_{k}" for k in left]])
+    weight, squares = (F.col(c) + F.col("times") - 1 for c in ("sum_w", "sum_w2"))
+    kappa = F.when(weight > 1e-12, 1 / (weight + settings.kernel_shrink)).otherwise(0.0)
+    joined = joined.select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), kappa.alias("__kappa"), F.when(squares > 0, weight * weight / squares).otherwise(0.0).alias("__kn"), *[(F.col(k) + F.col(f"far_{k}")).alias(f"t_{k[2:]}") for k in left])
+    out = spots.join(joined, ["__lat", "__lon"], "left").fillna(0.0, ["__kappa", "__kn", *[f"t_{c}" for c in columns]])
+    more = 1 + F.col("__kappa")
+    g = [(more * F.col(f"off_{c}") + F.col("__kappa") * F.col(f"t_{c}")).alias(f"g_{c}") for c in columns]
+    return stored(out.select("__spot", *columns, (more * F.col("left_of_value")).alias("alpha"), *g, *[f"at_{c}" for c in columns], *[f"{k}_n" for k in levels], "__kn"), "spots")
+
+
 def coefficients(info: dict, cluster: str = "grid_cell_id") -> DataFrame:
     """(name, coefficient, error, statistic, p) of the attributes at the converged location terms.
 

@@ -70,17 +70,33 @@ def _checked(df: DataFrame, x: Sequence[str], extra: Sequence[str], missing: str
     return df
 
 
-def products(df: DataFrame, x: Sequence[str]) -> Products:
-    stats = df.agg(F.count("*"), *[f(F.col(c).cast("double")) for c in x for f in (F.avg, F.stddev_pop)]).first()
+def moments(df: DataFrame, x: Sequence[str], y: str | None = None) -> tuple[int, np.ndarray, np.ndarray, float | None]:
+    """Rows, means and deviations of the design (its constant first), and the variance of y; constant columns are refused."""
+    stats = df.agg(F.count("*"), F.var_pop(y) if y else F.lit(None), *[f(F.col(c).cast("double")) for c in x for f in (F.avg, F.stddev_pop)]).first()
     n = stats[0]
-    mean = np.array([0.0] + [stats[1 + 2 * k] or 0.0 for k in range(len(x))])
-    scale = np.array([1.0] + [(stats[2 + 2 * k] or 0.0) for k in range(len(x))])
+    mean = np.array([0.0] + [stats[2 + 2 * k] or 0.0 for k in range(len(x))])
+    scale = np.array([1.0] + [(stats[3 + 2 * k] or 0.0) for k in range(len(x))])
     if n < len(x) + 1 or (scale == 0).any():
         raise RankDeficient(f"{n} rows, constant columns: {[c for c, s in zip(x, scale[1:], strict=True) if s == 0]}")
-    gram = _matrix(df, x, mean, scale, [])
-    if np.linalg.matrix_rank(gram / n, tol=1e-9) < len(gram):
+    return n, mean, scale, stats[1]
+
+
+def checked(pr: Products) -> Products:
+    if np.linalg.matrix_rank(pr.gram / pr.n, tol=1e-9) < len(pr.gram):
         raise RankDeficient("dependent columns")
-    return Products(["const", *x], n, mean, scale, gram)
+    return pr
+
+
+def original(pr: Products, beta: np.ndarray) -> np.ndarray:
+    """Coefficients of the standardised design on the columns' own scale."""
+    out = beta / pr.scale
+    out[0] -= (out[1:] * pr.mean[1:]).sum()
+    return out
+
+
+def products(df: DataFrame, x: Sequence[str]) -> Products:
+    n, mean, scale, _ = moments(df, x)
+    return checked(Products(["const", *x], n, mean, scale, _matrix(df, x, mean, scale, [])))
 
 
 def _matrix(df: DataFrame, x: Sequence[str], mean: np.ndarray, scale: np.ndarray, ys: Sequence[str]) -> np.ndarray:
@@ -106,9 +122,7 @@ def solve(pr: Products, df: DataFrame, y: str | Column) -> np.ndarray:
     """Coefficients on the original scale, with one pass of plain sums for X'y."""
     value = (F.col(y) if isinstance(y, str) else y).cast("double")
     sums = [F.sum((F.col(c).cast("double") - float(m)) / float(k) * value) for c, m, k in zip(pr.names[1:], pr.mean[1:], pr.scale[1:], strict=True)]
-    b = np.linalg.solve(pr.gram, np.array(df.agg(F.sum(value), *sums).first(), float)) / pr.scale
-    b[0] -= (b[1:] * pr.mean[1:]).sum()
-    return b
+    return original(pr, np.linalg.solve(pr.gram, np.array(df.agg(F.sum(value), *sums).first(), float)))
 
 
 def fitted(pr: Products, beta: np.ndarray) -> Fit:

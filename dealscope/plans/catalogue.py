@@ -153,7 +153,7 @@ def duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _radius(spark: SparkSession, sf_dir: str, km: float) -> DataFrame:
-    s = radius.radius_stats_blocked(customers(spark, sf_dir), km, "c_custkey", "c_acctbal")
+    s = radius.radius_stats(customers(spark, sf_dir), km, "c_custkey", "c_acctbal")
     return s.select("c_custkey", "n", r("mean", 7).alias("mean"), r("median", 7).alias("median"))
 
 
@@ -164,14 +164,13 @@ def radius_neighbour_stats_3km(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def radius_neighbour_stats_1km(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = radius.radius_stats(customers(spark, sf_dir), 1.0, "c_custkey", "c_acctbal")
-    return s.select("c_custkey", "n", r("mean", 7).alias("mean"), r("median", 7).alias("median"))
+    return _radius(spark, sf_dir, 1.0)
 
 
 @query
 def spatial_relative_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir).withColumn("price", F.abs("c_acctbal") + 100)
-    s = radius.radius_stats_blocked(c, 3.0, "c_custkey", "price")
+    s = radius.radius_stats(c, 3.0, "c_custkey", "price")
     out = c.select("c_custkey", "price").join(s, "c_custkey").withColumns(numeric.relative_columns("price", "mean", "n"))
     return out.select("c_custkey", "n", r("spatial_price_ratio").alias("ratio"), r("spatial_price_pct_vs_avg").alias("pct"), F.col("spatial_rank_reliable").alias("reliable"))
 
@@ -179,7 +178,7 @@ def spatial_relative_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def kernel_loo_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = customers(spark, sf_dir)
-    m = effects.kernel_means(radius.kernel_edges(c, 0.5, 2.0, "c_custkey"), c, "c_custkey", "c_acctbal")
+    m = effects.kernel_means(c, "c_custkey", "c_acctbal", 0.5, 2.0)
     return m.select("c_custkey", r("smooth", 7).alias("smooth"), r("n_eff", 7).alias("n_eff"), r("sum_w", 7).alias("sum_w"), r(effects.shrunk("smooth", "sum_w", 3.0), 7).alias("shrunk"))
 
 

@@ -16,7 +16,7 @@ from dealscope.operators.effects import building_key
 from dealscope.operators.groups import constant_of_group, left_by_key, with_group_median
 from dealscope.operators.hierarchical import Settings, composite_score, fit_reason, hierarchical_fit
 from dealscope.operators.quality import require_categories, require_no_loss
-from dealscope.operators.radius import radius_stats_blocked
+from dealscope.operators.radius import radii_stats
 from dealscope.operators.ranking import numbered, percentile_rank
 from dealscope.session import stored
 from dealscope.sources.sinks import json_payload, json_rows
@@ -106,11 +106,12 @@ def featured(parsed_rows: DataFrame, raw: DataFrame, order: str = "source_row",
         "grid_cell_id": grid_cell("lat", "lon"),
         **landmark_columns("lat", "lon"),
     })
-    # each neighbour join reads the rows twice: cut the plan before and after
+    # the neighbour join reads the rows several times: cut the plan before
     before = df = stored(df, "features")
-    for km in (3, 1):
-        s = radius_stats_blocked(df, float(km), "row_id", "price_m2").select("row_id", F.col("mean").alias(f"avg_price_m2_within_{km}km_mean"), F.col("median").alias(f"avg_price_m2_within_{km}km_median"), F.col("n").alias(f"n_neighbors_{km}km"))
-        df = df.join(s, "row_id", "left")
+    near = radii_stats(df, (3.0, 1.0), "row_id", "price_m2")
+    for k, km in enumerate((3, 1)):
+        near = near.withColumnsRenamed({f"mean_{k}": f"avg_price_m2_within_{km}km_mean", f"median_{k}": f"avg_price_m2_within_{km}km_median", f"n_{k}": f"n_neighbors_{km}km"})
+    df = df.join(near, "row_id", "left")
     df = df.withColumn("low_confidence_spatial", F.col("n_neighbors_3km") < 3)
     for key in ("complex_name", "district"):
         prefix = key.split("_")[0] + "_"

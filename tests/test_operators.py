@@ -137,7 +137,7 @@ def brute(data, km):
 def test_radius_joins_equal_brute_force(places, km):
     data, df = places
     expected = brute(data, km)
-    for f in (radius.radius_stats, lambda *a: radius.radius_stats_blocked(*a, block=20), lambda *a: radius.radius_stats_blocked(*a, block=50, near_block=40)):
+    for f in (radius.radius_stats, lambda *a: radius.radius_stats(*a, per_leaf=8), lambda *a: radius.radii_stats(a[0], [a[1], 0.3], *a[2:], per_leaf=15, most_near=90).withColumnsRenamed({f"{c}_0": c for c in ("n", "mean", "median")})):
         got = {r["id"]: r for r in f(df, km, "id", "v").collect()}
         assert len(got) == len(data)
         for k, v in expected.items():
