@@ -27,10 +27,15 @@ BROADCAST_CELLS = 100_000
 _MARGIN_KM = 1e-7
 
 
+def lat_step(reach_km: float) -> float:
+    """Degrees of latitude of cells that are ``reach_km`` high."""
+    return reach_km / _KM_PER_DEGREE * 1.0000001
+
+
 def cell_steps(points: DataFrame, reach_km: float) -> tuple[float, float]:
     """Degrees of latitude and longitude of cells at least ``reach_km`` wide wherever there are points."""
     top = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    lat = reach_km / _KM_PER_DEGREE * 1.0000001
+    lat = lat_step(reach_km)
     return lat, min(360.0, lat / max(1e-6, math.cos(math.radians(min(89.999, top)))) * 1.001)
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealscope.functions import geo, numeric, text
-from dealscope.operators import dedup, design, diagnostics, did, effects, groups, hierarchical, ols, profile, quality, radius, ranking, sets
-from dealscope.plans import listings, reports
+from dealscope.operators import dedup, design, diagnostics, did, effects, groups, hierarchical, nearest, ols, profile, quality, radius, ranking, sets
+from dealscope.plans import listings, models, reports
 from dealscope.sources.html import div_text_column, listing_rows
 from dealscope.sources.sinks import json_rows
 from dealscope.streaming.ingest import windowed_counts
@@ -226,6 +226,38 @@ def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c, F.col("o_custkey") == F.col("c_custkey"))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as stations, every 20 on a line in the order of their numbers."""
+    return points(table(spark, sf_dir, "supplier"), "s_suppkey").withColumn("line", F.expr("s_suppkey div 20"))
+
+
+@query
+def nearest_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest supplier to each customer, and the nearest segment of the suppliers' lines."""
+    s = suppliers(spark, sf_dir)
+    stations = s.select(F.col("s_name").alias("name"), "lat", "lon")
+    out = nearest.station_columns(customers(spark, sf_dir), "c_custkey", stations, nearest.segments_of(s, "line", "s_suppkey"))
+    return out.select("c_custkey", "station_name", r("station_distance_m", 5).alias("station_distance_m"), "line_name", r("line_distance_m", 5).alias("line_distance_m"))
+
+
+BETWEEN = (("l0", 0.0, 1000.0), ("l1", 1000.0, 2500.0), ("l2", 2500.0, 5000.0))
+
+
+@query
+def did_between_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order prices by distance from lines of a few suppliers, without those near a stop."""
+    s = suppliers(spark, sf_dir).filter("s_suppkey % 10 = 1")
+    c = nearest.station_columns(customers(spark, sf_dir), "c_custkey", s.select(F.col("s_name").alias("name"), "lat", "lon"), nearest.segments_of(s.filter("s_suppkey <= 41").withColumn("line", F.lit(1)), "line", "s_suppkey"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.ln(F.col("o_totalprice") + 1).alias("ln_price"), (F.month("o_orderdate") >= 7).cast("int").alias("late"), F.dayofmonth("o_orderdate").alias("o_day"))
+    rows = o.join(c.select("c_custkey", "c_nationkey", "station_distance_m", "line_distance_m"), F.col("o_custkey") == F.col("c_custkey"))
+    t, _ = models.between_stations(rows, ["o_day"], "c_nationkey", "ln_price", "late", bands=BETWEEN, control=(5000.0, 30000.0))
+    return _did_rows(t)
+
+
+def _did_rows(t: DataFrame) -> DataFrame:
+    return t.select("band", "n_before", "n_after", "n", r("coefficient").alias("coefficient"), r("error").alias("error"), r("p", 7).alias("p"), *[r(c, 5).alias(c) for c in ("effect_pct", "low_pct", "high_pct")])
+
+
 DID_BANDS = (("d0", 0.0, 5000.0), ("d5", 5000.0, 10000.0), ("d10", 10000.0, 15000.0))
 
 
@@ -247,7 +279,7 @@ def did_two_by_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 def did_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = did.near_sample(_banded(spark, sf_dir), "d_m", DID_BANDS, (15000.0, 40000.0))
     t, _ = did.did(b, "ln_price", "late", DID_BANDS, ["o_day"], "c_nationkey")
-    return t.select("band", "n_before", "n_after", "n", r("coefficient").alias("coefficient"), r("error").alias("error"), r("p", 7).alias("p"), *[r(c, 5).alias(c) for c in ("effect_pct", "low_pct", "high_pct")])
+    return _did_rows(t)
 
 
 def _hierarchical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:

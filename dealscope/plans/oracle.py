@@ -95,14 +95,48 @@ def _arc(angle: str) -> str:
     return f"(list_sum(list_transform(range(0, 1001), lambda i: ({weight}) * pow(cos({angle} * i / 1000e0), df - 1))) * {angle} / 3000e0)"
 
 
-def _did_report() -> str:
-    """Cell means and one slope give the regression of saturated bands; each coefficient is a weighted sum of the rows."""
-    return f"""WITH RECURSIVE {_CUSTOMERS}, banded AS (
-            SELECT c_nationkey AS g, ln(o_totalprice + 1) AS y, (month(o_orderdate) >= 7)::int AS late, day(o_orderdate)::double AS d, 1000 * {_D['center']} AS d_m FROM orders JOIN c ON o_custkey = c_custkey),
-        x AS MATERIALIZED (SELECT *, CASE WHEN d_m < 5000 THEN 'd0' WHEN d_m < 10000 THEN 'd5' WHEN d_m < 15000 THEN 'd10' ELSE 'control' END AS cell FROM banded WHERE d_m <= 40000),
+_SUPPLIERS = f"s AS (SELECT s_suppkey, s_name, s_suppkey // 20 AS line, {_place('s_suppkey')} FROM supplier)"
+
+
+def _segment_m(shrink: str = "cos(radians(lat))") -> str:
+    """Metres from (lat, lon) to the segment (lat1, lon1) - (lat2, lon2), on the plane that touches at the place."""
+    ax, ay, bx, by = f"(lon1 - lon) * {shrink}", "(lat1 - lat)", f"(lon2 - lon1) * {shrink}", "(lat2 - lat1)"
+    t = f"greatest(0e0, least(1e0, coalesce(-({ax} * {bx} + {ay} * {by}) / nullif({bx} * {bx} + {by} * {by}, 0), 0)))"
+    return f"1000 * 6371.0088e0 * radians(sqrt(pow({ax} + {t} * {bx}, 2) + pow({ay} + {t} * {by}, 2)))"
+
+
+def _lines(stops: str, line: str) -> str:
+    return f"g AS MATERIALIZED (SELECT * FROM (SELECT {line} AS line, lat AS lat1, lon AS lon1, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM {stops} WINDOW w AS (PARTITION BY {line} ORDER BY s_suppkey)) WHERE lat2 IS NOT NULL)"
+
+
+_DISTANCES = f"""SELECT c_custkey, 1000 * {_km('c.lat', 'c.lon', 's.lat', 's.lon')} AS m, s_name AS name FROM c, s"""
+_NEAREST = f"""WITH {_CUSTOMERS}, {_SUPPLIERS}, {_lines('s', 'line')},
+        a AS (SELECT c_custkey, unnest(min({{'m': m, 'name': name}})) FROM ({_DISTANCES}) GROUP BY 1),
+        b AS (SELECT c_custkey, unnest(min({{'m': {_segment_m()}, 'name': line}})) FROM c, g GROUP BY 1)
+        SELECT c_custkey, a.name AS station_name, round(a.m, 5) AS station_distance_m, b.name AS line_name, round(b.m, 5) AS line_distance_m FROM a JOIN b USING (c_custkey)"""
+
+
+def _between_stations() -> str:
+    rows = f"""{_SUPPLIERS}, stops AS (SELECT * FROM s WHERE s_suppkey % 10 = 1), {_lines('(SELECT * FROM stops WHERE s_suppkey <= 41)', '1')},
+        near AS (SELECT c_custkey, min(1000 * {_km('c.lat', 'c.lon', 'stops.lat', 'stops.lon')}) AS station_m FROM c, stops GROUP BY 1),
+        line AS MATERIALIZED (SELECT c_custkey, min({_segment_m()}) AS d_m FROM c, g GROUP BY 1),
+        banded AS (SELECT c_nationkey AS g, ln(o_totalprice + 1) AS y, (month(o_orderdate) >= 7)::int AS late, day(o_orderdate)::double AS d, d_m FROM orders JOIN c ON o_custkey = c_custkey JOIN near USING (c_custkey) JOIN line USING (c_custkey) WHERE station_m > 500)"""
+    return _did_report(rows, (("l0", 1000), ("l1", 2500), ("l2", 5000)), 30000)
+
+
+_BY_CENTRE = f"""banded AS (
+            SELECT c_nationkey AS g, ln(o_totalprice + 1) AS y, (month(o_orderdate) >= 7)::int AS late, day(o_orderdate)::double AS d, 1000 * {_D['center']} AS d_m FROM orders JOIN c ON o_custkey = c_custkey)"""
+
+
+def _did_report(banded: str = _BY_CENTRE, bands: tuple[tuple[str, int], ...] = (("d0", 5000), ("d5", 10000), ("d10", 15000)), most: int = 40000) -> str:
+    """Cell means and one slope give the regression of three saturated bands; each coefficient is a weighted sum of the rows."""
+    cell = " ".join(f"WHEN d_m < {end} THEN '{k}'" for k, end in bands)
+    names = ", ".join(f"('{k}')" for k, _ in bands)
+    return f"""WITH RECURSIVE {_CUSTOMERS}, {banded},
+        x AS MATERIALIZED (SELECT *, CASE {cell} ELSE 'control' END AS cell FROM banded WHERE d_m <= {most}),
         cells AS MATERIALIZED (SELECT cell, late, count(*)::double AS m, avg(y) AS my, avg(d) AS md FROM x GROUP BY 1, 2),
         slope AS MATERIALIZED (SELECT sum((d - md) * (d - md)) AS s, sum((d - md) * (y - my)) / sum((d - md) * (d - md)) AS b, count(*)::double AS n, count(DISTINCT g) AS gg FROM x JOIN cells USING (cell, late)),
-        weights AS (SELECT band, cells.*, CASE WHEN cell = band THEN 2 * late - 1 WHEN cell = 'control' THEN 1 - 2 * late ELSE 0 END AS w FROM (VALUES ('d0'), ('d5'), ('d10')) AS v(band), cells),
+        weights AS (SELECT band, cells.*, CASE WHEN cell = band THEN 2 * late - 1 WHEN cell = 'control' THEN 1 - 2 * late ELSE 0 END AS w FROM (VALUES {names}) AS v(band), cells),
         sums AS MATERIALIZED (SELECT band, sum(w * md) AS wd, sum(w * (my - b * md)) AS coefficient, sum(m) FILTER (cell = band AND late = 0)::bigint AS n_before, sum(m) FILTER (cell = band AND late = 1)::bigint AS n_after FROM weights, slope GROUP BY 1),
         scores AS (SELECT band, g, sum((w / m - wd * (d - md) / s) * (y - my - b * (d - md))) AS h FROM x JOIN weights USING (cell, late) JOIN sums USING (band), slope GROUP BY 1, 2),
         errors AS (SELECT band, sqrt(any_value(gg / (gg - 1e0) * (n - 1) / (n - 9)) * sum(h * h)) AS error, any_value(gg - 1)::double AS df FROM scores, slope GROUP BY 1),
@@ -326,6 +360,8 @@ ORACLE_SQL: dict[str, str] = {
     "modes_by_group": "SELECT p_brand, p_size AS mode_size FROM (SELECT p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_size) AS k FROM part GROUP BY 1, 2) WHERE k = 1",
     "name_index": "SELECT n_nationkey, dense_rank() OVER (ORDER BY n_name) - 1 AS name_index FROM nation",
     "did_report": _did_report(),
+    "did_between_stations": _between_stations(),
+    "nearest_stations": _NEAREST,
     "hierarchical_residual": f"""WITH {_HIERARCHICAL},
         z AS MATERIALIZED (SELECT *, CASE WHEN fit THEN attr + loc END AS predicted, CASE WHEN fit THEN y - (attr + loc) END AS resid, CASE WHEN fit THEN n4 ELSE 0 END AS building_n, CASE WHEN fit AND g3 IS NOT NULL THEN n3 ELSE 0 END AS complex_n FROM s6),
         t AS MATERIALIZED (SELECT *, fit AND (building_n >= 2 OR complex_n >= 3 OR kn >= 10) AS reliable, building_n + 0.5e0 * complex_n + 0.5e0 * kn AS n_eff FROM z), g AS (SELECT stddev_pop(resid) FILTER (reliable) AS sigma FROM t)
