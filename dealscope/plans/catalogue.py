@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealscope.functions import geo, numeric, text
-from dealscope.operators import dedup, design, diagnostics, did, effects, groups, hierarchical, nearest, ols, profile, quality, radius, ranking, sets
+from dealscope.operators import dedup, design, diagnostics, did, effects, formula, groups, hierarchical, nearest, ols, profile, quality, radius, ranking, sets
 from dealscope.plans import listings, models, reports
 from dealscope.sources.html import div_text_column, listing_rows
 from dealscope.sources.sinks import json_rows
@@ -204,6 +204,30 @@ def ols_two_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(v, 4)) for k, v in values], "name string, value double")
 
 
+FORMULA = "price ~ maker + bs(p_size, df=5) + half + maker:half"
+
+
+def _formula(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", "p_size", (F.col("p_retailprice") / 100 + (F.col("p_size") % 7)).alias("price"), F.substring("p_brand", 7, 1).alias("maker"), (F.col("p_partkey") % 2).alias("half"))
+
+
+@query
+def formula_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels, a spline and an interaction from one formula."""
+    found = formula.fit_formula(_formula(spark, sf_dir), FORMULA).table()
+    rows = [(k, *(round(float(v), 6) for v in values[:2])) for k, *values in found]
+    return spark.createDataFrame(rows, "name string, coefficient double, error double")
+
+
+@query
+def formula_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of odd keys are fitted, all rows are predicted by the recorded levels and knots."""
+    rows = _formula(spark, sf_dir).withColumn("size2", F.col("p_size") * F.col("p_size"))
+    fit = formula.fit_formula(rows.filter("p_partkey % 2 = 1 or p_partkey % 3 = 0"), "price ~ C(maker) + p_size + size2", "maker")
+    return fit.with_predictions(rows, "predicted", "residual").select("p_partkey", r("predicted", 6).alias("predicted"), r("residual", 6).alias("residual"))
+
+
 @query
 def ols_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")

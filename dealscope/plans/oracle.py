@@ -226,10 +226,46 @@ def _coverage() -> str:
         UNION ALL SELECT 'priced_and_placed', count(*) FILTER (price_tenge IS NOT NULL AND district IS NOT NULL)::double FROM l"""
 
 
-def _spline() -> str:
-    """Cubic B-splines on the knots a a a a u v b b b b; degree by degree, as columns."""
+def _solved(design: str, names: list[str], columns: list[str]) -> str:
+    """Least squares of ``y`` on ``columns`` of ``design`` by Gauss and Jordan on the normal equations: name, coefficient and error.
+
+    The matrix has X'X, X'y and the unit matrix side by side; a step clears one column.
+    """
+    p = len(columns)
+    cells = [[f"sum({a} * {b})" for b in [*columns, "y"]] + [f"{float(k == j)}e0" for j in range(p)] for k, a in enumerate(columns)]
+    matrix = "[" + ", ".join("[" + ", ".join(row) + "]" for row in cells) + "]"
+    step = f"list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {2 * p + 2}), lambda j: CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))"
+    texts = "[" + ", ".join(f"'{x}'" for x in names) + "]"
+    fitted = " + ".join(f"m[{k}][{p + 1}] * {c}" for k, c in enumerate(columns, 1))
+    return f"""{design}, jordan AS (SELECT 1 AS k, {matrix} AS m FROM x UNION ALL SELECT k + 1, {step} FROM jordan WHERE k <= {p}),
+        solved AS MATERIALIZED (SELECT m FROM jordan WHERE k = {p + 1}), rest AS MATERIALIZED (SELECT sum(pow(y - ({fitted}), 2)) / (count(*) - {p}) AS s FROM x, solved),
+        i AS (SELECT unnest(range(1, {p + 1})) AS i), coefficients AS (SELECT {texts}[i] AS name, m[i][{p + 1}] AS coefficient, sqrt(s * m[i][{p + 1} + i]) AS error FROM i, solved, rest)"""
+
+
+def _formula_coefficients() -> str:
+    p = "p AS (SELECT p_partkey, p_size::double AS x, p_retailprice / 100 + p_size % 7 AS y, substr(p_brand, 7, 1) AS maker, p_partkey % 2 AS half FROM part)"
+    makers = [str(k) for k in range(2, 10)]
+    levels = ", ".join(f"(maker = '{k}')::int::double AS t{k}, (maker = '{k}')::int::double * half AS h{k}" for k in makers)
+    design = _spline_steps(p) + f", x AS MATERIALIZED (SELECT *, 1e0 AS one, {levels} FROM d3)"
+    names = ["Intercept", *[f"C(maker)[T.{k}]" for k in makers], *[f"bs(p_size, df=5, degree=3)[{k}]" for k in range(5)], "half", *[f"C(maker)[T.{k}]:half" for k in makers]]
+    columns = ["one", *[f"t{k}" for k in makers], *[f"n3_{k}" for k in range(1, 6)], "half", *[f"h{k}" for k in makers]]
+    return f"WITH RECURSIVE {_solved(design, names, columns)} SELECT name, round(coefficient, 6) AS coefficient, round(error, 6) AS error FROM coefficients"
+
+
+def _formula_predictions() -> str:
+    makers = [str(k) for k in range(2, 10)]
+    levels = ", ".join(f"(maker = '{k}')::int::double AS t{k}" for k in makers)
+    columns = ["one", *[f"t{k}" for k in makers], "size", "size2"]
+    rows = f"r AS MATERIALIZED (SELECT p_partkey, 1e0 AS one, p_size::double AS size, pow(p_size, 2) AS size2, p_retailprice / 100 + p_size % 7 AS y, {levels} FROM (SELECT *, substr(p_brand, 7, 1) AS maker FROM part))"
+    design = f"{rows}, x AS MATERIALIZED (SELECT * FROM r WHERE p_partkey % 2 = 1 OR p_partkey % 3 = 0)"
+    fitted = " + ".join(f"m[{k}][{len(columns) + 1}] * {c}" for k, c in enumerate(columns, 1))
+    return f"WITH RECURSIVE {_solved(design, columns, columns)} SELECT p_partkey, round({fitted}, 6) AS predicted, round(y - ({fitted}), 6) AS residual FROM r, solved"
+
+
+def _spline_steps(rows: str) -> str:
+    """Cubic B-splines of ``p.x`` on the knots a a a a u v b b b b; degree by degree, as columns."""
     knots = ["a", "a", "a", "a", "u", "v", "b", "b", "b", "b"]
-    steps = [f"p AS (SELECT p_partkey, p_retailprice AS x FROM part), k AS (SELECT min(x) AS a, max(x) AS b, quantile_cont(x, 1/3e0) AS u, quantile_cont(x, 2/3e0) AS v FROM p)"]
+    steps = [f"{rows}, k AS (SELECT min(x) AS a, max(x) AS b, quantile_cont(x, 1/3e0) AS u, quantile_cont(x, 2/3e0) AS v FROM p)"]
     spans = [f"(x >= {knots[i]} AND x {'<=' if knots[i + 1] == 'b' else '<'} {knots[i + 1]})::int::double AS n0_{i}" if knots[i] != knots[i + 1] else f"0e0 AS n0_{i}" for i in range(9)]
     steps.append(f"d0 AS (SELECT *, {', '.join(spans)} FROM p, k)")
     for d in (1, 2, 3):
@@ -240,7 +276,11 @@ def _spline() -> str:
             t += [f"({hi[1]} - x) / ({hi[1]} - {hi[0]}) * n{d - 1}_{i + 1}"] if hi[0] != hi[1] else []
             terms.append(f"{' + '.join(t) or '0e0'} AS n{d}_{i}")
         steps.append(f"d{d} AS (SELECT *, {', '.join(terms)} FROM d{d - 1})")
-    return f"WITH {', '.join(steps)} SELECT p_partkey, {', '.join(f'round(n3_{i}, 7) + 0 AS bs{i}' for i in range(1, 6))} FROM d3"
+    return ", ".join(steps)
+
+
+def _spline() -> str:
+    return f"WITH {_spline_steps('p AS (SELECT p_partkey, p_retailprice AS x FROM part)')} SELECT p_partkey, {', '.join(f'round(n3_{i}, 7) + 0 AS bs{i}' for i in range(1, 6))} FROM d3"
 
 
 _VIF = {"l_quantity": ("l_extendedprice", "l_discount"), "l_extendedprice": ("l_quantity", "l_discount"), "l_discount": ("l_quantity", "l_extendedprice")}
@@ -362,6 +402,8 @@ ORACLE_SQL: dict[str, str] = {
     "did_report": _did_report(),
     "did_between_stations": _between_stations(),
     "nearest_stations": _NEAREST,
+    "formula_coefficients": _formula_coefficients(),
+    "formula_predictions": _formula_predictions(),
     "hierarchical_residual": f"""WITH {_HIERARCHICAL},
         z AS MATERIALIZED (SELECT *, CASE WHEN fit THEN attr + loc END AS predicted, CASE WHEN fit THEN y - (attr + loc) END AS resid, CASE WHEN fit THEN n4 ELSE 0 END AS building_n, CASE WHEN fit AND g3 IS NOT NULL THEN n3 ELSE 0 END AS complex_n FROM s6),
         t AS MATERIALIZED (SELECT *, fit AND (building_n >= 2 OR complex_n >= 3 OR kn >= 10) AS reliable, building_n + 0.5e0 * complex_n + 0.5e0 * kn AS n_eff FROM z), g AS (SELECT stddev_pop(resid) FILTER (reliable) AS sigma FROM t)
