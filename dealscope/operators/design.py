@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.functions.numeric import clip, missing, ratio, truth
-from dealscope.operators.profile import exact_quantiles
+from dealscope.operators.profile import column_quantiles, exact_quantiles
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Nulls become the column's median over all rows."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(exact_quantiles(df, c, [0.5])[0])) for c in columns})
+    medians = column_quantiles(df, columns, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c][0])) for c in columns})
 
 
 def hedonic_inputs(df: DataFrame, area: tuple[float, float] = (15, 400), age_most: float = 80, ceiling: tuple[float, float] = (2.2, 4.5)) -> DataFrame:

@@ -2,73 +2,53 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealscope.operators.quantiles import group_quantiles
 
-#: Values that one task may hold to pick quantiles from; beyond that the range is narrowed first.
+#: Values that one task may hold to pick quantiles from; more are counted by buckets first.
 MOST_VALUES = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, c: str | Column, points: Sequence[float], most: int = MOST_VALUES) -> list[float | None]:
     """Quantiles of the non-null values, by linear interpolation; nulls where there are none.
 
-    Beyond ``most`` values each wanted place is narrowed to a range between approximate quantiles, counted
-    exactly, until the range holds few enough values or a single one.
+    Beyond ``most`` values they come from :func:`group_quantiles`, to the same results.
     """
     x = df.select((F.col(c) if isinstance(c, str) else c).cast("double").alias("x")).filter("x is not null")
-    n = x.count()
-    if n <= most:
+    if x.limit(most + 1).count() <= most:
         return list(x.agg(F.percentile("x", F.array(*[F.lit(float(p)) for p in points]))).first()[0] or [None] * len(points))
-    at = {k: _value_at(x, k, n, most) for p in points for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
-    out = []
-    for p in points:
-        place = p * (n - 1)
-        low, high = at[math.floor(place)], at[math.ceil(place)]
-        out.append(low + (place - math.floor(place)) * (high - low))
-    return out
-
-
-def _value_at(x: DataFrame, k: int, n: int, most: int) -> float:
-    """The value at place k from 0 of the n sorted values."""
-    margin = 0.001
-    while n > most:
-        ends = [max(0.0, k / n - margin), min(1.0, (k + 1) / n + margin)]
-        low, high = x.agg(F.percentile_approx("x", F.array(*[F.lit(e) for e in ends]), 10_000)).first()[0]
-        less, inside = x.agg(F.count_if(F.col("x") < low), F.count_if(F.col("x").between(low, high))).first()
-        if not less <= k < less + inside or (inside == n and low < high):
-            margin *= 4  # the approximation was off, or nothing was gained
-            if margin > 1:
-                break
-            continue
-        if low == high:
-            return low
-        x, k, n = x.filter(F.col("x").between(low, high)), k - less, inside
-    return x.orderBy("x").offset(k).limit(1).first()[0] if n > most else x.agg(F.sort_array(F.collect_list("x")).alias("s")).select(F.element_at("s", k + 1)).first()[0]
+    return list(group_quantiles(x, [], "x", points).first()["q"])
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], most: int = MOST_VALUES) -> dict[str, list[float | None]]:
+    """:func:`exact_quantiles` of several columns in the same passes."""
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    if x.limit(most + 1).count() <= most:
+        row = x.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in points])).alias(c) for c in columns]).first()
+        return {c: list(row[c] or [None] * len(points)) for c in columns}
+    found = {r["column_name"]: list(r["q"]) for r in group_quantiles(x.unpivot([], list(columns), "column_name", "value"), ["column_name"], "value", points).collect()}
+    return {c: found.get(c, [None] * len(points)) for c in columns}
 
 
 def quantiles(df: DataFrame, c: str, points: Sequence[float]) -> DataFrame:
-    """(point, value), by linear interpolation."""
-    return df.sparkSession.createDataFrame(list(zip(map(float, points), exact_quantiles(df, c, points), strict=True)), "point double, value double")
+    """(point, value), by linear interpolation; values are null where there are none."""
+    at = F.posexplode(F.array(*[F.lit(float(p)) for p in points])).alias("__k", "point")
+    found = group_quantiles(df, [], c, points).select(F.posexplode("q").alias("__k", "value"))
+    return df.sparkSession.range(1).select(at).join(found, "__k", "left").select("point", "value")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row a column: count, mean, sample deviation, least, quartiles, greatest."""
+    """One row a column: count, mean, sample deviation, least, quartiles, greatest; null where there are no values."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
-    return long.groupBy("column_name").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"),
-        F.percentile("value", F.lit(0.25)).alias("q25"),
-        F.percentile("value", F.lit(0.5)).alias("q50"),
-        F.percentile("value", F.lit(0.75)).alias("q75"),
-        F.max("value").alias("max"),
-    )
+    q = group_quantiles(long, ["column_name"], "value", [0.25, 0.5, 0.75])
+    plain = long.groupBy("column_name").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    met = plain.join(q.select("column_name", "q"), "column_name", "left")
+    return met.select("column_name", "n", "mean", "sd", "min", *[F.element_at("q", k + 1).alias(f"q{p}") for k, p in enumerate((25, 50, 75))], "max")
 
 
 def robust_z(df: DataFrame, c: str, name: str, where: Column | None = None, negate: bool = False) -> DataFrame:
@@ -124,14 +104,15 @@ def list_counts(df: DataFrame, list_col: str, name: str = "item") -> DataFrame:
 def iqr_outliers(df: DataFrame, group: str, value: str, least: int = 10) -> DataFrame:
     """(group, n, outliers, share) of groups of ``least`` values or more: strictly outside 1.5 quartile ranges."""
     rows = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
-    q = rows.groupBy(group).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    # one row a group, joined to rows: a small side, or many groups
+    q = group_quantiles(rows, [group], value, [0.25, 0.75]).filter(F.col("n") >= least).select(group, F.element_at("q", 1).alias("q1"), F.element_at("q", 2).alias("q3"))
     far = (F.col(value) < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col(value) > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return rows.join(q, group).groupBy(group).agg(F.count("*").alias("n"), F.count_if(far).alias("outliers"), (F.count_if(far) / F.count("*")).alias("share"))
 
 
 def ratio_outliers(df: DataFrame, group: str, value: str, low: float = 0.2, high: float = 5.0) -> DataFrame:
     """Rows whose value is outside [low, high] times the group's median."""
-    medians = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.median(value).alias("group_median"))
+    medians = group_quantiles(df, [group], value, [0.5]).select(group, F.element_at("q", 1).alias("group_median"))
     r = F.try_divide(F.col(value), F.col("group_median"))
     return df.join(medians, group).withColumn("ratio", r).filter((F.col("ratio") < low) | (F.col("ratio") > high))
 

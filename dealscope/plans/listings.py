@@ -15,6 +15,7 @@ from dealscope.operators.design import fold_unseen, hedonic_inputs, levels, spli
 from dealscope.operators.effects import building_key
 from dealscope.operators.groups import constant_of_group, left_by_key, with_group_median
 from dealscope.operators.hierarchical import Settings, composite_score, fit_reason, hierarchical_fit
+from dealscope.operators.profile import exact_quantiles
 from dealscope.operators.quality import require_categories, require_no_loss
 from dealscope.operators.radius import radii_stats
 from dealscope.operators.ranking import numbered, percentile_rank
@@ -223,8 +224,7 @@ def map_figures(ranked_rows: DataFrame, box: tuple[tuple[float, float], tuple[fl
         n(F.col("residual_pct").isNotNull() & off["residual_reliable"]).alias("residual_unreliable"),
         n(F.col("residual_reliable") & (F.col("residual_z") <= STRONG_DEAL_Z)).alias("strong_deals"),
         n(F.col("good_deal_score").isNull()).alias("composite_null"),
-        F.median(F.when(shown, F.col("price_m2"))).cast("bigint").alias("city_median_price_m2"),
-    )
+    ).withColumn("city_median_price_m2", F.lit(exact_quantiles(ranked_rows.filter(shown), "price_m2", [0.5])[0]).cast("bigint"))
 
 
 def map_payload(ranked_rows: DataFrame, generated_at: str, categories: dict[str, Sequence[str]] = CATEGORIES, box: tuple[tuple[float, float], tuple[float, float]] = BOX) -> str:
