@@ -1,6 +1,6 @@
 """An adaptive cell tree over places, and sums over everything near each of them.
 
-Cells of the reach's width are split in four while they hold more than ``per_leaf`` places; the leaves, with their places
+Cells of the reach's width or more are split in four while they hold more than ``per_leaf`` places; the leaves, with their places
 packed as arrays, are what is joined.  Two leaves meet only if their boxes are near enough.  Where all
 of a leaf is within the radius of all of another, its totals are added without any distance; else the distances are one
 numpy matrix.  There is never a row a pair of places.
@@ -34,56 +34,89 @@ def lat_step(reach_km: float) -> float:
 
 def cell_steps(points: DataFrame, reach_km: float) -> tuple[float, float]:
     """Degrees of latitude and longitude of cells at least ``reach_km`` wide wherever there are points."""
-    top = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    return _steps(points.agg(F.max(F.abs("lat"))).first()[0] or 0.0, reach_km)
+
+
+def _steps(top: float, reach_km: float) -> tuple[float, float]:
     lat = lat_step(reach_km)
     return lat, min(360.0, lat / max(1e-6, math.cos(math.radians(min(89.999, top)))) * 1.001)
 
 
-def distances(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
-    """Great-circle km of each of the first places to each of the second ones, degrees given."""
-    a, b, c, d = (np.radians(x) for x in (lat1[:, None], lon1[:, None], lat2, lon2))
-    h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
-    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+def rough_cell(reach_km: float) -> Column:
+    """A cell of about the reach's width, whatever latitudes there are; for counting how full such cells are."""
+    y = F.floor(F.col("lat") / lat_step(reach_km))
+    return F.struct(y, F.floor(F.col("lon") * F.cos(F.radians(y * lat_step(reach_km))) / lat_step(reach_km)))
+
+
+def squared_chords(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+    """Squares of the straight lines through the unit globe from each of the first places to each of the second ones, degrees given.
+
+    Differences of coordinates keep short lines as exact as the haversine formula does.
+    """
+
+    def units(lat: np.ndarray, lon: np.ndarray) -> list[np.ndarray]:
+        a, b = np.radians(lat), np.radians(lon)
+        return [np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)]
+
+    total = np.zeros((len(lat1), len(lat2)))
+    for u, v in zip(units(lat1, lon1), units(lat2, lon2), strict=True):
+        d = u[:, None] - v
+        d *= d
+        total += d
+    return total
+
+
+def squared_chord_of(km: float) -> float:
+    return (2 * math.sin(min(math.pi / 2, km / (2 * EARTH_KM)))) ** 2
 
 
 @dataclass
 class CellTree:
-    """``places`` with their ``leaf``; ``leaves``: leaf, cell (cy, cx), box, and lat, lon and each column as arrays of one order."""
+    """``leaves``: leaf, cell (cy, cx), box, and lat, lon and each column as arrays of one order."""
 
-    places: DataFrame
     leaves: DataFrame
     columns: list[str]
 
+    def places(self) -> DataFrame:
+        """(leaf, lat, lon) of every place."""
+        return self.leaves.select("leaf", F.explode(F.arrays_zip("lat", "lon")).alias("p")).select("leaf", "p.lat", "p.lon")
+
 
 def cell_tree(places: DataFrame, reach_km: float, columns: Sequence[str], per_leaf: int = 512, depth: int = 10) -> CellTree:
     """The tree over ``places``, which have different (lat, lon), known, and number columns without nulls.
 
     Counting decides the splits: a cell's places are counted at every level at once.  Cells of the last level that
-    still hold too many are dealt into parts.
+    still hold too many are dealt into parts.  Where places are few, cells are wider than the reach, so that leaves are worth a matrix.
     """
-    dy, dx = cell_steps(places, reach_km)
+    n, cells, top = places.agg(F.count("*"), F.approx_count_distinct(rough_cell(reach_km)), F.max(F.abs("lat"))).first()
+    wider = min(8, max(0, math.ceil(math.log(per_leaf * max(1, cells) / (4 * max(1, n)), 4))))
+    dy, dx = (step * (1 << wider) for step in _steps(top or 0.0, reach_km))
+    depth += wider
     fine = places.select("lat", "lon", *columns).withColumns({"__y": F.floor(F.col("lat") / dy * (1 << depth)), "__x": F.floor(F.col("lon") / dx * (1 << depth))})
     at = [F.expr(f"shiftright({c}, {depth} - l)").alias(a) for c, a in (("__y", "y"), ("__x", "x"))]
-    counts = fine.select("__y", "__x", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("l")).groupBy("l", *at).agg(F.count("*").alias("n"))
-    heavy = stored(counts.filter(F.col("n") > per_leaf), "cells")
-    n_heavy, deepest = heavy.agg(F.count("*"), F.max("l")).first()
+    counts = fine.select("__y", "__x", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("l")).groupBy("l", *at).agg(F.count("*").alias("n")).filter(F.col("n") > per_leaf)
+    # a few cells are taken as they are, more are written
+    found = counts.limit(BROADCAST_CELLS + 1).collect()
+    few = len(found) <= BROADCAST_CELLS
+    heavy = places.sparkSession.createDataFrame(found, counts.schema) if few else stored(counts, "cells")
+    deepest = max((r["l"] for r in found), default=None) if few else depth
     level, part = F.lit(0), F.lit(0)
     for k in range(0 if deepest is None else deepest + 1):
         cells = heavy.filter(F.col("l") == k).select(F.col("y").alias(f"__y{k}"), F.col("x").alias(f"__x{k}"), F.col("n").alias(f"__n{k}"))
         keys = [F.shiftright(c, depth - k) == F.col(f"{c}{k}") for c in ("__y", "__x")]
-        fine = fine.join(F.broadcast(cells) if n_heavy <= BROADCAST_CELLS else cells, keys[0] & keys[1], "left").drop(f"__y{k}", f"__x{k}")
+        fine = fine.join(F.broadcast(cells) if few else cells, keys[0] & keys[1], "left").drop(f"__y{k}", f"__x{k}")
         if k < depth:
             level = level + F.col(f"__n{k}").isNotNull().cast("int")
         else:
             part = F.coalesce(F.pmod(F.xxhash64("lat", "lon"), F.ceil(F.col(f"__n{k}") / per_leaf)), F.lit(0))
     own = [F.expr(f"shiftright({c}, {depth} - __level)") for c in ("__y", "__x")]
     fine = fine.withColumn("__level", level).withColumn("leaf", F.concat_ws("/", F.col("__level").cast("string"), *[c.cast("string") for c in own], part.cast("string")))
-    placed = stored(fine.select("leaf", F.shiftright("__y", depth).alias("cy"), F.shiftright("__x", depth).alias("cx"), "lat", "lon", *columns), "placed")
+    placed = fine.select("leaf", F.shiftright("__y", depth).alias("cy"), F.shiftright("__x", depth).alias("cx"), "lat", "lon", *columns)
     box = [f(c).alias(f"{f.__name__}_{c}") for c in ("lat", "lon") for f in (F.min, F.max)]
     packed = placed.groupBy("leaf").agg(F.first("cy").alias("cy"), F.first("cx").alias("cx"), *box, F.collect_list(F.struct("lat", "lon", *columns)).alias("__p"), *[F.sum(c).alias(f"all_{c}") for c in columns])
     held = ["lat", "lon", *columns]
     leaves = packed.select("leaf", "cy", "cx", "min_lat", "max_lat", "min_lon", "max_lon", *[F.col(f"__p.{c}").alias(c) for c in held], *[f"all_{c}" for c in columns])
-    return CellTree(placed, stored(leaves, "leaves"), list(columns))
+    return CellTree(stored(leaves, "leaves"), list(columns))
 
 
 def _bounds(a: str, b: str) -> tuple[Column, Column]:
@@ -151,15 +184,16 @@ def measured_sums(tree: CellTree, pairs: DataFrame, radii: Sequence[float], colu
                         yield from out()
                     held[r["leaf"]] = (r["a_lat"], r["a_lon"], np.zeros((len(r["a_lat"]), len(names))))
                 total = held[r["leaf"]][2]
-                far = distances(r["a_lat"], r["a_lon"], r["b_lat"], r["b_lon"])
+                far = squared_chords(r["a_lat"], r["a_lon"], r["b_lat"], r["b_lon"])
                 v = np.column_stack([r[f"b_{c}"] for c in columns])
                 sq = [columns.index(c) for c in squares]
                 for k, radius in enumerate(radii):
                     if r[f"r{k}"] != 1:
                         continue
-                    w = (far <= radius).astype(float)
+                    near = far <= squared_chord_of(radius)
+                    w = near.astype(float)
                     if width_km is not None:
-                        w *= np.exp(-0.5 * (far / width_km) ** 2)
+                        w[near] = np.exp(-0.5 * (2 * EARTH_KM / width_km * np.arcsin(np.minimum(1.0, np.sqrt(far[near]) / 2))) ** 2)
                         if r["leaf"] == r["near"]:
                             np.fill_diagonal(w, 0.0)
                     total[:, k * len(columns) : (k + 1) * len(columns)] += w @ v
@@ -185,5 +219,5 @@ def near_sums(tree: CellTree, radii: Sequence[float], columns: Sequence[str]) ->
     names = [f"{c}_{k}" for k in range(len(radii)) for c in columns]
     measured = measured_sums(tree, pairs, radii, columns).withColumnsRenamed({c: f"m_{c}" for c in names})
     whole = whole_sums(tree, pairs, radii, columns).withColumnsRenamed({c: f"w_{c}" for c in names})
-    out = tree.places.select("leaf", "lat", "lon").join(measured, ["lat", "lon"], "left").join(whole, "leaf", "left")
+    out = tree.places().join(measured, ["lat", "lon"], "left").join(whole, "leaf", "left")
     return out.select("leaf", "lat", "lon", *[(F.coalesce(f"m_{c}", F.lit(0.0)) + F.coalesce(f"w_{c}", F.lit(0.0))).alias(c) for c in names]), pairs

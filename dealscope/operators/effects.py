@@ -46,11 +46,11 @@ def cell_effects(cells: DataFrame, levels: Sequence[tuple[str, float]], n: str,
     ``cells`` has the level keys, ``n`` fitted rows and the sums of some values over them, ``columns``.  All levels are linear in the
     values, so each column is worked out by itself.  After all levels a fitted row of value v is left with left_of_value * v - off_{column},
     which each level changes by the same factors throughout a cell; at_{column} is the location of rows that are not fitted, and
-    {level}_n the fitted rows of the level's group.  A group's sums are aggregated before they are joined back to its cells, and each
-    level is written, so that no group is in one task and plans stay short.
+    {level}_n the fitted rows of the level's group.  A group's sums are aggregated before they are joined back to its cells, and every
+    second level is written, so that no group is in one task and plans stay short.
     """
     out = cells.withColumn("left_of_value", F.lit(1.0)).withColumns({f"{p}_{c}": F.lit(0.0) for c in columns for p in ("off", "at")})
-    for group, shrink in levels:
+    for k, (group, shrink) in enumerate(levels, 1):
         known = F.col(group).isNotNull()
         rest = {c: F.col("left_of_value") * F.col(c) - F.col(f"off_{c}") * F.col(n) for c in columns}
         sums = out.filter(known).groupBy(group).agg(F.sum(n).alias("__n"), *[F.sum(v).alias(f"__s_{c}") for c, v in rest.items()])
@@ -61,7 +61,8 @@ def cell_effects(cells: DataFrame, levels: Sequence[tuple[str, float]], n: str,
         total = {c: F.coalesce(F.col(f"__s_{c}"), F.lit(0.0)) for c in columns}
         changed = {f"off_{c}": (1 + share) * F.col(f"off_{c}") + share * v for c, v in total.items()} | {f"at_{c}": F.col(f"at_{c}") + at * v for c, v in total.items()}
         changed |= {"left_of_value": (1 + share) * F.col("left_of_value"), f"{group}_n": F.coalesce(F.col("__n"), F.lit(0.0)).cast("long")}
-        out = stored(out.withColumns(changed).drop("__n", *[f"__s_{c}" for c in columns]), "effects")
+        out = out.withColumns(changed).drop("__n", *[f"__s_{c}" for c in columns])
+        out = out if k % 2 and k < len(levels) else stored(out, "effects")
     return out
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealscope.functions.geo import gaussian, haversine_km
-from dealscope.operators.celltree import CellTree, cell_steps, cell_tree, distances, leaf_pairs, measured_sums, near_sums
+from dealscope.operators.celltree import CellTree, cell_steps, cell_tree, leaf_pairs, measured_sums, near_sums, rough_cell, squared_chord_of, squared_chords
 from dealscope.session import stored
 
 
@@ -101,7 +101,7 @@ def radii_stats(df: DataFrame, radii: Sequence[float], row_id: str, value: str,
 
 def _ranges(values: DataFrame, reach_km: float, most_near: int) -> list[float]:
     """Edges of value ranges, as many as leave about ``most_near`` values a range to the fullest neighbourhood; at most 255."""
-    cells = _cells(values, reach_km).groupBy("cy", "cx").agg(F.count("*").alias("n"))
+    cells = values.groupBy(rough_cell(reach_km)).agg(F.count("*").alias("n"))
     fullest = 9 * (cells.agg(F.max("n")).first()[0] or 0)
     most = min(256, -(-fullest // most_near))
     if most < 2:
@@ -132,7 +132,7 @@ def _middle_values(tree: CellTree, pairs: DataFrame, sums: DataFrame, values: Da
     ))
     rows = rows.select("leaf", "lat", "lon", "k", F.explode(F.filter(inside, lambda x: F.size(x["offsets"]) > 0)).alias("x")).select("leaf", "lat", "lon", "k", "x.range", "x.offsets")
     rows = stored(rows, "wanted")
-    of_leaf = tree.places.select("leaf", "lat", "lon").withColumnRenamed("leaf", "near").join(values, ["lat", "lon"])
+    of_leaf = tree.places().withColumnRenamed("leaf", "near").join(values, ["lat", "lon"])
     needed = rows.select("leaf", "k", "range").distinct()
     hows = F.array(*[F.col(f"r{k}") for k in range(len(radii))])
     met = needed.join(pairs.select("leaf", "near", hows.alias("how")), "leaf").filter(F.col("how")[F.col("k")] > 0).select("leaf", "near", "k", "range").join(of_leaf, ["near", "range"])
@@ -143,11 +143,11 @@ def _middle_values(tree: CellTree, pairs: DataFrame, sums: DataFrame, values: Da
         own = pdf["offsets"].notna()
         mine, near = pdf[own], pdf[~own].sort_values("v", kind="stable")
         lat, lon, v, times = (near[c].to_numpy() for c in ("lat", "lon", "v", "times"))
-        radius, out = reach[int(pdf["k"].iloc[0])], []
+        radius, out = squared_chord_of(reach[int(pdf["k"].iloc[0])]), []
         stripe = max(1, 4_000_000 // max(1, len(near)))
         for at in range(0, len(mine), stripe):
             part = mine[at : at + stripe]
-            inside = distances(part["lat"].to_numpy(), part["lon"].to_numpy(), lat, lon) <= radius
+            inside = squared_chords(part["lat"].to_numpy(), part["lon"].to_numpy(), lat, lon) <= radius
             # the value at an offset is the first one up to which there are more values than that
             upto = np.cumsum(inside * times, axis=1)
             for a, b, offsets, row in zip(part["lat"], part["lon"], part["offsets"], upto, strict=True):
@@ -159,7 +159,7 @@ def _middle_values(tree: CellTree, pairs: DataFrame, sums: DataFrame, values: Da
     return found.groupBy("lat", "lon").agg(*held)
 
 
-def kernel_sums(places: DataFrame, columns: Sequence[str], width_km: float, cutoff_km: float, times: str = "times", per_leaf: int = 512) -> DataFrame:
+def kernel_sums(places: DataFrame, columns: Sequence[str], width_km: float, cutoff_km: float, times: str = "times", per_leaf: int = 128) -> DataFrame:
     """(lat, lon, sum_w, sum_w2, {column}): Gaussian-weighted sums over the other places within the cutoff.
 
     ``places`` have different (lat, lon) and no nulls; ``times`` is how often a place counts in the sums of weights.  No pair of

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # else each column expression looks up its line of code
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

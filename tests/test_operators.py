@@ -146,6 +146,36 @@ def test_radius_joins_equal_brute_force(places, km):
             assert got[k]["mean"] == (pytest.approx(float(np.mean(v))) if v else None)
 
 
+def test_many_rows_at_one_place_and_few_far_ones(spark):
+    # values 0 .. n - 1 at one place; 1 km and 3 km away one row each
+    n = 100_000
+    hot = spark.range(n).selectExpr("id", "51.0D as lat", "71.0D as lon", "cast(id as double) as v")
+    far = spark.createDataFrame([(n, 51.0, 71.0128, -1.0), (n + 1, 51.0, 71.0385, 1e9), (n + 2, 51.0, 75.0, 5.0)], "id long, lat double, lon double, v double")
+    got = radius.radii_stats(hot.unionByName(far), [1.0, 3.0], "id", "v")
+    assert got.count() == n + 3
+    by = {r["id"]: r for r in got.filter(f"id < 2 or id > {n - 2}").collect()}
+    total = n * (n - 1) / 2
+    assert (by[0]["n_0"], by[0]["mean_0"], by[0]["median_0"]) == (n, pytest.approx((total - 1) / n), n / 2 - 0.5)
+    assert (by[0]["n_1"], by[0]["mean_1"], by[0]["median_1"]) == (n + 1, pytest.approx((total - 1 + 1e9) / (n + 1)), n / 2)
+    assert by[n - 1]["median_0"] == (n - 2) / 2 - 0.5 and by[n]["n_0"] == n and by[n]["median_0"] == n / 2 - 0.5
+    assert by[n + 2]["n_1"] == 0 and by[n + 2]["mean_1"] is None and by[n + 2]["median_1"] is None
+
+
+def test_kernel_means_equal_brute_force(places):
+    data, df = places
+    got = {r["id"]: r for r in effects.kernel_means(df, "id", "v", 0.3, 1.0).collect()}
+    for i, lat, lon, v in data:
+        if lat is None or lon is None:
+            assert i not in got
+            continue
+        near = [(math.exp(-0.5 * (km / 0.3) ** 2), w[3]) for w in data if w[0] != i and None not in w and (km := distance((i, lat, lon), w)) <= 1.0]
+        if not near:
+            assert i not in got
+            continue
+        sw, sw2 = sum(w for w, _ in near), sum(w * w for w, _ in near)
+        assert (got[i]["sum_w"], got[i]["n_eff"], got[i]["smooth"]) == (pytest.approx(sw), pytest.approx(sw * sw / sw2), pytest.approx(sum(w * x for w, x in near) / sw))
+
+
 def test_kernel_edges_are_symmetric(places):
     e = {(r[0], r[1]): r[2] for r in radius.kernel_edges(places[1].dropna(), 0.3, 1.0, "id").collect()}
     assert e and all(e[j, i] == pytest.approx(w) for (i, j), w in e.items()) and (300, 301) in e
