@@ -18,7 +18,7 @@ the least that counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -118,7 +118,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document that keeps its chunks changes, or whether they are there for the first time, by
     (id, position).  A passage is ``removed`` unless it is the first place of its chunks, so
     every chunk stays at its first place; keeper_id is the id that keeps it there, and
-    n_words are those of the passage.  Documents without repeated passages have no rows.  Null and
+    n_words are those of the passage.  Parts of fewer than ``least_words`` words make no holes: they go where all beside
+    them goes, and else stay.  Documents without repeated passages have no rows.  Null and
     empty texts have none; null ids come last as keepers; rows that share an id are rows of their
     own, in the order of a hash of their texts, and equal rows are further occurrences, all but one of them
     removed whole; other columns are ignored; an empty table gives no rows.
@@ -154,7 +155,35 @@ def _passages(docs: DataFrame, id_col: str, text_col: str, *, least_words: int =
     spans = dealt.groupBy(*each, "run", "part").agg(
         F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.sum("n_words").cast("long").alias("n_words"), F.first("keeper_id").alias("keeper_id"), F.first("again").alias("removed")
     )
-    return spans.withColumn("run_words", F.sum("n_words").over(Window.partitionBy(*each, "run"))).filter(F.col("run_words") >= least_words)
+    spans = spans.withColumn("run_words", F.sum("n_words").over(Window.partitionBy(*each, "run"))).filter(F.col("run_words") >= least_words)
+    return _settled(spans, each, least_words)
+
+
+def _settled(spans: DataFrame, each: Sequence[str], least_words: int) -> DataFrame:
+    """The parts of runs without holes of a few words: short parts go the way of what stands beside them.
+
+    A part is settled if it stays, or if its keeper has ``least_words`` words of the run.  Others, up to ``least_words`` in a row, are
+    removed where the settled parts on both sides are, or on the one side there is; else they stay, and are then their own
+    keepers.  Parts that are now of one kind are joined, and what would be removed alone with fewer words stays.
+    """
+    run = Window.partitionBy(*each, "run")
+    order = run.orderBy("part")
+    of_keeper = F.sum("n_words").over(Window.partitionBy(*each, "run", "removed", "keeper_id"))
+    rows = spans.withColumn("settled", ~F.col("removed") | (of_keeper >= least_words))
+    stays = F.struct(F.lit(False).alias("removed"), F.col("id").alias("keeper_id"))
+    rows = rows.withColumn("state", F.when(F.col("settled"), F.struct("removed", "keeper_id"))).withColumn("group", F.sum(F.col("settled").cast("int")).over(order))
+    before = F.last("state", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("state", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    unsettled = F.sum(F.when(~F.col("settled"), F.col("n_words")).otherwise(0)).over(Window.partitionBy(*each, "run", "group"))
+    rows = rows.withColumns({"before": before, "after": after, "unsettled": unsettled})
+    sides = F.filter(F.array("before", "after"), lambda x: x.isNotNull())
+    gone = (F.size(sides) > 0) & F.forall(sides, lambda x: x["removed"]) & (F.col("unsettled") < least_words)
+    rows = rows.withColumn("state", F.coalesce("state", F.when(gone, F.coalesce("before", "after")).otherwise(stays)))
+    rows = rows.withColumn("changed", (~F.lag("state").over(order).eqNullSafe(F.col("state"))).cast("int"))
+    rows = rows.withColumn("piece", F.sum("changed").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.groupBy(*each, "run", "piece").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), F.sum("n_words").alias("n_words"), F.first("state").alias("state"))
+    state = F.when(F.col("state.removed") & (F.col("n_words") < least_words), stays).otherwise(F.col("state"))
+    return out.withColumn("state", state).select(*each, "span_start", "span_end", "n_words", "state.keeper_id", "state.removed")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

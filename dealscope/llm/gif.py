@@ -25,8 +25,16 @@ from dealscope.llm.shared import given_id, held_id
 WIDTH = 64
 #: Fixed values of the format: entries of a full string table, and bits of its codes.
 FULL, WIDEST = 4096, 12
-#: Pixels of a canvas or a picture block; files that claim more are read as cut off there.
-MOST_PIXELS = 1 << 24
+#: Pixels of a canvas or a picture block that are decoded unless a caller says otherwise; four bytes each.
+MOST_PIXELS = 1 << 25
+
+
+class TooLarge(ValueError):
+    """A file claims more pixels than are to be decoded; ``canvas`` is its width and height."""
+
+    def __init__(self, width: int, height: int):
+        super().__init__(f"a canvas of {width} x {height}")
+        self.canvas = (width, height)
 
 
 @dataclass
@@ -202,7 +210,8 @@ def opened(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, Itera
     """Width and height of the canvas of a GIF file, and its picture blocks, read as they are asked for.
 
     A file that breaks off or goes wrong gives the frames before that; one that is cut off
-    before its canvas is known has size 0 and no frames.
+    before its canvas is known has size 0 and no frames.  A canvas or picture of more than
+    ``most_pixels`` raises :class:`TooLarge`, when it is come to.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
@@ -213,11 +222,11 @@ def opened(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, Itera
     except _CutOff:
         return 0, 0, iter(())
     if width * height > most_pixels:
-        return width, height, iter(())
-    return width, height, _frames(b, common, most_pixels)
+        raise TooLarge(width, height)
+    return width, height, _frames(b, common, most_pixels, (width, height))
 
 
-def _frames(b: _Bytes, common: np.ndarray, most_pixels: int) -> Iterator[Frame]:
+def _frames(b: _Bytes, common: np.ndarray, most_pixels: int, canvas: tuple[int, int]) -> Iterator[Frame]:
     delay, disposal, transparent = 0, 0, None
     try:
         while (kind := b.take(1)[0]) in (0x21, 0x2C):
@@ -230,8 +239,10 @@ def _frames(b: _Bytes, common: np.ndarray, most_pixels: int) -> Iterator[Frame]:
             left, top, w, h, flags = b.fields("<HHHHB")
             palette = b.palette(flags) if flags & 0x80 else common
             least, stream = b.take(1)[0], b.blocks()
-            if not 1 <= least <= 8 or w * h > most_pixels:
+            if not 1 <= least <= 8:
                 return
+            if w * h > most_pixels:
+                raise TooLarge(*canvas)
             samples = unpacked(stream, least, w * h).reshape(h, w)
             if flags & 0x40:
                 order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)]
@@ -243,9 +254,14 @@ def _frames(b: _Bytes, common: np.ndarray, most_pixels: int) -> Iterator[Frame]:
 
 
 def read(data: bytes, most_pixels: int = MOST_PIXELS) -> Gif:
-    """All picture blocks of a GIF file, as :func:`opened` gives them."""
-    width, height, frames = opened(data, most_pixels)
-    return Gif(width, height, list(frames))
+    """All picture blocks of a GIF file, as :func:`opened` gives them, up to one that is too large."""
+    found: list[Frame] = []
+    try:
+        width, height, frames = opened(data, most_pixels)
+        found.extend(frames)
+    except TooLarge as e:
+        width, height = e.canvas
+    return Gif(width, height, found)
 
 
 def shown(width: int, height: int, frames: Iterable[Frame]) -> Iterator[tuple[Frame, int, np.ndarray]]:
@@ -283,24 +299,28 @@ def payload_to_gif(payload: bytes, rows: int = 1024, delay: int = 4) -> bytes:
     return write(frames, WIDTH, min(rows, len(samples)))
 
 
-def gif_to_payload(data: bytes) -> tuple[bytes, int, np.ndarray]:
-    """The samples of all frames as they are shown, the number of frames, and their summed colour histogram."""
+def gif_to_payload(data: bytes) -> tuple[bytes, int, np.ndarray, bool]:
+    """The samples of all frames as they are shown, the number of frames, their summed colour histogram, and whether a frame too large ended it."""
     parts, counts = [], np.zeros(64, np.int64)
-    for f, _, canvas in shown(*opened(data)):
-        h, w = f.samples.shape
-        seen = canvas[f.top : f.top + h, f.left : f.left + w]
-        parts.append(seen[..., 0].tobytes())
-        counts += histogram(seen)
-    return b"".join(parts), len(parts), counts
+    try:
+        for f, _, canvas in shown(*opened(data)):
+            h, w = f.samples.shape
+            seen = canvas[f.top : f.top + h, f.left : f.left + w]
+            parts.append(seen[..., 0].tobytes())
+            counts += histogram(seen)
+    except TooLarge:
+        return b"".join(parts), len(parts), counts, True
+    return b"".join(parts), len(parts), counts, False
 
 
-def decode_frames(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
-    """One row a frame: id, frame, start, delay, width, height, rgba, histogram.
+def decode_frames(media: DataFrame, id_col: str, bytes_col: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """One row a frame: id, frame, start, delay, width, height, rgba, histogram, left_out.
 
     ``start`` and ``delay`` are hundredths of a second; ``rgba`` is the composed canvas
     and ``histogram`` its 64 colour counts.  Null and empty bytes, and bytes that
     are no GIF, have no frames; a file that is cut off or goes wrong has the frames before
-    that, as has one that claims more than MOST_PIXELS.  Repeated rows give repeated frames; other columns
+    that.  Where a canvas or picture has more than ``most_pixels``, a row with ``left_out`` true and without rgba and histogram says
+    from which frame on the file was not decoded.  Repeated rows give repeated frames; other columns
     are ignored; an empty table gives no rows.
     """
     source = media.select(held_id(media, id_col).alias("id"), F.col(bytes_col).alias("data"))
@@ -311,11 +331,17 @@ def decode_frames(media: DataFrame, id_col: str, bytes_col: str) -> DataFrame:
             for i, data in zip(pdf["id"], pdf["data"], strict=True):
                 if not data or bytes(data[:6]) not in (b"GIF87a", b"GIF89a"):
                     continue
-                width, height, frames = opened(bytes(data))
-                for k, (f, start, canvas) in enumerate(shown(width, height, frames)):
-                    yield pd.DataFrame([(i, k, start, f.delay, width, height, canvas.tobytes(), histogram(canvas))], columns=["id", "frame", "start", "delay", "width", "height", "rgba", "histogram"])
-
-    out = source.mapInPandas(run, f"id {kind}, frame int, start int, delay int, width int, height int, rgba binary, histogram array<long>")
+                columns = ["id", "frame", "start", "delay", "width", "height", "rgba", "histogram", "left_out"]
+                seen, clock = 0, 0
+                try:
+                    width, height, frames = opened(bytes(data), most_pixels)
+                    for f, start, canvas in shown(width, height, frames):
+                        yield pd.DataFrame([(i, seen, start, f.delay, width, height, canvas.tobytes(), histogram(canvas), False)], columns=columns)
+                        seen, clock = seen + 1, start + f.delay
+                except TooLarge as e:
+                    yield pd.DataFrame([(i, seen, clock, 0, *e.canvas, None, None, True)], columns=columns)
+
+    out = source.mapInPandas(run, f"id {kind}, frame int, start int, delay int, width int, height int, rgba binary, histogram array<long>, left_out boolean")
     return out.withColumn("id", given_id(out)).withColumnRenamed("id", id_col)
 
 
@@ -357,10 +383,10 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for i, n, data in zip(pdf["id"], pdf["n_bytes"], pdf["media"], strict=True):
                 data = None if data is None else bytes(data)
                 is_gif = data is not None and data[:6] in (b"GIF87a", b"GIF89a")
-                payload, frames, counts = gif_to_payload(data) if is_gif else (b"", 0, np.zeros(64, np.int64))
+                payload, frames, counts, left_out = gif_to_payload(data) if is_gif else (b"", 0, np.zeros(64, np.int64), False)
                 cells = ",".join(f"{k}:{c}" for k, c in enumerate(counts.tolist()) if c)
                 own = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
-                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), *own, f"frames={frames};hist={cells}"))
+                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), *own, f"frames={frames};hist={cells}{';left_out' if left_out else ''}"))
             yield pd.DataFrame(rows, columns=names).astype({"media_bytes": "Int64"})
 
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

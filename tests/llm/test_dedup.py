@@ -334,15 +334,55 @@ def plain_passages(rows, least=20):
             for run in [*runs, run]:
                 if sum(c[2] for _, c, _, _ in run) < least:
                     continue
-                part = []
-                for x in [*run, None]:
-                    if part and (x is None or x[2:] != part[-1][2:]):
-                        found[k[1], part[0][1][0], part[-1][1][1], sum(c[2] for _, c, _, _ in part), part[0][2], part[0][3]] += 1
-                        part = []
-                    part.append(x)
+                parts = []
+                for x in run:
+                    if not parts or x[2:] != parts[-1][-1][2:]:
+                        parts.append([])
+                    parts[-1].append(x)
+                parts = settled([[p[0][1][0], p[-1][1][1], sum(c[2] for _, c, _, _ in p), p[0][2], p[0][3]] for p in parts], k[1], least)
+                for p in parts:
+                    found[(k[1], *p)] += 1
     return found
 
 
+def settled(parts, own, least):
+    """parts: [start, end, words, keeper, removed]; short ones go with what is beside them."""
+    words = collections.Counter()
+    for _, _, n, keeper, removed in parts:
+        words[keeper, removed] += n
+    firm = [not p[4] or words[p[3], p[4]] >= least for p in parts]
+    states = []
+    for i, p in enumerate(parts):
+        if firm[i]:
+            states.append((p[3], p[4]))
+            continue
+        a, b = i, i
+        while a > 0 and not firm[a - 1]:
+            a -= 1
+        while b + 1 < len(parts) and not firm[b + 1]:
+            b += 1
+        sides = [(parts[j][3], parts[j][4]) for j in (a - 1, b + 1) if 0 <= j < len(parts)]
+        goes = sides and all(s[1] for s in sides) and sum(x[2] for x in parts[a : b + 1]) < least
+        states.append(sides[0] if goes else (own, False))
+    joined = []
+    for p, s in zip(parts, states, strict=True):
+        if joined and joined[-1][3:] == list(s):
+            joined[-1][1:3] = [p[1], joined[-1][2] + p[2]]
+        else:
+            joined.append([p[0], p[1], p[2], *s])
+    return [[*p[:3], own, False] if p[4] and p[2] < least else p for p in joined]
+
+
+def test_short_phrases_make_no_holes(spark):
+    rng = random.Random(21)
+    words = prose(rng, 94).split(" ")
+    phrase = " ".join(words[40:54])
+    text = " ".join(words)
+    data = [(1, f"{prose(rng, 50)} {phrase} {prose(rng, 50)}"), (2, text), (3, text), (4, prose(rng, 80))]
+    left = dict(without_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert left[1] == data[0][1] and left[2] == text and left[3] == "" and left[4] == data[3][1]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_passages_equal_plain_search(spark, seed):
     rng = random.Random(seed)

@@ -481,6 +481,16 @@ def test_null_and_broken_media(spark):
     assert found[3]["media_bytes"] == 6 and found[3]["payload_bytes"] == 0 and found[5]["feature"].startswith("frames=0") and found[6]["feature"].startswith("frames=4")
 
 
+def test_large_pictures_are_decoded_and_larger_ones_named(spark):
+    """A canvas of 4,200 x 4,200 with a small picture, and the same with a bound below it."""
+    data = gif.write([gif.Frame(5, 6, np.full((2, 3), 7, np.uint8), gif.grey())], 4200, 4200)
+    df = spark.createDataFrame([(1, data), (None, small_gif())], "i long, b binary")
+    got = gif.decode_frames(df, "i", "b").selectExpr("i", "frame", "width", "left_out", "length(rgba) as n", "aggregate(histogram, 0L, (a, x) -> a + x) as seen").collect()
+    assert [tuple(r) for r in got if r["i"] == 1] == [(1, 0, 4200, False, 4 * 4200 * 4200, 6)] and len(got) == 5
+    small = gif.decode_frames(df, "i", "b", most_pixels=1 << 20).select("i", "frame", "width", "left_out", "rgba").collect()
+    assert [tuple(r) for r in small if r["i"] == 1] == [(1, 0, 4200, True, None)] and len(small) == 5
+
+
 def plain_boilerplate(rows, least):
     sites = {}
     for _, t, s in rows:
