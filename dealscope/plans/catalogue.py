@@ -639,9 +639,10 @@ def checked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     o = quality.require_categories(o, "o_orderpriority", design.levels(o, "o_orderpriority"))
     banded = o.withColumns(numeric.bands("o_totalprice", [("low", 0, 150000), ("high", 150000, 1e12)]))
-    banded = quality.require(banded, {"priced": F.col("o_totalprice") > 0, "one band": quality.exactly_one("low", "high")})
+    banded, before = quality.stored_checked(banded.select("o_orderkey", "o_custkey", "o_totalprice", "low", "high"), "banded", {"priced": F.col("o_totalprice") > 0, "one band": quality.exactly_one("low", "high")})
     named = banded.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
-    return quality.require_no_loss(banded, named).select("o_orderkey", "low", "high", "c_mktsegment")
+    named, _ = quality.stored_checked(named.select("o_orderkey", "low", "high", "c_mktsegment"), "named", rows=before["rows"])
+    return named
 
 
 @query

@@ -16,7 +16,7 @@ from dealscope.operators.effects import building_key
 from dealscope.operators.groups import constant_of_group, left_by_key, with_group_median
 from dealscope.operators.hierarchical import Settings, composite_score, fit_reason, hierarchical_fit
 from dealscope.operators.profile import exact_quantiles
-from dealscope.operators.quality import require_categories, require_no_loss
+from dealscope.operators.quality import require_categories, stored_checked
 from dealscope.operators.radius import radii_stats
 from dealscope.operators.ranking import numbered, percentile_rank
 from dealscope.session import stored
@@ -88,9 +88,10 @@ def parsed(raw: DataFrame, this_year: int) -> DataFrame:
     return d.select("source_row", "url", *[F.when(F.col("__bad"), empty[k]).otherwise(v).alias(k) if k in empty else F.when(~F.col("__bad"), v).alias(k) for k, v in fields.items()])
 
 
-def featured(parsed_rows: DataFrame, raw: DataFrame, order: str = "source_row", min_n: int = 5) -> DataFrame:
+def featured(parsed_rows: DataFrame, raw: DataFrame, order: str = "source_row", min_n: int = 5, figures: dict | None = None) -> DataFrame:
     """Parsed rows with places, without relists, with price, age, distance, neighbour and group features.
 
+    ``figures``, if given, takes the counts of the feature report, observed while the rows are written.
     Rows are numbered in ``row_id`` before any further join, as source rows and urls may repeat.
     """
     places = keep_first(raw.select("source_row", "lat", "lon", "fetched_at"), ["source_row"], ["fetched_at", "lat", "lon"])
@@ -108,7 +109,7 @@ def featured(parsed_rows: DataFrame, raw: DataFrame, order: str = "source_row",
         **landmark_columns("lat", "lon"),
     })
     # the neighbour join reads the rows several times: cut the plan before
-    before = df = stored(df, "features")
+    df, before = stored_checked(df, "features")
     near = radii_stats(df, (3.0, 1.0), "row_id", "price_m2")
     for k, km in enumerate((3, 1)):
         near = near.withColumnsRenamed({f"mean_{k}": f"avg_price_m2_within_{km}km_mean", f"median_{k}": f"avg_price_m2_within_{km}km_median", f"n_{k}": f"n_neighbors_{km}km"})
@@ -117,7 +118,12 @@ def featured(parsed_rows: DataFrame, raw: DataFrame, order: str = "source_row",
     for key in ("complex_name", "district"):
         prefix = key.split("_")[0] + "_"
         df = with_group_median(df, key, "price_m2", min_n, prefix).withColumnsRenamed({f"{prefix}median": f"{prefix}median_price_m2", f"{prefix}count": f"{prefix}listing_count"})
-    return require_no_loss(before, stored(df, "features"))
+    n = F.col("n_neighbors_3km")
+    counts = {"no_neighbours": F.count_if(n == 0), "few_neighbours": F.count_if(n < 3), "complex_large_enough": F.count_if(~F.col("complex_insufficient_n"))}
+    out, got = stored_checked(df, "features", rows=before["rows"], figures=counts)
+    if figures is not None:
+        figures |= got
+    return out
 
 
 def ranked(features: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, dict]:
@@ -126,11 +132,11 @@ def ranked(features: DataFrame, settings: Settings = Settings()) -> tuple[DataFr
     df = df.withColumns(relative_columns("price_m2", "avg_price_m2_within_1km_mean", "n_neighbors_1km", "_1km"))
     df = percentile_rank(df, "district", "price_m2", "percentile_rank_in_district")
     df = percentile_rank(stored(df, "ranks"), "complex_name", "price_m2", "percentile_rank_in_complex")
-    df = stored(df.withColumn("fit_excl_reason", fit_reason()).withColumn("building", building_key()), "ranks")
+    df, before = stored_checked(df.withColumn("fit_excl_reason", fit_reason()).withColumn("building", building_key()), "ranks")
     design, x = listing_design(df)
     fit, info = hierarchical_fit(design, "row_id", "ln_price_m2", x, "__fit", settings)
-    joined = stored(df.join(fit, "row_id", "left"), "ranked")
-    return composite_score(require_no_loss(features, joined)), info
+    joined, _ = stored_checked(df.join(fit, "row_id", "left"), "ranked", rows=before["rows"])
+    return composite_score(joined), info
 
 
 def listing_design(df: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -109,6 +109,12 @@ def test_quality_raises(spark):
         quality.require_categories(df, "c", ["a"])
     with pytest.raises(quality.CheckFailed):
         quality.require_count(df, 3)
+    out, got = quality.stored_checked(df.repartition(3), "checked", {"some": F.col("c").isNotNull()}, rows=df.count(), figures={"most": F.max("x"), "none": F.count_if(F.col("x").isNull())})
+    assert got == {"rows": df.count(), **df.agg(F.max("x").alias("most"), F.count_if(F.col("x").isNull()).alias("none")).first().asDict()} and out.count() == got["rows"]
+    for bad in ({"checks": {"known": F.col("x") > 0}}, {"rows": 99}):
+        with pytest.raises(quality.CheckFailed):
+            quality.stored_checked(df, "checked", **bad)
+    assert quality.stored_checked(df.filter("false"), "checked", {"known": F.col("x") > 0}, rows=0)[1] == {"rows": 0}
     assert quality.require_categories(df, "c", ["b", "a"]) is df
 
 
