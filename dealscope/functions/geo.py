@@ -105,3 +105,11 @@ def tile_grid(spark: SparkSession, lat: Sequence[float], lon: Sequence[float], z
     rows = ends.select("a", "b", F.explode(F.sequence("a.y", "b.y")).alias("y"))
     tiles = rows.select(F.explode(F.sequence("a.x", "b.x")).alias("x"), "y")
     return tiles.withColumns({"west": tile_lon("x", zoom), "north": tile_lat("y", zoom)})
+
+
+def tiles_of(points: DataFrame, zoom: int, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """The same for the box that holds all the points; none where there are no places."""
+    ends = points.agg(F.min(lat).alias("south"), F.max(lat).alias("north"), F.min(lon).alias("west"), F.max(lon).alias("east"))
+    ends = ends.select(tile_x("west", zoom).alias("x0"), tile_x("east", zoom).alias("x1"), tile_y("north", zoom).alias("y0"), tile_y("south", zoom).alias("y1"))
+    tiles = ends.select("x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y")).select(F.explode(F.sequence("x0", "x1")).alias("x"), "y")
+    return tiles.withColumns({"west": tile_lon("x", zoom), "north": tile_lat("y", zoom)})

@@ -17,6 +17,7 @@ from dealscope.plans import listings, models, reports
 from dealscope.sources.html import div_text_column, listing_rows
 from dealscope.sources.sinks import json_rows
 from dealscope.streaming.ingest import windowed_counts
+from dealscope.streaming.sessions import changes, session_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -587,6 +588,21 @@ def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(*[F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias(x) for x in ("start", "end")], "event_type", "n")
 
 
+@query
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events without a pause of six hours, by the function that also runs on streams."""
+    s = session_totals(table(spark, sf_dir, "events"), "ts", "user_id", "value", "6 hours")
+    return s.select("user_id", *[F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(x) for x in ("start", "end")], "n", r("total", 5).alias("total"))
+
+
+@query
+def price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose value differs from the last one of their user and type, as the stateful stream finds them."""
+    e = table(spark, sf_dir, "events").withColumns({"key": F.concat_ws("|", F.col("user_id").cast("string"), "event_type"), "price": F.floor(F.col("value") / 10)})
+    c = changes(e, "key", "ts", "price", "event_id")
+    return c.select("key", F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("time"), "before", F.col("price").alias("now"))
+
+
 @query
 def spline_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
@@ -655,5 +671,5 @@ def standard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Map tiles that cover the box of the export."""
-    return geo.tile_grid(spark, *listings.BOX, 10).select("x", "y", r("west").alias("west"), r("north").alias("north"))
+    """Map tiles that cover the customers' places."""
+    return geo.tiles_of(customers(spark, sf_dir), 14).select("x", "y", r("west").alias("west"), r("north").alias("north"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dealscope.plans.catalogue import DISTRICTS, LINE
-from dealscope.plans.listings import BOX
 
 _LINE = ", ".join(LINE)
 _SHOWN = _LINE.replace("l_shipdate", "strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate")
@@ -446,7 +445,13 @@ ORACLE_SQL: dict[str, str] = {
     "checked_orders": "SELECT o_orderkey, (o_totalprice < 150000)::int AS low, (o_totalprice >= 150000)::int AS high, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     "standard_names": """SELECT n_nationkey, CASE n_name WHEN 'FRANCE' THEN 'France' WHEN 'CHINA' THEN 'China' ELSE n_name END AS n_name,
         round(CASE WHEN n_nationkey >= 8 THEN 5e0 ELSE 3e0 * coalesce(n_nationkey * 2e0 / nullif(n_regionkey * 4e0, 0), 1) END, 9) AS expected FROM nation""",
-    "tile_grid": f"""WITH e AS (SELECT floor(({BOX[1][0]}e0 + 180) / 360 * 1024)::int AS x0, floor(({BOX[1][1]}e0 + 180) / 360 * 1024)::int AS x1, floor((1 - asinh(tan(radians({BOX[0][1]}e0))) / pi()) / 2 * 1024)::int AS y0,
-            floor((1 - asinh(tan(radians({BOX[0][0]}e0))) / pi()) / 2 * 1024)::int AS y1), xs AS (SELECT unnest(range(x0, x1 + 1))::int AS x FROM e), ys AS (SELECT unnest(range(y0, y1 + 1))::int AS y FROM e)
-        SELECT x, y, round(x / 1024e0 * 360 - 180, 9) AS west, round(degrees(atan((exp(pi() * (1 - 2 * y / 1024e0)) - exp(-pi() * (1 - 2 * y / 1024e0))) / 2)), 9) AS north FROM xs, ys""",
+    "tile_grid": f"""WITH {_CUSTOMERS}, e AS (SELECT floor((min(lon) + 180) / 360 * 16384)::int AS x0, floor((max(lon) + 180) / 360 * 16384)::int AS x1, floor((1 - asinh(tan(radians(max(lat)))) / pi()) / 2 * 16384)::int AS y0,
+            floor((1 - asinh(tan(radians(min(lat)))) / pi()) / 2 * 16384)::int AS y1 FROM c), xs AS (SELECT unnest(range(x0, x1 + 1))::int AS x FROM e), ys AS (SELECT unnest(range(y0, y1 + 1))::int AS y FROM e)
+        SELECT x, y, round(x / 16384e0 * 360 - 180, 9) AS west, round(degrees(atan((exp(pi() * (1 - 2 * y / 16384e0)) - exp(-pi() * (1 - 2 * y / 16384e0))) / 2)), 9) AS north FROM xs, ys""",
+    "user_sessions": """WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR, true)::int AS begins FROM events WHERE ts IS NOT NULL),
+        s AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS n, round(sum(value), 5) AS total FROM s GROUP BY user_id, k""",
+    "price_changes": """WITH e AS (SELECT user_id || '|' || event_type AS key, ts, event_id, floor(value / 10)::bigint AS price FROM events),
+        c AS (SELECT *, lag(price) OVER (PARTITION BY key ORDER BY ts, event_id) AS before FROM e)
+        SELECT key, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS time, before, price AS now FROM c WHERE before <> price""",
 }
