@@ -5,9 +5,9 @@ beside the retained system turn and the history, then as much of the history as
 left room for.  What is repeated is not under the loss mask, so each assistant text is a
 target once.
 
-Conversations are packed in segments of turns, so that a long one is no single task;
-a segment begins a new window, and is handed the last turns and the last system turn
-before it.
+Turns are numbered in their conversation from a written range partitioning, and packed in segments of so many, so that a
+long conversation, or all rows of a null one, is no single task; a segment begins a new window, and is handed the last turns and
+the last system turn before it.
 
 A formatted turn is ``<turn role>text</turn>`` and a newline.  Backslash, ``<``, ``>`` in
 roles and texts are written as backslash and b, l, g, so that no text can
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealscope.llm.merkle import numbered
 from dealscope.llm.shared import given_id, held_id, words, written
 
 OPEN, BODY, CLOSE = "<turn ", ">", "</turn>\n"
@@ -97,15 +98,18 @@ def windows(conversations: DataFrame, id_col: str = "conv_id", *, budget: int =
     assistant turns that are not repeated.  window_no is the position of the first turn that
     is not.  A turn has the tokens of ``tokens_col``, or else as many as words, and MARKS more.
     Windows keep to ``budget`` as :func:`packed` says; the system turn counts.  Turns are in order
-    of turn, then role, then text, and are never cut; turn // ``segment`` is a turn's segment, and
-    the history reaches back one segment at most.  Null texts and roles are empty; null turns come
+    of turn, then role, then text, and are never cut; every ``segment`` turns of a conversation in that order, whatever their
+    numbers, are a segment, which has as many turns as any history can at least.  Null texts and roles are empty; null turns come
     first; rows of a null conversation are one conversation; repeated rows are turns of their
     own.  Other columns are ignored.  An empty table gives no windows.
     """
     tokens = F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else words(F.col("text"))
     t = conversations.select(F.col(id_col).alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (tokens + MARKS).alias("tokens"))
-    t = t.withColumn("seg", F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / segment))
-    held = written(t.groupBy("conv", "seg").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("turns")), "turns")
+    segment = max(segment, history // MARKS + 1)
+    # a first letter keeps null apart; the number tells equal rows apart
+    t = t.withColumns({"group": F.when(F.col("conv").isNull(), "").otherwise(F.concat(F.lit("="), F.col("conv").cast("string"))), "__row": F.monotonically_increasing_id()})
+    t = numbered(t, ["turn", "role", "text", "__row"]).withColumn("seg", F.expr(f"pos div {segment}"))
+    held = written(t.groupBy("group", "seg").agg(F.first("conv").alias("conv"), F.array_sort(F.collect_list(F.struct("pos", "role", "text", "tokens"))).alias("turns")), "turns")
 
     # what a segment hands on: at most `history` tokens of turns, and one system turn
     none = F.filter("turns", lambda x: F.lit(False))
@@ -115,14 +119,14 @@ def windows(conversations: DataFrame, id_col: str = "conv_id", *, budget: int =
         lambda acc, x: F.struct((acc["sum"] + x["tokens"]).alias("sum"), F.when(acc["sum"] + x["tokens"] <= history, F.concat(F.array(x), acc["turns"])).otherwise(acc["turns"]).alias("turns")),
         lambda acc: acc["turns"],
     )
-    last = F.transform("turns", lambda x, k: F.struct(k.cast("long").alias("pos"), x.alias("turn")))
-    handed = held.select("conv", "seg", F.size("turns").cast("long").alias("n"), nearest.alias("tail"), F.try_element_at(F.filter(last, lambda x: x["turn"]["role"] == "system"), F.lit(-1)).alias("system"))
-    by_seg = Window.partitionBy("conv").orderBy("seg")
-    earlier = by_seg.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = handed.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    numbered = numbered.withColumn("system", F.when(F.col("system").isNotNull(), F.struct((F.col("system.pos") + F.col("first")).alias("pos"), F.col("system.turn").alias("turn"))))
-    placed = numbered.select(F.col("conv").alias("c"), F.col("seg").alias("s"), "first", F.lag("tail").over(by_seg).alias("tail"), F.last("system", ignorenulls=True).over(earlier).alias("system"))
-    joined = held.join(placed, held["conv"].eqNullSafe(placed["c"]) & (held["seg"] == placed["s"])).select("conv", "turns", "first", "tail", "system")
+    systems = F.filter("turns", lambda x: x["role"] == "system")
+    handed = held.select("group", "seg", nearest.alias("tail"), F.try_element_at(systems, F.lit(-1)).alias("system"))
+    # which segment before has the last system turn: a row of numbers a segment, also in a conversation of very many
+    earlier = Window.partitionBy("group").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    placed = handed.select("group", "seg", F.last(F.when(F.col("system").isNotNull(), F.col("seg")), ignorenulls=True).over(earlier).alias("at"))
+    tails = handed.select("group", (F.col("seg") + 1).alias("seg"), "tail")
+    given = placed.join(tails, ["group", "seg"], "left").join(handed.select("group", F.col("seg").alias("at"), "system"), ["group", "at"], "left")
+    joined = held.join(given.drop("at"), ["group", "seg"]).select("conv", "turns", "tail", "system")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,11 +134,8 @@ def windows(conversations: DataFrame, id_col: str = "conv_id", *, budget: int =
             for k in range(0, batch.num_rows, 256):
                 out = []
                 for row in batch.slice(k, 256).to_pylist():
-                    tail = row["tail"] or []
-                    turns = [Turn(row["first"] + i, x["role"], x["text"], x["tokens"]) for i, x in enumerate(row["turns"])]
-                    near = [Turn(row["first"] - len(tail) + i, x["role"], x["text"], x["tokens"]) for i, x in enumerate(tail)]
-                    s = row["system"]
-                    system = Turn(s["pos"], s["turn"]["role"], s["turn"]["text"], s["turn"]["tokens"]) if s else None
+                    turns, near = ([Turn(**x) for x in row[c] or []] for c in ("turns", "tail"))
+                    system = Turn(**row["system"]) if row["system"] else None
                     for window in packed(turns, near, system, budget, history):
                         text, spans = formatted(window)
                         out.append({"conv": row["conv"], "window_no": next(t.pos for t, repeated in window if not repeated), "tokens": sum(t.tokens for t, _ in window), "text": text, "turns": [{"pos": t.pos, "repeated": repeated} for t, repeated in window], "loss_spans": spans})
