@@ -7,7 +7,6 @@ import functools
 import gc
 import tempfile
 import uuid
-import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
-            warnings.warn("spark.checkpoint.dir is unset: intermediate tables go to a folder of this machine", stacklevel=3)
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='llm-')}")
         found = _OWN[0]
