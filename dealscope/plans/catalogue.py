@@ -631,6 +631,13 @@ def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("fold", "n", r("rmse", 4).alias("rmse"), r("r2", 8).alias("r2"))
 
 
+@query
+def leave_one_group_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's prices by the least squares of all other brands."""
+    v = diagnostics.group_validated(table(spark, sf_dir, "part"), "p_retailprice", ["p_size"], "p_brand")
+    return v.select(F.col("group").alias("p_brand"), "n", r("rmse", 5).alias("rmse"), r("r2", 7).alias("r2"))
+
+
 @query
 def residuals_by_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")

@@ -437,6 +437,8 @@ ORACLE_SQL: dict[str, str] = {
     "cross_validation": """WITH l AS (SELECT (l_orderkey % 5)::int AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem),
         f AS (SELECT a.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM (SELECT DISTINCT fold FROM l) a JOIN l ON l.fold <> a.fold GROUP BY 1)
         SELECT fold, count(*) AS n, round(sqrt(avg(pow(y - a - b * x, 2))), 4) AS rmse, round(1 - avg(pow(y - a - b * x, 2)) / var_pop(y), 8) AS r2 FROM l JOIN f USING (fold) GROUP BY 1""",
+    "leave_one_group_out": """WITH f AS (SELECT a.p_brand, regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM (SELECT DISTINCT p_brand FROM part) a JOIN part ON part.p_brand <> a.p_brand GROUP BY 1)
+        SELECT p_brand, count(*) AS n, round(sqrt(avg(pow(p_retailprice - a - b * p_size, 2))), 5) AS rmse, round(1 - avg(pow(p_retailprice - a - b * p_size, 2)) / var_pop(p_retailprice), 7) AS r2 FROM part JOIN f USING (p_brand) GROUP BY 1""",
     "residuals_by_fitted": """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), p AS (SELECT a + b * l_quantity AS fit, l_extendedprice - (a + b * l_quantity) AS e FROM lineitem, f),
         m AS (SELECT min(fit) AS lo, max(fit) AS hi FROM p)
         SELECT least(20, floor((fit - lo) / (hi - lo) * 20)::int + 1) AS bin, count(*) AS n, round(avg(fit), 3) AS mean_fitted, round(avg(e), 3) AS mean_residual, round(stddev_samp(e), 3) AS sd_residual FROM p, m GROUP BY 1""",

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from dealscope.operators import diagnostics
 from dealscope.operators.formula import Design, Factor, columns_of, fit_formula, parsed
 from dealscope.operators.ols import RankDeficient
 
@@ -78,3 +79,19 @@ def test_refusals(spark):
         Design.of("y ~ nothing", df)
     with pytest.raises(RankDeficient):
         fit_formula(df.withColumn("twice", df["x"] * 2), "y ~ x + twice")
+
+
+def test_leaving_groups_out_equals_plain_fits(spark):
+    rng = random.Random(3)
+    rows = [(f"g{rng.randint(0, 40)}", rng.gauss(5, 2), rng.gauss(0, 1)) for _ in range(400)] + [("lone", 1.0, 2.0), (None, 1.0, 1.0), ("g1", None, 1.0)]
+    rows = [(g, x, z, None if x is None else 2 + 3 * x - z + rng.gauss(0, 0.5)) for g, x, z in rows]
+    got = {r["group"]: r for r in diagnostics.group_validated(spark.createDataFrame(rows, "g string, x double, z double, y double").repartition(4), "y", ["x", "z"], "g").collect()}
+    known = [r for r in rows if None not in r]
+    assert set(got) == {r[0] for r in known}
+    for g, r in got.items():
+        m, y, own = np.array([[1, x, z] for _, x, z, _ in known]), np.array([v for *_, v in known]), np.array([k[0] == g for k in known])
+        e = y[own] - m[own] @ np.linalg.lstsq(m[~own], y[~own], rcond=None)[0]
+        assert r["n"] == own.sum() and r["rmse"] == pytest.approx(float(np.sqrt((e * e).mean())), rel=1e-6)
+        assert r["r2"] == (pytest.approx(1 - (e * e).mean() / y[own].var(), abs=1e-6) if own.sum() > 1 else None)
+    two = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 2.0), ("b", 3.0, 1.0)], "g string, x double, y double")
+    assert {r["group"]: r["rmse"] is None for r in diagnostics.group_validated(two, "y", ["x"], "g").collect()} == {"a": False, "b": True}
