@@ -143,7 +143,10 @@ def segments_of(lines: DataFrame, line: str, order: str, lat: str = "lat", lon:
 
 
 def station_columns(df: DataFrame, row_id: str, stations: DataFrame, lines: DataFrame, lat: str = "lat", lon: str = "lon", first_km: float | None = None) -> DataFrame:
-    """``df`` with station_name, station_distance_m, line_name and line_distance_m, from a user's stations and line segments."""
+    """``df`` with station_name, station_distance_m, line_name and line_distance_m, from a user's stations and line segments.
+
+    Distances are written, as models read them many times.
+    """
     near = nearest_place(df, row_id, stations, lat, lon, first_km).select(row_id, F.col("name").alias("station_name"), (F.col("distance_km") * 1000).alias("station_distance_m"))
     line = nearest_segment(df, row_id, lines, lat, lon, first_km).select(row_id, F.col("name").alias("line_name"), (F.col("distance_km") * 1000).alias("line_distance_m"))
-    return df.join(near, row_id, "left").join(line, row_id, "left")
+    return df.join(stored(near, "stations"), row_id, "left").join(stored(line, "lines"), row_id, "left")

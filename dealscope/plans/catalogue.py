@@ -270,9 +270,9 @@ BETWEEN = (("l0", 0.0, 1000.0), ("l1", 1000.0, 2500.0), ("l2", 2500.0, 5000.0))
 
 @query
 def did_between_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order prices by distance from lines of a few suppliers, without those near a stop."""
-    s = suppliers(spark, sf_dir).filter("s_suppkey % 10 = 1")
-    c = nearest.station_columns(customers(spark, sf_dir), "c_custkey", s.select(F.col("s_name").alias("name"), "lat", "lon"), nearest.segments_of(s.filter("s_suppkey <= 41").withColumn("line", F.lit(1)), "line", "s_suppkey"))
+    """Order prices by distance from the line through the first five suppliers, without those near a stop."""
+    s = suppliers(spark, sf_dir).filter("s_suppkey <= 5")
+    c = nearest.station_columns(customers(spark, sf_dir), "c_custkey", s.select(F.col("s_name").alias("name"), "lat", "lon"), nearest.segments_of(s.withColumn("line", F.lit(1)), "line", "s_suppkey"))
     o = table(spark, sf_dir, "orders").select("o_custkey", F.ln(F.col("o_totalprice") + 1).alias("ln_price"), (F.month("o_orderdate") >= 7).cast("int").alias("late"), F.dayofmonth("o_orderdate").alias("o_day"))
     rows = o.join(c.select("c_custkey", "c_nationkey", "station_distance_m", "line_distance_m"), F.col("o_custkey") == F.col("c_custkey"))
     t, _ = models.between_stations(rows, ["o_day"], "c_nationkey", "ln_price", "late", bands=BETWEEN, control=(5000.0, 30000.0))
@@ -324,7 +324,15 @@ def hierarchical_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hierarchical_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, info = _hierarchical(spark, sf_dir)
-    return hierarchical.coefficients(info).select("name", *[r(c, 7).alias(c) for c in ("coefficient", "error", "statistic")])
+    return hierarchical.coefficients(info).select("name", *[r(c, 7).alias(c) for c in ("coefficient", "error", "statistic", "p")])
+
+
+@query
+def hierarchical_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the fit, the deviation of the reliable residuals, and the leave-one-out share of the variance explained."""
+    out, info = _hierarchical(spark, sf_dir)
+    kept = out.agg(F.count_if("fit_ok").alias("n_fit"), F.stddev_pop(F.when(F.col("residual_reliable"), F.col("hier_residual_ln"))).alias("sigma"))
+    return kept.select("n_fit", r("sigma", 7).alias("sigma"), F.round(F.lit(float(info["r2_loo"])), 7).alias("r2_loo"))
 
 
 @query
@@ -619,6 +627,31 @@ def design_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", r("price", 7).alias("price"), "priority", *[v.cast("int").alias(k) for k, v in coded.items()])
 
 
+@query
+def hedonic_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing model's inputs from stand-in columns: clips, imputed medians, indicators and truths."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.when(k % 11 != 0, F.ln(F.col("p_size") * 12)).alias("ln_area"),
+        F.when(k % 7 != 0, k % 100).alias("building_age"),
+        F.when(k % 3 != 0, 2 + (F.col("p_size") % 40) / 10).alias("ceiling_height_m"),
+        F.when(k % 5 != 0, k % 12).alias("floor"),
+        F.when(k % 8 != 0, k % 13).alias("floor_total"),
+        F.when(k % 4 != 0, F.col("p_type")).alias("building_type"),
+        F.when(k % 6 != 0, F.col("p_brand")).alias("apartment_condition"),
+        F.when(k % 9 != 0, (k % 4).cast("string")).alias("rooms_bucket_estimated"),
+        *[F.when(k % (n + 2) != 0, k % (n + 3) == 0).alias(c) for n, c in enumerate(TRUTHS)],
+    )
+    numbers = ["ln_area", "building_age", "ceiling_height_m", "floor_rel"]
+    out = design.hedonic_inputs(p)
+    return out.select("p_partkey", *[r(c, 7).alias(c) for c in numbers], "ceiling_miss", "floor_miss", "building_type", "apartment_condition", "rooms_bucket", *TRUTHS)
+
+
+#: Columns that count as 1 where true and else as 0.
+TRUTHS = ("floor_is_first", "floor_is_last", "former_dormitory", "exchange_possible", "is_under_construction", "price_is_installment")
+
+
 @query
 def variance_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = diagnostics.variance_inflation(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])

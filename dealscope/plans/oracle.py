@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dealscope.plans.catalogue import DISTRICTS, LINE
+from dealscope.plans.catalogue import DISTRICTS, LINE, TRUTHS
 
 _LINE = ", ".join(LINE)
 _SHOWN = _LINE.replace("l_shipdate", "strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate")
@@ -116,7 +116,7 @@ _NEAREST = f"""WITH {_CUSTOMERS}, {_SUPPLIERS}, {_lines('s', 'line')},
 
 
 def _between_stations() -> str:
-    rows = f"""{_SUPPLIERS}, stops AS (SELECT * FROM s WHERE s_suppkey % 10 = 1), {_lines('(SELECT * FROM stops WHERE s_suppkey <= 41)', '1')},
+    rows = f"""{_SUPPLIERS}, stops AS (SELECT * FROM s WHERE s_suppkey <= 5), {_lines('stops', '1')},
         near AS (SELECT c_custkey, min(1000 * {_km('c.lat', 'c.lon', 'stops.lat', 'stops.lon')}) AS station_m FROM c, stops GROUP BY 1),
         line AS MATERIALIZED (SELECT c_custkey, min({_segment_m()}) AS d_m FROM c, g GROUP BY 1),
         banded AS (SELECT c_nationkey AS g, ln(o_totalprice + 1) AS y, (month(o_orderdate) >= 7)::int AS late, day(o_orderdate)::double AS d, d_m FROM orders JOIN c ON o_custkey = c_custkey JOIN near USING (c_custkey) JOIN line USING (c_custkey) WHERE station_m > 500)"""
@@ -127,6 +127,13 @@ _BY_CENTRE = f"""banded AS (
             SELECT c_nationkey AS g, ln(o_totalprice + 1) AS y, (month(o_orderdate) >= 7)::int AS late, day(o_orderdate)::double AS d, 1000 * {_D['center']} AS d_m FROM orders JOIN c ON o_custkey = c_custkey)"""
 
 
+def _normal_p(z: str) -> str:
+    """Twice the upper tail of the normal distribution at |z|, by Simpson's rule; beyond 10 it is 0 to 20 places."""
+    weight = "CASE WHEN i % 1000 = 0 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    at = f"least(abs({z}), 10e0)"
+    return f"(1 - 2 * list_sum(list_transform(range(0, 1001), lambda i: ({weight}) * exp(-0.5e0 * pow({at} * i / 1000e0, 2)))) * {at} / 3000e0 / sqrt(2 * pi()))"
+
+
 def _did_report(banded: str = _BY_CENTRE, bands: tuple[tuple[str, int], ...] = (("d0", 5000), ("d5", 10000), ("d10", 15000)), most: int = 40000) -> str:
     """Cell means and one slope give the regression of three saturated bands; each coefficient is a weighted sum of the rows."""
     cell = " ".join(f"WHEN d_m < {end} THEN '{k}'" for k, end in bands)
@@ -418,7 +425,16 @@ ORACLE_SQL: dict[str, str] = {
         u AS (SELECT g2, sum(t - c0 - c1 * x1 - c2 * x2) AS u0, sum(x1 * (t - c0 - c1 * x1 - c2 * x2)) AS u1, sum(x2 * (t - c0 - c1 * x1 - c2 * x2)) AS u2 FROM o, c3 GROUP BY 1),
         v AS (SELECT sqrt(sum(pow(i00 * u0 + i01 * u1 + i02 * u2, 2))) AS v0, sqrt(sum(pow(i01 * u0 + i11 * u1 + i12 * u2, 2))) AS v1, sqrt(sum(pow(i02 * u0 + i12 * u1 + i22 * u2, 2))) AS v2 FROM u, c3),
         w AS (SELECT sqrt(gg / (gg - 1e0) * (n - 1) / (n - 3)) AS k, c0, c1, c2, v0, v1, v2 FROM c3, v)
-        SELECT unnest(['const', 'x1', 'x2']) AS name, round(unnest([c0, c1, c2]), 7) AS coefficient, round(unnest([k * v0, k * v1, k * v2]), 7) AS error, round(unnest([c0 / (k * v0), c1 / (k * v1), c2 / (k * v2)]), 7) AS statistic FROM w""",
+        SELECT unnest(['const', 'x1', 'x2']) AS name, round(unnest([c0, c1, c2]), 7) AS coefficient, round(unnest([k * v0, k * v1, k * v2]), 7) AS error, round(unnest([c0 / (k * v0), c1 / (k * v1), c2 / (k * v2)]), 7) AS statistic,
+            round(unnest([{_normal_p("c0 / (k * v0)")}, {_normal_p("c1 / (k * v1)")}, {_normal_p("c2 / (k * v2)")}]), 7) + 0 AS p FROM w""",
+    "hierarchical_figures": f"""WITH {_HIERARCHICAL}, z AS (SELECT *, y - (attr + loc) AS resid, CASE WHEN g3 IS NOT NULL THEN n3 ELSE 0 END AS complex_n FROM s6 WHERE fit)
+        SELECT count(*) AS n_fit, round(stddev_pop(resid) FILTER (n4 >= 2 OR complex_n >= 3 OR kn >= 10), 7) AS sigma, round(1 - sum(resid * resid) / (var_pop(y) * count(*)), 7) AS r2_loo FROM z""",
+    "hedonic_design": f"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 11 <> 0 THEN least(greatest(ln(p_size * 12), ln(15)), ln(400)) END AS area, CASE WHEN p_partkey % 7 <> 0 THEN least(p_partkey % 100, 80)::double END AS age,
+            CASE WHEN p_partkey % 3 <> 0 AND 2 + (p_size % 40) / 10e0 BETWEEN 2.2e0 AND 4.5e0 THEN 2 + (p_size % 40) / 10e0 END AS tall, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 12 END AS floor, CASE WHEN p_partkey % 8 <> 0 THEN p_partkey % 13 END AS floors,
+            coalesce(CASE WHEN p_partkey % 4 <> 0 THEN p_type END, 'unknown') AS building_type, coalesce(CASE WHEN p_partkey % 6 <> 0 THEN p_brand END, 'unknown') AS apartment_condition, coalesce(CASE WHEN p_partkey % 9 <> 0 THEN (p_partkey % 4)::varchar END, 'unknown') AS rooms_bucket,
+            {', '.join(f"(p_partkey % {n + 2} <> 0 AND p_partkey % {n + 3} = 0)::int AS {c}" for n, c in enumerate(TRUTHS))} FROM part), m AS (SELECT median(area) AS ma, median(age) AS mg, median(tall) AS mt FROM p)
+        SELECT p_partkey, round(coalesce(area, ma), 7) AS ln_area, round(coalesce(age, mg), 7) AS building_age, round(coalesce(tall, mt), 7) AS ceiling_height_m, round(coalesce(CASE WHEN floors > 0 THEN floor / floors::double END, 0.5), 7) AS floor_rel,
+            (tall IS NULL)::int AS ceiling_miss, (floor IS NULL)::int AS floor_miss, building_type, apartment_condition, rooms_bucket, {', '.join(TRUTHS)} FROM p, m""",
     "html_div_text": """SELECT page_id, trim(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '\\s+', ' ', 'g')) AS ad_text FROM pages""",
     "listing_fields": f"WITH {_listing()} SELECT * REPLACE (price_is_installment::varchar AS price_is_installment, is_under_construction::varchar AS is_under_construction, floor_is_first::varchar AS floor_is_first, floor_is_last::varchar AS floor_is_last, balcony_glazed::varchar AS balcony_glazed, former_dormitory::varchar AS former_dormitory, rooms_estimate_is_heuristic::varchar AS rooms_estimate_is_heuristic, price_tenge::double AS price_tenge, build_year::double AS build_year, floor::double AS floor, floor_total::double AS floor_total) FROM l",
     "parse_coverage": _coverage(),
