@@ -5,6 +5,7 @@ Anchors meet all rows block by block, as matrix products.  For each open window
 the scores of each of its range's 2^bits equal parts; the counts are summed over the blocks, the part that holds the k-th
 best score becomes the window's range, and the next pass refines it.  Once few scores are
 left, one last pass gathers the rows from the window's threshold on.  Only counts and those rows are shuffled.
+Tables here are much larger than their files, by whose size Spark picks broadcasts, so every join is a merge join: none goes through the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _LARGEST = float(np.finfo(float).max)
 _SLACK = 32
 #: Histograms of so many anchor blocks are held by a task before it passes them on.
 _HELD_BLOCKS = 64
+#: Blocks are dealt to so many tasks at most.
+_MOST_PARTS = 2000
 
 
 def whole_numbers(vector: Column) -> Column:
@@ -89,10 +92,13 @@ def _met(anchors: DataFrame, blocks: DataFrame, n_blocks: int, windows: DataFram
     """Each anchor block with open windows, as arrays, beside each block of rows."""
     own = windows.groupBy("block").agg(F.collect_list(F.struct(*_OF_WINDOW)).alias("w"))
     own = own.select("block", *[F.col(f"w.{c}").alias(f"w_{c}") for c in _OF_WINDOW])
-    a = anchors.join(own, "block").select(F.col("block").alias("a_block"), *[F.col(c).alias(f"a_{c}") for c in _OF_BLOCK], *[f"w_{c}" for c in _OF_WINDOW])
+    a = anchors.join(own.hint("merge"), "block").select(F.col("block").alias("a_block"), *[F.col(c).alias(f"a_{c}") for c in _OF_BLOCK], *[f"w_{c}" for c in _OF_WINDOW])
     # each block of rows is sent once, the anchors once for each of them
     a = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    return a.join(blocks.select("block", *[F.col(c).alias(f"b_{c}") for c in _OF_BLOCK]), "block")
+    # products take long for their bytes: a number of partitions of their own keeps blocks from being put together by size
+    parts = min(_MOST_PARTS, 2 * n_blocks)
+    b = blocks.select("block", *[F.col(c).alias(f"b_{c}") for c in _OF_BLOCK]).repartition(parts, "block")
+    return a.repartition(parts, "block").join(b.hint("merge"), "block")
 
 
 def _pairs(pdf: pd.DataFrame) -> Iterator[tuple]:
@@ -134,7 +140,8 @@ def _histograms(met: DataFrame, bits: int) -> DataFrame:
                 if a_block not in held and len(held) >= _HELD_BLOCKS:
                     yield from out()
                 of = held.setdefault(a_block, {})
-                ordered = np.sort(s)
+                # of later passes' narrow ranges few scores are left to sort
+                ordered = np.sort(s[(s >= min(w[1] for w in own)) & (s <= max(w[2] for w in own))])
                 for number, low, high in own:
                     step = 1 << _shift(low, high, bits)
                     edges = np.array([min(low + k * step, high + 1) for k in range(parts + 1)], dtype=ordered.dtype)
@@ -152,7 +159,7 @@ def _narrowed(windows: DataFrame, sums: DataFrame, k: int, bits: int) -> DataFra
     ``above`` counts the scores over the range, all of which are wanted.
     """
     parts = 1 << bits
-    joined = windows.join(sums, ["row", "number"], "left")
+    joined = windows.join(sums.hint("merge"), ["row", "number"], "left")
     counts = F.array(*[F.coalesce(F.col(f"h{p}"), F.lit(0)) for p in range(parts)])
     joined = joined.withColumn("__h", counts).drop(*[f"h{p}" for p in range(parts)])
     # from the best part down: how many scores are there before this part's
@@ -238,9 +245,9 @@ def hard_negatives(rows: DataFrame, anchor: Column, id_col: str = "vec_id", vect
     score = F.col("score")
     floor_high = F.expr(f"score div 100 * {high_percent} + (score % 100) * {high_percent} div 100")
     ceil_low = F.expr(f"score div 100 * {low_percent} + ((score % 100) * {low_percent} + 99) div 100")
-    windows = best.join(own, "row").select("block", "row", F.col("rank").alias("number"), F.lit(False).alias("same"), ceil_low.alias("low"), floor_high.alias("high"), "score")
+    windows = best.join(own.hint("merge"), "row").select("block", "row", F.col("rank").alias("number"), F.lit(False).alias("same"), ceil_low.alias("low"), floor_high.alias("high"), "score")
     # a window of a score below 0 is empty
     windows = windows.filter("score >= 0 and low <= high").drop("score")
     found = select_best(anchors, blocks, n_blocks, windows, negatives, bits=bits).select("row", "number", "rank", F.col("id").alias("negative_id"), score.alias("negative_score"))
-    pairs = best.join(own.select("row", "anchor_id"), "row").select("row", F.col("rank").alias("number"), "anchor_id", F.col("id").alias("positive_id"), score.alias("positive_score"))
-    return found.join(pairs, ["row", "number"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
+    pairs = best.join(own.select("row", "anchor_id").hint("merge"), "row").select("row", F.col("rank").alias("number"), "anchor_id", F.col("id").alias("positive_id"), score.alias("positive_score"))
+    return found.join(pairs.hint("merge"), ["row", "number"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")

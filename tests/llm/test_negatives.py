@@ -59,3 +59,13 @@ def test_scores_are_exact_and_saturate():
         want = [[max(-MOST, min(MOST, sum(int(x) * int(y) for x, y in zip(p, q, strict=True)))) for q in b] for p in a]
         assert [[int(x) for x in row] for row in scores(a, b)] == want
     assert scores(np.ones((2, 3)), np.ones((1, 2))).tolist() == [[2], [2]] and scores(np.ones((2, 0)), np.ones((1, 2))).tolist() == [[0], [0]]
+
+
+def test_nothing_goes_through_the_driver(spark, vectors):
+    df = spark.createDataFrame(vectors, ROWS)
+    status = spark._jsparkSession.sharedState().statusStore()
+    before = status.executionsCount()
+    plans = [hard_negatives(df, F.col("vec_id") % 50 == 0, per_block=37, anchors_per_block=5)]
+    runs = status.executionsList()
+    told = [runs.apply(k).physicalPlanDescription() for k in range(before, runs.size())] + [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(told) > 5 and not [t for t in told if "BroadcastExchange" in t or "BroadcastHashJoin" in t]
