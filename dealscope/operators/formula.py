@@ -20,6 +20,7 @@ from pyspark.sql.types import StringType
 
 from dealscope.operators.design import levels, spline, spline_knots
 from dealscope.operators.ols import Fit, cluster_covariance, ols
+from dealscope.session import dealt, stored
 
 
 @dataclass(frozen=True)
@@ -170,7 +171,7 @@ def fit_formula(df: DataFrame, formula: str, cluster: str | None = None, missing
     """Least squares of the formula; with ``cluster`` errors are robust to it.
 
     Rows with a null in a column of the formula or the cluster, or a logarithm's argument that is not positive, are dropped, or refused where
-    ``missing`` is raise.  Dependent or constant columns are refused.
+    ``missing`` is raise.  Dependent or constant columns are refused.  The coded rows are written once, as several passes read them.
     """
     design = Design.of(formula, df)
     rows = design.complete(df)
@@ -179,7 +180,8 @@ def fit_formula(df: DataFrame, formula: str, cluster: str | None = None, missing
         raise ValueError(f"{n} rows with a missing value")
     columns = design.columns()
     inner = [f"__x{k}" for k in range(len(columns))]
-    coded = rows.select(design.target().alias("__y"), *[v.alias(k) for k, v in zip(inner, columns.values(), strict=True)], *([F.col(cluster).alias("__cluster")] if cluster else []))
+    coded = dealt(rows).select(design.target().alias("__y"), *[v.alias(k) for k, v in zip(inner, columns.values(), strict=True)], *([F.col(cluster).alias("__cluster")] if cluster else []))
+    coded = stored(coded, "coded")
     fit = ols(coded, "__y", inner)
     cov, g = cluster_covariance(coded, fit, "__y", "__cluster") if cluster else (None, None)
     return FormulaFit(design, fit, ["Intercept", *columns], cov, g)

@@ -51,6 +51,11 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over four tasks a core: few files or row groups would keep work that is much for its bytes on few cores."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Removes the tables that this process has stored; their number."""
     n = len(_STORED)
