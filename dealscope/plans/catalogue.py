@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dealscope.functions import geo, numeric, text
 from dealscope.operators import dedup, design, diagnostics, did, effects, formula, groups, hierarchical, nearest, ols, profile, quality, radius, ranking, sets
 from dealscope.plans import listings, models, reports
+from dealscope.session import dealt, stored
 from dealscope.sources.html import div_text_column, listing_rows
 from dealscope.sources.sinks import json_rows
 from dealscope.streaming.ingest import windowed_counts
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, dealt out, as the texts made from them take long to parse."""
+    return dealt(table(spark, sf_dir, "part"))
+
+
 def points(df: DataFrame, key: str) -> DataFrame:
     k = F.col(key).cast("bigint")
     return df.withColumns({"lat": F.lit(50.95) + ((k * 7919) % 10007) / F.lit(10007.0) * 0.30, "lon": F.lit(71.20) + ((k * 104729) % 10007) / F.lit(10007.0) * 0.45})
@@ -458,7 +464,7 @@ LABELS = ("Kitchen area", "Area", "Type", "Floor", "Phone", "Tags")
 
 
 def _listing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = parts(spark, sf_dir)
     t = F.concat(F.lit("Price "), F.col("p_retailprice").cast("bigint").cast("string"), F.lit(" Type "), F.lower("p_brand"), F.lit(", Area "), F.col("p_size").cast("string"), F.lit(",5 m2 Kitchen area 7 Floor "), (F.col("p_partkey") % 9).cast("string"), F.lit(" of 9"), F.when(F.col("p_partkey") % 2 == 0, F.lit(" Phone yes Area 99")).otherwise(F.lit("")), F.lit(" Tags a, b ,c"))
     return p.select("p_partkey", t.alias("advert"), F.concat(F.lit("Phone no Type other"), F.col("p_size").cast("string")).alias("params"))
 
@@ -541,7 +547,7 @@ def _raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     amenities = F.concat(state, F.when(k % 2 == 0, F.lit("Балкон остеклён Да, ")).otherwise(F.lit("Балкон остеклён нет ")), F.lit("Безопасность решетки, видео ,охрана Бывшее общежитие нет"))
     params = F.when(k % 13 == 0, F.concat(F.lit("Астана, "), name, F.lit(" р-н показать на карте | Площадь 30 м² | Санузел раздельный"))).otherwise(amenities)
     failed = k % 17 == 0
-    return table(spark, sf_dir, "part").select(
+    return parts(spark, sf_dir).select(
         k.alias("source_row"), F.concat(F.lit("https://example/a/show/"), k.cast("string")).alias("url"), F.when(failed, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
         F.when(~failed, advert).alias("advert_info"), F.when(~failed, params).alias("parameters"), F.when(k % 19 == 0, F.lit("bad")).otherwise(F.lit("2026-07-13T10:00")).alias("fetched_at"),
     )
@@ -560,7 +566,8 @@ def listing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def parse_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parse report's counts and coverage, and rows left after a required column."""
-    p = listings.parsed(_raw_listings(spark, sf_dir), 2025)
+    # three figures read the parsed rows
+    p = stored(listings.parsed(_raw_listings(spark, sf_dir), 2025), "parsed")
     tables = reports.parse_report(p)
     coverage = tables["coverage"].select(F.concat(F.lit("present_"), "column_name").alias("metric"), F.col("present").cast("double").alias("value"))
     priced_rows = p.dropna(subset=["price_tenge", "district"]).agg(F.count("*").cast("double").alias("value")).select(F.lit("priced_and_placed").alias("metric"), "value")
@@ -573,7 +580,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey").cast("bigint").cast("string")
     params = F.when(F.col("p_partkey") % 3 == 0, F.lit('<div class="params"></div><div class="short">few</div>')).otherwise(F.concat(F.lit('<div id=x class="wide params">size '), F.col("p_size").cast("string"), F.lit("<p>and</p>more</div>")))
     page = F.concat(F.lit('<html><body><div class="offer">'), F.col("p_name"), F.lit(" &amp; <b>"), F.col("p_brand"), F.lit("</b><div>inner<br>text</div></div>"), params, F.lit('<script>{"lat":"51.'), k, F.lit('","lon":71.'), k, F.lit("}</script>"))
-    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("url"), page.alias("html"))
+    pages = parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("url"), page.alias("html"))
     return listing_rows(pages, ["offer"], ["params"], ["short"])
 
 
@@ -583,7 +590,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey").cast("bigint")
     found = F.concat(F.lit("Найдено "), F.regexp_replace(F.format_number(k * 1001, 0), ",", " "), F.lit(" объявлений"))
     messy = F.concat(F.lit("\u00a0 "), F.col("p_name"), F.lit(" &amp;&nbsp; \n &#1072;&lt;"), F.col("p_brand"), F.lit(" \t"))
-    return table(spark, sf_dir, "part").select(
+    return parts(spark, sf_dir).select(
         "p_partkey", text.spaced_count(found, r"(?U)Найдено\s+(\d[\d\s]*)").alias("found"), text.clean(messy).alias("cleaned"), text.script_safe(F.concat(F.lit("</b>"), "p_name")).alias("safe"),
         reports.rooms_of_title(F.concat((k % 5 + 1).cast("string"), F.lit("-комнатная квартира"))).alias("rooms"),
     )
