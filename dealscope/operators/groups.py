@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscope.operators.ranking import MOST_IN_GROUP, largest_group, positions
+from dealscope.session import stored
+
+#: Figures of so many groups are broadcast to the rows; more meet them by shuffle.
+FEW_GROUPS = 100_000
 
 
 def group_median(df: DataFrame, key: str, value: str, min_n: int = 5, prefix: str = "", most: int = MOST_IN_GROUP) -> DataFrame:
@@ -33,9 +37,20 @@ def left_by_key(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     return df.withColumn("__spread", spread).join(stats.withColumn("__spread", F.lit(0)), [key, "__spread"], "left").drop("__spread")
 
 
+def by_group(df: DataFrame, stats: DataFrame, key: str, how: str = "inner", few: int = FEW_GROUPS) -> DataFrame:
+    """Rows with their group's row of ``stats``, inner or left.
+
+    A shuffle by few keys would put each group's rows in one task, so figures of up to ``few`` groups go to the rows instead.
+    """
+    known = stored(stats, "groups")
+    if known.limit(few + 1).count() <= few:
+        return df.join(F.broadcast(known), key, how)
+    return left_by_key(df, known, key) if how == "left" else df.join(known, key)
+
+
 def with_group_median(df: DataFrame, key: str, value: str, min_n: int = 5, prefix: str = "") -> DataFrame:
     """Rows with their group's median, count and flag; null keys match nothing."""
-    return left_by_key(df, group_median(df, key, value, min_n, prefix), key)
+    return by_group(df, group_median(df, key, value, min_n, prefix), key, "left")
 
 
 def value_counts(df: DataFrame, c: str, with_null: bool = True, name: str = "n") -> DataFrame:
@@ -78,4 +93,4 @@ def constant_of_group(df: DataFrame, key: str, value: str) -> DataFrame:
 def group_total(df: DataFrame, key: str, value: str) -> DataFrame:
     """Rows with the sum and count of their group, 0 where the key is null."""
     sums = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("group_sum"), F.count(value).alias("group_count"))
-    return left_by_key(df, sums, key).fillna(0, ["group_sum", "group_count"])
+    return by_group(df, sums, key, "left").fillna(0, ["group_sum", "group_count"])

@@ -8,6 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealscope.operators.groups import by_group
 from dealscope.operators.quantiles import group_quantiles
 
 #: Values that one task may hold to pick quantiles from; more are counted by buckets first.
@@ -104,17 +105,16 @@ def list_counts(df: DataFrame, list_col: str, name: str = "item") -> DataFrame:
 def iqr_outliers(df: DataFrame, group: str, value: str, least: int = 10) -> DataFrame:
     """(group, n, outliers, share) of groups of ``least`` values or more: strictly outside 1.5 quartile ranges."""
     rows = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
-    # one row a group, joined to rows: a small side, or many groups
     q = group_quantiles(rows, [group], value, [0.25, 0.75]).filter(F.col("n") >= least).select(group, F.element_at("q", 1).alias("q1"), F.element_at("q", 2).alias("q3"))
     far = (F.col(value) < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) | (F.col(value) > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    return rows.join(q, group).groupBy(group).agg(F.count("*").alias("n"), F.count_if(far).alias("outliers"), (F.count_if(far) / F.count("*")).alias("share"))
+    return by_group(rows, q, group).groupBy(group).agg(F.count("*").alias("n"), F.count_if(far).alias("outliers"), (F.count_if(far) / F.count("*")).alias("share"))
 
 
 def ratio_outliers(df: DataFrame, group: str, value: str, low: float = 0.2, high: float = 5.0) -> DataFrame:
     """Rows whose value is outside [low, high] times the group's median."""
     medians = group_quantiles(df, [group], value, [0.5]).select(group, F.element_at("q", 1).alias("group_median"))
     r = F.try_divide(F.col(value), F.col("group_median"))
-    return df.join(medians, group).withColumn("ratio", r).filter((F.col("ratio") < low) | (F.col("ratio") > high))
+    return by_group(df, medians, group).withColumn("ratio", r).filter((F.col("ratio") < low) | (F.col("ratio") > high))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
