@@ -11,7 +11,7 @@ from dealscope.session import stored
 
 
 #: Rows of one group that a single task may rank; larger groups are placed by range partitioning.
-MOST_IN_GROUP = 5_000_000
+MOST_IN_GROUP = 500_000
 
 
 def largest_group(df: DataFrame, group: str) -> int:
